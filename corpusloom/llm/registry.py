@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from corpusloom.llm.lm_scoring import op8_lm_scoring
 from corpusloom.llm.packing import op7_best_fit_packing
+from corpusloom.llm.quality_classifier import op1_quality_classifier
+from corpusloom.llm.quality_rules import op6_quality_rules
 from corpusloom.llm.sentencepieces import op5_sentencepiece
 from corpusloom.llm.token_counts import op2_token_counts
 from corpusloom.llm.token_output import op10_token_output
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op5_sentencepiece, op7_best_fit_packing, op8_lm_scoring, op10_token_output)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op5_sentencepiece, op6_quality_rules, op7_best_fit_packing, op8_lm_scoring, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
