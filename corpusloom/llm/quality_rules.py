@@ -172,18 +172,11 @@ def with_groups(counts: DataFrame, least: int) -> DataFrame:
     return sizes.select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), label.alias("group"))
 
 
-def salted_join(rows: DataFrame, small: DataFrame, on: Column, salts: int, key: str) -> DataFrame:
-    """Join a table of one row a group to rows: rows are dealt by group and salt, and the small side is repeated for each salt."""
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt2", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return rows.join(small, on & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
-
-
 def judge(docs: DataFrame, *, coverage: float = 0.75, steps: int = 3, tail: float = 1e-7, least: int = 100, salts: int = 16, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """doc_id, COUNTS, base_failed, distance and kept of every row."""
     counts = common.stored(count_texts(docs, id_col=id_col, text_col=text_col, group_cols=group_cols))
     groups = with_groups(counts, least)
-    rows = salted_join(with_statistics(counts), groups, common.same(F.col("g1"), F.col("k1")) & common.same(F.col("g2"), F.col("k2")), salts, "doc_id").drop("k1", "k2")
+    rows = common.salted_join(with_statistics(counts), groups, common.same(F.col("g1"), F.col("k1")) & common.same(F.col("g2"), F.col("k2")), salts, "doc_id").drop("k1", "k2")
     rows = common.stored(rows)
     sound = rows.filter(~F.col("base_failed")).select("doc_id", "group", *STATS)
     # start: coordinatewise medians and scaled absolute deviations
@@ -192,16 +185,16 @@ def judge(docs: DataFrame, *, coverage: float = 0.75, steps: int = 3, tail: floa
     estimate = medians.select(F.col("group").alias("k"), *(f"m{i}" for i in range(len(STATS))), *((1 / spread(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in PAIRS))
     statistics = [F.col(s) for s in STATS]
     for _ in range(steps):
-        near = salted_join(sound, estimate, F.col("group") == F.col("k"), salts, "doc_id").select("doc_id", "group", *STATS, distance(statistics).alias("d"))
+        near = common.salted_join(sound, estimate, F.col("group") == F.col("k"), salts, "doc_id").select("doc_id", "group", *STATS, distance(statistics).alias("d"))
         near = common.stored(near)
         cut = near.groupBy("group").agg(F.percentile_approx("d", coverage, 1000).alias("cut")).withColumnRenamed("group", "k")
-        kept = salted_join(near, cut, F.col("group") == F.col("k"), salts, "doc_id").filter(F.col("d") <= F.col("cut"))
+        kept = common.salted_join(near, cut, F.col("group") == F.col("k"), salts, "doc_id").filter(F.col("d") <= F.col("cut"))
         estimate = common.stored(invert(moments(kept, ["group"]), ["group"]).withColumnRenamed("group", "k"))
         common.discard(near)
     # the covariance of the nearest rows is too small; this factor makes it consistent for normal data
     size = len(STATS)
     consistency = coverage / (1 - chi_square_beyond(size + 2, chi_square_quantile(size, 1 - coverage))) if coverage < 1 else 1.0
-    judged = salted_join(rows, estimate, F.col("group") == F.col("k"), salts, "doc_id")
+    judged = common.salted_join(rows, estimate, F.col("group") == F.col("k"), salts, "doc_id")
     d = F.coalesce(distance(statistics), F.lit(0.0))
     kept = ~F.col("base_failed") & (d <= chi_square_quantile(size, tail) * consistency)
     return judged.select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), d.alias("distance"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.embedding_neardup import op4_embedding_neardup
+from corpusloom.llm.html_extraction import op9_html_extraction
 from corpusloom.llm.jaccard_join import op3_ngram_jaccard_join
 from corpusloom.llm.lm_scoring import op8_lm_scoring
 from corpusloom.llm.packing import op7_best_fit_packing
@@ -14,7 +15,7 @@ from corpusloom.llm.token_output import op10_token_output
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_ngram_jaccard_join, op4_embedding_neardup, op5_sentencepiece, op6_quality_rules, op7_best_fit_packing, op8_lm_scoring, op10_token_output)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_ngram_jaccard_join, op4_embedding_neardup, op5_sentencepiece, op6_quality_rules, op7_best_fit_packing, op8_lm_scoring, op9_html_extraction, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
