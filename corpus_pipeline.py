@@ -1,3 +1,48 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A training-data pipeline over documents: quality rules, quality classifier, n-gram Jaccard join, best-fit packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. The first three return rows
+of docs with all their columns; the last returns the packed pieces. Between stages the rows are written as Parquet to
+the shared folder and read again, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.llm import common, jaccard_join, packing, quality_classifier, quality_rules
+
+#: SQL can't express the robust estimates, the fitted model or the packing; tests/llm compares with brute force.
+ORACLE_SQL = None
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no robust outliers of their language and source."""
+    return quality_rules.keep_good(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted to the labels, holds to be good."""
+    ratings = quality_classifier.graded(common.table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_good(docs, quality_classifier.train(docs, ratings))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingle similarity of 0.8 or more."""
+    return jaccard_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("n-gram Jaccard join", near_duplicates), ("best-fit packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

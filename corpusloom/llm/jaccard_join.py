@@ -290,6 +290,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay when one document of each class is kept, with all their columns."""
-    return common.keep_only(docs, jaccard_join(docs).filter("kept").select("doc_id"))
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each class is kept, with all their columns.
+
+    Of rows with one id the first by text stays; rows without an id all stay.
+    """
+    from pyspark.sql import Window
+
+    stay = common.keep_only(docs, jaccard_join(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)), id_col)
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    return stay.withColumn("_first", first).filter((F.col("_first") == 1) | F.col(id_col).isNull()).drop("_first")

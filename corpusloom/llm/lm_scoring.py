@@ -141,7 +141,7 @@ def word_scores(words: DataFrame, model: PieceModel, model_file: str, n_train: i
     return words.mapInArrow(run, "word binary, known boolean, base double, lp double")
 
 
-def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 4000, rounds: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 4000, rounds: int = 2) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORDS_AT_ONCE))
