@@ -53,6 +53,13 @@ def render_notes(notes: DataFrame) -> DataFrame:
     return notes.select("id", note_path(F.col("title"), F.col("id"), F.col("created_at")).alias("path"), text.alias("text"))
 
 
+def _header_value(lines: Column, field: str) -> Column:
+    """The unquoted value of a field's last header line; null without one."""
+    found = F.filter(lines, lambda x: trim_white(F.substring_index(x, ":", 1)) == field)
+    last = F.try_element_at(found, F.lit(-1))
+    return unquote(trim_white(F.substring(last, F.instr(last, F.lit(":")) + 1, F.length(last))))
+
+
 def parse_notes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(notes, rejected) from (path, raw). A file that can't be read is rejected with a reason and stops nothing."""
     text = F.regexp_replace("raw", "\r\n", "\n")
@@ -61,11 +68,8 @@ def parse_notes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = parts.withColumn("lines", F.filter(F.split(F.expr("substring(t, 5, close - 5)"), "\n"), lambda x: trim_white(x) != ""))
     after = F.expr("substring(t, close + 4)")
     parts = parts.withColumn("body", F.regexp_replace(F.regexp_replace(after, "^\n+", ""), "\n+$", ""))
-    key = lambda x: trim_white(F.substring_index(x, ":", 1))
-    value = lambda x: unquote(trim_white(F.expr("substring(x, instr(x, ':') + 1)") if isinstance(x, str) else F.substring(x, F.instr(x, F.lit(":")) + 1, F.length(x))))
     for f in FIELDS:
-        found = F.filter("lines", lambda x, f=f: key(x) == f)
-        parts = parts.withColumn(f, F.when(F.size(found) > 0, value(F.element_at(found, -1))))
+        parts = parts.withColumn(f, _header_value(F.col("lines"), f))
     missing = F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED)))
     reason = F.when(F.col("t").isNull() | ~F.startswith("t", F.lit("---\n")), "no header").when(F.col("close") == 0, "header not closed").when(F.exists("lines", lambda x: F.instr(x, F.lit(":")) == 0), "header line without a colon").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
     parts = parts.withColumn("reason", reason)
