@@ -37,7 +37,7 @@ def encode_texts(texts: list[str | None], model_file: str) -> list[bytes | None]
     vocabulary = pieces(model_file)
     for at in range(0, len(new), MATCHED):
         some = new[at : at + MATCHED]
-        lattice = Lattice(vocabulary, [c.replace(" ", SPACE).replace("\0", "") for c in some])
+        lattice = Lattice(vocabulary, [c.replace(" ", SPACE) for c in some])
         for c, ids in zip(some, lattice.best_paths(), strict=True):
             cache[c] = ids.astype("<i4").tobytes()
     return [None if chunks is None else b"".join(map(cache.__getitem__, chunks)) for chunks in split]
