@@ -39,8 +39,9 @@ def _diacritics() -> str:
 def fold_text(c: Column) -> Column:
     """Lower case without accents; standing diacritics go too, so that the words around them join."""
     source, target = _fold_table()
-    plain = F.translate(c, source, target)
-    return F.lower(F.regexp_replace(plain, _diacritics(), ""))
+    marked = F.lower(F.regexp_replace(F.translate(c, source, target), _diacritics(), ""))
+    ascii_only = ~c.rlike(r"[^\x00-\x7f]")  # most texts: spares them the look-up of every character
+    return F.when(ascii_only, F.lower(F.translate(c, "^`", ""))).otherwise(marked)
 
 
 def fold_inflection(t: Column) -> Column:
@@ -51,8 +52,12 @@ def fold_inflection(t: Column) -> Column:
     return F.when(F.right(singular, F.lit(1)).isin("a", "o", "e") & (m >= 5), F.left(singular, m - 1)).otherwise(singular)
 
 
+def words(c: Column) -> Column:
+    return F.regexp_extract_all(fold_text(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
 def tokenize(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(fold_text(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0)), fold_inflection)
+    return F.transform(words(c), fold_inflection)
 
 
 def trim_white(c: Column) -> Column:
@@ -114,7 +119,7 @@ def quote(c: Column) -> Column:
         out = F.replace(out, F.lit(raw), F.lit(spelled))
     for code in [*range(9), 11, 12, *range(14, 32)]:
         out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    return F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\]'), out).otherwise(c), F.lit('"'))
 
 
 def unquote(c: Column) -> Column:

@@ -23,25 +23,54 @@ def best_chunk(index: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.groupBy("qid", "note_id").agg(best.alias("idx"), F.max("score").alias("score"))
 
 
+#: Queries that one matrix product may hold; more go through the join.
+MATRIX_QUERIES = 4096
+
+
 def best_chunk_blocked(index: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
-    """The same with one matrix product for each Arrow batch of chunks."""
+    """The same with one matrix product for each Arrow batch of chunks; a batch sends on its best chunk of each note.
+
+    Scores are rounded to 9 places before they are compared, so that equal chunks stay equal.
+    """
     kind = index.schema["note_id"].dataType.simpleString()
+    qids = [q for q, _ in queries]
+    vectors = [list(v) for _, v in queries]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        matrix, qids = np.array([v for _, v in queries], float), [q for q, _ in queries]
+        asked = np.array(vectors, float)
         for batch in batches:
-            vectors = np.array(batch.column("embedding").to_pylist(), float).reshape(batch.num_rows, -1)
-            scores = vectors @ matrix.T
+            if not batch.num_rows or not qids:
+                continue
+            column = batch.column("embedding")
+            chunks = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            width = min(chunks.shape[1], asked.shape[1])
+            scores = np.round(chunks[:, :width] @ asked[:, :width].T, 9)
+            notes, note = np.unique(np.array(batch.column("note_id").to_pylist()), return_inverse=True)
+            idx = batch.column("idx").to_numpy()
+            order = np.lexsort((idx, note))
+            starts = np.searchsorted(note[order], np.arange(len(notes)))
+            scores, idx = scores[order], idx[order]
+            top = np.maximum.reduceat(scores, starts, axis=0)
+            first = np.where(scores == top[note[order]], idx[:, None], np.iinfo(np.int32).max)
+            where = np.minimum.reduceat(first, starts, axis=0)
             for k, qid in enumerate(qids):
-                yield pa.RecordBatch.from_arrays([pa.array([qid] * batch.num_rows, pa.int64()), batch.column("note_id"), batch.column("idx"), pa.array(scores[:, k])], ["qid", "note_id", "idx", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(notes), qid, np.int64)), pa.array(notes.tolist()), pa.array(where[:, k].astype(np.int32)), pa.array(top[:, k])], ["qid", "note_id", "idx", "score"])
 
     scored = index.select("note_id", F.col("idx").cast("int").alias("idx"), "embedding").mapInArrow(run, f"qid long, note_id {kind}, idx int, score double")
     return scored.groupBy("qid", "note_id").agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("idx"), F.max("score").alias("score"))
 
 
+def best_chunk_of(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """best_chunk by matrix products where the stated queries are few enough for one, else by the join."""
+    few = queries.limit(MATRIX_QUERIES + 1).collect()
+    if len(few) > MATRIX_QUERIES:
+        return best_chunk(index, queries)
+    return best_chunk_blocked(index, [(r["qid"], r["vector"]) for r in few])
+
+
 def dense_search(best: DataFrame, min_score: float = 0.0, k: int | None = None) -> DataFrame:
     """best with a rank, from the floor up."""
     rounded = best.withColumn("score", F.round("score", 9)).filter(F.col("score") >= min_score)

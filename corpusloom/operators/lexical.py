@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import tokenize
+from corpusloom.functions.text import fold_inflection, tokenize, words
 
 TITLE_WEIGHT, SATURATION, PREFIX_WEIGHT, PREFIX_LENGTH = 3, 1.2, 0.5, 3
 
 
 def build_postings(docs: DataFrame) -> DataFrame:
     """(term, note_id, tf, in_title) from (id, title, body)."""
-    field = lambda column, weight, title: docs.select(F.explode(tokenize(F.col(column))).alias("term"), F.col("id").alias("note_id"), F.lit(weight).alias("w"), F.lit(title).alias("t"))
-    return field("title", TITLE_WEIGHT, True).union(field("body", 1, False)).groupBy("term", "note_id").agg(F.sum("w").alias("tf"), F.max("t").alias("in_title"))
+    field = lambda column, weight, title: docs.select(F.explode(words(F.col(column))).alias("word"), F.col("id").alias("note_id"), F.lit(weight).alias("w"), F.lit(title).alias("t"))
+    tokens = field("title", TITLE_WEIGHT, True).union(field("body", 1, False))
+    return tokens.groupBy(fold_inflection(F.col("word")).alias("term"), "note_id").agg(F.sum("w").alias("tf"), F.max("t").alias("in_title"))
 
 
 def postings_of_chunks(chunk_index: DataFrame) -> DataFrame:
     """The same from stored chunks (note_id, kind, text); words in the overlap of two windows count twice."""
     title = F.col("kind") == "title"
-    tokens = chunk_index.select("note_id", title.alias("t"), F.explode(tokenize(F.col("text"))).alias("term"))
-    return tokens.groupBy("term", "note_id").agg(F.sum(F.when(F.col("t"), TITLE_WEIGHT).otherwise(1)).alias("tf"), F.max("t").alias("in_title"))
+    tokens = chunk_index.select("note_id", title.alias("t"), F.explode(words(F.col("text"))).alias("word"))
+    weight = F.when(F.col("t"), TITLE_WEIGHT).otherwise(1)
+    return tokens.groupBy(fold_inflection(F.col("word")).alias("term"), "note_id").agg(F.sum(weight).alias("tf"), F.max("t").alias("in_title"))
 
 
 def idf(n: Column, df: Column) -> Column:

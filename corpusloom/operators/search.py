@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold_text, tokenize, trim_white
-from corpusloom.operators.dense import best_chunk, dense_search, relative_cutoff
+from corpusloom.operators.dense import best_chunk_of, dense_search, relative_cutoff
 from corpusloom.operators.lexical import lexical_search, postings_of_chunks
 from corpusloom.operators.ranking import fuse_rankings, note_bonuses, rank_notes, recency_positions
 
@@ -31,7 +31,7 @@ def hybrid_search(index: DataFrame, queries: DataFrame, *, top_k: int = 10, min_
     postings = postings_of_chunks(index) if postings is None else postings
     n_docs = index.agg(F.count_distinct("note_id").alias("n"))
     lexical = lexical_search(postings, asked, n_docs, LEXICAL_CANDIDATES)
-    best = best_chunk(index, asked.select("qid", "vector"))
+    best = best_chunk_of(index, asked.select("qid", "vector"))
     dense = dense_search(best, min_score)
     fused = fuse_rankings([lexical.select("qid", "note_id", "rank"), dense.select("qid", "note_id", "rank")])
     near = relative_cutoff(dense, cutoff, min_score).select("qid", "note_id", F.lit(True).alias("near"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/notes-{uuid.uuid4().hex}"
-
-
 def now():
     return F.lit(NOW).cast("timestamp")
 
@@ -73,7 +61,7 @@ files AS (SELECT *, {PATH} AS path, regexp_replace({S.canonical('body')}, '\\n+$
 
 @query()
 def src_markdown(spark, sf_dir):
-    folder = scratch(spark)
+    folder = V.scratch(spark)
     ingest.write_markdown(ingest.render_notes(V.notes(spark, sf_dir)), folder)
     return ingest.read_markdown(spark, folder).select("path", F.length("raw").alias("n_chars"), F.sha2(F.col("raw").cast("binary"), 256).alias("sha256"))
 
@@ -108,7 +96,7 @@ def src_catalog_json(spark, sf_dir):
     n = with_path(V.notes(spark, sf_dir))
     record = F.struct("id", "title", F.when((F.col("doc_id") % 4000 == 777), F.lit("../up.md")).otherwise(F.col("path")).alias("path"), ingest.iso(F.col("created_at")).alias("createdAt"), ingest.iso(F.col("updated_at")).alias("updatedAt"), F.col("space_ids").alias("spaceIds"))
     docs = n.groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.sort_array(F.collect_list(record)).alias("notes"))
-    folder = scratch(spark)
+    folder = V.scratch(spark)
     docs.select("part", F.to_json(F.struct(F.lit(1).alias("version"), "notes")).alias("value")).repartition("part").write.partitionBy("part").text(folder)
     good, bad = ingest.read_catalog(spark, f"{folder}/*/")
     return good.select("id", "path", F.lit(None).cast("string").alias("reason")).union(bad.select(F.lit(None).cast("string"), F.lit(None).cast("string"), "reason"))
@@ -166,7 +154,7 @@ def reindex_incremental(spark, sf_dir):
     n, old, model = V.spread(V.notes(spark, sf_dir)), old_headers(spark, sf_dir), embedding.HashingEmbedder(32)
     stored = embedding.embed_chunks(chunking.plan_chunks(n.filter("doc_id % 5 <> 0")), model).withColumn("model_id", F.lit(model.id))
     headers, chunks, plan = index.reindex(n, old, stored, model)
-    folder = scratch(spark)
+    folder = V.scratch(spark)
     ingest.write_index(chunks, folder)
     per = ingest.read_index(spark, folder).groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     flags = plan.select(F.col("id").alias("note_id"), F.col("stale").alias("embedded"))
@@ -510,7 +498,7 @@ def first_occurrence(spark, sf_dir):
 @query()
 def stream_reindex(spark, sf_dir):
     """Notes streamed from files in several micro-batches; each batch replaces its notes' postings."""
-    folder, where, state = scratch(spark), scratch(spark), scratch(spark)
+    folder, where, state = V.scratch(spark), V.scratch(spark), V.scratch(spark)
     saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at")
     saved.repartition(4, "id").write.parquet(folder)
     stream = spark.readStream.schema(saved.schema).option("maxFilesPerTrigger", 2).parquet(folder)

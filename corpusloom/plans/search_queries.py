@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes' chunks with hashing vectors."""
     planned = V.spread(V.notes(spark, sf_dir)).transform(chunking.plan_chunks)
-    return embedding.embed_chunks(planned, embedding.HashingEmbedder(DIMS))
+    return V.stored(embedding.embed_chunks(planned, embedding.HashingEmbedder(DIMS)))
 
 
 def embedded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +148,12 @@ def embed_chunks(spark, sf_dir):
 
 
 def note_postings(spark, sf_dir):
-    return lexical.build_postings(V.spread(V.notes(spark, sf_dir)))
+    return V.stored(lexical.build_postings(V.spread(V.notes(spark, sf_dir))))
 
 
 @query(S.with_(S.NOTES, S.NOTE_POSTINGS, body="SELECT * FROM postings"))
 def lexical_postings(spark, sf_dir):
-    return note_postings(spark, sf_dir)
+    return lexical.build_postings(V.spread(V.notes(spark, sf_dir)))
 
 
 @query(S.with_(S.NOTES, S.CHUNKS, S.CHUNK_POSTINGS, body="SELECT note_id, count(*) AS n_terms, sum(tf)::BIGINT AS tf, count_if(in_title) AS n_title FROM postings GROUP BY note_id"))

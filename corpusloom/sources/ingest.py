@@ -72,7 +72,8 @@ def parse_notes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts = parts.withColumn(f, _header_value(F.col("lines"), f))
     missing = F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED)))
     reason = F.when(F.col("t").isNull() | ~F.startswith("t", F.lit("---\n")), "no header").when(F.col("close") == 0, "header not closed").when(F.exists("lines", lambda x: F.instr(x, F.lit(":")) == 0), "header line without a colon").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
-    parts = parts.withColumn("reason", reason)
+    # one row made of one row: the filters below can't be moved under it and parse every file anew
+    parts = parts.select("path", F.inline(F.array(F.struct(*FIELDS, "body", reason.alias("reason")))))
     notes = parts.filter("reason is null").select("id", "title", "body", "path", F.col("createdAt").alias("created_at"), F.col("updatedAt").alias("updated_at"), parse_space_ids(F.col("spaceIds")).alias("space_ids"))
     return notes, parts.filter("reason is not null").select("path", "reason")
 
