@@ -191,6 +191,18 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+#: The same rows in SQL: every pair compared, links closed by recursion.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM d WHERE v IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) >= 0.95 * a.norm * b.norm),
+r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.other),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id LEFT JOIN k ON x = vec_id
+"""
+
+
 def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings linked at cosine 0.95."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))

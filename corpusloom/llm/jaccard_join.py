@@ -285,6 +285,22 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tol
     return rows.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
+#: The same rows in SQL: all shared shingles counted, links closed by recursion.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 10 * c >= 8 * (u.n + v.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.other),
+c AS (SELECT node, min(other) AS class_id FROM r GROUP BY node),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM documents JOIN c ON node = doc_id LEFT JOIN k ON x = doc_id
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents joined by shingle similarity."""
     return jaccard_join(common.table(spark, sf_dir, "documents"))

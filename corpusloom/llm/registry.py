@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import embedding_neardup, jaccard_join
 from corpusloom.llm.embedding_neardup import op4_embedding_neardup
 from corpusloom.llm.html_extraction import op9_html_extraction
 from corpusloom.llm.jaccard_join import op3_ngram_jaccard_join
@@ -19,4 +20,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those that it can express; the others are compared with brute force in tests/llm."""
+    return {"op3_ngram_jaccard_join": jaccard_join.ORACLE_SQL, "op4_embedding_neardup": embedding_neardup.ORACLE_SQL}
