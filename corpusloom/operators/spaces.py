@@ -82,10 +82,10 @@ def recover_spaces(notes: DataFrame) -> DataFrame:
 
 def space_suggestions(queries: DataFrame, spaces: DataFrame, assigned: DataFrame) -> DataFrame:
     """(qid, kind, id, name): spaces not on the note yet whose name holds the query, and a `create` row without an exact
-    match. queries (qid, q, note_id) and spaces are small tables; assigned is (note_id, space_id)."""
+    match. queries (qid, q, note_id) is the stated, small side; assigned is (note_id, space_id)."""
     asked = queries.withColumn("trimmed", trim_white(F.col("q"))).withColumn("low", F.lower("trimmed"))
     custom = spaces.filter(F.col("id") != GENERAL).select("id", "name")
-    met = asked.join(F.broadcast(custom), F.contains(F.lower("name"), F.col("low")))
+    met = custom.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("low")))
     free = met.join(assigned.select("note_id", F.col("space_id").alias("id")), ["note_id", "id"], "left_anti")
     exact = custom.select(F.lower("name").alias("low")).distinct()
     create = asked.filter((F.col("low") != "") & (F.col("low") != GENERAL)).join(exact, "low", "left_anti")
