@@ -73,11 +73,12 @@ class OrdinalModel:
 def fit_ordinal(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, *, least_documents: int = 5, penalty: float = 0.01, steps: int = 400, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty, from feature buckets and the row of each. Thresholds are a first value and logs of the gaps, so they stay ordered."""
     n, levels = len(grades), int(grades.max())
-    buckets, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    often = (seen >= least_documents) & (seen < n)
-    number = np.cumsum(often) - 1
-    use = often[at]
-    row, at, buckets = row[use], number[at[use]], buckets[often]
+    buckets, seen = np.unique(flat, return_counts=True)
+    buckets = buckets[(seen >= least_documents) & (seen < n)]
+    at = np.searchsorted(buckets, flat)
+    use = at < len(buckets)
+    use[use] = buckets[at[use]] == flat[use]
+    row, at = row[use], at[use]
     share = np.array([(grades > k).mean() for k in range(levels)])
     start = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     theta = np.concatenate((np.zeros(len(buckets)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
@@ -105,7 +106,7 @@ def fit_ordinal(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, *, least_
     return OrdinalModel(buckets, theta[:w], limits)
 
 
-def train(docs: DataFrame, ratings: DataFrame, *, sample_rows: int = 12000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel | None:
+def train(docs: DataFrame, ratings: DataFrame, *, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel | None:
     common.ship(docs.sparkSession)
     ids, grade = F.col(id_col).cast("long").alias("doc_id"), F.col(grade_col).cast("int").alias("grade")
     rated = ratings.select(ids, grade).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -116,13 +117,13 @@ def train(docs: DataFrame, ratings: DataFrame, *, sample_rows: int = 12000, id_c
     def run(batches):
         for batch in batches:
             found = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], ["doc_id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
-    got = texts.mapInArrow(run, "doc_id long, grade int, features array<long>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = texts.mapInArrow(run, "doc_id long, grade int, features array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     grades, found = got.column("grade").to_numpy().astype(int), got.column("features").combine_chunks()
     if not len(grades) or not grades.max() or not len(found.flatten()):
         return None
-    return fit_ordinal(found.flatten().to_numpy(), np.repeat(np.arange(len(grades)), found.value_lengths().to_numpy()), grades)
+    return fit_ordinal(found.flatten().to_numpy(), np.repeat(np.arange(len(grades), dtype=np.int32), found.value_lengths().to_numpy()), grades)
 
 
 def judge_texts(texts: list[str | None], model: OrdinalModel | None, select: int, least: float):
