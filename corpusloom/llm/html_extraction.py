@@ -5,8 +5,8 @@ is spread over many tasks, and are taken in groups of about `group_pages` of one
 runs of like siblings are one repeated slot), and the tree with most blocks is the wrapper's frame. Every other page
 is aligned with it by simple tree matching. A frame node whose text is the same on most pages that have it is
 template; one whose text varies is a slot. The content is the lowest frame node that holds nearly all varying text;
-each page's text is what stands under its own matching node. Where a host gives too few pages to compare, or a page
-doesn't match, the page's own article (or main, or body) is taken.
+each page's text is what stands under its own matching node, with all articles there. Only where a host gives too few
+pages to compare, or a page doesn't match, the page's own articles (or mains, or its body) are taken.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by
 element, role or class and are left out of the trees. Outside an article or main element, template text in the content
@@ -256,16 +256,16 @@ def below(slot: Slot):
         work.extend(s.children)
 
 
-def own_content(root: Node) -> Node:
-    """The article or main element with most text, else the whole body."""
+def own_content(root: Node) -> list[Node]:
+    """All article and main elements in page order, else the whole body."""
     work, found = [root], []
     while work:
         n = work.pop()
         if n.tag in KEEPERS:
             found.append(n)
         else:
-            work.extend(n.children)
-    return max(found, key=lambda n: sum(map(len, blocks(n))), default=root)
+            work.extend(reversed(n.children))
+    return found or [root]
 
 
 def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_share: float = 0.6, content_share: float = 0.9) -> list[str]:
@@ -290,22 +290,20 @@ def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_sha
         for s in reversed(list(below(frame))):
             varying[id(s)] = own_varying[id(s)] + sum(varying[id(c)] for c in s.children)
         content = frame
-        while content.children and content.tag not in KEEPERS:
+        while content.children:
             child = max(content.children, key=lambda c: varying[id(c)])
-            if not child.children or not varying[id(child)] or varying[id(child)] < content_share * varying[id(content)]:
+            if child.tag in KEEPERS or not child.children or not varying[id(child)] or varying[id(child)] < content_share * varying[id(content)]:
                 break
             content = child
-        inside = content.tag in KEEPERS
         drop = set()
-        if not inside:
-            work = [content]
-            while work:
-                s = work.pop()
-                if s.tag in KEEPERS:
-                    continue
-                if s.text and template(s) and not s.children:
-                    drop.add(id(s))
-                work.extend(s.children)
+        work = [content]
+        while work:
+            s = work.pop()
+            if s.tag in KEEPERS:
+                continue
+            if s.text and template(s) and not s.children:
+                drop.add(id(s))
+            work.extend(s.children)
         for i, pairs in enumerate(aligned):
             if id(content) in pairs:
                 chosen[i] = pairs[id(content)].nodes[0]
@@ -315,10 +313,7 @@ def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_sha
         if not root:
             out.append("")
             continue
-        if node is None or node.tag not in KEEPERS:
-            own = own_content(root)  # a page that marks its article needs no wrapper for it
-            node = own if node is None or own.tag in KEEPERS else node
-        out.append("\n".join(blocks(node, skip)))
+        out.append("\n".join(x for n in ([node] if node else own_content(root)) for x in blocks(n, skip)))
     return out
 
 

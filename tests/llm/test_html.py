@@ -64,3 +64,18 @@ def test_spark_job(spark):
 def test_character_references():
     text = "&lt;b&gt; &#233; &#x1F600; &nbsp; &copy &bogus;"
     assert X.extract_group([f"<p>{text}</p>"]) == [" ".join(html.unescape(text).split())]
+
+
+def test_all_articles_of_a_page_stay():
+    page = "<body><article><h1>%s</h1><p>Part one of %s.</p></article><article><p>Part two of %s, the longer one.</p></article></body>"
+    want = [f"n{i}\nPart one of n{i}.\nPart two of n{i}, the longer one." for i in range(5)]
+    pages = [page % ((f"n{i}",) * 3) for i in range(5)]
+    assert X.extract_group(pages) == want
+    assert X.extract_group(pages[:1]) == want[:1]  # without a wrapper
+    single = ["<body><article><h1>%s</h1><p>Only part, %s.</p></article></body>" % (i, i) for i in range(5)]
+    assert X.extract_group([*single, pages[0]])[5] == want[0]  # one page of the group has two
+
+
+def test_the_wrapper_decides_on_pages_that_match_it():
+    page = "<body><div><p>Lead of %s, before the box, and rather long as it is the story.</p><h2>%s</h2></div><article><p>Box %s, with some words of its own.</p></article></body>"
+    assert X.extract_group([page % ((f"n{i}",) * 3) for i in range(6)])[2] == "Lead of n2, before the box, and rather long as it is the story.\nn2\nBox n2, with some words of its own."
