@@ -3,14 +3,15 @@
 Pages are dealt by ranges of host and a hash, so that a host's pages lie side by side and a host with a third of all pages
 is spread over many tasks, and are taken in groups of about `group_pages` of one host. In a group each page becomes a tree of its block elements (text-level markup is dropped and
 runs of like siblings are one repeated slot), and the tree with most blocks is the wrapper's frame. Every other page
-is aligned with it by simple tree matching. A frame node whose text is the same on most pages that have it is
-template; one whose text varies is a slot. The content is the lowest frame node that holds nearly all varying text;
-each page's text is what stands under its own matching node, with all articles there. Only where a host gives too few
-pages to compare, or a page doesn't match, the page's own articles (or mains, or its body) are taken.
+is aligned with it by simple tree matching. A text that stands in the same frame node on most pages that have the node
+is template; all other text is content. A page's text is what stands on it without the template: only blocks that
+hold a template text, in its place, are dropped, so no other page can take text from it. Where a host gives too few
+pages to compare, or a page has nothing in common with the frame, the page's own articles (or mains, or its body) are
+taken.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by
-element, role or class and are left out of the trees. Outside an article or main element, template text in the content
-is left out too; inside one everything is kept, however often it repeats.
+element, role or class and are left out of the trees. Inside an article or main element everything is kept, however
+often it repeats; template is sought outside of them.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line end in page
 order. Nothing is cut. Null pages and pages without text give an empty text. Rows without a URL form a host of their
@@ -149,8 +150,8 @@ def parse(page: str) -> Node:
         articles += tag in KEEPERS
 
 
-def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks below node, in page order."""
+def blocks(node: Node, silent: set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks below node, in page order, without the text that stands directly in silent ones."""
     out: list[str] = []
     run: list[str] = []
 
@@ -167,10 +168,10 @@ def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
             flush()
         elif isinstance(item, str):
             run.append(item)
-        elif id(item) not in skip:
+        else:
             flush()
             work.append(None)
-            work.extend(reversed(item.parts))
+            work.extend(reversed(item.children if id(item) in silent else item.parts))
     flush()
     return out
 
@@ -268,53 +269,36 @@ def own_content(root: Node) -> list[Node]:
     return found or [root]
 
 
-def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_share: float = 0.6, content_share: float = 0.9) -> list[str]:
+def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_share: float = 0.6) -> list[str]:
     """The main text of each page of one host."""
-    roots = [parse(p) if p else None for p in pages]
-    trees = [slots(r) if r else None for r in roots]
-    distinct = {p: i for i, p in reversed(list(enumerate(pages))) if p}  # copies of a page say nothing about the template
-    numbers = sorted(distinct.values())
-    chosen: list[Node | None] = [None] * len(pages)
-    skipped: list[set[int]] = [set() for _ in pages]
-    if len(numbers) >= least_pages:
-        frame = trees[max(numbers, key=lambda i: (trees[i].size, -i))]
-        aligned = [dict((id(f), own) for f, own in match(frame, t)[1]) if t else {} for t in trees]
-        texts = {id(s): Counter(aligned[i][id(s)].text for i in numbers if id(s) in aligned[i]) for s in below(frame)}
-
-        def template(s: Slot) -> bool:
-            seen = texts[id(s)]
-            return seen.total() >= least_pages and seen.most_common(1)[0][1] >= constant_share * seen.total()
-
-        own_varying = {id(s): 0 if template(s) else sum(len(t) * n for t, n in texts[id(s)].items()) for s in below(frame)}
-        varying: dict[int, int] = {}
-        for s in reversed(list(below(frame))):
-            varying[id(s)] = own_varying[id(s)] + sum(varying[id(c)] for c in s.children)
-        content = frame
-        while content.children:
-            child = max(content.children, key=lambda c: varying[id(c)])
-            if child.tag in KEEPERS or not child.children or not varying[id(child)] or varying[id(child)] < content_share * varying[id(content)]:
-                break
-            content = child
-        drop = set()
-        work = [content]
-        while work:
-            s = work.pop()
-            if s.tag in KEEPERS:
-                continue
-            if s.text and template(s) and not s.children:
-                drop.add(id(s))
-            work.extend(s.children)
-        for i, pairs in enumerate(aligned):
-            if id(content) in pairs:
-                chosen[i] = pairs[id(content)].nodes[0]
-                skipped[i] = {id(n) for s in drop if s in pairs for n in pairs[s].nodes}
-    out = []
-    for root, node, skip in zip(roots, chosen, skipped, strict=True):
-        if not root:
-            out.append("")
+    numbers: dict[str, int] = {}
+    for p in pages:  # copies of a page say nothing about the template
+        if p:
+            numbers.setdefault(p, len(numbers))
+    roots = [parse(p) for p in numbers]
+    if len(roots) < least_pages:
+        texts = ["\n".join(x for n in own_content(r) for x in blocks(n)) for r in roots]
+        return [texts[numbers[p]] if p else "" for p in pages]
+    trees = [slots(r) for r in roots]
+    frame = max(trees, key=lambda t: t.size)  # of equal ones the first
+    aligned = [{id(f): own for f, own in match(frame, t)[1]} for t in trees]
+    constant: dict[int, str] = {}  # texts that stand in the same place on most pages, outside articles
+    work = [frame]
+    while work:
+        s = work.pop()
+        if s.tag in KEEPERS:
             continue
-        out.append("\n".join(x for n in ([node] if node else own_content(root)) for x in blocks(n, skip)))
-    return out
+        work.extend(s.children)
+        seen = Counter(pairs[id(s)].text for pairs in aligned if id(s) in pairs)
+        text, n = (seen.most_common(1) or [("", 0)])[0]
+        if text and seen.total() >= least_pages and n >= constant_share * seen.total():
+            constant[id(s)] = text
+    texts = []
+    for root, tree, pairs in zip(roots, trees, aligned, strict=True):
+        matched = len(pairs) > 1 or not frame.children or not tree.children
+        silent = {id(n) for f, text in constant.items() if f in pairs and pairs[f].text == text for n in pairs[f].nodes}
+        texts.append("\n".join(x for n in ([root] if matched else own_content(root)) for x in blocks(n, silent)))
+    return [texts[numbers[p]] if p else "" for p in pages]
 
 
 def host_groups(batches, group_pages: int):

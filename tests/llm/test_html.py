@@ -79,3 +79,21 @@ def test_all_articles_of_a_page_stay():
 def test_the_wrapper_decides_on_pages_that_match_it():
     page = "<body><div><p>Lead of %s, before the box, and rather long as it is the story.</p><h2>%s</h2></div><article><p>Box %s, with some words of its own.</p></article></body>"
     assert X.extract_group([page % ((f"n{i}",) * 3) for i in range(6)])[2] == "Lead of n2, before the box, and rather long as it is the story.\nn2\nBox n2, with some words of its own."
+
+
+def test_only_constant_text_is_dropped():
+    page = "<body><h1>%s</h1><div><p>%s</p><ul><li>x</li></ul></div><section><p>Note on %s.</p><ul><li>y</li></ul></section><div><p>All rights reserved</p></div></body>"
+    out = X.extract_group([page % (i, f"Story {i}. " * 40, i) for i in range(6)])
+    assert out[2] == "2\n" + ("Story 2. " * 40).strip() + "\nNote on 2."  # x, y and the last line are the same on all pages
+
+
+def test_one_long_page_takes_nothing_from_others():
+    page = "<body><div><p>%s</p><ul><li>x</li></ul></div><section><p>%s</p><ul><li>y</li></ul></section></body>"
+    pages = [page % ("", f"Story {i}.") for i in range(6)] + [page % ("long " * 5000, "")]
+    out = X.extract_group(pages)
+    assert out[:6] == [f"Story {i}." for i in range(6)] and out[6].count("long") == 5000
+
+
+def test_a_page_keeps_its_own_text_in_a_place_of_the_template():
+    page = "<body><div>%s<p>Story %s.</p></div></body>"
+    assert X.extract_group([page % ("Read this:" if i else "Retracted!", i) for i in range(6)])[:2] == ["Retracted!\nStory 0.", "Story 1."]
