@@ -1,7 +1,9 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
-Pages are dealt by ranges of host and a hash, so that a host's pages lie side by side and a host with a third of all pages
-is spread over many tasks, and are taken in groups of about `group_pages` of one host. In a group each page becomes a tree of its block elements (text-level markup is dropped and
+Pages are taken in groups of one host. A host under 2 * `group_pages` pages is one group; the pages of a larger one are
+dealt by a hash of the row into 2^k groups of `group_pages` to twice as many on average, none under `least_pages`. Groups
+follow from the host's pages alone, not from partitions, and are shuffled whole, so that a host with a third of all
+pages is spread over many tasks. In a group each page becomes a tree of its block elements (text-level markup is dropped and
 runs of like siblings are one repeated slot), and the tree with most blocks is the wrapper's frame. Every other page
 is aligned with it by simple tree matching. A text that stands in the same frame node on most pages that have the node
 is template; all other text is content. A page's text is what stands on it without the template: only blocks that
@@ -301,46 +303,55 @@ def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_sha
     return [texts[numbers[p]] if p else "" for p in pages]
 
 
-def host_groups(batches, group_pages: int):
-    """Lists of (page_id, url, html) of one host, of about group_pages each, from batches sorted by host."""
-    host, held = None, []
+def cells(rows: DataFrame, group_pages: int, least_pages: int) -> DataFrame:
+    """(large, levels) of the hosts whose pages are dealt into 2^levels groups, by the low bits of place.
 
-    def rest():
-        if len(held) > 1.5 * group_pages:
-            yield held[: len(held) // 2]
-            yield held[len(held) // 2 :]
-        elif held:
-            yield held
+    Groups have group_pages to 2 * group_pages pages on average, and none has under least_pages: levels is the largest
+    number at which this holds. A host that isn't listed is one group.
+    """
+    pages = rows.select("host", "place").distinct()  # repeated rows lie in one group and count once
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * group_pages)
+    sizes = sizes.select(F.col("host").alias("large"), F.floor(F.log2(F.col("n") / group_pages)).cast("int").alias("most"))
+    found = pages.join(sizes, F.col("host") == F.col("large")).groupBy("large", "most", F.expr("place & (shiftleft(1L, most) - 1)").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    found = found.withColumn("levels", F.explode(F.sequence(F.lit(1), F.col("most"))))
+    found = found.groupBy("large", "levels", F.expr("cell & (shiftleft(1L, levels) - 1)").alias("cell")).agg(F.sum("n").alias("n"))
+    found = found.groupBy("large", "levels").agg(F.count(F.lit(1)).alias("cells"), F.min("n").alias("n"))
+    return found.filter((F.col("n") >= least_pages) & (F.col("cells") == F.expr("shiftleft(1L, levels)"))).groupBy("large").agg(F.max("levels").alias("levels"))
 
+
+def whole_groups(batches):
+    """Lists of (page_id, url, html) of one host and cell, from batches sorted by host and cell."""
+    key, held, sources = None, [], {}
     for batch in batches:
-        for own, *row in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html")), strict=True):
-            if own != host:
-                yield from rest()
-                host, held = own, []
-            held.append(row)
-            if len(held) >= 2 * group_pages:
-                yield held[:group_pages]
-                held = held[group_pages:]
-    yield from rest()
-
-
-def extract(pages: DataFrame, *, group_pages: int = 48, partition_pages: int = 2000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+        for host, cell, page_id, url, source in zip(*(batch.column(c).to_pylist() for c in ("host", "cell", "page_id", "url", "html")), strict=True):
+            if (host, cell) != key:
+                if held:
+                    yield held
+                key, held, sources = (host, cell), [], {}
+            held.append((page_id, url, sources.setdefault(source, source)))  # copies are held once
+    if held:
+        yield held
+
+
+def extract(pages: DataFrame, *, group_pages: int = 48, least_pages: int = 3, partition_pages: int = 2000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     common.ship(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    rows = rows.withColumn("place", F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("place", F.xxhash64("page_id", "url", "html"))
 
     def run(batches):
-        for group in host_groups(batches, group_pages):
+        for group in whole_groups(batches):
             ids, urls, sources = zip(*group, strict=True)
-            texts = extract_group(list(sources))
+            texts = extract_group(list(sources), least_pages=least_pages)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # one shuffle: ranges of host and hash keep a host's pages side by side and cut a large host into many partitions
-    dealt = rows.repartitionByRange(common.split_count(rows, partition_pages), "host", "place").sortWithinPartitions("host", "place", "page_id", "url")
-    return dealt.select("host", "page_id", "url", "html").mapInArrow(run, RESULT)
+    # one row for 2 * group_pages pages at most is broadcast, so that the pages are shuffled once
+    large = common.stored(cells(rows, group_pages, least_pages))
+    dealt = rows.join(F.broadcast(large), F.col("host") == F.col("large"), "left").withColumn("cell", F.expr("place & (shiftleft(1L, coalesce(levels, 0)) - 1)"))
+    dealt = dealt.repartition(common.split_count(rows, partition_pages), "host", "cell").sortWithinPartitions("host", "cell", "place", "page_id", "url")
+    return dealt.select("host", "cell", "page_id", "url", "html").mapInArrow(run, RESULT)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """HTML extraction: parsing, alignment and wrappers."""
 
 import html
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from corpusloom.llm import html_extraction as X
 
@@ -97,3 +100,21 @@ def test_one_long_page_takes_nothing_from_others():
 def test_a_page_keeps_its_own_text_in_a_place_of_the_template():
     page = "<body><div>%s<p>Story %s.</p></div></body>"
     assert X.extract_group([page % ("Read this:" if i else "Retracted!", i) for i in range(6)])[:2] == ["Retracted!\nStory 0.", "Story 1."]
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    page = "<body><div><p>Welcome to our site</p></div><h2>%s</h2></body>"
+    rows = [(i, f"https://h{i // 4}.example/{i}", page % f"n{i}") for i in range(400)] + [(i, f"https://big.example/{i}", page % f"n{i}") for i in range(1000, 1100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for partition_pages in (7, 2000):  # hosts of four pages, and groups of about five
+        out = X.extract(df, group_pages=5, partition_pages=partition_pages).collect()
+        assert sorted((r["page_id"], r["text"]) for r in out) == [(i, f"n{i}") for i, _, _ in rows]
+
+
+def test_no_group_is_too_small(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2900, "a").otherwise("b").alias("host"), F.xxhash64("id").alias("place"))
+    for least in (1, 3):
+        levels = {r["large"]: r["levels"] for r in X.cells(rows, 6, least).collect()}
+        held = Counter((r["host"], r["place"] & ((1 << levels.get(r["host"], 0)) - 1)) for r in rows.collect())
+        assert min(held.values()) >= least and len(held) > 100
+    assert X.cells(rows.limit(11), 6, 3).count() == 0
