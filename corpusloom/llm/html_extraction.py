@@ -5,11 +5,11 @@ dealt by a hash of the row into 2^k groups of `group_pages` to twice as many on
 follow from the host's pages alone, not from partitions, and are shuffled whole, so that a host with a third of all
 pages is spread over many tasks. In a group each page becomes a tree of its block elements (text-level markup is dropped and
 runs of like siblings are one repeated slot), and the tree with most blocks is the wrapper's frame. Every other page
-is aligned with it by simple tree matching. A text that stands in the same frame node on most pages that have the node
+is aligned with it by simple tree matching, exact at every size and depth. A text that stands in the same frame node on most pages that have the node
 is template; all other text is content. A page's text is what stands on it without the template: only blocks that
 hold a template text, in its place, are dropped, so no other page can take text from it. Where a host gives too few
-pages to compare, or a page has nothing in common with the frame, the page's own articles (or mains, or its body) are
-taken.
+pages to compare, or a page has nothing in common with the frame or nothing but template, the page's own articles (or
+mains, or its body) are taken.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by
 element, role or class and are left out of the trees. Inside an article or main element everything is kept, however
@@ -22,10 +22,13 @@ own. Repeated rows are pages of their own with the same text. An empty table has
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,11 +184,13 @@ def blocks(node: Node, silent: set[int] = frozenset()) -> list[str]:
 class Slot:
     """A node of an alignment tree: a block, or a run of like blocks without children."""
 
-    __slots__ = ("children", "nodes", "size", "tag", "text")
+    __slots__ = ("children", "nodes", "shape", "size", "tag", "text")
 
     def __init__(self, nodes: list[Node], children: list[Slot]):
         self.tag, self.nodes, self.children = nodes[0].tag, nodes, children
         self.size = 1 + sum(c.size for c in children)
+        #: the tags of the tree, as a digest; a tag has no space
+        self.shape = hashlib.md5(b" ".join((self.tag.encode("utf-8", "surrogatepass"), *(c.shape for c in children))), usedforsecurity=False).digest()
         self.text = " ".join(" ".join("".join(p for p in n.parts if isinstance(p, str)).split()) for n in nodes).strip()
 
 
@@ -214,49 +219,109 @@ def slots(node: Node) -> Slot:
     return done[id(node)]
 
 
-def match(a: Slot, b: Slot, depth: int = 0) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: the largest order-preserving match of two trees, and its pairs."""
+def ends(rows: list[Slot], columns: list[Slot]) -> tuple[int, int]:
+    """Lengths of the common start and the common end of two lists: some largest match pairs them one to one."""
+    short = min(len(rows), len(columns))
+    start = next((k for k in range(short) if rows[k].shape != columns[k].shape), short)
+    return start, next((k for k in range(short - start) if rows[-1 - k].shape != columns[-1 - k].shape), short - start)
+
+
+def easy(a: Slot, b: Slot) -> int | None:
+    """The score of two trees where it takes no search."""
     if a.tag != b.tag:
-        return 0, []
-    pairs = [(a, b)]
-    rows, columns = a.children, b.children
-    if not rows or not columns or depth > 60:
-        return 1, pairs
-    if len(rows) * len(columns) > 10_000:  # very long, unlike lists: matched side by side, tag by tag
-        j = 0
-        total = 1
-        for x in rows:
-            for k in range(j, min(len(columns), j + 8)):
-                if columns[k].tag == x.tag:
-                    n, found = match(x, columns[k], depth + 1)
-                    total += n
-                    pairs += found
-                    j = k + 1
-                    break
-        return total, pairs
-    inner = [[match(x, y, depth + 1) if x.tag == y.tag else (0, []) for y in columns] for x in rows]
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    for i in range(1, len(rows) + 1):
-        for j in range(1, len(columns) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + inner[i - 1][j - 1][0])
-    i, j = len(rows), len(columns)
-    while i and j:
-        if inner[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + inner[i - 1][j - 1][0]:
-            pairs += inner[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], pairs
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    return None if a.children and b.children else 1
+
+
+class Table:
+    """Best scores of matching the first i rows with the first j columns; every so many lines are held, others made again."""
+
+    def __init__(self, rows: list[Slot], columns: list[Slot], known: dict):
+        self.columns, self.rows, self.known = columns, rows, known
+        kinds = {c.shape: c for c in columns}
+        self.kinds, number = list(kinds.values()), {k: i for i, k in enumerate(kinds)}
+        self.kind = np.array([number[c.shape] for c in columns])
+        self.step = math.isqrt(len(rows)) + 1
+        self.held = [np.zeros(len(columns) + 1, np.int64)]
+        line, self.weights = self.held[0], {}
+        for i in range(len(rows)):
+            line = self.after(line, i)
+            if (i + 1) % self.step == 0:
+                self.held.append(line)
+        self.score = int(line[-1])
+
+    def weight(self, i: int) -> np.ndarray:
+        """Scores of row i with every column."""
+        x = self.rows[i]
+        if x.shape not in self.weights:
+            values = ((easy(x, y), y) for y in self.kinds)
+            self.weights[x.shape] = np.array([self.known[x.shape, y.shape] if v is None else v for v, y in values], np.int64)
+        return self.weights[x.shape][self.kind]
+
+    def after(self, line: np.ndarray, i: int) -> np.ndarray:
+        out = line.copy()
+        np.maximum(out[1:], line[:-1] + self.weight(i), out=out[1:])
+        return np.maximum.accumulate(out)
+
+    def pairs(self) -> list[tuple[Slot, Slot]]:
+        out, j = [], len(self.columns)
+        for k in range(len(self.held) - 1, -1, -1):
+            low, lines = k * self.step, [self.held[k]]
+            for i in range(low, min(low + self.step, len(self.rows))):
+                lines.append(self.after(lines[-1], i))
+            i = len(lines) - 1
+            while i and j:
+                w = int(self.weight(low + i - 1)[j - 1])
+                if w and lines[i][j] == lines[i - 1][j - 1] + w:
+                    i, j = i - 1, j - 1
+                    out.append((self.rows[low + i], self.columns[j]))
+                elif lines[i][j] == lines[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return out
+
 
+def match(a: Slot, b: Slot, known: dict | None = None) -> tuple[int, list[tuple[Slot, Slot]]]:
+    """Simple tree matching: the largest order-preserving match of two trees, and its pairs, at every size and depth.
 
-def below(slot: Slot):
-    work = [slot]
+    known holds scores by shape, as equal shapes score alike; it can be used again for other trees.
+    """
+    if a.tag != b.tag:
+        return 0, []
+    known = {} if known is None else known
+    if len(known) > 1_000_000:
+        known.clear()
+    work = [(a, b)]
+    while work:  # scores, those of children first
+        x, y = work[-1]
+        if easy(x, y) is not None or (x.shape, y.shape) in known:
+            work.pop()
+            continue
+        start, end = ends(x.children, y.children)
+        rows, columns = x.children[start : len(x.children) - end], y.children[start : len(y.children) - end]
+        own, other = {r.shape: r for r in rows if r.children}, {c.shape: c for c in columns if c.children}
+        missing = [(r, c) for r in own.values() for c in other.values() if easy(r, c) is None and (r.shape, c.shape) not in known]
+        if missing:
+            work += missing
+            continue
+        score = 1 + sum(r.size for r in x.children[:start]) + sum(r.size for r in x.children[len(x.children) - end :])
+        known[x.shape, y.shape] = score + (Table(rows, columns, known).score if rows and columns else 0)
+        work.pop()
+    score = easy(a, b)
+    pairs, work = [], [(a, b)]
     while work:
-        s = work.pop()
-        yield s
-        work.extend(s.children)
+        x, y = work.pop()
+        pairs.append((x, y))
+        start, end = ends(x.children, y.children)
+        rows, columns = x.children[start : len(x.children) - end], y.children[start : len(y.children) - end]
+        work += zip(x.children[:start], y.children[:start])
+        work += zip(x.children[len(x.children) - end :], y.children[len(y.children) - end :])
+        if rows and columns:
+            work += Table(rows, columns, known).pairs()
+    return known[a.shape, b.shape] if score is None else score, pairs
 
 
 def own_content(root: Node) -> list[Node]:
@@ -283,7 +348,8 @@ def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_sha
         return [texts[numbers[p]] if p else "" for p in pages]
     trees = [slots(r) for r in roots]
     frame = max(trees, key=lambda t: t.size)  # of equal ones the first
-    aligned = [{id(f): own for f, own in match(frame, t)[1]} for t in trees]
+    known: dict = {}
+    aligned = [{id(f): own for f, own in match(frame, t, known)[1]} for t in trees]
     constant: dict[int, str] = {}  # texts that stand in the same place on most pages, outside articles
     work = [frame]
     while work:
@@ -299,7 +365,8 @@ def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_sha
     for root, tree, pairs in zip(roots, trees, aligned, strict=True):
         matched = len(pairs) > 1 or not frame.children or not tree.children
         silent = {id(n) for f, text in constant.items() if f in pairs and pairs[f].text == text for n in pairs[f].nodes}
-        texts.append("\n".join(x for n in ([root] if matched else own_content(root)) for x in blocks(n, silent)))
+        left = blocks(root, silent) if matched else []
+        texts.append("\n".join(left or (x for n in own_content(root) for x in blocks(n))))
     return [texts[numbers[p]] if p else "" for p in pages]
 
 

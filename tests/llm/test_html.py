@@ -1,6 +1,7 @@
 """HTML extraction: parsing, alignment and wrappers."""
 
 import html
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -118,3 +119,37 @@ def test_no_group_is_too_small(spark):
         held = Counter((r["host"], r["place"] & ((1 << levels.get(r["host"], 0)) - 1)) for r in rows.collect())
         assert min(held.values()) >= least and len(held) > 100
     assert X.cells(rows.limit(11), 6, 3).count() == 0
+
+
+def plain_score(a, b):
+    """The largest match by the definition."""
+    if a.tag != b.tag:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_score(x, y))
+    return 1 + best[-1][-1]
+
+
+def sound(pairs):
+    """Pairs are one to one, join like tags, and their parents are pairs."""
+    above = {(id(c), id(d)) for x, y in pairs for c in x.children for d in y.children}
+    return len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs) and all(x.tag == y.tag for x, y in pairs) and sum((id(x), id(y)) in above for x, y in pairs) == len(pairs) - 1
+
+
+def test_matches_equal_the_definition_on_random_trees():
+    draw = random.Random(3)
+    grow = lambda d: "".join(f"<{t}>{grow(d - 1) if d and draw.random() < 0.7 else ''}</{t}>" for t in draw.choices(["div", "ul", "section"], k=draw.randint(1, 6)))
+    for _ in range(20):
+        a, b = (X.slots(X.parse(grow(3))) for _ in range(2))
+        n, pairs = X.match(a, b)
+        assert n == len(pairs) == plain_score(a, b) and sound(pairs)
+
+
+def test_long_and_deep_pages_are_matched_whole():
+    body = lambda i, tags: "".join(f"<{t}>text {i} {k}</{t}>" for k, t in enumerate(tags))
+    pages = [f"<body>{body(i, ['h3'] * (i % 2) + ['h4', 'dl'] * (60 + 5 * i) + ['pre', 'h2'] * 20)}<section>Same end</section><h5>e{i}</h5></body>" for i in range(6)]
+    assert all(out.endswith(f"\ne{i}") and "Same end" not in out for i, out in enumerate(X.extract_group(pages)))
+    deep = ["<div>" * 300 + f"<p>Same words</p><h2>n{i}</h2>" + "<ul><li>z</li></ul>" * (i % 2) + "</div>" * 300 for i in range(6)]
+    assert X.extract_group(deep)[:2] == ["n0", "n1"]
