@@ -7,7 +7,7 @@ links), its number of links, and whether it is the document that stays.
 1. Texts with the same words are one node, represented by the smallest id, with a number of copies.
 2. A node has MinHash values. Bands of four values make buckets: a pair at the threshold shares one of 40 buckets but
    for a chance of 1 in 10^9, closer pairs more surely still.
-3. In a bucket pairs are compared 16, 32, 64, then all 160 values at a time. Under a uniform prior the similarity has a
+3. In a bucket pairs are compared 16, 32, 64, then all 160 values at a time, by a byte mixed from each value. Under a uniform prior the similarity has a
    beta posterior; a pair whose posterior probability of reaching the threshold is under `tolerance` is dropped. What
    remains connects nodes to candidate groups; from each task only a spanning forest is sent on.
 4. In a candidate group all pairs are pruned in the same way and the remaining ones verified exactly on their
@@ -73,6 +73,11 @@ def min_hashes(shingles: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.nd
     return low
 
 
+def short_values(values: np.ndarray) -> np.ndarray:
+    """A byte of each MinHash value. A minimum over many shingles is a small number, so its bits are mixed first."""
+    return ((values * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
@@ -100,7 +105,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 bands = (bands ^ (bands >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
             ends = pa.array(np.arange(0, batch.num_rows * BANDS + 1, BANDS, dtype=np.int32))
             listed = pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))
-            short = (values >> np.uint32(24)).astype(np.uint8)
+            short = short_values(values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in short], pa.binary()), listed], ["doc_id", "key", "signature", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, key binary, signature binary, bands array<long>")
@@ -109,14 +114,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     """For n compared values the fewest matches at which P(similarity >= threshold) is still `tolerance` or more.
 
-    With a uniform prior the posterior after m of n matches is Beta(m + 1, n - m + 1), whose tail is a binomial sum.
+    Bytes of unlike values are equal by chance once in 256, so at similarity s a match has probability s + (1 - s) / 256.
+    With a uniform prior of s the posterior of that probability after m of n matches is Beta(m + 1, n - m + 1) above
+    1 / 256, and both tails are binomial sums.
     """
+    chance = 1 / 256
+    reached = threshold + (1 - threshold) * chance
     out = {}
     for n in STEPS:
-        tail = 0.0
+        tail = possible = 0.0
         for m in range(n + 2):
-            tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-            if tail >= tolerance:
+            tail += math.comb(n + 1, m) * reached**m * (1 - reached) ** (n + 1 - m)
+            possible += math.comb(n + 1, m) * chance**m * (1 - chance) ** (n + 1 - m)
+            if tail >= tolerance * possible:
                 out[n] = m
                 break
     return out

@@ -86,6 +86,15 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert all(least[n] > 0.1 * n for n in jaccard_join.STEPS)
 
 
+@pytest.mark.parametrize("n", [100, 500, 1000, 3000])
+def test_pruning_drops_long_texts_without_a_common_shingle(n):
+    draw, by = np.random.default_rng(n), jaccard_join.permutations()
+    sets = [draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(k % 2) for k in range(8)]
+    signature = jaccard_join.short_values(np.stack([jaccard_join.min_hashes(x, by) for x in sets]))
+    a, b = np.triu_indices(8, 1)
+    assert len(jaccard_join.prune(signature, a, b, jaccard_join.least_matches(0.8, 1e-8))[0]) == 0
+
+
 def test_common_counts_both_ways():
     draw = random.Random(1)
     rows = [np.unique(np.array([draw.randrange(60) for _ in range(40)], np.uint64)) for _ in range(30)]
