@@ -178,13 +178,25 @@ def in_blocks(rows: DataFrame, group: str, size: Column, node: str) -> DataFrame
 KEYS = ["i", "j"]
 
 
-def candidates(nodes: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the pairs that pruning leaves."""
+def buckets(nodes: DataFrame, block: int) -> DataFrame:
+    """(band, node, n) of the buckets of n > 1 nodes; no task sees more than `block` nodes of one bucket together.
+
+    Buckets are counted with partial sums first. Those over `block`, one for `block` rows at most, are broadcast and their
+    rows stay where they are; the others are small enough for a window.
+    """
     from pyspark.sql import Window
 
-    least = least_matches(threshold, tolerance)
     rows = nodes.select(F.explode("bands").alias("band"), "node")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
+    large = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    large = F.broadcast(common.stored(large))
+    small = rows.join(large, "band", "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
+    return small.select("band", "node", "n").union(rows.join(large, "band").select("band", "node", "n"))
+
+
+def candidates(nodes: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the pairs that pruning leaves."""
+    least = least_matches(threshold, tolerance)
+    rows = buckets(nodes, block)
     rows = in_blocks(rows, "band", F.col("n") / block, "node").join(nodes.select("node", "signature"), "node")
 
     def run(batches):
@@ -290,9 +302,12 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tol
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
     per_node = nodes.join(links, "node", "left")
     per_node = per_node.select(F.col("key").alias("_key"), "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    rows = signed.select("doc_id").join(texts_of, "doc_id", "left").join(per_node, F.col("key") == F.col("_key"), "left")
+    rows = signed.filter("doc_id is not null").select("doc_id").join(texts_of, "doc_id", "left")
+    # rows without a key are dealt by id: 20 bytes equal no digest
+    rows = rows.withColumn("key", F.coalesce("key", F.encode(F.lpad(F.col("doc_id").cast("string"), 20, " "), "utf-8"))).join(per_node, F.col("key") == F.col("_key"), "left")
     class_id = F.coalesce("class", "doc_id")
-    return rows.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    alone = signed.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return alone.union(rows.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), (F.col("doc_id") == class_id).alias("kept")))
 
 
 #: The same rows in SQL: all shared shingles counted, links closed by recursion.
@@ -323,6 +338,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     from pyspark.sql import Window
 
-    stay = common.keep_only(docs, jaccard_join(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)), id_col)
+    named = docs.filter(F.col(id_col).isNotNull())
+    stay = common.keep_only(named, jaccard_join(named, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)), id_col)
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    return stay.withColumn("_first", first).filter((F.col("_first") == 1) | F.col(id_col).isNull()).drop("_first")
+    return stay.withColumn("_first", first).filter("_first = 1").drop("_first").union(docs.filter(F.col(id_col).isNull()))

@@ -95,6 +95,16 @@ def test_pruning_drops_long_texts_without_a_common_shingle(n):
     assert len(jaccard_join.prune(signature, a, b, jaccard_join.least_matches(0.8, 1e-8))[0]) == 0
 
 
+def test_large_buckets_meet_in_no_window(spark):
+    rows = [(i, [7, 100 + i // 2, 1000 + i]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>")
+    found = jaccard_join.buckets(nodes, 8)
+    got = sorted((r["band"], r["node"], r["n"]) for r in found.collect())
+    assert got == sorted([(7, i, 40) for i in range(40)] + [(100 + i // 2, i, 2) for i in range(40)])
+    windowed = found._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert "LeftAnti" in windowed  # large buckets are taken out before the window
+
+
 def test_common_counts_both_ways():
     draw = random.Random(1)
     rows = [np.unique(np.array([draw.randrange(60) for _ in range(40)], np.uint64)) for _ in range(30)]
