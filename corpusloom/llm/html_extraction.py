@@ -3,17 +3,20 @@
 Pages are taken in groups of one host. A host under 2 * `group_pages` pages is one group; the pages of a larger one are
 dealt by a hash of the row into 2^k groups of `group_pages` to twice as many on average, none under `least_pages`. Groups
 follow from the host's pages alone, not from partitions, and are shuffled whole, so that a host with a third of all
-pages is spread over many tasks. In a group each page becomes a tree of its block elements (text-level markup is dropped and
-runs of like siblings are one repeated slot), and the tree with most blocks is the wrapper's frame. Every other page
-is aligned with it by simple tree matching, exact at every size and depth. A text that stands in the same frame node on most pages that have the node
-is template; all other text is content. A page's text is what stands on it without the template: only blocks that
-hold a template text, in its place, are dropped, so no other page can take text from it. Where a host gives too few
-pages to compare, or a page has nothing in common with the frame or nothing but template, the page's own articles (or
-mains, or its body) are taken.
-
-Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by
-element, role or class and are left out of the trees. Inside an article or main element everything is kept, however
-often it repeats; template is sought outside of them.
+pages is spread over many tasks. In a group each page becomes a tree of all its block elements: menus, footers,
+adverts and forms stand in it like any other block; only what is never text (scripts, styles, form controls, the
+head) is left out, and runs of like siblings are one repeated slot. The tree with most blocks is the wrapper's frame, and
+every other page is aligned with it by simple tree matching, exact at every size and depth.
+
+The aligned slots decide. A text that stands in the same slot on most pages, or a slot that shows few longer texts in
+turn, is template; a slot whose text varies is content. Pages that share four fifths of their text (300 characters at least) count once, as copies of an
+article say nothing about the template; a template text known from two pages only goes only where it is the lesser part of
+the page. In an article or main element the texts of a slot are template only if at least nine of ten pages share them and they are the lesser part.
+
+Element, role and class names (nav, footer, form, "sidebar", "comments") only settle slots that vary, such as a
+rotating advert or reader comments: a subtree so marked goes, but not one that holds an article or main element, nor
+one without which hardly any varying text would be left on the page. Where a page has nothing in common with the frame, is alone on its host or
+is all template, its own articles (or mains, or its body) are taken by the same marks.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line end in page
 order. Nothing is cut. Null pages and pages without text give an empty text. Rows without a URL form a host of their
@@ -41,12 +44,17 @@ RESULT = "page_id long, url string, text string, n_chars long"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title xmp iframe svg".split())
 TEXT_LEVEL = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-NOISE = set("nav footer aside form button select option menu dialog object canvas audio video head".split()) | RAW
+#: Never text.
+DROPPED = set("button select option object canvas audio video head".split()) | RAW
+NOISE = set("nav footer aside form menu dialog".split())
 NOISE_WORDS = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu modal nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert form".split())
+COMMENT_WORDS = set("comment comments disqus".split())
 KEEPERS = {"article", "main"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+HEAD_CONTENT = set("head title meta link base script style noscript template".split())
 #: Elements that a starting tag ends, up to a boundary.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -61,43 +69,45 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"(
 
 
 class Node:
-    __slots__ = ("children", "parts", "tag", "kept")
+    __slots__ = ("children", "mark", "parts", "tag")
 
-    def __init__(self, tag: str):
-        self.tag, self.parts, self.children, self.kept = tag, [], [], False
+    def __init__(self, tag: str, mark: int = 0):
+        self.tag, self.parts, self.children, self.mark = tag, [], [], mark
 
 
-def is_noise(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NOISE or (tag == "header" and not in_article):
-        return True
-    if attributes:
+def mark_of(tag: str, attributes: str, in_article: bool) -> int:
+    """What the names say of an element: 0 nothing, 1 noise, 2 reader comments."""
+    found = int(tag in NOISE or (tag == "header" and not in_article))
+    if attributes and tag not in KEEPERS and tag != "body":
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in NOISE_ROLES):
-                return True
-            if name in ("class", "id") and tag not in KEEPERS and tag != "body" and NOISE_WORDS.intersection(re.split(r"[^a-z0-9]+", value)):
-                return True
-    return False
+                found = max(found, 1)
+            if name in ("class", "id"):
+                words = set(re.split(r"[^a-z0-9]+", value))
+                found = max(found, 2 if words & COMMENT_WORDS else int(bool(words & NOISE_WORDS)))
+    return found
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; parts holds text and child blocks in page order."""
     root = Node("html")
     stack: list[tuple[str, Node | None]] = [("html", root)]
-    at, silent, articles = 0, 0, 0  # silent: open noise elements
+    at, silent, articles = 0, 0, 0  # silent: open elements that aren't read
 
     def leave(depth: int) -> None:
         nonlocal silent, articles
         while len(stack) > depth:
             tag, node = stack.pop()
-            silent -= node is None and tag not in TEXT_LEVEL
+            silent -= tag.endswith("!")
             articles -= tag in KEEPERS
 
     def near(wanted: set[str], boundary: set[str]) -> int:
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in wanted:
+            tag = stack[k][0].rstrip("!")
+            if tag in wanted:
                 return k
-            if stack[k][0] in boundary:
+            if tag in boundary:
                 return 0
         return 0
 
@@ -116,6 +126,8 @@ def parse(page: str) -> Node:
             if depth := near({tag}, {"td", "th"} if tag in TEXT_LEVEL else set()):
                 leave(depth)
             continue
+        if tag not in HEAD_CONTENT and (depth := near({"head"}, set())):  # a head that isn't closed ends with the first content
+            leave(depth)
         if tag in RAW:
             end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -129,7 +141,7 @@ def parse(page: str) -> Node:
                     node.parts.append(Node("hr"))
             continue
         if tag in TEXT_LEVEL:
-            if not silent and is_noise(tag, m[3], articles > 0):
+            if mark_of(tag, m[3], articles > 0):
                 silent += 1
                 stack.append((tag + "!", None))
             else:
@@ -140,14 +152,20 @@ def parse(page: str) -> Node:
                 leave(depth)
         elif depth := near({"p"}, {"td", "th", "table", "button", "object"}):
             leave(depth)
-        if tag in ("html", "body") and not silent:
-            continue
-        noisy = silent > 0 or is_noise(tag, m[3], articles > 0)
-        if noisy:
+        if tag in DROPPED:
             silent += 1
+            stack.append((tag + "!", None))
+            continue
+        if tag in ("html", "body"):
+            continue
+        for k, (name, node) in enumerate(stack):  # a text-level element around blocks is no remark in a line
+            if node is None and name.endswith("!") and name[:-1] in TEXT_LEVEL:
+                stack[k] = (name[:-1], None)
+                silent -= 1
+        if silent:
             stack.append((tag, None))
         else:
-            node = Node(tag)
+            node = Node(tag, mark_of(tag, m[3], articles > 0))
             parent = next(n for _, n in reversed(stack) if n is not None)
             parent.parts.append(node)
             parent.children.append(node)
@@ -324,49 +342,154 @@ def match(a: Slot, b: Slot, known: dict | None = None) -> tuple[int, list[tuple[
     return known[a.shape, b.shape] if score is None else score, pairs
 
 
-def own_content(root: Node) -> list[Node]:
+def own_text(node: Node) -> str:
+    """The text that stands directly in a node."""
+    return " ".join(html.unescape(" ".join(p for p in node.parts if isinstance(p, str))).split())
+
+
+def below(root: Node) -> list[Node]:
+    """All nodes, parents first, in page order."""
+    out, work = [], [root]
+    while work:
+        n = work.pop()
+        out.append(n)
+        work.extend(reversed(n.children))
+    return out
+
+
+def marked(root: Node, template: set[int]) -> set[int]:
+    """The nodes below marked subtrees that go: those without articles whose loss leaves varying text on the page."""
+    order = below(root)
+    text, plain, holds = {}, {}, {}  # characters of varying text, those under no mark, and whether there is an article
+    under = {id(root): False}
+    for n in order:
+        for c in n.children:
+            under[id(c)] = under[id(n)] or c.mark > 0
+    for n in reversed(order):
+        own = 0 if id(n) in template else len(own_text(n))
+        text[id(n)] = own + sum(text[id(c)] for c in n.children)
+        plain[id(n)] = (0 if under[id(n)] or n.tag in HEADINGS else own) + sum(plain[id(c)] for c in n.children)
+        holds[id(n)] = n.tag in KEEPERS and text[id(n)] > 0 or any(holds[id(c)] for c in n.children)
+    out, work = set(), [root]
+    whole, rest = text[id(root)], plain[id(root)]
+    while work:
+        n = work.pop()
+        for c in n.children:
+            least = 0 if c.mark == 2 else 0.1 * whole
+            if c.mark and not holds[id(c)] and (rest > least or text[id(c)] <= 0.5 * whole or holds[id(root)]):
+                out.update(map(id, below(c)))
+            else:
+                work.append(c)
+    return out
+
+
+def own_content(root: Node, silent: set[int]) -> list[Node]:
     """All article and main elements in page order, else the whole body."""
     work, found = [root], []
     while work:
         n = work.pop()
-        if n.tag in KEEPERS:
+        if n.tag in KEEPERS and id(n) not in silent:
             found.append(n)
         else:
             work.extend(reversed(n.children))
     return found or [root]
 
 
-def extract_group(pages: list[str | None], *, least_pages: int = 3, constant_share: float = 0.6) -> list[str]:
+def by_marks(root: Node) -> list[str]:
+    """The text of a page without a wrapper."""
+    gone = marked(root, set())
+    return [x for n in own_content(root, gone) for x in blocks(n, gone)]
+
+
+def families(texts: list[dict[str, int]], share: float = 0.8, least: int = 300) -> list[int]:
+    """A number for each page, equal for pages that have at least `share` of their characters in common: copies of an article.
+
+    A template is short beside an article, so that fewer than `least` common characters are no sign of a copy.
+    """
+    number: list[int] = []
+    for i, own in enumerate(texts):
+        size, same = sum(own.values()), i
+        for j in range(i):
+            if number[j] == j:
+                small, large = (own, texts[j]) if len(own) < len(texts[j]) else (texts[j], own)
+                both = sum(n for t, n in small.items() if t in large)
+                if both >= max(least, share * max(size, sum(texts[j].values()))):
+                    same = j
+                    break
+        number.append(same)
+    return number
+
+
+def inside(frame: Slot) -> set[int]:
+    """Slots at or below an article or main element."""
+    out, work = set(), [(frame, False)]
+    while work:
+        s, kept = work.pop()
+        kept = kept or s.tag in KEEPERS
+        if kept:
+            out.add(id(s))
+        work.extend((c, kept) for c in s.children)
+    return out
+
+
+def template_texts(frame: Slot, aligned: list[dict[int, Slot]], family: list[int], constant_share: float) -> dict[int, dict[str, bool]]:
+    """For each slot of the frame its template texts; True where two pages are all that tells so, or it is in an article."""
+    kept, out, work = inside(frame), {}, [frame]
+    while work:
+        s = work.pop()
+        work.extend(s.children)
+        seen: dict[str, set[int]] = {}
+        pages: set[int] = set()
+        for f, pairs in zip(family, aligned, strict=True):
+            if id(s) in pairs:
+                pages.add(f)
+                seen.setdefault(pairs[id(s)].text, set()).add(f)
+        seen.pop("", None)
+        if not seen:
+            continue
+        n = len(pages)
+        if id(s) in kept:
+            found = {t: True for t, own in seen.items() if n >= 5 and len(own) >= 0.9 * n}
+        else:
+            found = {t: len(own) == 2 for t, own in seen.items() if len(own) >= max(2, constant_share * n)}
+            shown = sum(map(len, seen.values()))
+            if shown >= 12 and len(seen) * 4 <= shown:  # a few texts in turn
+                found |= {t: False for t, own in seen.items() if len(own) > 1 and t.count(" ") >= 4}
+        if found:
+            out[id(s)] = found
+    return out
+
+
+def extract_group(pages: list[str | None], *, constant_share: float = 0.6) -> list[str]:
     """The main text of each page of one host."""
     numbers: dict[str, int] = {}
     for p in pages:  # copies of a page say nothing about the template
         if p:
             numbers.setdefault(p, len(numbers))
     roots = [parse(p) for p in numbers]
-    if len(roots) < least_pages:
-        texts = ["\n".join(x for n in own_content(r) for x in blocks(n)) for r in roots]
-        return [texts[numbers[p]] if p else "" for p in pages]
+    if len(roots) == 1:
+        texts = ["\n".join(by_marks(roots[0]))]
+        return [texts[0] if p else "" for p in pages]
     trees = [slots(r) for r in roots]
-    frame = max(trees, key=lambda t: t.size)  # of equal ones the first
+    frame = max(trees, key=lambda t: t.size, default=None)  # of equal ones the first
     known: dict = {}
     aligned = [{id(f): own for f, own in match(frame, t, known)[1]} for t in trees]
-    constant: dict[int, str] = {}  # texts that stand in the same place on most pages, outside articles
-    work = [frame]
-    while work:
-        s = work.pop()
-        if s.tag in KEEPERS:
-            continue
-        work.extend(s.children)
-        seen = Counter(pairs[id(s)].text for pairs in aligned if id(s) in pairs)
-        text, n = (seen.most_common(1) or [("", 0)])[0]
-        if text and seen.total() >= least_pages and n >= constant_share * seen.total():
-            constant[id(s)] = text
+    family = families([{t: len(t) for n in below(r) if id(n) not in gone and (t := own_text(n))} for r, gone in ((r, marked(r, set())) for r in roots)])
+    constant = template_texts(frame, aligned, family, constant_share) if len(set(family)) > 1 else {}
     texts = []
     for root, tree, pairs in zip(roots, trees, aligned, strict=True):
         matched = len(pairs) > 1 or not frame.children or not tree.children
-        silent = {id(n) for f, text in constant.items() if f in pairs and pairs[f].text == text for n in pairs[f].nodes}
-        left = blocks(root, silent) if matched else []
-        texts.append("\n".join(left or (x for n in own_content(root) for x in blocks(n))))
+        sure, weak = set(), set()
+        for f, found in constant.items():
+            if f in pairs and pairs[f].text in found:
+                (weak if found[pairs[f].text] else sure).update(map(id, pairs[f].nodes))
+        if weak:
+            size = {k: sum(len(own_text(n)) for n in below(root) if (id(n) in weak) == k) for k in (True, False)}
+            sure |= weak if size[True] < size[False] else set()
+        left = []
+        if matched:
+            left = blocks(root, sure | marked(root, sure))
+        texts.append("\n".join(left or by_marks(root)))
     return [texts[numbers[p]] if p else "" for p in pages]
 
 
@@ -411,7 +534,7 @@ def extract(pages: DataFrame, *, group_pages: int = 48, least_pages: int = 3, pa
     def run(batches):
         for group in whole_groups(batches):
             ids, urls, sources = zip(*group, strict=True)
-            texts = extract_group(list(sources), least_pages=least_pages)
+            texts = extract_group(list(sources))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # one row for 2 * group_pages pages at most is broadcast, so that the pages are shuffled once
