@@ -6,13 +6,19 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts can hold megabytes, so batches are short.
-BATCH_ROWS = 1000
+#: Rows and characters of a batch that a worker handles at once. Texts can hold megabytes, so both are bounded.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A table of one row a group is broadcast up to so many rows, counted first; beyond it is joined by shuffle.
+SMALL_ROWS = 20_000
 
 _shipped: set[str] = set()
 
@@ -79,8 +85,38 @@ def keep_only(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFram
     return docs.join(ids, same(docs[key], ids["_kept_key"]), "left_semi")
 
 
-def salted_join(rows: DataFrame, small: DataFrame, on: Column, salts: int, key: str) -> DataFrame:
+def salted_join(rows: DataFrame, small: DataFrame, on: Column, salts: int, key: str | Column, how: str = "left") -> DataFrame:
     """Join a table of one row a group to rows: rows are dealt by group and salt, and the small side is repeated for each salt."""
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt2", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return rows.join(small, on & (F.col("_salt") == F.col("_salt2")), "left").drop("_salt", "_salt2")
+    salt, salt2 = f"_salt_{uuid.uuid4().hex}", f"_salt_{uuid.uuid4().hex}"
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(key) if isinstance(key, str) else key, F.lit(salts)).cast("int"))
+    small = small.withColumn(salt2, F.explode(F.array(*(F.lit(i) for i in range(salts)))))
+    return rows.join(small, on & (F.col(salt) == F.col(salt2)), how).drop(salt, salt2)
+
+
+def small_join(rows: DataFrame, small: DataFrame, group: str, salts: int, key: str | Column, how: str = "inner", size: int | None = None) -> DataFrame:
+    """Join a table of few rows a group to rows by the column `group` of both: broadcast up to SMALL_ROWS rows, else dealt by
+    group and salt. `size` is a bound of its rows; without it small has to be a stored table and is counted."""
+    if (small.count() if size is None else size) <= SMALL_ROWS:
+        return rows.join(F.broadcast(small), group, how)
+    own = f"_group_{uuid.uuid4().hex}"
+    small = small.withColumnRenamed(group, own)
+    return salted_join(rows, small, rows[group] == F.col(own), salts, key, how).drop(own)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until no column of df begins like it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def bounded(batches: Iterable[pa.RecordBatch], column: str | int, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and, but for single rows, about `size` bytes of a text column."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(lengths), 0
+        while start < batch.num_rows:
+            before = ends[start] - lengths[start]
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -169,3 +169,67 @@ def test_held_out_rule_matches_spark(spark):
     ids = spark.range(50)
     rows = ids.select("id", (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(7)) == 2).alias("h")).collect()
     assert all(r["h"] == lm_scoring.is_held_out(r["id"]) for r in rows)
+
+
+def plain_mcd(x, ids, m0, t, d, coverage, strength, own):
+    """Minimum covariance determinant of one group by the definition, over the same starts."""
+    n, p = x.shape
+
+    def est(rows, m0=m0, t=t):
+        k = len(rows) + strength
+        mean = (rows.sum(0) + strength * m0) / k
+        s = (rows.T @ rows + strength * (np.diag(t) + np.outer(m0, m0))) / k - np.outer(mean, mean) + np.diag(d**2)
+        return mean, np.linalg.inv(s), np.linalg.slogdet(s)[1]
+
+    far = lambda e: np.einsum("ij,jk,ik->i", x - e[0], e[1], x - e[0])
+    draws = math.ceil(n / quality_rules.DRAW_ROWS)
+    chosen = [[zlib.crc32(f"{i}:{k}".encode()) % draws == 0 for i in ids] for k in range(2, quality_rules.STARTS)]
+    best = None
+    for e in [est(x[:0], *own), est(x[:0]), *(est(x[np.array(c)]) for c in chosen)]:
+        while True:
+            dist, last = far(e), e[2]
+            e = est(x[dist <= np.sort(dist)[math.ceil(coverage * n) - 1]])
+            if e[2] > last - 1e-3:
+                break
+        if best is None or e[2] < best[2]:
+            best = e
+    near = far(best) <= quality_rules.chi_square_quantile(p, 0.025) * quality_rules.consistency(coverage)
+    return far(est(x[near])) / quality_rules.consistency(0.975)
+
+
+def test_verdicts_equal_a_plain_minimum_covariance_determinant(spark):
+    draw = random.Random(12)
+    words = ["there", "river", "along", "simple", "Garden", "yellow", "stone", "a"]
+    rows = []
+    for i in range(330):
+        n = draw.randint(25, 300)
+        junk = "##$" if i % 11 == 0 else ""
+        text = " ".join(draw.choice(words) + str(draw.randint(0, 999)) + junk + ("\n" if draw.random() < 0.05 else "") for _ in range(n))
+        rows.append((i, text, "en" if i % 3 else "de", "s" if i < 300 else f"t{i % 7}"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    counts = np.array([quality_rules.text_counts(t) for _, t, _, _ in rows], float)
+    w, c, s, dup, rep, li, up = counts.T
+    share = lambda a, b: np.sqrt(a / np.maximum(b, 1))
+    x = np.stack([np.log1p(w), np.log1p(c / np.maximum(w, 1)), share(s, c), share(dup, li), share(rep, w), share(up, c)], 1)
+    ok = ~((w < 20) | (100 * rep > 30 * w))
+    at = lambda v, q: np.sort(v, 0)[max(0, math.ceil(q * len(v)) - 1)]
+    mid = lambda v: (at(v, 0.5), ((at(v, 0.75) - at(v, 0.25)) / 1.349) ** 2)
+    words_, chars, lines = (at(counts[ok][:, k], 0.5) for k in (0, 1, 5))
+    d = np.array([1 / words_, 1 / chars, chars**-0.5, lines**-0.5, (16 / words_) ** 0.5, chars**-0.5])
+    every, strength = mid(x[ok]), 20.0
+    for lang, source in {(r[2], r[3]) for r in rows}:
+        in_lang = ok & np.array([r[2] == lang for r in rows])
+        m, v = mid(x[in_lang])
+        k = in_lang.sum()
+        prior = [(k * a + strength * b) / (k + strength) for a, b in zip((m, v), every, strict=True)]
+        own = in_lang & np.array([r[3] == source for r in rows])
+        far = plain_mcd(x[own], np.flatnonzero(own), *prior, d, 0.75, strength, mid(x[own]))
+        assert np.allclose([got[i]["distance"] for i in np.flatnonzero(own)], far, rtol=1e-6)
+        assert [got[i]["kept"] for i in np.flatnonzero(own)] == (far <= quality_rules.chi_square_quantile(6, 1e-9)).tolist()
+
+
+def test_verdicts_belong_to_rows(spark):
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, good, "en", "s"), (1, "short", "en", "s"), (None, good, None, "s"), (None, None, None, None), (None, "short", "en", "s")]
+    out = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("counts", F.lit(1)))
+    assert sorted((r["doc_id"] or 0, r["text"], r["counts"]) for r in out.collect()) == [(0, good, 1), (1, good, 1)]
