@@ -23,9 +23,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new path in the folder that all executors share, spark.checkpoint.dir. Only a local master may leave it unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/notes-{uuid.uuid4().hex}"
