@@ -37,7 +37,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
     def cut(batches):
         encode = encoder(tokenizer_path).encode
-        for batch in batches:
+        for batch in common.bounded(batches, "text"):
             rows = []
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 ids += end

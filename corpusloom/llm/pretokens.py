@@ -4,6 +4,9 @@ The tokenizers split a text into pre-tokens before merging, and no pre-token rea
 white-space run that follows other characters. So a text's ids are the ids of its chunks, one after another, and
 each distinct chunk is encoded once. Chunks of plain letters, digits and signs go to the library's merge model
 straight away; every other chunk goes through the library's full encoding.
+
+The library takes the strings of a file's added tokens out of a text before all else, and each is one id: so does this.
+With `special_as_text` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 SIGNS = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 
-#: Chunks a worker remembers before it starts afresh: bounds its memory, never its results.
-CACHE_CHUNKS = 400_000
+#: Characters of the chunks a worker remembers before it starts afresh: bounds its memory, never its results.
+CACHE_CHARS = 4_000_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -38,14 +41,20 @@ def byte_alphabet() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids as the tokenizer file does with add_special_tokens=False."""
 
-    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache: int = CACHE_CHARS, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit, self.cache = cache, {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.limit, self.cache, self.held = cache, {}, 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and t["content"].lower() != t["content"]) for t in added):
+            raise ValueError("no rule for added tokens that depend on the text around them")
+        names = [t["content"] for t in added if not (special_as_text and t["special"])]
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + ")") if names else None
+        self.names, self.hint = {t["content"]: t["id"] for t in added}, "<|" if all(x.startswith("<|") for x in names) else ""
         kind = (spec["normalizer"] or {}).get("type"), (spec["pre_tokenizer"] or {}).get("type")
         shape = re.compile(r"[ \n]?[" + LETTERS + "0-9" + SIGNS + "]+")
         self.lower = kind[0] == "Sequence"
@@ -80,12 +89,23 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """ids of each whole text (null: empty), as bytes."""
-        if len(self.cache) > self.limit:
-            self.cache = {}
+        if self.held > self.limit:
+            self.cache, self.held = {}, 0
         plain, mixed, split = set(), set(), []
         for t in texts:
-            words, alone = self.pieces(t) if t else ([], True)
-            (plain if alone else mixed).update(words)
+            if t and self.special and self.hint in t and self.special.search(t):
+                words = []
+                for k, part in enumerate(self.special.split(t)):
+                    if k % 2:
+                        self.cache[part] = self.id_bytes[self.names[part]]
+                        words.append(part)
+                    elif part:
+                        own, alone = self.pieces(part)
+                        (plain if alone else mixed).update(own)
+                        words += own
+            else:
+                words, alone = self.pieces(t) if t else ([], True)
+                (plain if alone else mixed).update(words)
             split.append(words)
         cache, hard = self.cache, []
         id_bytes, merge, lower, spelling = self.id_bytes, self.merge, self.lower, self.spelling
@@ -97,6 +117,7 @@ class ChunkEncoder:
             cache[part] = ids = b"".join([id_bytes[t.id] for t in merge(spelled)])
             return ids
 
+        self.held += sum(map(len, plain.difference(cache))) + sum(map(len, mixed.difference(cache)))
         for w in plain.difference(cache):
             ids_of(w)
         for w in mixed.difference(cache):

@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         fs, where = open_store(path)
         encode, writer, stream, n_ids = encoder(tokenizer_path).encode, None, None, 0
         final, draft = f"{where}/part-{shard:06d}.ids.zst", f"{where}/.draft-{uuid.uuid4().hex}"
-        for batch in batches:
+        for batch in common.bounded(batches, "text"):
             if not writer:
                 fs.create_dir(where)
                 stream = fs.open_output_stream(draft, compression=None)
