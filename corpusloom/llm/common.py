@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows and characters of a batch that a worker handles at once. Texts can hold megabytes, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of an Arrow batch, where the session doesn't say otherwise. It is all that is set in a session.
+ARROW_BYTES = 16 << 20
 #: A table of one row a group is broadcast up to so many rows, counted first; beyond it is joined by shuffle.
 SMALL_ROWS = 20_000
 
@@ -25,7 +27,8 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that their Python workers import it anywhere."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))  # rows of megabytes would fill a worker
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -39,9 +42,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Only a local master may leave it unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"

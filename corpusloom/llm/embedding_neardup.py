@@ -124,7 +124,6 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
     common.ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     sound = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))

@@ -7,16 +7,16 @@ count, N all tokens and V distinct tokens in training, and G the lattice's proba
 
     P(token) = (c + V * G(token)) / (N + V)
 
-G generates a word as a first piece, then further pieces until a stop. Its piece probabilities begin at the
-vocabulary's own unigram scores and are fitted by expectation maximisation (forward and backward sums over all
-segmentations) to the distinct training words, each once, for G has to foretell words not met before. G sums to 1 over
+G generates a word as a first piece, then further pieces until a stop. Pieces have the weights that lattice.py derives
+from the vocabulary file's own scores; they stay as they are, for the vocabulary is given and not trained. Training sets the
+word edges c, N and V, and one number of the mixture: the chance that a word goes on after a piece, from the expected number of
+pieces (forward and backward sums over all segmentations) of the distinct training words. G sums to 1 over
 words at most, so P is a probability over tokens, and score is the log10 of a proper probability of the text.
 
 base_score uses add-one smoothing: log10((c + 1) / (N + V + 1)).
 
-Documents are dealt into blocks by a hash, so that a block sends each of its distinct words once and gets each word's
-figures back once. The word table grows with the corpus and stays distributed; only piece totals (as many as the
-vocabulary has pieces) and N and V come to the driver. Null texts are empty texts (the end alone); a null id counts as
+Documents are dealt into blocks of bounded bytes by a hash of id and text, so that a block sends each of its distinct words once and gets each word's
+figures back once. The word table grows with the corpus and stays distributed; only three totals come to the driver. Null texts are empty texts (the end alone); a null id counts as
 the empty string; repeated rows are documents of their own; an empty table has no rows.
 """
 
@@ -30,13 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
-from corpusloom.llm.lattice import SPACE, Lattice, Pieces, pieces
+from corpusloom.llm.lattice import SPACE, Lattice, Pieces, pieces, portions
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Words in one lattice, so many that its arrays stay small.
-WORDS_AT_ONCE = 40_000
-
-
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -46,21 +42,14 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 class PieceModel:
-    """Probabilities of first pieces, further pieces and the stop after each piece."""
+    """Probabilities of first pieces, further pieces and the stop after each piece; `going` is the chance of no stop."""
 
-    def __init__(self, vocabulary: Pieces, uses: np.ndarray | None = None, byte_uses: float = 0.0, words: float = 0.0):
+    def __init__(self, vocabulary: Pieces, going: float = 0.5):
         first = np.array([t.startswith(SPACE) for t in vocabulary.texts])
         weight, byte = np.exp(vocabulary.scores), float(np.exp(vocabulary.byte_score))
-        going = 0.5
-        if uses is not None:
-            spread = 1.0 / (len(weight) + 1)  # a little for what was never used
-            byte = (byte_uses + spread) / 256
-            weight = uses + spread
-            further = float(weight[~first].sum() + byte * 256)
-            going = further / (further + words + 1)
-        scale = np.where(first, weight[first].sum(), weight[~first].sum() + 256 * byte)
-        self.scores = np.log(weight / scale) + np.where(first, 0.0, np.log(going))
-        self.byte_score = float(np.log(byte / (weight[~first].sum() + 256 * byte)) + np.log(going))
+        further = weight[~first].sum() + 256 * byte
+        self.scores = np.log(weight / np.where(first, weight[first].sum(), further)) + np.where(first, 0.0, np.log(going))
+        self.byte_score = float(np.log(byte / further) + np.log(going))
         self.stop = float(np.log1p(-going))
 
     def log_probability(self, lattice: Lattice) -> np.ndarray:
@@ -90,38 +79,23 @@ def block_words(docs: DataFrame) -> DataFrame:
     return docs.groupBy("block").applyInArrow(run, "block int, word binary, n long")
 
 
-def fit_pieces(words: DataFrame, model_file: str, rounds: int = 1) -> PieceModel:
-    """Expectation maximisation over the distinct training words; per task, totals by piece are all that leaves it."""
-    vocabulary = pieces(model_file)
-    model = PieceModel(vocabulary)
-    for _ in range(rounds):
-
-        def expect(batches, model=model):
-            vocabulary = pieces(model_file)
-            uses, seen = np.zeros(len(vocabulary.texts) + 1), 0
-            for batch in batches:
-                own = batch.column("word").to_pylist()
-                for at in range(0, len(own), WORDS_AT_ONCE):
-                    lattice = Lattice(vocabulary, spelled(own[at : at + WORDS_AT_ONCE]))
-                    score = lattice.edge_scores(model.scores, model.byte_score)
-                    many = lattice.expected(score, np.ones(len(lattice.starts)))
-                    known = len(many) - len(lattice.lone)
-                    uses[:-1] += np.bincount(lattice.piece[:known], many[:known], len(uses) - 1)
-                    uses[-1] += many[known:] @ lattice.lone_bytes
-                seen += len(own)
-            if seen:
-                used = np.flatnonzero(uses)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(uses[used], float(seen)), pa.float64())], ["piece", "uses"])
-
-        totals = words.select("word").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses, n = np.zeros(len(vocabulary.texts) + 1), 0.0
-        for r in totals:  # as many rows as the vocabulary has pieces
-            if r["piece"] < 0:
-                n = r["uses"]
-            else:
-                uses[r["piece"]] = r["uses"]
-        model = PieceModel(vocabulary, uses[:-1], float(uses[-1]), n)
-    return model
+def fit_going(words: DataFrame, model_file: str) -> float:
+    """The chance that a word goes on after a piece, from the expected pieces of the distinct training words; two sums a task leave it."""
+
+    def expect(batches):
+        vocabulary = pieces(model_file)
+        model, total = PieceModel(vocabulary), np.zeros(2)
+        for batch in batches:
+            for some in portions(spelled(batch.column("word").to_pylist())):
+                lattice = Lattice(vocabulary, some)
+                many = lattice.expected(lattice.edge_scores(model.scores, model.byte_score), np.ones(len(some)))
+                known = len(many) - len(lattice.lone)
+                total += many[:known].sum() + many[known:] @ lattice.lone_bytes, len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(total[:1]), pa.array(total[1:])], ["pieces", "words"])
+
+    total = words.select("word").mapInArrow(expect, "pieces double, words double").agg(F.sum("pieces"), F.sum("words")).first()
+    used, n = (x or 0.0 for x in total)
+    return (used - n + 1) / (used + 2)
 
 
 def word_scores(words: DataFrame, model: PieceModel, model_file: str, n_train: int, n_types: int, end_share: float) -> DataFrame:
@@ -131,7 +105,8 @@ def word_scores(words: DataFrame, model: PieceModel, model_file: str, n_train: i
         vocabulary = pieces(model_file)
         for batch in batches:
             own, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            inner = model.log_probability(Lattice(vocabulary, spelled(own))) + np.log1p(-end_share)
+            found = [model.log_probability(Lattice(vocabulary, some)) for some in portions(spelled(own))]
+            inner = np.concatenate(found or [np.zeros(0)]) + np.log1p(-end_share)
             base = np.log10((c + 1) / (n_train + n_types + 1))
             strength = max(n_types, 1)
             with np.errstate(divide="ignore"):
@@ -141,20 +116,20 @@ def word_scores(words: DataFrame, model: PieceModel, model_file: str, n_train: i
     return words.mapInArrow(run, "word binary, known boolean, base double, lp double")
 
 
-def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 4000, rounds: int = 2) -> DataFrame:
-    spark = docs.sparkSession
-    common.ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORDS_AT_ONCE))
+def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 4000, block_bytes: int = 16 << 20) -> DataFrame:
+    """RESULT of every row."""
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = common.split_count(rows, block_docs)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block_docs), -(-size["bytes"] // block_bytes))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     asked = common.stored(block_words(rows))
     words = common.stored(asked.groupBy("word").agg(F.sum("n").alias("c")))
     ends = rows.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2).count()
     train = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, n_types = train["n"] + ends, train["v"] + (1 if ends else 0)
     end_share = (ends + 1) / (n_train + 2)
-    model = fit_pieces(words.filter("c > 0"), model_file, rounds)
+    model = PieceModel(pieces(model_file), fit_going(words.filter("c > 0"), model_file))
     scored = word_scores(words, model, model_file, n_train, n_types, end_share)
     given = asked.select("block", "word").join(scored, "word")
     strength = max(n_types, 1)

@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 Texts are encoded as SentencePiece does without normalisation: a space is put before the text, spaces become the
-piece marker, characters outside the vocabulary become byte pieces, and the segmentation is the one of highest
-unigram score (lattice.py). The scores are those that lattice.py derives from the vocabulary file, so the
-segmentation is the best one under them, and not the merge order of a byte-pair encoder.
+piece marker, characters outside the vocabulary become byte pieces. The ids are the library's own: edges are relaxed in the order of
+position, each from nodes whose last piece it may follow under the merge order that the file's scores give (lattice.py).
 
-Chunks already matched are remembered by the worker up to a bound, then forgotten: memory is bounded and results are
-not touched. Null texts have null ids and decode to null, empty texts have no ids. A text that holds the marker
+Chunks already matched are remembered by the worker up to a bound of characters, then forgotten, and texts are matched in
+batches bounded in bytes: memory is bounded and results are not touched. Null texts have null ids and decode to null, empty
+texts have no ids. A text that holds the marker
 character itself decodes with a space in its place, as in SentencePiece; every other text comes back whole.
 """
 
@@ -18,25 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
-from corpusloom.llm.lattice import SPACE, Lattice, chunks_of, pieces
+from corpusloom.llm.lattice import SPACE, Lattice, chunks_of, pieces, portions
 
-CACHE_CHUNKS = 300_000
-#: Chunks matched at once: bounds the arrays of one suffix array.
-MATCHED = 40_000
+#: Characters of the chunks a worker remembers.
+CACHE_CHARS = 3_000_000
 
 _known: dict[str, dict[str, bytes]] = {}
+_held: dict[str, int] = {}
 
 
 def encode_texts(texts: list[str | None], model_file: str) -> list[bytes | None]:
     """ids of each text, as little-endian signed 32-bit integers."""
     cache = _known.setdefault(model_file, {})
-    if len(cache) > CACHE_CHUNKS:
+    if _held.get(model_file, 0) > CACHE_CHARS:
         cache.clear()
+        _held[model_file] = 0
     split = [None if t is None else chunks_of(" " + t) if t else [] for t in texts]
     new = sorted({c for chunks in split if chunks for c in chunks}.difference(cache))
     vocabulary = pieces(model_file)
-    for at in range(0, len(new), MATCHED):
-        some = new[at : at + MATCHED]
+    _held[model_file] = _held.get(model_file, 0) + sum(map(len, new))
+    for some in portions(new):
         lattice = Lattice(vocabulary, [c.replace(" ", SPACE) for c in some])
         for c, ids in zip(some, lattice.best_paths(), strict=True):
             cache[c] = ids.astype("<i4").tobytes()
@@ -60,7 +61,7 @@ def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col
     common.ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, "text"):
             found = encode_texts(batch.column("text").to_pylist(), model_file)
             sizes = [len(x or b"") // 4 for x in found]
             ids = listed(found, sizes)
@@ -88,7 +89,7 @@ def encode_and_verify(docs: DataFrame, model_file: str) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, "text"):
             texts = batch.column("text").to_pylist()
             found = encode_texts(texts, model_file)
             sizes = [len(x or b"") // 4 for x in found]

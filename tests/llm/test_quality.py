@@ -156,6 +156,40 @@ def test_lm_scores(messy, messy_rows):
     assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
 
 
+def plain_spelling(word, model, v):
+    """Probability of a word's spelling and the expected number of its pieces, by a loop over prefixes."""
+    s, table = SPACE + word, dict(zip(v.texts, np.exp(model.scores), strict=True))
+    total, many = [1.0] + [0.0] * len(s), [0.0] * (len(s) + 1)
+    for i in range(len(s)):
+        edges = [(n, table[s[i : i + n]], 1) for n in range(1, v.longest + 1) if i + n <= len(s) and s[i : i + n] in table]
+        if s[i] not in table:
+            k = len(s[i].encode())
+            edges.append((1, math.exp(k * model.byte_score), k))
+        for n, p, k in edges:
+            total[i + n] += total[i] * p
+            many[i + n] += p * (many[i] + k * total[i])
+    return total[-1] * math.exp(model.stop), many[-1] / total[-1]
+
+
+def test_scores_equal_brute_force(spark):
+    draw = random.Random(2)
+    parts = ["the", "an", "er", "ing", "日本", "☃", "q", "Tion"]
+    rows = [(i, " ".join("".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(draw.randint(0, 12)))) for i in range(40)] + [(None, None)]
+    tokens = [[w.lower() for w in (t or "").split()] for _, t in rows]
+    train = [t for (i, _), t in zip(rows, tokens, strict=True) if not lm_scoring.is_held_out(i)]
+    c = Counter(w for t in train for w in t)
+    ends, n, types = len(train), sum(c.values()) + len(train), len(c) + 1
+    v = pieces(PIECE)
+    first = lm_scoring.PieceModel(v)
+    used = sum(plain_spelling(w, first, v)[1] for w in c)
+    model = lm_scoring.PieceModel(v, (used - len(c) + 1) / (used + 2))
+    end = (ends + 1) / (n + 2)
+    p = lambda w: (c[w] + types * (1 - end) * plain_spelling(w, model, v)[0]) / (n + types)
+    want = [sum(math.log10(p(w)) for w in t) + math.log10((ends + types * end) / (n + types)) for t in tokens]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECE, block_docs=7).collect()}
+    assert np.allclose([got[i] for i, _ in rows], want)
+
+
 def test_word_probabilities_sum_to_one_at_most():
     """G over all strings of a tiny vocabulary: the first and further pieces and the stop make a distribution."""
     v = pieces(PIECE)
