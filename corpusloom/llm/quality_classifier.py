@@ -10,13 +10,16 @@ Fitting: of the rated documents, those with crc32(id) % 5 = 0 are left out for m
 driver. Features in fewer than `least_documents` of them are dropped; weights have an L2 penalty and are found by
 gradient steps over the whole sample (Adam). Scoring covers every row in its own task and shuffles nothing.
 
-Grades are integers from 0; a document rated more than once has its lowest grade; null grades and ids don't count. Null
-and empty texts and texts without a word are not kept. Without any rating every text with a word is kept and its
-grade is null.
+Grades are integers from 0 (lower ones count as 0); a document rated more than once has its lowest grade; null grades and ids don't count. Of
+several texts of one rated id the one with the smallest digest is taken. Null and empty texts and texts without a word are not
+kept. Without any rated text every text with a word is kept and its grade is null. Ratings of one grade only tell nothing of
+texts: every text then has that grade. A grade that no rated text reaches has the tail probability 0, so that nothing is kept where
+`select` is beyond all ratings. Repeated rows get the same verdict each; an empty table has no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -69,10 +72,19 @@ class OrdinalModel:
         """P(grade > k) for each score and k."""
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -500, 500)))
 
+    def tail(self, scores: np.ndarray, select: int) -> np.ndarray:
+        """P(grade >= select) for each score."""
+        if select < 1 or select > len(self.thresholds):
+            return np.full(len(scores), float(select < 1))
+        return self.beyond(scores)[:, select - 1]
+
 
 def fit_ordinal(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, *, least_documents: int = 5, penalty: float = 0.01, steps: int = 400, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty, from feature buckets and the row of each. Thresholds are a first value and logs of the gaps, so they stay ordered."""
+    """Mean log likelihood less penalty / 20 times the squared weights, at its largest, from feature buckets and the row of each. Thresholds are a first value and logs of the gaps, so they stay ordered."""
+    grades = np.maximum(grades, 0)
     n, levels = len(grades), int(grades.max())
+    if len(set(grades.tolist())) == 1:  # thresholds far below or above every score
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(levels, -np.inf))
     buckets, seen = np.unique(flat, return_counts=True)
     buckets = buckets[(seen >= least_documents) & (seen < n)]
     at = np.searchsorted(buckets, flat)
@@ -116,12 +128,15 @@ def train(docs: DataFrame, ratings: DataFrame, *, sample_rows: int = 8000, id_co
 
     def run(batches):
         for batch in common.bounded(batches, "text"):
-            found = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
+            own = batch.column("text").to_pylist()
+            digests = [hashlib.md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in own]
+            found = pa.array([features(t).astype(np.int32) for t in own], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(digests), found], ["doc_id", "grade", "digest", "features"])
 
-    got = texts.mapInArrow(run, "doc_id long, grade int, features array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    read = texts.mapInArrow(run, "doc_id long, grade int, digest binary, features array<int>")
+    got = read.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("features", "digest").alias("features")).toArrow().sort_by("doc_id")
     grades, found = got.column("grade").to_numpy().astype(int), got.column("features").combine_chunks()
-    if not len(grades) or not grades.max() or not len(found.flatten()):
+    if not len(grades):
         return None
     return fit_ordinal(found.flatten().to_numpy(), np.repeat(np.arange(len(grades), dtype=np.int32), found.value_lengths().to_numpy()), grades)
 
@@ -134,7 +149,7 @@ def judge_texts(texts: list[str | None], model: OrdinalModel | None, select: int
         return None, None, None, some
     scores = np.array([model.score(f) for f in found])
     beyond = model.beyond(scores)
-    tail = beyond[:, select - 1]
+    tail = model.tail(scores, select)
     return scores, beyond.sum(1), tail, some & (tail >= least)
 
 
