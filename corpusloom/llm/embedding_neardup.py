@@ -9,12 +9,12 @@ It stops where the target recall is reached: the stopping distance is calibrated
 exactly the threshold drawn for each sampled one and with every true pair of the sample, as the distance within which
 the share `recall` of them lies. In the visited cells all vectors are compared by cosine in double precision.
 
-Equal vectors are one node with a number of copies. Cells of more than `block` vectors are dealt into blocks and each
+Of two cells only the vectors of one ask in the other, and a link found there counts for both. Equal vectors are one node with a number of copies. Cells of more than `block` vectors are dealt into blocks and each
 pair of blocks is a task; per vector a task sends on a count and one edge of a spanning forest, never pairs. The number
 of cells grows with the number of vectors, so a cell's size doesn't.
 
-Vectors that are null, zero or hold null or non-finite components link with nothing, and neither do those of another
-length than the most frequent (of equally frequent ones the longest). Rows without an id have no links and no
+Vectors of each length have an index of their own, and those of unlike lengths link with nothing; up to `cell_rows` vectors of one
+length are one cell. Vectors that are null, zero or hold null or non-finite components link with nothing. Rows without an id have no links and no
 component; rows with the same id are one vector, the smallest. An empty table has no rows.
 """
 
@@ -32,6 +32,8 @@ from corpusloom.llm.graph import connected_components, forest, group_bounds, who
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by their largest component first, as squares of tiny or huge ones are not finite numbers above 0."""
+    rows = rows / np.abs(rows).max(1, initial=0.0, keepdims=True)
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
@@ -120,72 +122,101 @@ class MultiIndex:
         return out
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: float = 0.9995, sample_rows: int = 10_000, cell_rows: int = 150, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def asks_in(own: int, cell: int) -> bool:
+    """Of two unlike cells each pair of vectors is compared in one: this tells whether those of `own` ask in `cell`."""
+    return own == cell or (own < cell) != bool((own + cell) & 1)
+
+
+def build_indexes(nodes: DataFrame, threshold: float, recall: float, sample_rows: int, cell_rows: int) -> dict[int, MultiIndex]:
+    """An index for each length of more than cell_rows vectors, each fitted on a sample; all samples together are bounded."""
+    sizes = {r["size"]: r["n"] for r in nodes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows).collect()}
+    out = {}
+    for size, n in sizes.items():
+        own = nodes.filter(F.col("size") == size).select("vector").orderBy(F.xxhash64("vector")).limit(max(200, sample_rows // len(sizes)))
+        sample = matrix(own.toArrow().column("vector"))
+        out[size] = MultiIndex(unit(sample), max(1, min(round((n / cell_rows) ** 0.5), len(sample) // 8)), threshold, recall)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: float = 0.9995, sample_rows: int = 10_000, cell_rows: int = 300, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    spark = vectors.sparkSession
-    common.ship(spark)
+    common.ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     sound = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    length = sound.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    ids = rows.select("vec_id")
-    if not length:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sound = sound.filter(F.size("vector") == length["size"])
-    one = sound.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    nodes = common.stored(one.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    n = nodes.count()
-    sample = matrix(nodes.select("vector").orderBy(F.xxhash64("vector")).limit(sample_rows).toArrow().column("vector"))
-    k = max(1, min(round((n / cell_rows) ** 0.5), len(sample) // 8))
-    index = MultiIndex(unit(sample), k, threshold, recall)
+    one = common.stored(sound.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    nodes = common.stored(one.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("vector")))
+    indexes = build_indexes(nodes, threshold, recall, sample_rows, cell_rows)
 
     def visit(batches):
         for batch in batches:
-            x = unit(matrix(batch.column("vector")))
-            own, visited = index.home(x), index.traverse(x)
-            many = np.array([len(v) for v in visited])
-            at = np.concatenate((np.arange(len(x)), np.repeat(np.arange(len(x)), many)))
-            cell = np.concatenate((own, np.fromiter((c for v in visited for c in v), np.int64, many.sum())))
-            asks = np.concatenate((np.zeros(len(x), bool), np.ones(many.sum(), bool)))
-            taken = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(asks), *(taken.column(c) for c in ("node", "copies", "vector"))], ["cell", "asks", "node", "copies", "vector"])
+            size = batch.column("size").to_numpy()
+            for n in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == n))
+                index = indexes.get(n)
+                if index:
+                    x = unit(matrix(part.column("vector")))
+                    own = index.home(x)
+                    visited = [[c for c in {*cells, home} if asks_in(home, c)] for home, cells in zip(own.tolist(), index.traverse(x), strict=True)]
+                else:
+                    own = np.zeros(part.num_rows, np.int64)
+                    visited = [[0]] * part.num_rows
+                many = np.array([len(v) for v in visited])
+                at = np.concatenate((np.arange(len(own)), np.repeat(np.arange(len(own)), many)))
+                cell = np.concatenate((own, np.fromiter((c for v in visited for c in v), np.int64, many.sum()))).astype(np.int64)
+                asks = np.arange(len(at)) >= len(own)
+                taken = part.take(pa.array(at))
+                columns = [pa.array(cell), pa.array(asks), pa.array(asks & (cell == own[at])), *(taken.column(c) for c in ("size", "node", "copies", "vector"))]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "asks", "home", "size", "node", "copies", "vector"])
 
     kind = nodes.schema["vector"].dataType.simpleString()
-    places = nodes.select("node", "copies", "vector").mapInArrow(visit, f"cell long, asks boolean, node long, copies long, vector {kind}")
+    places = nodes.select("size", "node", "copies", "vector").mapInArrow(visit, f"cell long, asks boolean, home boolean, size int, node long, copies long, vector {kind}")
     places = common.stored(places)
-    sizes = places.groupBy("cell").agg(F.count_if("asks").alias("n_asks"), F.count_if(~F.col("asks")).alias("n_held"))
+    sizes = places.groupBy("size", "cell").agg(F.count_if("asks").alias("n_asks"), F.count_if(~F.col("asks")).alias("n_held"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
-    dealt = places.join(sizes.select("cell", blocks("n_asks").alias("of_asks"), blocks("n_held").alias("of_held")), "cell")
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("of_asks")).otherwise(F.col("of_held"))).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("of_held")).otherwise(F.col("of_asks")) - 1)))
+    large = common.stored(sizes.filter(f"n_asks > {block} or n_held > {block}").select("size", "cell", blocks("n_asks").alias("of_asks"), blocks("n_held").alias("of_held")))
+    # a row a cell over `block` rows: cells of the usual size need no join
+    cell_key = lambda df: df.withColumn("place", F.struct("size", "cell"))
+    dealt = common.small_join(cell_key(places), cell_key(large).drop("size", "cell"), "place", 16, F.xxhash64("node"), "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(1))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), of("of_asks")).otherwise(of("of_held"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), of("of_held")).otherwise(of("of_asks")) - 1)))
     i, j = F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")), F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))
-    dealt = dealt.select("cell", i.alias("i"), j.alias("j"), "asks", "node", "copies", "vector")
-    keys = ["cell", "i", "j"]
+    dealt = dealt.select("size", "cell", i.alias("i"), j.alias("j"), "asks", "home", "node", "copies", "vector")
+    keys = ["size", "cell", "i", "j"]
 
     def compare(batches):
         for table in whole_groups(batches, keys, 4096):
-            x, bounds = unit(matrix(table.column("vector"))), group_bounds(table, keys)
-            asks = table.column("asks").to_numpy()
+            flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            size, bounds = table.column("size").to_numpy(), group_bounds(table, keys)
+            begins = np.concatenate(([0], np.cumsum(size)))
+            asks, home = (table.column(c).to_numpy() for c in ("asks", "home"))
             node, local = np.unique(table.column("node").to_numpy(), return_inverse=True)
             copies, links, label = table.column("copies").to_numpy(), np.zeros(len(node), np.int64), np.arange(len(node))
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                a, b = low + np.flatnonzero(asks[low:high]), low + np.flatnonzero(~asks[low:high])
+                x = unit(flat[begins[low] : begins[high]].reshape(high - low, -1))
+                a, b = np.flatnonzero(asks[low:high]), np.flatnonzero(~asks[low:high])
                 for at in range(0, len(a), 512):
                     some = a[at : at + 512]
-                    near = (x[some] @ x[b].T >= threshold) & (local[some][:, None] != local[b])
-                    links[local[some]] += near @ copies[b]
+                    near = (x[some] @ x[b].T >= threshold) & (local[low + some][:, None] != local[low + b])
                     p, q = np.nonzero(near)
-                    if len(p):
-                        label = forest(len(node), np.concatenate((np.arange(len(node)), local[some[p]])), np.concatenate((label, local[b[q]])))
+                    if not len(p):
+                        continue
+                    asking, held = local[low + some[p]], local[low + b[q]]
+                    np.add.at(links, asking, copies[low + b[q]])
+                    far = ~home[low + some[p]]  # the other vector doesn't ask here
+                    np.add.at(links, held[far], copies[low + some[p[far]]])
+                    label = forest(len(node), np.concatenate((np.arange(len(node)), asking)), np.concatenate((label, held)))
             some = np.flatnonzero((links > 0) | (label != np.arange(len(node))))
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], ["node", "links", "root"])
 
     found = common.stored(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node long, links long, root long"))
+    common.discard(places)
     components = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(components, "node")
-    per_node = nodes.join(links, "node", "left").select(F.col("vector").alias("_vector"), "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    per_id = one.join(per_node, F.col("vector") == F.col("_vector")).select(F.col("vec_id").alias("_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
-    out = ids.join(per_id, F.col("vec_id") == F.col("_id"), "left")
+    per_node = nodes.join(links, "node", "left").select("vector", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    per_id = common.members_join(one, common.stored(per_node), "vector", "copies").select(F.col("vec_id").alias("_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
+    out = rows.select("vec_id").join(per_id, F.col("vec_id") == F.col("_id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
