@@ -86,8 +86,28 @@ def same(a: Column, b: Column) -> Column:
 
 def keep_only(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is in kept, null equal to null; all columns of docs stay as they are."""
-    ids = kept.select(F.col(key).alias("_kept_key")).distinct()
-    return docs.join(ids, same(docs[key], ids["_kept_key"]), "left_semi")
+    name = free_name(docs, "kept_key")
+    ids = kept.select(F.col(key).alias(name)).distinct()
+    return docs.join(ids, same(docs[key], ids[name]), "left_semi")
+
+
+#: Rows that may share a key in a plain shuffle join.
+FEW = 1000
+
+
+def members_join(rows: DataFrame, nodes: DataFrame, key: str, copies: str, salts: int = 64) -> DataFrame:
+    """Left join of rows to a stored table of one row a key, of which `copies` rows have each key.
+
+    Keys of more than FEW rows, of which there are few, are joined by small_join(), so that no task meets all their rows.
+    """
+    many = stored(nodes.filter(F.col(copies) > FEW))
+    n = many.count()
+    if not n:
+        return rows.join(nodes, key, "left")
+    far = small_join(rows, many, key, salts, F.xxhash64(*rows.columns), "left", size=n)
+    own = [c for c in nodes.columns if c != key]
+    rest = far.filter(F.col(copies).isNull()).select(*rows.columns).join(nodes.filter(F.col(copies) <= FEW), key, "left")
+    return far.filter(F.col(copies).isNotNull()).select(*rows.columns, *own).union(rest.select(*rows.columns, *own))
 
 
 def salted_join(rows: DataFrame, small: DataFrame, on: Column, salts: int, key: str | Column, how: str = "left") -> DataFrame:

@@ -287,7 +287,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tol
     named = signed.filter("doc_id is not null and key is not null")
     texts_of = common.stored(named.groupBy("doc_id").agg(F.min("key").alias("key")))
     nodes = common.stored(texts_of.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    own = named.join(nodes.select("key", "node"), "key").filter("doc_id = node").select("node", "key", "signature", "bands")
+    own = named.join(nodes.select("node", F.col("key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "signature", "bands")
     own = common.stored(own.dropDuplicates(["key"]))
     groups = common.stored(connected_components(common.stored(candidates(own, threshold, tolerance, block))))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -298,10 +298,11 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tol
     classes = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
     per_node = nodes.join(links, "node", "left")
-    per_node = per_node.select(F.col("key").alias("_key"), "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    per_node = common.stored(per_node.select("key", "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
     rows = signed.filter("doc_id is not null").select("doc_id").join(texts_of, "doc_id", "left")
-    # rows without a key are dealt by id: 20 bytes equal no digest
-    rows = rows.withColumn("key", F.coalesce("key", F.encode(F.lpad(F.col("doc_id").cast("string"), 20, " "), "utf-8"))).join(per_node, F.col("key") == F.col("_key"), "left")
+    with_key, without = rows.filter("key is not null"), rows.filter("key is null").select("doc_id")
+    rows = common.members_join(with_key, per_node, "key", "copies").drop("key")
+    rows = rows.unionByName(without, allowMissingColumns=True)
     class_id = F.coalesce("class", "doc_id")
     alone = signed.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return alone.union(rows.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), (F.col("doc_id") == class_id).alias("kept")))
@@ -331,11 +332,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay when one document of each class is kept, with all their columns.
 
-    Of rows with one id the first by text stays; rows without an id all stay.
+    Of rows with one id the one of smallest text digest stays; rows without an id all stay. Nulls, empty texts, repeated
+    rows and empty tables are as in jaccard_join().
     """
-    from pyspark.sql import Window
-
     named = docs.filter(F.col(id_col).isNotNull())
-    stay = common.keep_only(named, jaccard_join(named, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col)), id_col)
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    return stay.withColumn("_first", first).filter("_first = 1").drop("_first").union(docs.filter(F.col(id_col).isNull()))
+    kept = jaccard_join(named, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col))
+    stay = common.keep_only(named, kept, id_col)
+    repeated = named.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col)
+    if repeated.isEmpty():
+        return stay.union(docs.filter(F.col(id_col).isNull()))
+    repeated = common.stored(repeated)
+    # partial sums keep one row an id in each task, so that an id of many rows is gathered nowhere
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.md5(F.col(text_col).cast("string").cast("binary")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    first = common.keep_only(stay, repeated, id_col).groupBy(F.col(id_col).alias("id")).agg(F.min_by(row, order).alias("r")).select("r.*")
+    once = stay.join(repeated.select(F.col(id_col).alias("id")), F.col(id_col) == F.col("id"), "left_anti")
+    return once.union(first).union(docs.filter(F.col(id_col).isNull()))

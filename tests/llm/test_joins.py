@@ -183,3 +183,41 @@ def test_whole_groups_never_cuts_a_group(spark):
     want = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
     rows = sizes.collect()
     assert len(rows) == len(want) and {r["g"]: r["n"] for r in rows} == want
+
+
+def test_vectors_of_several_lengths_and_sizes_of_numbers(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [1e200, 2e200]), (4, [-1e-200, 2e-200]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.0]), (7, [1.0, 0.0, 0.0]), (8, [2.0]), (9, [1e-320])]
+    found = embedding_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (1, 8), 9: (1, 8)}
+
+
+def test_each_pair_of_cells_is_compared_in_one():
+    for own in range(12):
+        for cell in range(12):
+            assert embedding_neardup.asks_in(own, cell) != embedding_neardup.asks_in(cell, own) or own == cell
+
+
+def test_keys_of_many_rows_are_joined_whole(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "FEW", 3)
+    rows = spark.range(200).select(F.col("id"), F.when(F.col("id") < 90, "a").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
+    nodes = common.stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")).filter("key <> 'k7'"))
+    for small in (20_000, 0):  # the large keys by broadcast and by salts
+        monkeypatch.setattr(common, "SMALL_ROWS", small)
+        got = common.members_join(rows, nodes, "key", "copies").collect()
+        want = rows.join(nodes, "key", "left").collect()
+        key = lambda r: (r["id"], r["key"], r["copies"], r["least"])
+        assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str)
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "x"), (2, text, "y"), (3, "other words here", "z"), (3, "still other words", "z"), (3, "still other words", "z"), (None, text, "n"), (None, text, "n"), (4, None, "e"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _first string").withColumn("kept_key", F.lit(1))
+    out = jaccard_join.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["_first"]) for r in out.collect())
+    assert got == [(0, "n"), (0, "n"), (1, "x"), (3, "z"), (4, "e"), (5, "e")]
+    assert jaccard_join.keep_one(df.limit(0)).count() == 0

@@ -28,6 +28,19 @@ def test_stages_hand_on_documents(spark):
     assert packed.select("doc_id").distinct().count() == sizes[-1]
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="the supplied tables are not here")
+def test_stages_on_messy_and_empty_tables(spark, messy, no_docs):
+    for docs in (messy, no_docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert out.exceptAll(docs).count() == 0, name
+            docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert (packed.count() > 0) == (docs.count() > 0)
+        assert sorted(r["n"] for r in packed.filter("piece = 0").groupBy("doc_id").count().withColumnRenamed("count", "n").collect()) == sorted(r["n"] for r in docs.groupBy("doc_id").count().withColumnRenamed("count", "n").collect())
+
+
 def test_registry_names():
     assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
 

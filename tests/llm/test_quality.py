@@ -267,3 +267,37 @@ def test_verdicts_belong_to_rows(spark):
     rows = [(1, good, "en", "s"), (1, "short", "en", "s"), (None, good, None, "s"), (None, None, None, None), (None, "short", "en", "s")]
     out = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("counts", F.lit(1)))
     assert sorted((r["doc_id"] or 0, r["text"], r["counts"]) for r in out.collect()) == [(0, good, 1), (1, good, 1)]
+
+
+def test_every_set_of_grades_has_a_verdict(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more text") for i in range(40)] + [(3, "another text of three")], "doc_id long, text string")
+    kept = lambda grades: [r["kept"] for r in quality_classifier.score(docs, quality_classifier.train(docs, spark.createDataFrame(grades, "doc_id long, grade int"))).collect()]
+    assert not any(kept([(i, i % 2) for i in range(40)]))  # no text reaches grade 2
+    assert not any(kept([(i, 0) for i in range(40)])) and not any(kept([(i, 1) for i in range(40)]))
+    assert all(kept([(i, 2) for i in range(40)])) and all(kept([(i, 3) for i in range(40)]))
+    assert len(kept([(i, i % 5 - 1) for i in range(40)])) == 41
+    assert all(kept([(999, 1)]))  # a rating of no text
+
+
+def test_fit_equals_a_plain_optimiser():
+    draw = np.random.default_rng(4)
+    n, m = 400, 12
+    x = draw.random((n, m)) < 0.3
+    s = x @ draw.standard_normal(m) + draw.logistic(size=n)
+    grades = np.digitize(s, [-0.5, 1.0])
+    row, flat = np.nonzero(x)
+    model = quality_classifier.fit_ordinal(flat * 7, row, grades, least_documents=1)
+
+    def objective(w, t):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        p = np.concatenate((np.ones((n, 1)), above, np.zeros((n, 1))), 1)
+        return np.log(p[np.arange(n), grades] - p[np.arange(n), grades + 1]).mean() - 0.01 / 20 * (w @ w)
+
+    theta = np.zeros(m + 2)
+    theta[m:] = -1, 1
+    value = lambda v: objective(v[:m], v[m:])
+    for _ in range(1500):  # plain gradient steps by differences
+        slope = np.array([(value(theta + e) - value(theta - e)) / 2e-5 for e in 1e-5 * np.eye(m + 2)])
+        theta = theta + 2.0 * slope
+    assert abs(objective(model.weights, model.thresholds) - value(theta)) < 1e-4
+    assert np.abs(model.weights - theta[:m]).max() < 0.05 and np.abs(model.thresholds - theta[m:]).max() < 0.05
