@@ -5,82 +5,119 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import dot
-
 
 def same_model(index: DataFrame, model_id: str, dimensions: int) -> DataFrame:
     return index.filter((F.col("model_id") == model_id) & (F.col("dimensions") == dimensions))
 
 
-def best_chunk(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, note_id, idx, score): each note's best chunk for each query, of equal ones the first.
-
-    queries (qid, vector) is the stated, small side; every chunk meets every query and is reduced to one row a note
-    before anything is shuffled.
-    """
-    scored = index.join(F.broadcast(queries), how="cross").select("qid", "note_id", "idx", dot(F.col("vector"), F.col("embedding")).alias("score"))
-    best = F.max_by("idx", F.struct("score", -F.col("idx")))
-    return scored.groupBy("qid", "note_id").agg(best.alias("idx"), F.max("score").alias("score"))
+def query_blocks(queries: DataFrame, block: int) -> list[list[tuple[int, list[float]]]]:
+    """The stated queries (qid, vector) in lists of about `block`, read one after another."""
+    n = max(1, -(-queries.count() // block))
+    own = queries.select("qid", "vector").withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n)))
+    return [[(r["qid"], list(r["vector"])) for r in own.filter(F.col("_block") == i).collect()] for i in range(n)]
 
 
-#: Queries that one matrix product may hold; more go through the join.
-MATRIX_QUERIES = 4096
-
-
-def best_chunk_blocked(index: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
-    """The same with one matrix product for each Arrow batch of chunks; a batch sends on its best chunk of each note.
+def best_chunk(index: DataFrame, queries: DataFrame, min_score: float | None = None, k: int | None = None, block: int = 4096) -> DataFrame:
+    """(qid, note_id, idx, score): each note's best chunk for each query, of equal ones the first.
 
+    Every chunk meets the queries in blocks of `block`, by one matrix product for each Arrow batch. Only a note's best chunk
+    at min_score or above leaves a batch; with k, only the best k notes of a query leave a task, which hold all of its k best notes.
     Scores are rounded to 9 places before they are compared, so that equal chunks stay equal.
     """
     kind = index.schema["note_id"].dataType.simpleString()
-    qids = [q for q, _ in queries]
-    vectors = [list(v) for _, v in queries]
+    chunks = index.select("note_id", F.col("idx").cast("int").alias("idx"), "embedding")
+    found = None
+    for asked in query_blocks(queries, block):
+        part = chunks.mapInArrow(_scorer(asked, min_score, k), f"qid long, note_id {kind}, idx int, score double")
+        found = part if found is None else found.union(part)
+    return found.groupBy("qid", "note_id").agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("idx"), F.max("score").alias("score"))
 
+
+def _scorer(queries: list[tuple[int, list[float]]], min_score: float | None, k: int | None):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        asked = np.array(vectors, float)
+        if not queries:
+            return
+        qids, asked = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], float)
+        held = None
+
+        def best(q, note, idx, score):
+            """The best chunk of each query and note, best notes first; with k the first k of each query."""
+            order = np.lexsort((idx, -score, note, q))
+            q, note, idx, score = q[order], note[order], idx[order], score[order]
+            first = np.ones(len(q), bool)
+            first[1:] = (q[1:] != q[:-1]) | (note[1:] != note[:-1])
+            q, note, idx, score = q[first], note[first], idx[first], score[first]
+            if k:
+                order = np.lexsort((note, -score, q))
+                q, note, idx, score = q[order], note[order], idx[order], score[order]
+                begins = np.concatenate(([0], np.flatnonzero(np.diff(q)) + 1)) if len(q) else np.zeros(0, int)
+                place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+                q, note, idx, score = (x[place < k] for x in (q, note, idx, score))
+            return q, note, idx, score
+
+        def sent(q, note, idx, score):
+            return pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(note.tolist(), kinds), pa.array(idx.astype(np.int32)), pa.array(score)], ["qid", "note_id", "idx", "score"])
+
+        kinds = None
         for batch in batches:
-            if not batch.num_rows or not qids:
+            if not batch.num_rows:
                 continue
-            column = batch.column("embedding")
-            chunks = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            width = min(chunks.shape[1], asked.shape[1])
-            scores = np.round(chunks[:, :width] @ asked[:, :width].T, 9)
-            notes, note = np.unique(np.array(batch.column("note_id").to_pylist()), return_inverse=True)
-            idx = batch.column("idx").to_numpy()
-            order = np.lexsort((idx, note))
-            starts = np.searchsorted(note[order], np.arange(len(notes)))
-            scores, idx = scores[order], idx[order]
-            top = np.maximum.reduceat(scores, starts, axis=0)
-            first = np.where(scores == top[note[order]], idx[:, None], np.iinfo(np.int32).max)
-            where = np.minimum.reduceat(first, starts, axis=0)
-            for k, qid in enumerate(qids):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(notes), qid, np.int64)), pa.array(notes.tolist()), pa.array(where[:, k].astype(np.int32)), pa.array(top[:, k])], ["qid", "note_id", "idx", "score"])
-
-    scored = index.select("note_id", F.col("idx").cast("int").alias("idx"), "embedding").mapInArrow(run, f"qid long, note_id {kind}, idx int, score double")
-    return scored.groupBy("qid", "note_id").agg(F.max_by("idx", F.struct("score", -F.col("idx"))).alias("idx"), F.max("score").alias("score"))
-
-
-def best_chunk_of(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """best_chunk by matrix products where the stated queries are few enough for one, else by the join."""
-    few = queries.limit(MATRIX_QUERIES + 1).collect()
-    if len(few) > MATRIX_QUERIES:
-        return best_chunk(index, queries)
-    return best_chunk_blocked(index, [(r["qid"], r["vector"]) for r in few])
-
-
-def dense_search(best: DataFrame, min_score: float = 0.0, k: int | None = None) -> DataFrame:
-    """best with a rank, from the floor up."""
-    rounded = best.withColumn("score", F.round("score", 9)).filter(F.col("score") >= min_score)
-    ranked = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "note_id")))
-    return ranked.filter(F.col("rank") <= k) if k else ranked
-
-
-def relative_cutoff(ranked: DataFrame, ratio: float, floor: float = 0.0, by: str = "qid") -> DataFrame:
+            column, kinds = batch.column("embedding"), batch.column("note_id").type
+            vectors = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            width = min(vectors.shape[1], asked.shape[1])
+            notes, idx = np.array(batch.column("note_id").to_pylist()), batch.column("idx").to_numpy()
+            for at in range(0, len(asked), 256):
+                scores = np.round(vectors[:, :width] @ asked[at : at + 256, :width].T, 9)
+                row, q = np.nonzero(scores >= (-np.inf if min_score is None else min_score))
+                some = best(q + at, notes[row], idx[row], scores[row, q])
+                if not k:
+                    yield sent(*some)
+                else:
+                    held = some if held is None else tuple(np.concatenate(x) for x in zip(held, some, strict=True))
+            if k and len(held[0]) > 4 * k * len(asked):
+                held = best(*held)
+        if k and held is not None:
+            yield sent(*best(*held))
+
+    return run
+
+
+#: Parts into which the notes of a query are dealt before they are ranked.
+SALTS = 16
+
+
+def top_k(best: DataFrame, k: int) -> DataFrame:
+    """best (qid, note_id, score, ...) with a rank, the first k of each query: first in each of SALTS parts, then over their firsts."""
+    order = [F.desc("score"), F.asc("note_id")]
+    parts = best.withColumn("_part", F.pmod(F.xxhash64("note_id"), F.lit(SALTS)))
+    near = parts.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "_part").orderBy(*order))).filter(F.col("_n") <= k).drop("_n", "_part")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def ranks_of(best: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, note_id, rank) of the wanted rows (qid, note_id, score) among all of best, without gathering a query's notes.
+
+    A wanted row is put in each of SALTS parts of its query; the rows before it in each are counted and summed.
+    """
+    probes = wanted.select("qid", "note_id", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"), F.lit(0).alias("_one"))
+    rows = best.select("qid", "note_id", "score", F.pmod(F.xxhash64("note_id"), F.lit(SALTS)).cast("int").alias("_part"), F.lit(1).alias("_one"))
+    before = Window.partitionBy("qid", "_part").orderBy(F.desc("score"), "note_id", "_one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.union(probes).withColumn("_n", F.sum("_one").over(before)).filter("_one = 0")
+    return counted.groupBy("qid", "note_id").agg((F.sum("_n") + 1).cast("int").alias("rank"))
+
+
+def dense_search(best: DataFrame, min_score: float, k: int) -> DataFrame:
+    """The first k notes of each query with a rank, from the floor up."""
+    return top_k(best.withColumn("score", F.round("score", 9)).filter(F.col("score") >= min_score), k)
+
+
+def relative_cutoff(scored: DataFrame, ratio: float, floor: float = 0.0, by: str = "qid") -> DataFrame:
     """Rows whose score reaches floor + ratio * (top - floor)."""
     if ratio <= 0:
-        return ranked
-    top = F.max("score").over(Window.partitionBy(by))
-    return ranked.withColumn("_top", top).filter((F.col("_top") <= floor) | (F.col("score") >= floor + ratio * (F.col("_top") - floor))).drop("_top")
+        return scored
+    tops = scored.groupBy(F.col(by).alias("_by")).agg(F.max("score").alias("_top"))
+    met = scored.join(tops, F.col(by) == F.col("_by"))
+    return met.filter((F.col("_top") <= floor) | (F.col("score") >= floor + ratio * (F.col("_top") - floor))).drop("_top", "_by")

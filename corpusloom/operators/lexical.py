@@ -49,10 +49,10 @@ def expand_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return exact.union(longer)
 
 
-def lexical_search(postings: DataFrame, queries: DataFrame, n_docs: DataFrame, limit: int | None = None) -> DataFrame:
-    """(qid, note_id, score, in_title, rank), best first; equal scores by note id."""
+def lexical_search(postings: DataFrame, queries: DataFrame, n_docs: DataFrame, limit: int | None = None, vocab: DataFrame | None = None) -> DataFrame:
+    """(qid, note_id, score, in_title, rank), best first; equal scores by note id. vocab is vocabulary(postings, n_docs), kept with them."""
     terms = query_terms(queries)
-    expanded = expand_terms(terms, vocabulary(postings, n_docs))
+    expanded = expand_terms(terms, vocabulary(postings, n_docs) if vocab is None else vocab)
     tf = F.col("tf")
     hits = expanded.join(postings, "term").groupBy("qid", "qterm", "note_id").agg(F.sum(F.col("idf") * F.col("weight") * tf / (tf + SATURATION)).alias("part"), F.max("in_title").alias("in_title"))
     mass = expanded.groupBy("qid", "qterm").agg(F.max("idf").alias("mass"))

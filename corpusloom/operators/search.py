@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold_text, tokenize, trim_white
-from corpusloom.operators.dense import best_chunk_of, dense_search, relative_cutoff
+from corpusloom.operators.dense import best_chunk, ranks_of, relative_cutoff, top_k
 from corpusloom.operators.lexical import lexical_search, postings_of_chunks
 from corpusloom.operators.ranking import fuse_rankings, note_bonuses, rank_notes, recency_positions
+from corpusloom.sources.tables import stored
 
 LEXICAL_CANDIDATES = 32
 
@@ -18,35 +21,47 @@ def pick_snippet(hits: DataFrame, index: DataFrame, queries: DataFrame) -> DataF
     term in it, else the best chunk."""
     terms = queries.select("qid", tokenize(F.col("q")).alias("terms"))
     chunks = index.select("note_id", "idx", "text")
-    met = hits.join(chunks, "note_id").join(F.broadcast(terms), "qid")
+    met = hits.join(chunks, "note_id").join(terms, "qid")
     has = F.exists("terms", lambda t: F.contains(F.col("folded"), t)) & F.col("is_lexical")
     met = met.withColumn("folded", fold_text(F.col("text"))).withColumn("order", F.when(has, 0).when(F.col("idx") == F.col("best_idx"), 1))
     chosen = met.filter("order is not null").groupBy("qid", "note_id").agg(F.min_by(F.struct("idx", "text"), F.struct("order", "idx")).alias("s"))
     return hits.join(chosen, ["qid", "note_id"]).select(*hits.columns, F.col("s.idx").alias("chunk_idx"), F.col("s.text").alias("snippet"))
 
 
-def hybrid_search(index: DataFrame, queries: DataFrame, *, top_k: int = 10, min_score: float = 0.0, cutoff: float = 0.0, postings: DataFrame | None = None) -> DataFrame:
-    """(qid, note_id, rank, score, match_kind, best_idx, is_lexical) for queries (qid, q, vector); blank queries have no rows."""
+def hybrid_search(
+    index: DataFrame, queries: DataFrame, *, store: Callable[[DataFrame], DataFrame] = stored, top_k_notes: int = 10, min_score: float = 0.0, cutoff: float = 0.0, postings: DataFrame | None = None, vocab: DataFrame | None = None, n_docs: DataFrame | None = None
+) -> DataFrame:
+    """(qid, note_id, rank, score, match_kind, best_idx, is_lexical) for queries (qid, q, vector); blank queries have no rows.
+
+    store writes a table and reads it again: each query's best chunks are used four times. Of the dense ranking only the
+    firsts and the lexical hits can be among the first `top_k_notes`, so only their ranks are found.
+    """
     asked = queries.filter(trim_white(F.col("q")) != "")
     postings = postings_of_chunks(index) if postings is None else postings
-    n_docs = index.agg(F.count_distinct("note_id").alias("n"))
-    lexical = lexical_search(postings, asked, n_docs, LEXICAL_CANDIDATES)
-    best = best_chunk_of(index, asked.select("qid", "vector"))
-    dense = dense_search(best, min_score)
-    fused = fuse_rankings([lexical.select("qid", "note_id", "rank"), dense.select("qid", "note_id", "rank")])
-    near = relative_cutoff(dense, cutoff, min_score).select("qid", "note_id", F.lit(True).alias("near"))
-    shown = fused.join(near, ["qid", "note_id"], "left").filter("r0 is not null or near")
-    shown = shown.withColumn("is_lexical", F.col("r0").isNotNull()).withColumnRenamed("rank", "fused_rank")
-    from pyspark.sql import Window
-
-    ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("fused_rank"))).filter(F.col("rank") <= top_k)
-    out = ranked.join(best.select("qid", "note_id", F.col("idx").alias("best_idx")), ["qid", "note_id"])
-    kind = F.when(F.col("is_lexical"), "text").otherwise("semantic")
-    return out.select("qid", "note_id", "rank", F.round("score", 9).alias("score"), kind.alias("match_kind"), "best_idx", "is_lexical")
-
-
-def search_notes(index: DataFrame, notes: DataFrame, queries: DataFrame, *, top_k: int = 8, cutoff: float = 0.6, min_score: float = 0.0, limit: int | None = None) -> DataFrame:
+    n_docs = index.agg(F.count_distinct("note_id").alias("n")) if n_docs is None else n_docs
+    lexical = store(lexical_search(postings, asked, n_docs, LEXICAL_CANDIDATES, vocab=vocab).select("qid", "note_id", "rank"))
+    best = store(best_chunk(index, asked.select("qid", "vector"), min_score))
+    tops = best.groupBy("qid").agg(F.max("score").alias("top"))
+    firsts = top_k(best, top_k_notes + LEXICAL_CANDIDATES)
+    other = best.join(lexical.select("qid", "note_id"), ["qid", "note_id"]).join(firsts.select("qid", "note_id"), ["qid", "note_id"], "left_anti")
+    other = other.join(ranks_of(best, other), ["qid", "note_id"])
+    dense = store(firsts.select("qid", "note_id", "idx", "score", "rank").unionByName(other))
+    fused = fuse_rankings([lexical, dense.select("qid", "note_id", "rank")])
+    met = fused.withColumnRenamed("score", "fused").withColumnRenamed("rank", "place").join(dense.select("qid", "note_id", "idx", F.col("score").alias("dense")), ["qid", "note_id"], "left").join(tops, "qid", "left")
+    near = F.lit(True) if cutoff <= 0 else (F.col("top") <= min_score) | (F.col("dense") >= min_score + cutoff * (F.col("top") - min_score))
+    shown = met.filter(F.col("r0").isNotNull() | F.coalesce(near, F.lit(False)))
+    ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).filter(F.col("rank") <= top_k_notes)
+    is_lexical = F.col("r0").isNotNull()
+    # a lexical hit below the floor has no dense row: its best chunk is found among its own chunks
+    lost = store(ranked.filter("idx is null").select("qid", "note_id"))
+    wide = index.join(lost.select("note_id").distinct(), "note_id", "left_semi")
+    own = store(best_chunk(wide, asked.select("qid", "vector").join(lost.select("qid").distinct(), "qid", "left_semi"))).join(lost, ["qid", "note_id"])
+    out = ranked.join(own.select("qid", "note_id", F.col("idx").alias("own")), ["qid", "note_id"], "left")
+    return out.select("qid", "note_id", "rank", F.round("fused", 9).alias("score"), F.when(is_lexical, "text").otherwise("semantic").alias("match_kind"), F.coalesce("idx", "own").alias("best_idx"), is_lexical.alias("is_lexical"))
+
+
+def search_notes(index: DataFrame, notes: DataFrame, queries: DataFrame, *, store: Callable[[DataFrame], DataFrame] = stored, top_k_notes: int = 8, cutoff: float = 0.6, min_score: float = 0.0, limit: int | None = None, **stored: DataFrame) -> DataFrame:
     """The full search: hybrid hits and title and space matches of notes (id, title, updated_at, space_names) in one ranking."""
-    hits = hybrid_search(index, queries, top_k=top_k, min_score=min_score, cutoff=cutoff)
+    hits = hybrid_search(index, queries, store=store, top_k_notes=top_k_notes, min_score=min_score, cutoff=cutoff, **stored)
     content = hits.select("qid", "note_id", F.col("rank").alias("pos"), "score", "match_kind")
     return rank_notes(note_bonuses(queries, notes), content, recency_positions(notes), limit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WHITE, trim_white
+from corpusloom.operators.ranking import title_matches
 
 GENERAL = "general"
 COLORS = ("blue", "green", "amber", "red", "purple")
@@ -82,10 +83,13 @@ def recover_spaces(notes: DataFrame) -> DataFrame:
 
 def space_suggestions(queries: DataFrame, spaces: DataFrame, assigned: DataFrame) -> DataFrame:
     """(qid, kind, id, name): spaces not on the note yet whose name holds the query, and a `create` row without an exact
-    match. queries (qid, q, note_id) is the stated, small side; assigned is (note_id, space_id)."""
+    match. An empty query finds every space. queries is (qid, q, note_id), assigned (note_id, space_id)."""
     asked = queries.withColumn("trimmed", trim_white(F.col("q"))).withColumn("low", F.lower("trimmed"))
     custom = spaces.filter(F.col("id") != GENERAL).select("id", "name")
-    met = custom.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("low")))
+    named = custom.select(F.col("id").alias("note_id"), F.lower("name").alias("tc"))
+    pairs = title_matches(asked.select("qid", F.col("low").alias("qc")), named).select("qid", F.col("note_id").alias("id"))
+    every = custom.select("id", F.lit("").alias("low")).join(asked.filter("low = ''").select("qid", "low"), "low").select("qid", "id")
+    met = pairs.union(every).join(custom, "id").join(asked.select("qid", "note_id"), "qid")
     free = met.join(assigned.select("note_id", F.col("space_id").alias("id")), ["note_id", "id"], "left_anti")
     exact = custom.select(F.lower("name").alias("low")).distinct()
     create = asked.filter((F.col("low") != "") & (F.col("low") != GENERAL)).join(exact, "low", "left_anti")

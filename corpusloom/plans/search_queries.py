@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -26,10 +26,20 @@ def query(sql: str | None = None):
     return add
 
 
-def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notes' chunks with hashing vectors."""
+def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = V.spread(V.notes(spark, sf_dir)).transform(chunking.plan_chunks)
-    return V.stored(embedding.embed_chunks(planned, embedding.HashingEmbedder(DIMS)))
+    return embedding.embed_chunks(planned, embedding.HashingEmbedder(DIMS))
+
+
+#: The notes' chunks with hashing vectors, their postings and vocabulary: built once and read by every search.
+chunk_index = V.kept("chunk_index", _chunk_index)
+chunk_postings = V.kept("chunk_postings", lambda spark, sf_dir: lexical.postings_of_chunks(chunk_index(spark, sf_dir)))
+indexed_notes = V.kept("indexed_notes", lambda spark, sf_dir: chunk_index(spark, sf_dir).agg(F.count_distinct("note_id").alias("n")))
+chunk_vocab = V.kept("chunk_vocab", lambda spark, sf_dir: lexical.vocabulary(chunk_postings(spark, sf_dir), indexed_notes(spark, sf_dir)))
+
+
+def built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"postings": chunk_postings(spark, sf_dir), "vocab": chunk_vocab(spark, sf_dir), "n_docs": indexed_notes(spark, sf_dir)}
 
 
 def embedded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +142,15 @@ QUERIES["l2_normalize"], SQL["l2_normalize"] = QUERIES.pop("l2_normalize_"), SQL
 @query(
     S.with_(
         S.VEC,
-        f"d AS (SELECT qid, vec_id, round({S.product('vector', 'embedding')}, 6) AS score FROM vec_queries, vec_chunks)",
+        f"d AS (SELECT qid, vec_id, round({S.product('vector', 'embedding')}, 9) AS score FROM vec_queries, vec_chunks)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM d)",
-        body="SELECT * FROM r WHERE rank <= 5",
+        body="SELECT qid, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
     )
 )
 def dot_topk(spark, sf_dir):
-    scored = V.vec_chunks(spark, sf_dir).join(F.broadcast(V.vec_queries(spark, sf_dir)), how="cross").select("qid", "vec_id", F.round(dot(F.col("vector"), F.col("embedding")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")).cast("long")).filter("rank <= 5")
+    index = V.vec_chunks(spark, sf_dir).select(F.col("vec_id").alias("note_id"), F.lit(0).alias("idx"), "embedding")
+    best = dense.best_chunk(index, V.vec_queries(spark, sf_dir), k=5)
+    return dense.top_k(best, 5).select("qid", F.col("note_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -147,8 +158,8 @@ def embed_chunks(spark, sf_dir):
     return chunk_index(spark, sf_dir).select("note_id", "idx", F.size("embedding").alias("dims"), F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
-def note_postings(spark, sf_dir):
-    return V.stored(lexical.build_postings(V.spread(V.notes(spark, sf_dir))))
+note_postings = V.kept("note_postings", lambda spark, sf_dir: lexical.build_postings(V.spread(V.notes(spark, sf_dir))))
+note_vocab = V.kept("note_vocab", lambda spark, sf_dir: lexical.vocabulary(note_postings(spark, sf_dir), n_notes(spark, sf_dir)))
 
 
 @query(S.with_(S.NOTES, S.NOTE_POSTINGS, body="SELECT * FROM postings"))
@@ -169,13 +180,12 @@ def lexical_vocab(spark, sf_dir):
 
 @query(S.with_(S.NOTES, S.QUERIES, S.NOTE_POSTINGS, S.VOCAB, S.EXPANDED, body="SELECT qid, qterm, term, weight FROM expanded"))
 def prefix_expand(spark, sf_dir):
-    vocab = lexical.vocabulary(note_postings(spark, sf_dir), n_notes(spark, sf_dir))
-    return lexical.expand_terms(lexical.query_terms(V.note_queries(spark, sf_dir)), vocab).select("qid", "qterm", "term", "weight")
+    return lexical.expand_terms(lexical.query_terms(V.note_queries(spark, sf_dir)), note_vocab(spark, sf_dir)).select("qid", "qterm", "term", "weight")
 
 
 @query(S.with_(S.NOTES, S.QUERIES, S.NOTE_POSTINGS, S.VOCAB, S.EXPANDED, S.LEXICAL, body="SELECT qid, note_id, round(score, 6) AS score, in_title, rank FROM lexical WHERE rank <= 32"))
 def lexical_search(spark, sf_dir):
-    found = lexical.lexical_search(note_postings(spark, sf_dir), V.note_queries(spark, sf_dir), n_notes(spark, sf_dir), 32)
+    found = lexical.lexical_search(note_postings(spark, sf_dir), V.note_queries(spark, sf_dir), n_notes(spark, sf_dir), 32, vocab=note_vocab(spark, sf_dir))
     return found.select("qid", "note_id", F.round("score", 6).alias("score"), "in_title", F.col("rank").cast("long").alias("rank"))
 
 
@@ -197,45 +207,45 @@ def dense_same_model(spark, sf_dir):
     return dense.same_model(index, "new", 64).groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-def vec_best(spark, sf_dir):
-    queries = V.vec_queries(spark, sf_dir)
-    return dense.best_chunk(V.vec_chunks(spark, sf_dir), queries.select("qid", "vector"))
+def vec_best(spark, sf_dir, min_score, k=None):
+    return dense.best_chunk(V.vec_chunks(spark, sf_dir), V.vec_queries(spark, sf_dir), min_score, k)
 
 
-@query(S.with_(S.VEC, S.VEC_BEST, body="SELECT qid, note_id, idx, round(score, 6) AS score FROM vec_best"))
+@query(S.with_(S.VEC, S.VEC_BEST, body="SELECT qid, note_id, idx, round(score, 6) AS score FROM vec_best WHERE score >= 0.1"))
 def dense_best_chunk(spark, sf_dir):
-    return vec_best(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return vec_best(spark, sf_dir, 0.1).withColumn("score", F.round("score", 6))
 
 
 @query(S.with_(S.VEC, S.VEC_BEST, "r AS (SELECT qid, note_id, idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM vec_best WHERE score >= 0.1)", body="SELECT qid, note_id, idx, round(score, 6) AS score, rank FROM r WHERE rank <= 20"))
 def dense_search(spark, sf_dir):
-    found = dense.dense_search(vec_best(spark, sf_dir), 0.1, 20)
+    found = dense.dense_search(vec_best(spark, sf_dir, 0.1, 20), 0.1, 20)
     return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(S.with_(S.VEC, S.VEC_BEST, "o AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM vec_best WHERE score >= 0.1 AND note_id <> own)", body="SELECT qid, note_id, round(score, 6) AS score FROM o WHERE top <= 0.1 OR score >= 0.1 + 0.6 * (top - 0.1)"))
 def relative_cutoff(spark, sf_dir):
     own = V.vec_queries(spark, sf_dir).select("qid", "own")
-    others = vec_best(spark, sf_dir).join(F.broadcast(own), "qid").filter("note_id <> own")
-    return dense.relative_cutoff(dense.dense_search(others, 0.1), 0.6, 0.1).select("qid", "note_id", F.round("score", 6).alias("score"))
+    others = V.stored(vec_best(spark, sf_dir, 0.1).join(own, "qid").filter("note_id <> own"))
+    return dense.relative_cutoff(others, 0.6, 0.1).select("qid", "note_id", F.round("score", 6).alias("score"))
 
 
 @query(
     S.with_(
         S.VEC,
         S.VEC_BEST,
-        "a AS (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM vec_best WHERE score >= 0.1)",
-        "b AS (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY note_id * 7919 % 1009, note_id) AS rank FROM vec_best WHERE note_id % 2 = 0)",
+        "a AS (SELECT * FROM (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM vec_best WHERE score >= 0.1) WHERE rank <= 100)",
+        "b AS (SELECT * FROM (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY note_id * 7919 % 1009, note_id) AS rank FROM vec_best WHERE note_id % 2 = 0 AND score >= 0.1) WHERE rank <= 100)",
         "f AS (SELECT qid, note_id, a.rank AS r0, b.rank AS r1, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 12) AS s FROM a FULL OUTER JOIN b USING (qid, note_id))",
         "g AS (SELECT *, s / max(s) OVER (PARTITION BY qid) AS score FROM f)",
         body="SELECT qid, note_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, note_id) AS rank FROM g",
     )
 )
 def rrf_fuse(spark, sf_dir):
-    best = vec_best(spark, sf_dir)
-    first = dense.dense_search(best, 0.1).select("qid", "note_id", "rank")
-    order = Window.partitionBy("qid").orderBy(F.col("note_id") * 7919 % 1009, "note_id")
-    second = best.filter("note_id % 2 = 0").select("qid", "note_id", F.row_number().over(order).alias("rank"))
+    """The first hundred of two rankings of each query, fused."""
+    best = V.stored(vec_best(spark, sf_dir, 0.1))
+    first = dense.top_k(best, 100).select("qid", "note_id", "rank")
+    other = best.filter("note_id % 2 = 0").select("qid", "note_id", (-(F.col("note_id") * 7919 % 1009)).alias("score"))
+    second = dense.top_k(other, 100).select("qid", "note_id", "rank")
     return ranking.fuse_rankings([first, second]).select("qid", "note_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -244,7 +254,7 @@ _HYBRID = (S.NOTES, S.QUERIES, S.CHUNKS, S.CHUNK_VECTORS, S.QUERY_VECTORS, S.CHU
 
 @query(S.with_(*_HYBRID, body="SELECT qid, note_id, rank, round(score, 6) AS score, CASE WHEN is_lexical THEN 'text' ELSE 'semantic' END AS match_kind FROM placed WHERE rank <= 10"))
 def hybrid_search(spark, sf_dir):
-    hits = search.hybrid_search(chunk_index(spark, sf_dir), embedded_queries(spark, sf_dir), top_k=10, min_score=FLOOR, cutoff=0.6)
+    hits = search.hybrid_search(chunk_index(spark, sf_dir), embedded_queries(spark, sf_dir), store=V.stored, top_k_notes=10, min_score=FLOOR, cutoff=0.6, **built(spark, sf_dir))
     return hits.select("qid", "note_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "match_kind")
 
 
@@ -259,7 +269,7 @@ def hybrid_search(spark, sf_dir):
 )
 def snippets(spark, sf_dir):
     index, queries = chunk_index(spark, sf_dir), embedded_queries(spark, sf_dir)
-    hits = search.hybrid_search(index, queries, top_k=10, min_score=FLOOR, cutoff=0.6).select("qid", "note_id", "rank", "best_idx", "is_lexical")
+    hits = search.hybrid_search(index, queries, store=V.stored, top_k_notes=10, min_score=FLOOR, cutoff=0.6, **built(spark, sf_dir)).select("qid", "note_id", "rank", "best_idx", "is_lexical")
     out = search.pick_snippet(hits, index, queries.select("qid", "q"))
     return out.select("qid", "note_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_idx").cast("long").alias("chunk_idx"), F.md5(F.col("snippet").cast("binary")).alias("snippet"))
 
@@ -282,7 +292,7 @@ def space_signal(spark, sf_dir):
 @query(S.with_(*_BONUS, S.NOTE_POSTINGS, S.VOCAB, S.EXPANDED, S.LEXICAL, "content AS (SELECT qid, note_id, rank AS pos, score, 'text' AS match_kind FROM lexical WHERE rank <= 8)", S.ranked_notes("content", 20), body="SELECT qid, note_id, round(score, 6) AS score, match_kind, rank FROM top"))
 def rank_notes(spark, sf_dir):
     queries = V.note_queries(spark, sf_dir)
-    content = lexical.lexical_search(note_postings(spark, sf_dir), queries, n_notes(spark, sf_dir), 8)
+    content = lexical.lexical_search(note_postings(spark, sf_dir), queries, n_notes(spark, sf_dir), 8, vocab=note_vocab(spark, sf_dir))
     content = content.select("qid", "note_id", F.col("rank").alias("pos"), "score", F.lit("text").alias("match_kind"))
     notes = named_notes(spark, sf_dir)
     out = ranking.rank_notes(ranking.note_bonuses(queries, notes), content, ranking.recency_positions(notes), 20)
@@ -301,7 +311,7 @@ def rank_notes(spark, sf_dir):
     )
 )
 def search_notes(spark, sf_dir):
-    out = search.search_notes(chunk_index(spark, sf_dir), named_notes(spark, sf_dir), embedded_queries(spark, sf_dir), min_score=FLOOR, limit=20)
+    out = search.search_notes(chunk_index(spark, sf_dir), named_notes(spark, sf_dir), embedded_queries(spark, sf_dir), store=V.stored, min_score=FLOOR, limit=20, **built(spark, sf_dir))
     return out.select("qid", "note_id", F.round("score", 6).alias("score"), "match_kind", F.col("rank").cast("long").alias("rank"))
 
 

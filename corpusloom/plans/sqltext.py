@@ -205,7 +205,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0
 """
 VEC = """
 vec_chunks AS (SELECT vec_id // 5 AS note_id, (vec_id % 5 - 1)::INT AS idx, embedding, vec_id FROM embeddings),
-vec_queries AS (SELECT vec_id AS qid, vec_id // 5 AS own, embedding AS vector FROM embeddings WHERE vec_id < 10)
+vec_queries AS (SELECT vec_id AS qid, vec_id // 5 AS own, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)
 """
 VEC_BEST = f"""
 vec_dots AS (SELECT qid, own, note_id, idx, round({product('vector', 'embedding')}, 9) AS score FROM vec_queries, vec_chunks),

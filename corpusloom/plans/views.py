@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import scratch, stored  # noqa: F401
+
 #: Display names of the spaces that stand for languages.
 LANGUAGES = {"es": "Español", "fr": "Français", "de": "Deutsch", "en": "English"}
 EDGE_QUERIES = ((-1, "   "), (-2, "Deutsch"), (-3, "zzqqxx"))
@@ -18,26 +19,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores: the supplied files are few and their rows are heavy to process."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows dealt to all cores where the table has fewer file splits than there are cores; a large table stays as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir. Only a local master may leave it unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/notes-{uuid.uuid4().hex}"
+def kept(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A view that is stored once for each application and folder: indexes and inputs that many queries read."""
 
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = spark.sparkContext.applicationId, sf_dir, name
+        if key not in _kept:
+            _kept[key] = stored(make(spark, sf_dir))
+        return _kept[key]
 
-def stored(df: DataFrame) -> DataFrame:
-    """An index table: written once as Parquet and read by every step that needs it."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return get
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +77,7 @@ def vec_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("qid"), F.floor(F.col("vec_id") / 5).cast("long").alias("own"), F.col("embedding").alias("vector"))
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.floor(F.col("vec_id") / 5).cast("long").alias("own"), F.col("embedding").alias("vector"))
 
 
 def with_refs(spark: SparkSession, sf_dir: str) -> DataFrame:

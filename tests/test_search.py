@@ -1,5 +1,7 @@
 """Lexical, dense and merged rankings on small corpora."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,10 +97,43 @@ def test_full_search_meets_expectations(notes, spark):
     assert ranking.recent_notes(notes, 2).collect()[0]["id"] == "n5"
 
 
-def test_blocked_product_equals_expression(spark):
-    rows = [(n, i, [float(n + i), 1.0, -1.0 * i]) for n in range(6) for i in range(3)]
-    index = spark.createDataFrame(rows, "note_id long, idx int, embedding array<double>")
-    vectors = [(1, [1.0, 0.5, 0.0]), (2, [0.0, 0.0, -1.0])]
+def plain_best(rows, vectors):
+    """{(qid, note_id): (idx, score)} by loops."""
+    out = {}
+    for q, v in vectors:
+        for n, i, e in rows:
+            score = round(sum(a * b for a, b in zip(v, e)), 9)
+            if (q, n) not in out or (-score, i) < (-out[q, n][1], out[q, n][0]):
+                out[q, n] = i, score
+    return out
+
+
+def test_best_chunks_and_ranks_equal_loops(spark):
+    draw = random.Random(5)
+    rows = [(n, i, [draw.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]) for n in range(60) for i in range(4)]
+    index = spark.createDataFrame(rows, "note_id long, idx int, embedding array<double>").repartition(5)
+    vectors = [(q, [draw.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for q in range(7)]
     queries = spark.createDataFrame(vectors, "qid long, vector array<double>")
-    a = sorted(map(tuple, dense.best_chunk(index, queries).collect()))
-    assert a == sorted(map(tuple, dense.best_chunk_blocked(index, vectors).collect()))
+    want = plain_best(rows, vectors)
+    for block in (2, 4096):  # the number of queries in a block changes nothing
+        got = {(r["qid"], r["note_id"]): (r["idx"], r["score"]) for r in dense.best_chunk(index, queries, block=block).collect()}
+        assert got == want
+        got = {(r["qid"], r["note_id"]): (r["idx"], r["score"]) for r in dense.best_chunk(index, queries, 0.5, block=block).collect()}
+        assert got == {k: v for k, v in want.items() if v[1] >= 0.5}
+        firsts = dense.top_k(dense.best_chunk(index, queries, None, 4, block=block), 4).collect()
+        for q, _ in vectors:
+            order = sorted((-s, n) for (k, n), (_, s) in want.items() if k == q)
+            assert [(-r["score"], r["note_id"]) for r in sorted(firsts, key=lambda r: r["rank"]) if r["qid"] == q] == order[:4]
+    best = dense.best_chunk(index, queries)
+    ranks = {(r["qid"], r["note_id"]): r["rank"] for r in dense.ranks_of(best, best.filter("note_id % 7 = 1")).collect()}
+    for q, _ in vectors:
+        order = [n for _, n in sorted((-s, n) for (k, n), (_, s) in want.items() if k == q)]
+        assert all(ranks[q, n] == order.index(n) + 1 for n in range(1, 60, 7))
+    assert dense.best_chunk(index, queries.limit(0)).count() == 0
+
+
+def test_title_matches_by_parts(spark):
+    q = spark.createDataFrame([(1, "ion der"), (2, "a"), (3, "ab"), (4, ""), (5, "xyz"), (6, "tion derby")], "qid long, qc string")
+    t = spark.createDataFrame([("n1", "station derby"), ("n2", "ab"), ("n3", "")], "note_id string, tc string")
+    assert sorted(map(tuple, ranking.title_matches(q, t).collect())) == [(1, "n1"), (2, "n1"), (2, "n2"), (3, "n2"), (6, "n1")]
+    assert ranking.title_matches(q.limit(0), t).count() == 0
