@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
@@ -15,12 +17,16 @@ WORD = r"[\p{L}\p{N}]+"
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
+def _code_points() -> Iterator[str]:
+    """All characters that Unicode can take apart: none lies beyond U+2FFFF."""
+    return (chr(cp) for cp in range(0xA0, 0x30000) if not 0xD800 <= cp < 0xE000)
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
     """Composed letters and the single base letter that is left of each without its marks."""
     source, target = [], []
-    for cp in range(0xA0, 0x3000):
-        c = chr(cp)
+    for c in _code_points():
         base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
         if base != c and len(base) == 1:
             source.append(c)
@@ -28,6 +34,22 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=1)
+def _slug_table() -> tuple[str, str, str, str]:
+    """Characters whose compatibility decomposition holds a plain letter or digit: those that become one character, with it,
+    and a class and a JSON map of those that become several. All others are no part of a slug."""
+    source, target, longer = [], [], {}
+    for c in _code_points():
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
+        if base != c and any(x.isascii() and x.isalnum() for x in base):
+            if len(base) == 1:
+                source.append(c)
+                target.append(base)
+            else:
+                longer[c] = base
+    return "".join(source), "".join(target), "[" + "".join(longer) + "]", json.dumps(longer)
+
+
 @lru_cache(maxsize=1)
 def _diacritics() -> str:
     """A class of all characters with the Diacritic property, from the Unicode data in Spark's own jars."""
@@ -69,8 +91,11 @@ def collapse(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    source, target = _fold_table()
-    plain = F.lower(F.regexp_replace(F.translate(c, source, target), r"[\u0300-\u036F]", ""))
+    source, target, several, table = _slug_table()
+    spelled = F.from_json(F.lit(table), "map<string,string>")
+    wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(spelled[x], x)), "")
+    whole = F.when(c.rlike(several), wide).otherwise(c)
+    plain = F.lower(F.regexp_replace(F.translate(whole, source, target), r"[\u0300-\u036F]", ""))
     slug = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(F.left(slug, F.lit(80)) == "", "untitled").otherwise(F.left(slug, F.lit(80)))
 

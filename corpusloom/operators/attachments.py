@@ -10,7 +10,7 @@ from corpusloom.functions.text import is_safe_relative_path
 #: The types that may be stored, and the largest size.
 EXTENSIONS = {"image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/webp": "webp"}
 LARGEST = 10 * 1024 * 1024
-LINK = r"!\[[^\]]*\]\((attachments/[^)\s]+)\)"
+LINK = r"!\[[^\]]*\]\((attachments/[^)]+)\)"
 SOURCE = r"<img[^>]*\ssrc=[\"'](attachments/[^\"']+)[\"']"
 
 

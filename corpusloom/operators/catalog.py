@@ -38,6 +38,15 @@ def reconcile(parsed: DataFrame, rejected: DataFrame, prior: DataFrame) -> tuple
     return dedupe_by_id(parsed.select(*columns).unionByName(kept)), skipped
 
 
+def reconcile_report(prior: DataFrame, kept: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row: records added, removed and changed by a reconciliation, and files skipped."""
+    columns = [c for c in kept.columns if c in prior.columns and c != "id"]
+    old = prior.select(F.col("id").alias("_id"), F.struct(*columns).alias("_old"))
+    both = kept.select("id", F.struct(*columns).alias("_new")).join(old, F.col("id") == F.col("_id"), "full_outer")
+    counts = both.agg(F.count_if(F.col("_id").isNull()).alias("n_added"), F.count_if(F.col("id").isNull()).alias("n_removed"), F.count_if(F.col("id").isNotNull() & F.col("_id").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old"))).alias("n_changed"))
+    return counts.join(F.broadcast(skipped.agg(F.count(F.lit(1)).alias("n_skipped"))))  # one row each
+
+
 def rebuild_catalog(parsed: DataFrame, rejected: DataFrame) -> dict[str, DataFrame]:
     """Catalogue, references, recovered spaces and skipped files from the files alone, and a report of one row."""
     notes = dedupe_by_id(parsed)

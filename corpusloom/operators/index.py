@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_fingerprint
 from corpusloom.operators.chunking import plan_chunks
 from corpusloom.operators.embedding import Embedder, embed_chunks
+from corpusloom.sources.tables import stored
 
 SCHEMA_VERSION = 3
 KINDS = ("title", "body")
@@ -62,7 +65,7 @@ def ensure_manifest(indexed: DataFrame, profile: Profile) -> DataFrame:
     return indexed.filter((F.col("model_id") == profile.model_id) & (F.col("dimensions") == profile.dimensions) & (F.col("schema_version") == profile.schema_version))
 
 
-def validate_index(df: DataFrame) -> DataFrame:
+def validate_index(df: DataFrame, others: Sequence[str] = ()) -> DataFrame:
     """df (note_id, idx, kind, offset, length, dimensions, embedding, inline_embedding) in the current shape, with a reason
     where a record is not valid. Older records hold their vectors inline."""
     vector = F.coalesce("embedding", "inline_embedding")
@@ -74,20 +77,24 @@ def validate_index(df: DataFrame) -> DataFrame:
         .when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "vector value")
     )
     upgraded = F.col("embedding").isNull() & F.col("inline_embedding").isNotNull()
-    return df.select("note_id", "idx", "kind", "offset", "length", "dimensions", vector.alias("embedding"), upgraded.alias("upgraded"), reason.alias("reason"))
+    return df.select("note_id", "idx", "kind", *others, "offset", "length", "dimensions", vector.alias("embedding"), upgraded.alias("upgraded"), reason.alias("reason"))
 
 
 def progress_percent(done: int, total: int) -> int:
     return 100 if total <= 0 else min(100, max(0, round(100 * done / total)))
 
 
-def full_reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
-    """One row: pruned, embedded, skipped and orphan attachments of a full pass."""
+def full_reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, attachments: DataFrame, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(headers, chunks, orphans, report) of a full pass: records of notes that are gone are pruned, stale notes embedded
+    anew, attachments without a reference swept. The report is one row of counts of what was done."""
     from corpusloom.operators.attachments import orphan_attachments
 
     kept, dropped = prune_orphans(indexed, notes)
-    plan = plan_reindex(notes, kept, Profile(embedder.id, embedder.dimensions))
-    counts = plan.agg(F.count_if("stale").alias("n_embedded"), F.count_if(~F.col("stale")).alias("n_skipped"))
-    pruned = dropped.agg(F.count(F.lit(1)).alias("n_pruned"))
-    orphans = orphan_attachments(stored, notes).agg(F.count(F.lit(1)).alias("n_orphans"))
-    return counts.join(F.broadcast(pruned)).join(F.broadcast(orphans)).select("n_pruned", "n_embedded", "n_skipped", "n_orphans")
+    new_headers, new_chunks, plan = reindex(notes, kept, prune_orphans(chunks, notes)[0], embedder)
+    new_headers, new_chunks, plan, orphans = store(new_headers), store(new_chunks), store(plan), store(orphan_attachments(attachments, notes))
+    n = lambda df, name, kind=None: df.agg((F.count(F.lit(1)) if kind is None else F.count_if(kind)).alias(name))
+    counts = [n(dropped, "n_pruned"), n(plan, "n_embedded", F.col("stale")), n(plan, "n_skipped", ~F.col("stale")), n(orphans, "n_orphans"), n(new_headers, "n_headers"), n(new_chunks, "n_chunks")]
+    report = counts[0]
+    for c in counts[1:]:
+        report = report.join(F.broadcast(c))  # one row each
+    return new_headers, new_chunks, orphans, report

@@ -44,14 +44,19 @@ def listed(notes: DataFrame) -> DataFrame:
     return notes.withColumn("space_ids", spaces.parse_space_ids(F.col("space_ids")))
 
 
-def raw_files(spark, sf_dir) -> DataFrame:
+def _raw_files(n: DataFrame) -> DataFrame:
     """(path, raw): rendered notes, every 17th with a header that isn't closed, every 19th without its title."""
-    n = V.notes(spark, sf_dir)
     r = ingest.render_notes(n).join(n.select("id", "doc_id"), "id")
     raw = F.when(F.col("doc_id") % 17 == 0, F.replace("text", F.lit("\n---"), F.lit("\n--"))).when(F.col("doc_id") % 19 == 0, F.regexp_replace("text", "\ntitle: [^\n]*", "")).otherwise(F.col("text"))
     return r.select("path", raw.alias("raw"))
 
 
+#: The files that the queries below parse, written once: making them is no part of any operator.
+raw_files = V.kept("raw_files", lambda spark, sf_dir: _raw_files(V.notes(spark, sf_dir)))
+raw_files_with_refs = V.kept("raw_files_with_refs", lambda spark, sf_dir: _raw_files(V.with_refs(spark, sf_dir)))
+catalog_notes = V.kept("catalog_notes", lambda spark, sf_dir: with_path(V.notes(spark, sf_dir)).drop("body"))
+
+
 PATH = S.path("title", "id", "created_at")
 FILES = f"""
 files AS (SELECT *, {PATH} AS path, regexp_replace({S.canonical('body')}, '\\n+$', '') AS parsed_body,
@@ -85,7 +90,7 @@ def render_notes(spark, sf_dir):
     )
 )
 def parse_notes(spark, sf_dir):
-    notes, rejected = ingest.parse_notes(V.spread(raw_files(spark, sf_dir)))
+    notes, rejected = ingest.parse_notes(V.spread(raw_files(spark, sf_dir)), V.stored)
     good = notes.select("path", "id", "title", "updated_at", F.array_join("space_ids", ",").alias("space_ids"), F.md5(F.col("body").cast("binary")).alias("body"), F.lit(None).cast("string").alias("reason"))
     return good.unionByName(rejected, allowMissingColumns=True)
 
@@ -156,7 +161,7 @@ def reindex_incremental(spark, sf_dir):
     headers, chunks, plan = index.reindex(n, old, stored, model)
     folder = V.scratch(spark)
     ingest.write_index(chunks, folder)
-    per = ingest.read_index(spark, folder).groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    per = ingest.read_index(spark, folder)[0].groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     flags = plan.select(F.col("id").alias("note_id"), F.col("stale").alias("embedded"))
     return headers.join(flags, "note_id").join(per, "note_id", "left").select("note_id", "content_hash", "model_id", "embedded", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
@@ -180,13 +185,16 @@ def index_model_change(spark, sf_dir):
         "live AS (SELECT * FROM plan WHERE doc_id % 9 <> 4)",
         "blob AS (SELECT DISTINCT sha256(text) AS h FROM documents)",
         "used AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 9 <> 4)",
-        body="SELECT (SELECT count(*) FROM notes WHERE doc_id % 5 <> 0 AND doc_id % 9 = 4) AS n_pruned, (SELECT count(*) FROM live WHERE stale) AS n_embedded, (SELECT count(*) FROM live WHERE NOT stale) AS n_skipped, (SELECT count(*) FROM blob WHERE h NOT IN (SELECT h FROM used)) AS n_orphans",
+        S.CHUNKS,
+        body="SELECT (SELECT count(*) FROM notes WHERE doc_id % 5 <> 0 AND doc_id % 9 = 4) AS n_pruned, (SELECT count(*) FROM live WHERE stale) AS n_embedded, (SELECT count(*) FROM live WHERE NOT stale) AS n_skipped, (SELECT count(*) FROM blob WHERE h NOT IN (SELECT h FROM used)) AS n_orphans, (SELECT count(*) FROM live) AS n_headers, (SELECT count(*) FROM chunks JOIN live ON note_id = live.id) AS n_chunks",
     )
 )
 def full_reindex_report(spark, sf_dir):
-    n = V.with_refs(spark, sf_dir)
-    stored = attachments.extract_refs(n).select("path").distinct()
-    return index.full_reindex(n.filter("doc_id % 9 <> 4"), old_headers(spark, sf_dir, V.with_refs), None, stored, embedding.HashingEmbedder(32))
+    """A whole pass over an index of four fifths of the notes: pruned, embedded, swept and counted."""
+    n, model = V.spread(V.with_refs(spark, sf_dir)), embedding.HashingEmbedder(32)
+    attached = attachments.extract_refs(n).select("path").distinct()
+    old = embedding.embed_chunks(chunking.plan_chunks(n.filter("doc_id % 5 <> 0")), model).withColumn("model_id", F.lit(model.id))
+    return index.full_reindex(n.filter("doc_id % 9 <> 4"), old_headers(spark, sf_dir, V.with_refs), old, attached, model, V.stored)[3]
 
 
 # catalogue
@@ -217,7 +225,7 @@ def reconcile_diff(spark, sf_dir):
     return catalog.reconcile_diff(n.filter("doc_id % 5 <> 0"), n.filter("doc_id % 7 <> 0"))
 
 
-@query("SELECT 'same' AS pair, false AS changed UNION ALL SELECT 'edited', true UNION ALL SELECT 'shorter', true UNION ALL SELECT 'no prior', true")
+@query("SELECT 'same' AS pair, count_if(NOT true) > 0 AS changed FROM documents UNION ALL SELECT 'edited', count_if(doc_id % 10 = 3) > 0 FROM documents UNION ALL SELECT 'shorter', count_if(NOT doc_id % 10 <> 3) > 0 FROM documents UNION ALL SELECT 'no prior', true")
 def snapshot_changed(spark, sf_dir):
     n = V.notes(spark, sf_dir).select("id", "doc_id", "title", "space_ids")
     edited = n.withColumn("title", F.when(F.col("doc_id") % 10 == 3, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
@@ -233,13 +241,28 @@ kept AS (SELECT id, title, path, {S.iso('updated_at')} AS updated_at, 'file' AS
 
 @query(S.with_(S.NOTES, FILES, _RECONCILED, body="SELECT id, title, path, updated_at, NULL AS reason FROM kept UNION ALL SELECT NULL, NULL, path, NULL, reason FROM files WHERE reason IS NOT NULL AND doc_id % 2 <> 0"))
 def reconcile(spark, sf_dir):
-    parsed, rejected = ingest.parse_notes(V.spread(raw_files(spark, sf_dir)))
-    prior = with_path(V.notes(spark, sf_dir)).filter("doc_id % 2 = 0").select("id", F.lit("prior").alias("title"), "path", F.lit("2022").alias("created_at"), F.lit("2023").alias("updated_at"), spaces.parse_space_ids(F.col("space_ids")).alias("space_ids"))
-    kept, skipped = catalog.reconcile(parsed, rejected, prior)
+    """The catalogue after reconciling; its snapshot is written where it changed, and read again."""
+    kept, skipped, prior = reconciled(spark, sf_dir)
+    folder = V.scratch(spark)
+    kept = V.stored(kept)
+    if ingest.write_catalog(kept, folder, catalog.snapshot_changed(prior, kept)):
+        kept = spark.read.schema(kept.schema).parquet(folder)
     none = F.lit(None).cast("string")
     return kept.select("id", "title", "path", "updated_at", none.alias("reason")).union(skipped.select(none, none, "path", none, "reason"))
 
 
+def reconciled(spark, sf_dir):
+    parsed, rejected = ingest.parse_notes(V.spread(raw_files(spark, sf_dir)), V.stored)
+    prior = catalog_notes(spark, sf_dir).filter("doc_id % 2 = 0").select("id", F.lit("prior").alias("title"), "path", F.lit("2022").alias("created_at"), F.lit("2023").alias("updated_at"), spaces.parse_space_ids(F.col("space_ids")).alias("space_ids"))
+    return *catalog.reconcile(parsed, rejected, prior), prior
+
+
+@query(S.with_(S.NOTES, FILES, _RECONCILED, body="SELECT count_if(doc_id % 2 <> 0 AND reason IS NULL) AS n_added, 0 AS n_removed, count_if(doc_id % 2 = 0 AND reason IS NULL) AS n_changed, count_if(reason IS NOT NULL AND doc_id % 2 <> 0) AS n_skipped FROM files"))
+def reconcile_report(spark, sf_dir):
+    kept, skipped, prior = reconciled(spark, sf_dir)
+    return catalog.reconcile_report(prior, kept, skipped)
+
+
 @query(
     S.with_(
         S.NOTES,
@@ -250,10 +273,7 @@ def reconcile(spark, sf_dir):
     )
 )
 def rebuild_catalog(spark, sf_dir):
-    n = V.with_refs(spark, sf_dir)
-    r = ingest.render_notes(n).join(n.select("id", "doc_id"), "id")
-    raw = F.when(F.col("doc_id") % 17 == 0, F.replace("text", F.lit("\n---"), F.lit("\n--"))).when(F.col("doc_id") % 19 == 0, F.regexp_replace("text", "\ntitle: [^\n]*", "")).otherwise(F.col("text"))
-    parsed, rejected = ingest.parse_notes(V.spread(r.select("path", raw.alias("raw"))))
+    parsed, rejected = ingest.parse_notes(V.spread(raw_files_with_refs(spark, sf_dir)), V.stored)
     return catalog.rebuild_catalog(parsed, rejected)["report"]
 
 
@@ -463,7 +483,9 @@ def attachment_policy(spark, sf_dir):
     return attachments.with_policy(V.blobs(spark, sf_dir)).select("doc_id", "ext", F.col("size").cast("long").alias("size"), "reason")
 
 
-@query()
+@query(
+    "WITH h AS (SELECT page_id, url, regexp_extract_all(html, '<img[^>]*\\ssrc=[\"'']data:image/(png|jpeg|gif|webp);base64,') AS own FROM pages) SELECT page_id, len(own)::INT AS n, 'image/png' AS mime, url FROM h WHERE len(own) = 0"
+)
 def inline_images(spark, sf_dir):
     """Pages with two images put in: the page's URL as a PNG, and one of a type that isn't allowed."""
     image = lambda mime: F.concat(F.lit(f'<img class="x" src="data:{mime};base64,'), F.base64(F.col("url").cast("binary")), F.lit('">'))
@@ -495,19 +517,17 @@ def first_occurrence(spark, sf_dir):
     return streams.first_occurrence(edits(spark, sf_dir), ["key", "event_type"]).select("key", "event_type")
 
 
-@query()
+@query(S.with_(S.NOTES, S.NOTE_POSTINGS, body="SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY term"))
 def stream_reindex(spark, sf_dir):
-    """Notes streamed from files in several micro-batches; each batch replaces its notes' postings."""
+    """Edits streamed from files in several micro-batches, every third note saved twice; the last save of a note is what stays."""
     folder, where, state = V.scratch(spark), V.scratch(spark), V.scratch(spark)
-    saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at")
-    saved.repartition(4, "id").write.parquet(folder)
-    stream = spark.readStream.schema(saved.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-
-    def apply_batch(batch: DataFrame, number: int) -> None:
-        lexical.build_postings(batch.dropDuplicates(["id"])).write.mode("overwrite").parquet(f"{where}/batch={number}")
-
-    streams.stream_reindex(stream, apply_batch, state).awaitTermination()
-    return spark.read.parquet(where).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at", "doc_id")
+    earlier = saved.filter("doc_id % 3 = 0").withColumns({"title": F.lit("draft"), "body": F.concat(F.lit("old words of "), "id"), "updated_at": F.col("updated_at") - F.expr("interval 1 hour")})
+    edits = saved.union(earlier).drop("doc_id")
+    edits.repartition(4, "id", "title").write.parquet(folder)
+    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    streams.stream_reindex(stream, streams.index_batch(where, embedding.HashingEmbedder(32)), state).awaitTermination()
+    return streams.current(spark.read.parquet(f"{where}/postings")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 _CASES = """

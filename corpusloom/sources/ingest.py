@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import canonical_body, is_safe_relative_path, note_path, quote, trim_white, unquote
-from corpusloom.operators.spaces import parse_space_ids, serialize_space_ids
+from corpusloom.operators.index import validate_index
+from corpusloom.operators.spaces import COLORS, parse_space_ids, serialize_space_ids
 
 FIELDS = ("id", "title", "createdAt", "updatedAt", "spaceIds")
 REQUIRED = FIELDS[:4]
@@ -60,8 +63,9 @@ def _header_value(lines: Column, field: str) -> Column:
     return unquote(trim_white(F.substring(last, F.instr(last, F.lit(":")) + 1, F.length(last))))
 
 
-def parse_notes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(notes, rejected) from (path, raw). A file that can't be read is rejected with a reason and stops nothing."""
+def parse_notes(raw: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(notes, rejected) from (path, raw). A file that can't be read is rejected with a reason and stops nothing. With store, which
+    writes a table and reads it again, every file is parsed once for both."""
     text = F.regexp_replace("raw", "\r\n", "\n")
     close = F.locate("\n---", F.col("t"), 4)
     parts = raw.select("path", text.alias("t")).withColumn("close", close)
@@ -73,7 +77,7 @@ def parse_notes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     missing = F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED)))
     reason = F.when(F.col("t").isNull() | ~F.startswith("t", F.lit("---\n")), "no header").when(F.col("close") == 0, "header not closed").when(F.exists("lines", lambda x: F.instr(x, F.lit(":")) == 0), "header line without a colon").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
     # one row made of one row: the filters below can't be moved under it and parse every file anew
-    parts = parts.select("path", F.inline(F.array(F.struct(*FIELDS, "body", reason.alias("reason")))))
+    parts = store(parts.select("path", F.inline(F.array(F.struct(*FIELDS, "body", reason.alias("reason"))))))
     notes = parts.filter("reason is null").select("id", "title", "body", "path", F.col("createdAt").alias("created_at"), F.col("updatedAt").alias("updated_at"), parse_space_ids(F.col("spaceIds")).alias("space_ids"))
     return notes, parts.filter("reason is not null").select("path", "reason")
 
@@ -98,14 +102,37 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, bad.union(corrupt)
 
 
-def read_spaces(spark: SparkSession, path: str) -> DataFrame:
-    record = "id:string,name:string,colorId:string,description:string,createdAt:string,updatedAt:string"
-    return spark.read.json(path, multiLine=True, schema=f"version int, spaces array<struct<{record}>>").select(F.inline("spaces"))
+def _checked(docs: DataFrame, rows: DataFrame, name: str, checks: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """rows (file, pos, ...) of documents without a bad row, and (file, reason) of the others; the reason names the first bad row."""
+    reasons = F.array_compact(F.array(*checks))
+    found = rows.withColumn("_reasons", reasons).filter(F.size("_reasons") > 0)
+    bad = found.groupBy("file").agg(F.min_by(F.concat(F.lit(f"{name}["), F.col("pos").cast("string"), F.lit("]: "), F.col("_reasons")[0]), "pos").alias("reason"))
+    corrupt = docs.filter("rows is null").select("file", F.lit(f"no {name}").alias("reason"))
+    return rows.join(bad.select("file"), "file", "left_anti"), bad.union(corrupt)
+
+
+def _documents(spark: SparkSession, path: str, kind: str, name: str) -> DataFrame:
+    docs = spark.read.json(path, multiLine=True, schema=f"version int, {name} {kind}, _corrupt_record string", columnNameOfCorruptRecord="_corrupt_record")
+    return docs.select(F.col("_metadata.file_path").alias("file"), F.col(name).alias("rows"))
+
 
+def read_spaces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of JSON documents {version, spaces}; one bad row rejects its document, with a reason naming it."""
+    fields = ("id", "name", "colorId", "description", "createdAt", "updatedAt")
+    docs = _documents(spark, path, f"array<struct<{','.join(f'{f}:string' for f in fields)}>>", "spaces")
+    rows = docs.select("file", F.posexplode("rows").alias("pos", "r")).select("file", "pos", "r.*")
+    checks = [F.when(F.col(f).isNull(), F.lit(f"{f} is missing")) for f in fields if f != "description"]
+    good, bad = _checked(docs, rows, "spaces", [*checks, F.when(~F.col("colorId").isin(*COLORS), F.lit("colorId is unknown"))])
+    return good.select(*fields), bad
 
-def read_refs(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.json(path, multiLine=True, schema="version int, refs map<string,array<string>>")
-    return docs.select(F.explode("refs").alias("path", "ids")).select("path", F.explode("ids").alias("note_id"))
+
+def read_refs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((path, note_id), rejected) of JSON documents {version, refs}; a list that is missing or holds no text rejects its document."""
+    docs = _documents(spark, path, "map<string,array<string>>", "refs")
+    rows = docs.select("file", F.posexplode("rows").alias("pos", "path", "ids"))
+    bad_ids = F.col("ids").isNull() | F.exists("ids", lambda x: x.isNull() | (x == ""))
+    good, bad = _checked(docs, rows, "refs", [F.when(bad_ids, F.concat(F.lit("an id is missing: "), "path"))])
+    return good.select("path", F.explode("ids").alias("note_id")), bad
 
 
 def write_catalog(catalog: DataFrame, path: str, changed: bool) -> bool:
@@ -121,6 +148,18 @@ def write_index(chunks: DataFrame, path: str, buckets: int = 16) -> None:
     keyed.repartition("model_id", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "bucket").parquet(path)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The current index; files of another shape are left out by validate_index."""
-    return spark.read.parquet(path)
+INDEX = "note_id string, idx int, kind string, text string, offset int, length int, dimensions int, embedding array<double>, model_id string, inline_embedding array<double>"
+
+
+def read_index(spark: SparkSession, path: str, legacy: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejected): the index below path, with the older JSON records below `legacy`, in the current shape.
+
+    Files that are no Parquet are passed over, records that are not valid are rejected with a reason; vectors that
+    older records hold inline are moved to their column. Neither stops the rest.
+    """
+    records = spark.read.schema(INDEX).option("ignoreCorruptFiles", "true").parquet(path)
+    if legacy:
+        records = records.unionByName(spark.read.schema(INDEX).json(legacy))
+    records = records.withColumn("dimensions", F.coalesce("dimensions", F.size(F.coalesce("embedding", "inline_embedding"))))
+    checked = validate_index(records, ["text", "model_id"])
+    return checked.filter("reason is null").drop("reason", "upgraded"), checked.filter("reason is not null").select("note_id", "idx", "reason")

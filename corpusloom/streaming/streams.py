@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusloom.operators.chunking import plan_chunks
+from corpusloom.operators.embedding import Embedder, embed_chunks
+from corpusloom.operators.lexical import build_postings
+from corpusloom.sources.tables import stored
+
 
 def debounce(events: DataFrame, key: str, ts: str, gap: str, watermark: str | None = None, tie: str | None = None) -> DataFrame:
     """(key, burst_start, last_ts, n_edits, payload): a burst ends with a silent gap and only its last edit stays.
@@ -32,3 +37,28 @@ def first_occurrence(rows: DataFrame, keys: list[str], ts: str | None = None, wa
 def stream_reindex(stream: DataFrame, apply_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Apply each micro-batch of saved notes to an index. apply_batch must give the same result when a batch is repeated."""
     return stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], None]:
+    """A function that writes a micro-batch of saved notes (id, title, body, updated_at) as postings and embedded chunks.
+
+    Of several saves of a note in a batch the last one is taken. A batch has its own folder, which a repeated batch
+    overwrites; what a later save replaces is left out by current() when the tables are read.
+    """
+
+    def apply_batch(batch: DataFrame, number: int) -> None:
+        columns = [c for c in batch.columns if c != "id"]
+        last = batch.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("updated_at", F.xxhash64("title", "body"))).alias("n")).select("id", "n.*")
+        last = stored(last)
+        times = last.select(F.col("id").alias("note_id"), "updated_at")
+        build_postings(last).join(times, "note_id").write.mode("overwrite").parquet(f"{where}/postings/batch={number}")
+        embed_chunks(plan_chunks(last), embedder).select("note_id", "idx", "kind", "text", "offset", "length", "embedding").join(times, "note_id").write.mode("overwrite").parquet(f"{where}/chunks/batch={number}")
+
+    return apply_batch
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """The rows (note_id, updated_at, batch, ...) of each note's last save; of equal times the later batch."""
+    last = rows.groupBy(F.col("note_id").alias("_id")).agg(F.max(F.struct("updated_at", "batch")).alias("_last"))
+    kept = rows.join(last, (F.col("note_id") == F.col("_id")) & (F.col("updated_at") == F.col("_last.updated_at")) & (F.col("batch") == F.col("_last.batch")))
+    return kept.drop("_id", "_last")

@@ -52,9 +52,9 @@ def test_json_documents(spark, tmp_path):
     assert [r["id"] for r in rows.collect()] == ["a"]
     assert sorted(r["reason"] for r in rejected.collect()) == ["not a catalogue", "notes[0]: path is not safe"]
     (tmp_path / "refs.json").write_text('{"version": 1, "refs": {"attachments/x.png": ["a", "b"]}}')
-    assert ingest.read_refs(spark, f"file://{tmp_path}/refs.json").count() == 2
-    (tmp_path / "spaces.json").write_text('{"version": 1, "spaces": [{"id": "s", "name": "S", "colorId": "red"}]}')
-    assert ingest.read_spaces(spark, f"file://{tmp_path}/spaces.json").first()["name"] == "S"
+    assert ingest.read_refs(spark, f"file://{tmp_path}/refs.json")[0].count() == 2
+    (tmp_path / "spaces.json").write_text('{"version": 1, "spaces": [{"id": "s", "name": "S", "colorId": "red", "createdAt": "1", "updatedAt": "2"}]}')
+    assert ingest.read_spaces(spark, f"file://{tmp_path}/spaces.json")[0].first()["name"] == "S"
     assert ingest.write_catalog(rows, f"file://{tmp_path}/out", False) is False and ingest.write_catalog(rows, f"file://{tmp_path}/out", True) is True
 
 
@@ -159,3 +159,53 @@ def test_generator_is_the_seeded_sequence(spark):
         assert r["body"] == " ".join(out)
     again = generate.generate_corpus(spark, 3, 2, 42).collect()
     assert sorted(again) == sorted(rows)
+
+
+def test_spaces_and_references_are_validated(spark, tmp_path):
+    for name, text in {
+        "good": '{"version": 1, "spaces": [{"id": "s", "name": "S", "colorId": "red", "createdAt": "1", "updatedAt": "2"}]}',
+        "bad": '{"version": 1, "spaces": [{"id": "a", "name": "A", "colorId": "red", "createdAt": "1", "updatedAt": "2"}, {"id": "b", "colorId": "red", "createdAt": "1", "updatedAt": "2"}]}',
+        "none": '{"version": 1}',
+    }.items():
+        (tmp_path / "s").mkdir(exist_ok=True)
+        (tmp_path / f"s/{name}.json").write_text(text)
+    rows, bad = ingest.read_spaces(spark, f"file://{tmp_path}/s")
+    assert [r["id"] for r in rows.collect()] == ["s"]
+    assert sorted(r["reason"] for r in bad.collect()) == ["no spaces", "spaces[1]: name is missing"]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/a.json").write_text('{"version": 1, "refs": {"attachments/x.png": ["a", null]}}')
+    (tmp_path / "r/b.json").write_text('{"version": 1, "refs": {"attachments/y.png": ["b"]}}')
+    rows, bad = ingest.read_refs(spark, f"file://{tmp_path}/r")
+    assert [tuple(r) for r in rows.collect()] == [("attachments/y.png", "b")]
+    assert [r["reason"] for r in bad.collect()] == ["refs[0]: an id is missing: attachments/x.png"]
+
+
+def test_index_reading_passes_over_broken_files(spark, tmp_path):
+    record = ("n1", 0, "body", "t", 0, 1, 2, [1.0, 2.0], "m", None)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/x.json").write_text('{"note_id": "n2", "idx": 0, "kind": "body", "text": "t", "offset": 0, "length": 1, "model_id": "m", "inline_embedding": [1.0, 0.0]}\n{"note_id": "n3", "idx": 0, "kind": "odd", "offset": 0, "length": 1, "inline_embedding": [1.0]}')
+    spark.createDataFrame([record], ingest.INDEX).coalesce(1).write.parquet(f"file://{tmp_path}/index")
+    (tmp_path / "index/broken.parquet").write_bytes(b"no parquet at all")
+    good, bad = ingest.read_index(spark, f"file://{tmp_path}/index", f"file://{tmp_path}/old")
+    assert sorted((r["note_id"], r["embedding"]) for r in good.collect()) == [("n1", [1.0, 2.0]), ("n2", [1.0, 0.0])]
+    assert [(r["note_id"], r["reason"]) for r in bad.collect()] == [("n3", "unknown kind")]
+
+
+def test_last_save_of_a_note_stays(spark, tmp_path):
+    from corpusloom.operators.embedding import HashingEmbedder
+    from corpusloom.streaming import streams
+
+    save = streams.index_batch(f"file://{tmp_path}/ix", HashingEmbedder(8))
+    rows = [("a", "One", "first words", 1), ("b", "Two", "other words", 1), ("a", "One", "second words", 2)]
+    make = lambda rs: spark.createDataFrame(rs, "id string, title string, body string, updated_at long")
+    save(make(rows), 0)
+    save(make([("b", "Two", "newer text", 3), ("a", "One", "stale words", 0)]), 1)
+    save(make([("b", "Two", "newer text", 3), ("a", "One", "stale words", 0)]), 1)  # a batch that is repeated
+    terms = {(r["note_id"], r["term"]) for r in streams.current(spark.read.parquet(f"file://{tmp_path}/ix/postings")).collect()}
+    assert ("a", "second") in terms and ("b", "newer") in terms and not terms & {("a", "first"), ("a", "stal"), ("b", "other")}
+    assert streams.current(spark.read.parquet(f"file://{tmp_path}/ix/chunks")).filter("kind = 'body'").count() == 2
+
+
+def test_attachment_paths_with_white_space_are_found(spark):
+    df = spark.createDataFrame([("n", "![x](attachments/my file.png) and ![y](attachments/b.png)")], "id string, body string")
+    assert sorted(r["path"] for r in attachments.build_refs(df).collect()) == ["attachments/b.png", "attachments/my file.png"]

@@ -103,3 +103,17 @@ def test_three_hashing_embedders_agree(spark):
 def test_vectors(spark):
     assert one(spark, V.dot(F.col("a"), F.col("b")), a=[1.0, 2.0, 3.0], b=[4.0, 5.0]) == 14.0
     assert one(spark, V.l2_normalize(F.col("a")), a=[3.0, 4.0]) == [0.6, 0.8] and one(spark, V.l2_normalize(F.col("a")), a=[0.0, 0.0]) == [0.0, 0.0]
+
+
+def test_composed_letters_of_all_planes(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+
+    rows = spark.createDataFrame([("がぎ ﬁne ﾊﾟ",), ("Ⅷ ﬁn ½ ｆｕｌｌ ① ㎏",), ("Crème brûlée",)], "t string")
+    folded, slugs = zip(*((r["f"], r["s"]) for r in rows.select(T.fold_text(F.col("t")).alias("f"), T.slugify(F.col("t")).alias("s")).collect()), strict=True)
+    assert folded[0].startswith("かき") and folded[2] == "creme brulee"
+    plain = lambda t: "-".join("".join(c if c.isascii() and c.isalnum() else " " for c in "".join(x for x in unicodedata.normalize("NFKD", t) if not "̀" <= x <= "ͯ").lower()).split())
+    assert list(slugs) == [plain(r["t"]) for r in rows.collect()]
