@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +24,9 @@ ARROW_BYTES = 16 << 20
 SMALL_ROWS = 20_000
 
 _shipped: set[str] = set()
+#: Paths that stored() wrote: all that is ever deleted, and those of the settled() call at hand.
+_written: set[str] = set()
+_within: ContextVar[list[str] | None] = ContextVar("within", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,23 +56,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, partitions_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage is cut and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession)
-    writer = df.write.mode("overwrite")
-    if partitions_by:
-        writer = writer.partitionBy(partitions_by)
-    writer.parquet(path)
+    _written.add(path)
+    if (within := _within.get()) is not None:
+        within.append(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, stored. What else was stored on the way is deleted, as nothing reads it any more."""
+    outer, own = _within.get(), []
+    token = _within.set(own)
+    try:
+        out = stored(make())
+        kept = own.pop()
+    finally:
+        _within.reset(token)
+        for path in own:
+            delete(spark, path)
+    if outer is not None:
+        outer.append(kept)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that stored() wrote."""
+    if path in _written:
+        _written.discard(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table that stored() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/corpusloom-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a table that stored() wrote and nothing reads any more; a table of other files stays."""
+    folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    for path in [p for p in _written if p.rsplit("/", 1)[-1] in folders]:
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

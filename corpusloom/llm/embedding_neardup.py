@@ -138,13 +138,8 @@ def build_indexes(nodes: DataFrame, threshold: float, recall: float, sample_rows
     return out
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: float = 0.9995, sample_rows: int = 10_000, cell_rows: int = 300, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
-    common.ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    sound = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    one = common.stored(sound.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+def links_of_nodes(one: DataFrame, threshold: float, recall: float, sample_rows: int, cell_rows: int, block: int) -> DataFrame:
+    """(vector, copies, component, links) of every distinct vector of a stored table (vec_id, vector); links are those to unlike vectors."""
     nodes = common.stored(one.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("vector")))
     indexes = build_indexes(nodes, threshold, recall, sample_rows, cell_rows)
 
@@ -214,8 +209,19 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: floa
     common.discard(places)
     components = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(components, "node")
-    per_node = nodes.join(links, "node", "left").select("vector", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    per_id = common.members_join(one, common.stored(per_node), "vector", "copies").select(F.col("vec_id").alias("_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
+    return nodes.join(links, "node", "left").select("vector", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, recall: float = 0.9995, sample_rows: int = 10_000, cell_rows: int = 300, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row."""
+    spark = vectors.sparkSession
+    common.ship(spark)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    sound = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    one = common.stored(sound.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    per_node = common.settled(spark, lambda: links_of_nodes(one, threshold, recall, sample_rows, cell_rows, block))
+    per_id = common.members_join(one, per_node, "vector", "copies").select(F.col("vec_id").alias("_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
     out = rows.select("vec_id").join(per_id, F.col("vec_id") == F.col("_id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

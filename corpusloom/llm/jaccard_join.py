@@ -286,19 +286,22 @@ def jaccard_join(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, tol
     signed = common.stored(signatures(texts, width))
     named = signed.filter("doc_id is not null and key is not null")
     texts_of = common.stored(named.groupBy("doc_id").agg(F.min("key").alias("key")))
-    nodes = common.stored(texts_of.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    own = named.join(nodes.select("node", F.col("key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "signature", "bands")
-    own = common.stored(own.dropDuplicates(["key"]))
-    groups = common.stored(connected_components(common.stored(candidates(own, threshold, tolerance, block))))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    rows = in_blocks(groups.join(sizes, "component"), "component", F.col("n") / block, "node")
-    rows = rows.join(own.select("node", "key", "signature"), "node").join(nodes.select("key", "copies"), "key")
-    rows = rows.join(texts.withColumnRenamed("doc_id", "node"), "node").select("component", *KEYS, "side", "node", "key", "copies", "signature", "text")
-    found = common.stored(verify(rows, width, threshold, tolerance))
-    classes = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
-    per_node = nodes.join(links, "node", "left")
-    per_node = common.stored(per_node.select("key", "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
+
+    def classes_of_nodes() -> DataFrame:
+        nodes = common.stored(texts_of.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+        own = named.join(nodes.select("node", F.col("key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "signature", "bands")
+        own = common.stored(own.dropDuplicates(["key"]))
+        groups = common.settled(spark, lambda: connected_components(common.stored(candidates(own, threshold, tolerance, block))))
+        sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        rows = in_blocks(groups.join(sizes, "component"), "component", F.col("n") / block, "node")
+        rows = rows.join(own.select("node", "key", "signature"), "node").join(nodes.select("key", "copies"), "key")
+        rows = rows.join(texts.withColumnRenamed("doc_id", "node"), "node").select("component", *KEYS, "side", "node", "key", "copies", "signature", "text")
+        found = common.stored(verify(rows, width, threshold, tolerance))
+        classes = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        links = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
+        return nodes.join(links, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    per_node = common.settled(spark, classes_of_nodes)
     rows = signed.filter("doc_id is not null").select("doc_id").join(texts_of, "doc_id", "left")
     with_key, without = rows.filter("key is not null"), rows.filter("key is null").select("doc_id")
     rows = common.members_join(with_key, per_node, "key", "copies").drop("key")

@@ -222,7 +222,7 @@ def estimates(sound: DataFrame, *, coverage: float = 0.75, strength: float = 20.
     best = best.groupBy("group").agg(F.min_by(F.struct(*CENTRE, *INVERSE), F.struct("logdet", "start")).alias("e")).select("group", "e.*")
     raw = consistency(coverage) if coverage < 1 else 1.0
     near = joined(best).withColumn("start", F.lit(0)).filter(distance() <= chi_square_quantile(SIZE, 0.025) * raw)
-    return common.stored(invert(moments(near, ["group", "start"]), priors.filter("start = 0"), resolution, strength, consistency(0.975)).drop("start"))
+    return invert(moments(near, ["group", "start"]), priors.filter("start = 0"), resolution, strength, consistency(0.975)).drop("start")
 
 
 def with_verdicts(counted: DataFrame, name: str, groups: tuple[str, str], id_col: str, *, coverage: float, strength: float, tail: float, salts: int) -> DataFrame:
@@ -230,9 +230,7 @@ def with_verdicts(counted: DataFrame, name: str, groups: tuple[str, str], id_col
     g1, g2 = (F.col(c).cast("string") for c in groups)
     sound = counted.select(F.col(id_col).cast("long").alias("doc_id"), g1.alias("g1"), F.to_json(F.struct(g1.alias("a"), g2.alias("b"))).alias("group"), f"{name}.*")
     sound = sound.filter("not " + FAILED.format(p="")).selectExpr("doc_id", "group", "g1", "n_words", "word_chars", "n_lines", *(f"{f.format(p='')} as {s}" for f, s in zip(STATISTICS, STATS, strict=True)))
-    sound = common.stored(sound)
-    found = estimates(sound, coverage=coverage, strength=strength, salts=salts)
-    common.discard(sound)
+    found = common.settled(counted.sparkSession, lambda: estimates(common.stored(sound), coverage=coverage, strength=strength, salts=salts))
     small = found.select(F.col("group").alias(f"{name}_group"), F.struct(*CENTRE, *INVERSE).alias(f"{name}_estimate"))
     rows = counted.withColumn(f"{name}_group", F.to_json(F.struct(g1.alias("a"), g2.alias("b"))))
     rows = common.small_join(rows, small, f"{name}_group", salts, F.xxhash64(id_col, name), "left")

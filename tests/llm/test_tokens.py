@@ -1,6 +1,7 @@
 """Token output, packing, token counts and SentencePiece encoding against the libraries and brute force."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -202,3 +203,35 @@ def trie():
 
 def test_shared_folder_is_the_session_s(spark):
     assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_only_own_tables_are_deleted(spark, tmp_path):
+    theirs = f"{tmp_path}/corpusloom-data/documents.parquet"
+    spark.range(3).write.parquet(theirs)
+    common.discard(spark.read.parquet(theirs))
+    assert spark.read.parquet(theirs).count() == 3
+    ours, way = common.stored(spark.range(4)), []
+
+    def make():
+        way.append(common.stored(ours.filter("id > 0")))
+        way.append(common.settled(spark, lambda: common.stored(way[0].filter("id > 1")).filter("id > 2")))
+        return way[0].union(way[1])
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    kept = common.settled(spark, make)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 2, 3, 3]
+    assert len({p.name for p in folder.iterdir()} - before) == 1
+    common.discard(ours)
+    assert len(before - {p.name for p in folder.iterdir()}) == 1
+
+
+def test_tables_of_a_failed_try_are_deleted(spark):
+    before = set(common._written)
+
+    def make():
+        return common.stored(spark.range(2)).selectExpr("raise_error('no') as x")
+
+    with pytest.raises(Exception, match="no"):
+        common.settled(spark, make)
+    assert common._written == before
