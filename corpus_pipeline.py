@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. The first three return rows
 of docs with all their columns; the last returns the packed pieces. Between stages the rows are written as Parquet to
-the shared folder and read again, so a lost executor repeats one stage at most; a table is deleted when the next one is written.
+the shared folder and read again, so a lost executor repeats one stage at most; a table is deleted when the next one is
+written, and so is what a stage stores on its way.
 
 Verdicts belong to rows: of two rows with one id (or none) one can go and the other stay. Null and empty texts fail the
 quality rules. A null language or source is a group of its own. Of rows that repeat an id the third stage keeps
@@ -12,6 +13,8 @@ are handed on whatever their names; `lang` and `source` have to be there.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import common, jaccard_join, packing, quality_classifier, quality_rules
@@ -49,6 +52,6 @@ STAGES = [("quality rules", rules), ("quality classifier", classifier), ("n-gram
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        before, docs = docs, common.stored(stage(spark, docs, sf_dir))
+        before, docs = docs, common.settled(spark, partial(stage, spark, docs, sf_dir))
         common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
