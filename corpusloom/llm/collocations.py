@@ -1,23 +1,23 @@
 """Collocations: the phrases of a corpus whose words stand together more often than their parts would, by stripes.
 
 Texts are lower-cased (A-Z), split at punctuation and line ends into pieces and these at blanks into words. A stripe belongs
-to a prefix of one word or more: an associative counter of the words that follow it in a piece, and, for prefixes of one
-word, how often the prefix stands at all. A task makes the stripes of a portion of text at a time, with all counting done
-before anything is sent; stripes of one prefix are merged elementwise behind a shuffle. The merged stripe gives all that is
-asked: its entries are the counts of the phrases that extend the prefix, its total the count of the prefix, its largest
-entry the best longer phrase that begins with it. The count of a prefix of several words is an entry of the shorter
-prefix's stripe, so that each count is kept once.
-
-A stripe is dealt into parts by a digest of the next word, as many as the number of texts asks for, so that the stripe of a
-very frequent prefix meets in no single task; merging streams over the rows of a part and holds its distinct next words only. Only
-phrases of `least` occurrences or more leave the merge. Parts of a phrase are at least as frequent as the phrase, so what
-scores need is joined from these: single words, which are parts of very many phrases, by common.small_join(), longer parts
-by equi-joins.
+to a first word: how often it stands at all, and an associative counter of the words that follow it in a piece, each
+with a counter of the words that follow both, and so on to `longest` words. A task makes the stripes of a portion of text at
+a time, so that all counting that can be done there is done before anything is sent; stripes of one word are merged
+elementwise behind a shuffle. A merged stripe gives all that is asked: its entries are the counts of the phrases that
+extend a prefix, its total the count of the first word, and the largest entry below a prefix the most frequent longer
+phrase that begins with it. Each count is sent once, and a prefix is spelled once for all its extensions.
+
+A stripe is dealt into parts by a digest of the second word, more of them for a larger number of texts, so that the
+stripe of a very frequent word meets in no single task; merging streams over the rows of a part and holds one part's distinct
+phrases and a batch. Only phrases of `least` occurrences or more leave the merge. Parts of a phrase are at least as frequent
+as the phrase, so what scores need is joined from these: single words, which are parts of very many phrases, by
+common.small_join(), longer parts by equi-joins.
 
 A candidate is a phrase of 2 to `longest` words with a = f(phrase) >= least. Of its cuts the one of lowest score
-floor(10^6 a^2 / (l r)) counts, of equal ones the first; a candidate goes if a longer one that contains its words has `share` percent of its
-count or more. That one longer by a word is the most frequent of those, so these are all that is asked. Counts are exact and
-products are taken in 38 digits, which holds up to 10^15 occurrences.
+floor(10^6 a^2 / (l r)) counts, of equal ones the first; a candidate goes if a longer one that contains its words has
+`share` percent of its count or more. The most frequent of these is longer by one word, so no others are asked. Counts are
+exact and products are taken in 38 digits, which holds up to 10^15 occurrences.
 
 Null and empty texts have no words; a null language is `und`, and every language has its own counts. Repeated rows and
 ties count as they stand. Phrases are ordered by their UTF-8 bytes. A language without candidates and an empty table have no rows.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,6 @@ PORTION = 12 << 20
 #: A byte that UTF-8 doesn't use stands between pieces.
 BREAK = b"\xff"
 TO_BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0dABCDEFGHIJKLMNOPQRSTUVWXYZ", BREAK * 10 + b"abcdefghijklmnopqrstuvwxyz")
-STRIPE = "lang string, prefix binary, part int, total long, next array<binary>, n array<long>"
 MERGED = "kind int, lang string, phrase binary, f long"
 #: Kinds of merged rows: a phrase's count, the largest count of its extensions, the words of a language.
 COUNT, LARGEST, WORDS = 0, 1, 2
@@ -74,122 +74,164 @@ def portions(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[str
     yield from ((k, BREAK.join(v)) for k, v in held.items())
 
 
-def listed(values: pa.Array, counts: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    ends = pa.array(bounds.astype(np.int32))
-    return pa.ListArray.from_arrays(ends, values), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))
+@dataclass
+class Level:
+    """Words at one depth of stripes, those of a parent together: each parent's number of them, and their own counts."""
 
+    size: np.ndarray
+    words: list[bytes]
+    n: np.ndarray
 
-def stripes_of(lang: str, pieces: bytes, longest: int, parts: list[int]) -> Iterator[pa.RecordBatch]:
-    """The stripes of a portion, prefixes of one word first; parts holds the number of parts for each length of prefix."""
+
+@dataclass
+class Stripes:
+    """Rows of (lang, first word, part) with the first word's count and the words that follow, level by level."""
+
+    lang: pa.Array
+    first: pa.Array
+    part: np.ndarray
+    total: np.ndarray
+    levels: list[Level]
+
+
+def schema(longest: int) -> str:
+    """A row holds a level as its words, each ended by a line end, their counts, and from the second level on the number of words of each parent."""
+    levels = "".join(f", w{k} binary, n{k} binary" + (f", k{k} binary" if k > 1 else "") for k in range(1, longest))
+    return f"lang string, first binary, part int, total long{levels}"
+
+
+def binary(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Values that lie end to end in data."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def encoded(stripes: Stripes) -> pa.Table:
+    columns, names = [stripes.lang, stripes.first, pa.array(stripes.part, pa.int32()), pa.array(stripes.total, pa.int64())], ["lang", "first", "part", "total"]
+    nodes = np.arange(1, len(stripes.part) + 1)  # end of each row's nodes on the level above
+    for k, level in enumerate(stripes.levels, 1):
+        before, ends = nodes, np.append(0, np.cumsum(level.size))[nodes]
+        length = np.append(0, np.cumsum(np.fromiter(map(len, level.words), np.int64, len(level.words)) + 1))
+        columns += [binary(b"\n".join([*level.words, b""]), length[ends]), binary(level.n.astype(np.int64).tobytes(), 8 * ends)]
+        names += [f"w{k}", f"n{k}"]
+        if k > 1:
+            columns.append(binary(level.size.astype(np.int32).tobytes(), 4 * before))
+            names.append(f"k{k}")
+        nodes = ends
+    return pa.table(columns, names=names)
+
+
+def decoded(rows: pa.RecordBatch, longest: int) -> Stripes:
+    levels = []
+    for k in range(1, longest):
+        text = b"".join(rows.column(f"w{k}").to_pylist())
+        n = rows.column(f"n{k}").to_pylist()
+        size = np.fromiter(map(len, n), np.int64, len(n)) // 8 if k == 1 else np.frombuffer(b"".join(rows.column(f"k{k}").to_pylist()), np.int32).astype(np.int64)
+        levels.append(Level(size, text[:-1].split(b"\n") if text else [], np.frombuffer(b"".join(n), np.int64)))
+    return Stripes(rows.column("lang"), rows.column("first"), rows.column("part").to_numpy(), rows.column("total").to_numpy(), levels)
+
+
+def stripes_of(lang: str, pieces: bytes, longest: int, parts: int) -> pa.Table:
+    """The stripes of a portion. The part that holds a first word's count is that of its own digest."""
     numbers = Numbers({BREAK: 0})
     words = pieces.replace(BREAK, b" " + BREAK + b" ").split()
     at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     del words
-    vocabulary = pa.array(list(numbers), pa.binary())
-    digest = np.fromiter(map(zlib.crc32, numbers), np.int64, len(numbers))
-    width = len(numbers)
-    spelled = list(numbers)  # of the prefixes, by number
-    own, place = at, np.flatnonzero(at)  # number of the prefix that starts at a place, and the places that have one
-    own = own[place]
+    vocabulary, width = list(numbers), len(numbers)
+    part = np.fromiter(map(zlib.crc32, vocabulary), np.int64, width) % parts
+    total = np.bincount(at, minlength=width)
+    total[0] = 0
+    place = np.flatnonzero(at[:-1] * at[1:])
+    # rows: first words and parts that have a follower, and those that hold a count
+    row_of = at[place] * parts + part[at[place + 1]]
+    some = np.flatnonzero(total)
+    rows = np.unique(np.concatenate((row_of, some * parts + part[some])))
+    node, levels, parents = np.searchsorted(rows, row_of), [], len(rows)
     for k in range(1, longest):
-        if k == 1:
-            total = np.bincount(own, minlength=width)
-        follows = place + k < len(at)
-        place, own = place[follows], own[follows]
-        following = at[place + k]
-        inside = following > 0
-        place, own, following = place[inside], own[inside], following[inside]
-        pairs, inverse, n = np.unique(own * width + following, return_inverse=True, return_counts=True)
-        prefix, after = pairs // width, pairs % width
-        part = digest[after] % parts[k - 1]
-        order = np.lexsort((part, prefix))
-        p, q = prefix[order], part[order]
-        starts = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))) if len(p) else np.zeros(0, np.int64)
-        names = pa.array(spelled, pa.binary())
-        nexts, counts = listed(vocabulary.take(pa.array(after[order])), n[order], np.append(starts, len(p)))
-        rows = [pa.array([lang] * len(starts), pa.string()), names.take(pa.array(p[starts])), pa.array(q[starts], pa.int32()), pa.array(np.zeros(len(starts), np.int64)), nexts, counts]
-        yield from pa.Table.from_arrays(rows, names=["lang", "prefix", "part", "total", "next", "n"]).to_batches(max_chunksize=50_000)
-        if k == 1:  # totals are rows of their own, in part 0
-            some = np.flatnonzero(total)
-            none, zero = listed(vocabulary.slice(0, 0), n[:0], np.zeros(len(some) + 1, np.int64))
-            rows = [pa.array([lang] * len(some), pa.string()), names.take(pa.array(some)), pa.array(np.zeros(len(some), np.int32)), pa.array(total[some].astype(np.int64)), none, zero]
-            yield from pa.Table.from_arrays(rows, names=["lang", "prefix", "part", "total", "next", "n"]).to_batches(max_chunksize=50_000)
+        pairs, node, n = np.unique(node * width + at[place + k], return_inverse=True, return_counts=True)
+        levels.append(Level(np.bincount(pairs // width, minlength=parents), [vocabulary[i] for i in (pairs % width).tolist()], n))
+        parents = len(pairs)
         if k + 1 < longest:
-            spelled = [b"%b %b" % x for x in zip(names.take(pa.array(prefix)).to_pylist(), vocabulary.take(pa.array(after)).to_pylist(), strict=True)]
-            own = inverse
-
-
-def merged(rows: pa.Table) -> pa.Table:
-    """One row for each (lang, prefix, part) of rows sorted by these: stripes added elementwise."""
-    langs, prefixes = (rows.column(c).combine_chunks() for c in ("lang", "prefix"))
-    part = rows.column("part").to_numpy()
-    new = np.ones(rows.num_rows, bool)
-    codes = [c.dictionary_encode().indices.to_numpy() for c in (langs, prefixes)] + [part]
-    new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
-    group = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    total = np.add.reduceat(rows.column("total").to_numpy(), starts)
-    lists = rows.column("next").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    words = lists.flatten().dictionary_encode()
-    n = rows.column("n").combine_chunks().flatten().to_numpy()
-    width = max(1, len(words.dictionary))
-    pairs, inverse = np.unique(np.repeat(group, size) * width + words.indices.to_numpy(), return_inverse=True)
-    summed = np.zeros(len(pairs), np.int64)
-    np.add.at(summed, inverse, n)
-    bounds = np.searchsorted(pairs // width, np.arange(len(starts) + 1))
-    nexts, counts = listed(words.dictionary.take(pa.array(pairs % width)), summed, bounds)
-    return pa.table([langs.take(pa.array(starts)), prefixes.take(pa.array(starts)), pa.array(part[starts], pa.int32()), pa.array(total), nexts, counts], names=["lang", "prefix", "part", "total", "next", "n"])
-
-
-def results(stripes: pa.Table, least: int) -> pa.RecordBatch:
+            inside = place + k + 1 < len(at)
+            inside[inside] = at[place[inside] + k + 1] > 0
+            place, node = place[inside], node[inside]
+    first, own = rows // parts, rows % parts
+    return encoded(Stripes(pa.array([lang] * len(rows), pa.string()), pa.array([vocabulary[i] for i in first.tolist()], pa.binary()), own, np.where(own == part[first], total[first], 0), levels))
+
+
+def merged(stripes: Stripes) -> Stripes:
+    """One row for each (lang, first, part) of rows that are sorted by these: counters added elementwise."""
+    new = np.ones(len(stripes.part), bool)
+    keys = [stripes.lang.dictionary_encode().indices.to_numpy(), stripes.first.dictionary_encode().indices.to_numpy(), stripes.part]
+    new[1:] = np.any([c[1:] != c[:-1] for c in keys], axis=0)
+    node, starts, levels = np.cumsum(new) - 1, np.flatnonzero(new), []
+    parents = len(starts)
+    for level in stripes.levels:
+        numbers = Numbers()
+        word = np.fromiter(map(numbers.__getitem__, level.words), np.int64, len(level.words))
+        vocabulary, width = list(numbers), max(1, len(numbers))
+        pairs, node = np.unique(np.repeat(node, level.size) * width + word, return_inverse=True)
+        n = np.zeros(len(pairs), np.int64)
+        np.add.at(n, node, level.n)
+        levels.append(Level(np.bincount(pairs // width, minlength=parents), [vocabulary[i] for i in (pairs % width).tolist()], n))
+        parents = len(pairs)
+    where = pa.array(starts)
+    return Stripes(stripes.lang.take(where), stripes.first.take(where), stripes.part[starts], np.add.reduceat(stripes.total, starts), levels)
+
+
+def results(stripes: Stripes, least: int) -> pa.RecordBatch:
     """What merged stripes say: counts of phrases, largest extensions, and words of each language."""
-    langs, prefixes, total = stripes.column("lang").combine_chunks(), stripes.column("prefix").combine_chunks(), stripes.column("total").to_numpy()
-    lists = stripes.column("next").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    owner, n = np.repeat(np.arange(len(size)), size), stripes.column("n").combine_chunks().flatten().to_numpy()
-    often = np.flatnonzero(n >= least)
-    prefix = prefixes.take(pa.array(owner[often])).to_pylist()
-    phrases = [b"%b %b" % x for x in zip(prefix, lists.flatten().take(pa.array(often)).to_pylist(), strict=True)]
-    words = np.flatnonzero(total >= least)
-    largest = np.zeros(len(size), np.int64)
-    np.maximum.at(largest, owner, n)
-    long = np.fromiter((b" " in p for p in prefixes.to_pylist()), bool, len(size))
-    grown = np.flatnonzero((largest >= least) & long)
-    by_lang = langs.dictionary_encode()
-    of_lang = np.bincount(by_lang.indices.to_numpy(), weights=total, minlength=len(by_lang.dictionary)).astype(np.int64)
-    kind = np.repeat([COUNT, COUNT, LARGEST, WORDS], [len(often), len(words), len(grown), len(of_lang)])
-    lang = pa.concat_arrays([*(langs.take(pa.array(i)) for i in (owner[often], words, grown)), by_lang.dictionary])
-    phrase = pa.concat_arrays([pa.array(phrases, pa.binary()), prefixes.take(pa.array(words)), prefixes.take(pa.array(grown)), pa.array([b""] * len(of_lang), pa.binary())])
-    f = np.concatenate((n[often], total[words], largest[grown], of_lang))
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), lang, phrase, pa.array(f, pa.int64())], ["kind", "lang", "phrase", "f"])
+    out: list[tuple[np.ndarray, list[bytes], np.ndarray, int]] = []  # rows, phrases, numbers, kind
+    row, spelled = np.arange(len(stripes.part)), dict(enumerate(stripes.first.to_pylist()))
+    often = np.flatnonzero(stripes.total >= least)
+    out.append((often, [spelled[i] for i in often.tolist()], stripes.total[often], COUNT))
+    for k, level in enumerate(stripes.levels):
+        parent = np.repeat(np.arange(len(level.size)), level.size)
+        if k:
+            largest = np.zeros(len(level.size), np.int64)
+            np.maximum.at(largest, parent, level.n)
+            grown = np.flatnonzero(largest >= least)
+            out.append((row[grown], [spelled[i] for i in grown.tolist()], largest[grown], LARGEST))
+        often = np.flatnonzero(level.n >= least)  # a phrase is no more frequent than its beginning, which is spelled
+        spelled = {i: b"%b %b" % (spelled[p], level.words[i]) for i, p in zip(often.tolist(), parent[often].tolist(), strict=True)}
+        row = row[parent]
+        out.append((row[often], list(spelled.values()), level.n[often], COUNT))
+    langs = stripes.lang.dictionary_encode()
+    of_lang = np.zeros(len(langs.dictionary), np.int64)
+    np.add.at(of_lang, langs.indices.to_numpy(), stripes.total)
+    lang = pa.concat_arrays([stripes.lang.take(pa.array(np.concatenate([r for r, *_ in out]))), langs.dictionary])
+    phrase = pa.array([p for _, some, *_ in out for p in some] + [b""] * len(of_lang), pa.binary())
+    kind = np.concatenate([*(np.full(len(r), k) for r, _, _, k in out), np.full(len(of_lang), WORDS)])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), lang, phrase, pa.array(np.concatenate([*(f for _, _, f, _ in out), of_lang]))], ["kind", "lang", "phrase", "f"])
+
+
+def merge(batches: Iterable[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
+    """results() of rows sorted by lang, first and part; the last stripe of a batch goes on with the next batch."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held.cast(batch.schema), batch]).combine_chunks().to_batches()[0]
+        whole = encoded(merged(decoded(rows, longest))).combine_chunks().to_batches()[0]
+        held = whole.slice(whole.num_rows - 1)
+        if whole.num_rows > 1:
+            yield results(decoded(whole.slice(0, whole.num_rows - 1), longest), least)
+    if held is not None:
+        yield results(decoded(held, longest), least)
 
 
 def counts(docs: DataFrame, longest: int, least: int, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(kind, lang, phrase, f): MERGED rows of the whole corpus; those of LARGEST and WORDS have still to be taken together."""
     common.ship(docs.sparkSession)
-    many = 1 << max(0, (docs.count() >> 20).bit_length())
-    parts = [max(1, 16 * many >> 4 * k) for k in range(longest - 1)]
+    parts = 8 << (docs.count() >> 20).bit_length()
 
     def make(batches):
         for lang, pieces in portions(batches, PORTION):
-            yield from stripes_of(lang, pieces, longest, parts)
-
-    def merge(batches):
-        held = None  # the last stripe so far, which the next batch may go on with
-        for batch in batches:
-            if batch.num_rows:
-                rows = pa.Table.from_batches([batch])
-                rows = merged(rows if held is None else pa.concat_tables([held.cast(rows.schema), rows]))
-                held = rows.slice(rows.num_rows - 1).combine_chunks()
-                yield results(rows.slice(0, rows.num_rows - 1).combine_chunks(), least)
-        if held is not None:
-            yield results(held, least)
-
-    keys = ["lang", "prefix", "part"]
+            yield from stripes_of(lang, pieces, longest, parts).to_batches(max_chunksize=20_000)
+
+    keys = ["lang", "first", "part"]
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    stripes = texts.mapInArrow(make, STRIPE)
-    return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, MERGED)
+    stripes = texts.mapInArrow(make, schema(longest))
+    return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: merge(batches, longest, least), MERGED)
 
 
 def with_counts(rows: DataFrame, part: str, words: DataFrame, n_words: int, longer: DataFrame, name: str) -> DataFrame:
