@@ -1,23 +1,31 @@
 """Language-model scores: the marginal probability of a text over a lattice of words and subwords.
 
-Tokens are the words [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case, then one end. A token's lattice has an
-edge for the whole token, learned from the training documents, and the edges of every segmentation of its spelling
-into pieces of an existing unigram vocabulary; the forward recursion sums them all in log space. With c the token's
-count, N all tokens and V distinct tokens in training, and G the lattice's probability of the spelling,
+Tokens are the words [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case, then one end. A token's lattice has edges
+for the whole token and the edges of every segmentation of its spelling into pieces of an existing unigram vocabulary;
+the forward recursion sums them all in log space. With c the token's count and N all tokens in training, G the
+lattice's probability of the spelling, and m of the i tokens before it in the text equal to it,
 
-    P(token) = (c + V * G(token)) / (N + V)
+    B(token) = (1 - share) c / N + share G(token)        P(token | text before) = (strength B(token) + m) / (strength + i)
 
-G generates a word as a first piece, then further pieces until a stop. Pieces have the weights that lattice.py derives
-from the vocabulary file's own scores; they stay as they are, for the vocabulary is given and not trained. Training sets the
-word edges c, N and V, and one number of the mixture: the chance that a word goes on after a piece, from the expected number of
-pieces (forward and backward sums over all segmentations) of the distinct training words. G sums to 1 over
-words at most, so P is a probability over tokens, and score is the log10 of a proper probability of the text.
-
-base_score uses add-one smoothing: log10((c + 1) / (N + V + 1)).
+so a whole-token edge has the weight that training gives it, and one that grows where the text has used the token. The
+product over a text is the marginal probability of the text when its own word distribution is drawn from a Dirichlet
+distribution round B: a word that training doesn't know is spelled once and then expected again.
 
-Documents are dealt into blocks of bounded bytes by a hash of id and text, so that a block sends each of its distinct words once and gets each word's
-figures back once. The word table grows with the corpus and stays distributed; only three totals come to the driver. Null texts are empty texts (the end alone); a null id counts as
-the empty string; repeated rows are documents of their own; an empty table has no rows.
+G generates a word as a first piece, then further pieces until a stop. Pieces have the weights that lattice.py derives
+from the vocabulary file's own scores; they stay as they are, for the vocabulary is given and not trained. Training sets
+the word edges, the chance that a word goes on after a piece (from the expected number of pieces, forward and backward sums
+over all segmentations, of the distinct training words), and `share` and `strength`: of a grid the pair that makes the
+training documents most likely, each scored by the counts of all others. G sums to 1 over words at most, so score is the
+log10 of a proper probability of the text.
+
+base_score uses add-one smoothing: log10((c + 1) / (N + V + 1)). It is a probability too, but one in which all unknown
+words are a single token: it doesn't pay for their spelling.
+
+Documents are dealt into blocks of bounded bytes by a hash of id and text, so that a block sends each of its distinct words
+once and gets each word's figures back once. A document is scored at every point of the grid in the same pass, and the
+point is chosen when all are summed. The word table grows with the corpus and stays distributed; only totals come to the
+driver. Null texts are empty texts (the end alone); a null id counts as the empty string; repeated rows are documents of their
+own; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +41,11 @@ from corpusloom.llm import common
 from corpusloom.llm.lattice import SPACE, Lattice, Pieces, pieces, portions
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = RESULT.removesuffix("score double") + "scores array<double>, others array<double>"
+#: The grid of (share, strength).
+GRID = [(share, strength) for share in (0.005, 0.02, 0.06, 0.15) for strength in (100.0, 300.0, 1000.0, 3000.0, 10000.0)]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -98,22 +111,46 @@ def fit_going(words: DataFrame, model_file: str) -> float:
     return (used - n + 1) / (used + 2)
 
 
-def word_scores(words: DataFrame, model: PieceModel, model_file: str, n_train: int, n_types: int, end_share: float) -> DataFrame:
-    """(word, known, base, lp) for (word, c)."""
+def spellings(words: DataFrame, model: PieceModel, model_file: str) -> DataFrame:
+    """(word, c, spelled) for (word, c): the log probability of the spelling."""
 
     def run(batches):
         vocabulary = pieces(model_file)
         for batch in batches:
-            own, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            found = [model.log_probability(Lattice(vocabulary, some)) for some in portions(spelled(own))]
-            inner = np.concatenate(found or [np.zeros(0)]) + np.log1p(-end_share)
-            base = np.log10((c + 1) / (n_train + n_types + 1))
-            strength = max(n_types, 1)
+            found = [model.log_probability(Lattice(vocabulary, some)) for some in portions(spelled(batch.column("word").to_pylist()))]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.concatenate(found or [np.zeros(0)]))], ["word", "c", "spelled"])
+
+    return words.mapInArrow(run, "word binary, c long, spelled double")
+
+
+def block_scores(at: np.ndarray, doc: np.ndarray, c: np.ndarray, spelling: np.ndarray, n_train: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each document at every point of the grid, and the same by the counts of all other documents.
+
+    at are the numbers of the tokens, ends included, of documents that lie end to end, doc the document of each token.
+    c and spelling are by number; held marks documents that aren't counted in c.
+    """
+    starts = np.searchsorted(doc, np.arange(len(held)))
+    order = np.lexsort((at, doc))  # stable: equal tokens of a document in their order
+    first = np.ones(len(order), bool)
+    first[1:] = (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])
+    run = np.flatnonzero(first)
+    many = np.diff(np.append(run, len(order)))
+    before, whole = np.empty(len(at)), np.empty(len(at))
+    before[order] = np.arange(len(order)) - np.repeat(run, many)
+    whole[order] = np.repeat(many, many)
+    place = np.arange(len(at)) - starts[doc]
+    size = np.bincount(doc, minlength=len(held))
+    word, spell = c[at] / max(n_train, 1), spelling[at]
+    rest = np.maximum(n_train - size[doc], 1)
+    left = np.where(held[doc], c[at] / max(n_train, 1), (c[at] - whole) / rest)
+    out = [], []
+    for share, strength in GRID:
+        below, subwords = np.log(strength + place), np.log(strength * share) + spell
+        for found, known in zip(out, (word, left), strict=True):
             with np.errstate(divide="ignore"):
-                lp = np.logaddexp(np.log(c.astype(float)), inner + np.log(strength)) - np.log(n_train + strength)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c > 0), pa.array(base), pa.array(lp / np.log(10))], ["word", "known", "base", "lp"])
-
-    return words.mapInArrow(run, "word binary, known boolean, base double, lp double")
+                whole_word = np.log(strength * (1 - share) * known + before)
+            found.append(np.add.reduceat(np.logaddexp(whole_word, subwords) - below, starts))
+    return tuple(np.stack(x, 1) / np.log(10) for x in out)
 
 
 def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 4000, block_bytes: int = 16 << 20) -> DataFrame:
@@ -130,25 +167,32 @@ def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_
     n_train, n_types = train["n"] + ends, train["v"] + (1 if ends else 0)
     end_share = (ends + 1) / (n_train + 2)
     model = PieceModel(pieces(model_file), fit_going(words.filter("c > 0"), model_file))
-    scored = word_scores(words, model, model_file, n_train, n_types, end_share)
-    given = asked.select("block", "word").join(scored, "word")
-    strength = max(n_types, 1)
-    end_base = float(np.log10((ends + 1) / (n_train + n_types + 1)))
-    end_lp = float(np.log10((ends + strength * end_share) / (n_train + strength)))
+    given = asked.select("block", "word").join(spellings(words, model, model_file), "word")
 
     def score(docs: pa.Table, given: pa.Table) -> pa.Table:
         number = {w: i for i, w in enumerate(given.column("word").to_pylist())}
-        known, base, lp = (given.column(c).to_numpy(zero_copy_only=False) for c in ("known", "base", "lp"))
-        out = []
-        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            i = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            out.append((doc_id, is_held_out(doc_id), len(words) + 1, int(known[i].sum()) + (ends > 0), n_train, float(base[i].sum()) + end_base, float(lp[i].sum()) + end_lp))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, RESULT)
+        c = np.append(given.column("c").to_numpy(), ends)
+        spelling = np.append(given.column("spelled").to_numpy() + np.log1p(-end_share), np.log(end_share))
+        ids, tokens, sizes = docs.column("doc_id").to_pylist(), [], []
+        for text in docs.column("text").to_pylist():
+            own = words_of(text)
+            tokens.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
+            tokens.append(np.array([len(number)]))
+            sizes.append(len(own) + 1)
+        at, doc = np.concatenate(tokens or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(ids)), sizes)
+        held = np.array([is_held_out(i) for i in ids], bool)
+        scores, others = block_scores(at, doc, c, spelling, n_train, held)
+        others[held] = 0
+        base = np.bincount(doc, np.log10((c[at] + 1) / (n_train + n_types + 1)), len(ids))
+        known = np.bincount(doc, c[at] > 0, len(ids)).astype(np.int64)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(GRID), dtype=np.int32)), pa.array(x.ravel()))
+        columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known), pa.array([n_train] * len(ids), pa.int64()), pa.array(base), listed(scores), listed(others)]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "scores", "others"])
+
+    scored = common.stored(rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, SCORED))
+    sums = scored.agg(*(F.sum(F.col("others")[k]).alias(f"s{k}") for k in range(len(GRID)))).first()
+    best = max(range(len(GRID)), key=lambda k: (sums[k] or 0.0, -k))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("scores")[best].alias("score"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

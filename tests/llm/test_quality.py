@@ -178,16 +178,45 @@ def test_scores_equal_brute_force(spark):
     tokens = [[w.lower() for w in (t or "").split()] for _, t in rows]
     train = [t for (i, _), t in zip(rows, tokens, strict=True) if not lm_scoring.is_held_out(i)]
     c = Counter(w for t in train for w in t)
-    ends, n, types = len(train), sum(c.values()) + len(train), len(c) + 1
+    ends, n = len(train), sum(c.values()) + len(train)
     v = pieces(PIECE)
     first = lm_scoring.PieceModel(v)
     used = sum(plain_spelling(w, first, v)[1] for w in c)
     model = lm_scoring.PieceModel(v, (used - len(c) + 1) / (used + 2))
     end = (ends + 1) / (n + 2)
-    p = lambda w: (c[w] + types * (1 - end) * plain_spelling(w, model, v)[0]) / (n + types)
-    want = [sum(math.log10(p(w)) for w in t) + math.log10((ends + types * end) / (n + types)) for t in tokens]
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECE, block_docs=7).collect()}
-    assert np.allclose([got[i] for i, _ in rows], want)
+    spelling = {w: (1 - end) * plain_spelling(w, model, v)[0] for t in tokens for w in t} | {None: end}
+    c[None] = ends
+
+    def score(text, counts, total, share, strength):
+        seen, out = Counter(), 0.0
+        for i, w in enumerate([*text, None]):
+            out += math.log10((strength * ((1 - share) * counts[w] / total + share * spelling[w]) + seen[w]) / (strength + i))
+            seen[w] += 1
+        return out
+
+    best = max(lm_scoring.GRID, key=lambda g: sum(score(t, c - Counter([*t, None]), max(n - len(t) - 1, 1), *g) for t in train))
+    want = [score(t, c, n, *best) for t in tokens]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_docs in (7, 4000):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(df, PIECE, block_docs=block_docs).collect()}
+        assert np.allclose([got[i] for i, _ in rows], want)
+
+
+def test_scores_of_words_too_long_for_a_double(spark):
+    held = next(i for i in range(9, 99) if lm_scoring.is_held_out(i))
+    rows = [(i, "common words of all") for i in range(8)] + [(held, "z" * 5000 + " common")]
+    out = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECE).collect()
+    assert all(math.isfinite(r["score"]) for r in out) and min(r["score"] for r in out) < -1000
+
+
+def test_texts_of_known_words_score_above_the_base(spark):
+    draw = random.Random(6)
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "green") for b in ("s", "ed", "ing", "ly", "er")]
+    rows = [(i, " ".join(draw.choices(draw.sample(words, 6), k=60))) for i in range(120)]
+    out = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECE).collect()
+    for held in (False, True):
+        own = [r for r in out if r["held_out"] == held and r["n_known"] == r["n_tokens"]]
+        assert len(own) > 5 and sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
 
 
 def test_word_probabilities_sum_to_one_at_most():
