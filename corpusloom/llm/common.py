@@ -154,6 +154,11 @@ def small_join(rows: DataFrame, small: DataFrame, group: str, salts: int, key: s
     return salted_join(rows, small, rows[group] == F.col(own), salts, key, how).drop(own)
 
 
+def positional(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ... in order, and the new names of some: any names may stand in df, with dots or twice but for case."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), [f"c{df.columns.index(c)}" for c in columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until no column of df begins like it."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -181,16 +181,16 @@ KEYS = ["i", "j"]
 def buckets(nodes: DataFrame, block: int) -> DataFrame:
     """(band, node, n) of the buckets of n > 1 nodes; no task sees more than `block` nodes of one bucket together.
 
-    Buckets are counted with partial sums first. Those over `block`, one for `block` rows at most, are broadcast and their
-    rows stay where they are; the others are small enough for a window.
+    Buckets are counted with partial sums first. Rows of those over `block`, one for `block` rows at most, are told by
+    common.small_join(); the others are small enough for a window.
     """
     from pyspark.sql import Window
 
     rows = nodes.select(F.explode("bands").alias("band"), "node")
-    large = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    large = F.broadcast(common.stored(large))
-    small = rows.join(large, "band", "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
-    return small.select("band", "node", "n").union(rows.join(large, "band").select("band", "node", "n"))
+    large = common.stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block))
+    told = common.small_join(rows, large, "band", 64, F.xxhash64("node"), "left")
+    small = told.filter("n is null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
+    return small.select("band", "node", "n").union(told.filter("n is not null").select("band", "node", "n"))
 
 
 def candidates(nodes: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
@@ -338,16 +338,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Of rows with one id the one of smallest text digest stays; rows without an id all stay. Nulls, empty texts, repeated
     rows and empty tables are as in jaccard_join().
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = jaccard_join(named, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(id_col))
-    stay = common.keep_only(named, kept, id_col)
-    repeated = named.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col)
+    plain, (own, text) = common.positional(docs, id_col, text_col)
+    named, unnamed = plain.filter(F.col(own).isNotNull()), plain.filter(F.col(own).isNull())
+    kept = jaccard_join(named, id_col=own, text_col=text).filter("kept").select(F.col("doc_id").alias(own))
+    stay = common.keep_only(named, kept, own)
+    repeated = named.groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(own).alias("id"))
     if repeated.isEmpty():
-        return stay.union(docs.filter(F.col(id_col).isNull()))
+        return stay.union(unnamed).toDF(*docs.columns)
     repeated = common.stored(repeated)
     # partial sums keep one row an id in each task, so that an id of many rows is gathered nowhere
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    order = F.struct(F.md5(F.col(text_col).cast("string").cast("binary")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    first = common.keep_only(stay, repeated, id_col).groupBy(F.col(id_col).alias("id")).agg(F.min_by(row, order).alias("r")).select("r.*")
-    once = stay.join(repeated.select(F.col(id_col).alias("id")), F.col(id_col) == F.col("id"), "left_anti")
-    return once.union(first).union(docs.filter(F.col(id_col).isNull()))
+    row = F.struct(*plain.columns)
+    order = F.struct(F.md5(F.col(text).cast("string").cast("binary")), F.md5(F.to_json(row).cast("binary")))  # maps have a text, but no hash
+    first = common.keep_only(stay, repeated.withColumnRenamed("id", own), own).groupBy(F.col(own).alias("id")).agg(F.min_by(row, order).alias("r")).select("r.*")
+    once = stay.join(repeated, F.col(own) == F.col("id"), "left_anti")
+    return once.union(first).union(unnamed).toDF(*docs.columns)

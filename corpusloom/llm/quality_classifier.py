@@ -169,12 +169,13 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, select: int = 2, least
 def keep_good(docs: DataFrame, model: OrdinalModel | None, *, select: int = 2, least_probability: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that score() keeps, with all their columns."""
     common.ship(docs.sparkSession)
+    plain, (text,) = common.positional(docs, text_col)
 
     def run(batches):
-        for batch in common.bounded(batches, text_col):
-            yield batch.filter(pa.array(judge_texts(batch.column(text_col).to_pylist(), model, select, least_probability)[3]))
+        for batch in common.bounded(batches, text):
+            yield batch.filter(pa.array(judge_texts(batch.column(text).to_pylist(), model, select, least_probability)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def graded(labels: DataFrame) -> DataFrame:

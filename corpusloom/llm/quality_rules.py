@@ -254,7 +254,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, *, coverage: float = 0.75, strength: float = 20.0, tail: float = 1e-9, salts: int = 16, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of docs that judge() keeps, each by its own verdict, with all their columns. Texts are written once and not shuffled."""
-    name = common.free_name(docs, "counts")
-    counted = common.stored(with_counts(docs, text_col, name))
-    rows = with_verdicts(counted, name, group_cols, id_col, coverage=coverage, strength=strength, tail=tail, salts=salts)
-    return rows.filter(F.col(f"{name}_kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain, (own_id, text, *own_groups) = common.positional(docs, id_col, text_col, *group_cols)
+    counted = common.stored(with_counts(plain, text, "counts"))
+    rows = with_verdicts(counted, "counts", tuple(own_groups), own_id, coverage=coverage, strength=strength, tail=tail, salts=salts)
+    return rows.filter("counts_kept").select(*plain.columns).toDF(*docs.columns)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, `group` string, rank int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, `group` string, rank int, id string, m map<string,int>, `a.b` string, C0 int"
 
 
 def prose(draw: random.Random, n: int) -> str:
@@ -26,7 +26,7 @@ def messy_rows():
     for n, (i, t) in enumerate(rows):
         lang = None if n % 17 == 3 else ("en", "de")[n % 2]
         source = None if n % 13 == 5 else f"src{n % 3}"
-        out.append((i, t, lang, source, None if t is None else len(t), "k", 7, "g", n))
+        out.append((i, t, lang, source, None if t is None else len(t), "k", 7, "g", n, f"x{n}", {"z": n, "a": 1}, "dot", n % 3))
     return out
 
 

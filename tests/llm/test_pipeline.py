@@ -34,7 +34,7 @@ def test_stages_on_messy_and_empty_tables(spark, messy, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns, name
-            assert out.exceptAll(docs).count() == 0, name
+            assert out.drop("m").exceptAll(docs.drop("m")).count() == 0, name  # maps have no equality
             docs = out
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
         assert (packed.count() > 0) == (docs.count() > 0)
