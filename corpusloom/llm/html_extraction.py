@@ -5,18 +5,23 @@ dealt by a hash of the row into 2^k groups of `group_pages` to twice as many on
 follow from the host's pages alone, not from partitions, and are shuffled whole, so that a host with a third of all
 pages is spread over many tasks. In a group each page becomes a tree of all its block elements: menus, footers,
 adverts and forms stand in it like any other block; only what is never text (scripts, styles, form controls, the
-head) is left out, and runs of like siblings are one repeated slot. The tree with most blocks is the wrapper's frame, and
-every other page is aligned with it by simple tree matching, exact at every size and depth.
+head) is left out. For the alignment a run of like siblings without blocks of their own is one repeated slot, as articles
+have unlike numbers of paragraphs; what is template is told for each member of a run by itself. The tree with most blocks is
+the wrapper's frame, and every other page is aligned with it by simple tree matching, exact at every size and depth.
 
-The aligned slots decide. A text that stands in the same slot on most pages, or a slot that shows few longer texts in
-turn, is template; a slot whose text varies is content. Pages that share four fifths of their text (300 characters at least) count once, as copies of an
-article say nothing about the template; a template text known from two pages only goes only where it is the lesser part of
-the page. In an article or main element the texts of a slot are template only if at least nine of ten pages share them and they are the lesser part.
+The aligned slots decide. A text that k of the n pages which have a slot show in it is template where the posterior odds
+say so (odds() below): by chance one page in ten repeats a text, in an article three in ten, while a template shows on
+any share of pages alike. This is one criterion for all numbers of pages; what it asks falls from both of two pages to a quarter
+of fifty. By the same odds a slot in which most showings repeat shows a few longer texts in turn, such as adverts, and these are
+template. In an article or main element template texts go only where they are the lesser part. Pages that share four fifths of
+their text (300 characters at least) count once, as copies of an article say nothing about the template.
 
 Element, role and class names (nav, footer, form, "sidebar", "comments") only settle slots that vary, such as a
 rotating advert or reader comments: a subtree so marked goes, but not one that holds an article or main element, nor
-one without which hardly any varying text would be left on the page. Where a page has nothing in common with the frame, is alone on its host or
-is all template, its own articles (or mains, or its body) are taken by the same marks.
+one without which hardly any varying text would be left on the page. Where the articles (or mains) of a page hold
+enough of the text that is left, they are the content and the rest goes: half of it on a host of many pages, less on one
+of few, as varying text outside is told from template the better the more pages there are. Elsewhere all that varies and isn't
+marked is content. A page that has nothing in common with the frame or is all template is read as if it were alone.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line end in page
 order. Nothing is cut. Null pages and pages without text give an empty text. Rows without a URL form a host of their
@@ -202,14 +207,14 @@ def blocks(node: Node, silent: set[int] = frozenset()) -> list[str]:
 class Slot:
     """A node of an alignment tree: a block, or a run of like blocks without children."""
 
-    __slots__ = ("children", "nodes", "shape", "size", "tag", "text")
+    __slots__ = ("children", "nodes", "shape", "size", "tag", "texts")
 
     def __init__(self, nodes: list[Node], children: list[Slot]):
         self.tag, self.nodes, self.children = nodes[0].tag, nodes, children
         self.size = 1 + sum(c.size for c in children)
         #: the tags of the tree, as a digest; a tag has no space
         self.shape = hashlib.md5(b" ".join((self.tag.encode("utf-8", "surrogatepass"), *(c.shape for c in children))), usedforsecurity=False).digest()
-        self.text = " ".join(" ".join("".join(p for p in n.parts if isinstance(p, str)).split()) for n in nodes).strip()
+        self.texts = [" ".join("".join(p for p in n.parts if isinstance(p, str)).split()) for n in nodes]
 
 
 def slots(node: Node) -> Slot:
@@ -383,8 +388,8 @@ def marked(root: Node, template: set[int]) -> set[int]:
     return out
 
 
-def own_content(root: Node, silent: set[int]) -> list[Node]:
-    """All article and main elements in page order, else the whole body."""
+def articles(root: Node, silent: set[int]) -> list[Node]:
+    """The outermost article and main elements in page order."""
     work, found = [root], []
     while work:
         n = work.pop()
@@ -392,13 +397,24 @@ def own_content(root: Node, silent: set[int]) -> list[Node]:
             found.append(n)
         else:
             work.extend(reversed(n.children))
-    return found or [root]
+    return found
+
+
+def content(root: Node, template: set[int], pages: int) -> list[str]:
+    """The text of a page whose template nodes are known from so many pages; one page alone keeps to its articles if it has any."""
+    gone = template | marked(root, template)
+    own = articles(root, gone)
+    size = lambda n: sum(len(own_text(x)) for x in below(n) if id(x) not in gone)
+    inside = sum(map(size, own))
+    if inside and inside >= 0.5 * (1 - 1 / pages) * size(root):
+        return [x for n in own for x in blocks(n, gone)]
+    return blocks(root, gone)
 
 
-def by_marks(root: Node) -> list[str]:
-    """The text of a page without a wrapper."""
-    gone = marked(root, set())
-    return [x for n in own_content(root, gone) for x in blocks(n, gone)]
+def odds(k: int, n: int, chance: float, prior: float = 0.2) -> float:
+    """Posterior odds of a template, of which any number of n pages shows a text alike, against content, of which each page repeats
+    a text by chance, when k do."""
+    return prior / ((n + 1) * math.comb(n, k) * chance**k * (1 - chance) ** (n - k))
 
 
 def families(texts: list[dict[str, int]], share: float = 0.8, least: int = 300) -> list[int]:
@@ -432,8 +448,8 @@ def inside(frame: Slot) -> set[int]:
     return out
 
 
-def template_texts(frame: Slot, aligned: list[dict[int, Slot]], family: list[int], constant_share: float) -> dict[int, dict[str, bool]]:
-    """For each slot of the frame its template texts; True where two pages are all that tells so, or it is in an article."""
+def template_texts(frame: Slot, aligned: list[dict[int, Slot]], family: list[int]) -> dict[int, dict[str, bool]]:
+    """For each slot of the frame its template texts; True where it is in an article."""
     kept, out, work = inside(frame), {}, [frame]
     while work:
         s = work.pop()
@@ -443,53 +459,48 @@ def template_texts(frame: Slot, aligned: list[dict[int, Slot]], family: list[int
         for f, pairs in zip(family, aligned, strict=True):
             if id(s) in pairs:
                 pages.add(f)
-                seen.setdefault(pairs[id(s)].text, set()).add(f)
-        seen.pop("", None)
-        if not seen:
-            continue
-        n = len(pages)
-        if id(s) in kept:
-            found = {t: True for t, own in seen.items() if n >= 5 and len(own) >= 0.9 * n}
-        else:
-            found = {t: len(own) == 2 for t, own in seen.items() if len(own) >= max(2, constant_share * n)}
+                for text in pairs[id(s)].texts:
+                    if text:
+                        seen.setdefault(text, set()).add(f)
+        in_article, n = id(s) in kept, len(pages)
+        shared = {t: len(own) for t, own in seen.items() if len(own) > 1}
+        found = {t: in_article for t, k in shared.items() if odds(k, n, 0.3 if in_article else 0.1) >= 1}
+        if shared and not in_article:
             shown = sum(map(len, seen.values()))
-            if shown >= 12 and len(seen) * 4 <= shown:  # a few texts in turn
-                found |= {t: False for t, own in seen.items() if len(own) > 1 and t.count(" ") >= 4}
+            if odds(shown - len(seen), shown, 0.1) >= 1:  # a few texts in turn
+                found |= {t: False for t in shared if t.count(" ") >= 4}
         if found:
             out[id(s)] = found
     return out
 
 
-def extract_group(pages: list[str | None], *, constant_share: float = 0.6) -> list[str]:
+def extract_group(pages: list[str | None]) -> list[str]:
     """The main text of each page of one host."""
     numbers: dict[str, int] = {}
     for p in pages:  # copies of a page say nothing about the template
         if p:
             numbers.setdefault(p, len(numbers))
     roots = [parse(p) for p in numbers]
-    if len(roots) == 1:
-        texts = ["\n".join(by_marks(roots[0]))]
-        return [texts[0] if p else "" for p in pages]
     trees = [slots(r) for r in roots]
     frame = max(trees, key=lambda t: t.size, default=None)  # of equal ones the first
     known: dict = {}
     aligned = [{id(f): own for f, own in match(frame, t, known)[1]} for t in trees]
     family = families([{t: len(t) for n in below(r) if id(n) not in gone and (t := own_text(n))} for r, gone in ((r, marked(r, set())) for r in roots)])
-    constant = template_texts(frame, aligned, family, constant_share) if len(set(family)) > 1 else {}
+    n = len(set(family))
+    constant = template_texts(frame, aligned, family) if n > 1 else {}
     texts = []
     for root, tree, pairs in zip(roots, trees, aligned, strict=True):
-        matched = len(pairs) > 1 or not frame.children or not tree.children
-        sure, weak = set(), set()
+        template, weak = set(), set()
         for f, found in constant.items():
-            if f in pairs and pairs[f].text in found:
-                (weak if found[pairs[f].text] else sure).update(map(id, pairs[f].nodes))
+            if f in pairs:
+                for node, text in zip(pairs[f].nodes, pairs[f].texts, strict=True):
+                    if text in found:
+                        (weak if found[text] else template).add(id(node))
         if weak:
-            size = {k: sum(len(own_text(n)) for n in below(root) if (id(n) in weak) == k) for k in (True, False)}
-            sure |= weak if size[True] < size[False] else set()
-        left = []
-        if matched:
-            left = blocks(root, sure | marked(root, sure))
-        texts.append("\n".join(left or by_marks(root)))
+            size = {k: sum(len(own_text(x)) for x in below(root) if (id(x) in weak) == k) for k in (True, False)}
+            template |= weak if size[True] < size[False] else set()
+        matched = n > 1 and (len(pairs) > 1 or not frame.children or not tree.children)
+        texts.append("\n".join((content(root, template, n) if matched else []) or content(root, set(), 1)))
     return [texts[numbers[p]] if p else "" for p in pages]
 
 
@@ -537,9 +548,9 @@ def extract(pages: DataFrame, *, group_pages: int = 48, least_pages: int = 3, pa
             texts = extract_group(list(sources))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # one row for 2 * group_pages pages at most is broadcast, so that the pages are shuffled once
-    large = common.stored(cells(rows, group_pages, least_pages))
-    dealt = rows.join(F.broadcast(large), F.col("host") == F.col("large"), "left").withColumn("cell", F.expr("place & (shiftleft(1L, coalesce(levels, 0)) - 1)"))
+    # one row for 2 * group_pages pages at most: while few they are broadcast, so that the pages are shuffled once
+    large = common.stored(cells(rows, group_pages, least_pages).withColumnRenamed("large", "host"))
+    dealt = common.small_join(rows, large, "host", 64, "place", "left").withColumn("cell", F.expr("place & (shiftleft(1L, coalesce(levels, 0)) - 1)"))
     dealt = dealt.repartition(common.split_count(rows, partition_pages), "host", "cell").sortWithinPartitions("host", "cell", "place", "page_id", "url")
     return dealt.select("host", "cell", "page_id", "url", "html").mapInArrow(run, RESULT)
 

@@ -193,7 +193,7 @@ def test_the_wrapper_finds_the_text_of_labelled_pages_without_article():
     out = X.extract_group(pages)
     right = sum(a == b for a, b in zip(out, want, strict=True))
     assert right >= 27, out[0]
-    assert X.by_marks(X.parse(pages[0])) != want[0].split("\n")  # without alignment the template would stay
+    assert X.content(X.parse(pages[0]), set(), 1) != want[0].split("\n")  # without alignment the template would stay
 
 
 def test_two_pages_of_a_host_are_enough_for_a_wrapper():
@@ -222,3 +222,36 @@ def test_comments_longer_than_the_text_go():
 
 def test_heads_that_are_not_closed():
     assert X.extract_group(["<html><head><title>x</title><meta a=b><p>Text"]) == ["Text"]
+
+
+NEUTRAL = {
+    "a constant leaf beside a varying one": ("<div>Site slogan here</div><div>@ is what this page is about, at some length.</div><section>Imprint and terms of use</section>", "@ is what this page is about, at some length."),
+    "a constant end of a run": ("<p>First paragraph of @, which no other page has.</p><p>Second one of @.</p><p>All rights reserved by the site.</p>", "First paragraph of @, which no other page has.\nSecond one of @."),
+    "teasers and reactions round an article": ("<div class=k1>Site slogan here</div><article><h1>Title @</h1><p>" + STORY.format("@") + "</p></article><div class=k2>Read next: story number @ and a half</div><div class=k3><div>Teaser of @</div><div>Reader @ writes: well said.</div></div>", "Title @\n" + STORY.format("@")),
+    "a line of the site in an article": ("<article><h1>Title @</h1><p>" + STORY.format("@") + "</p><p>" + STORY.format("next to @") + "</p></article><div>More about the number @</div>", "Title @\n" + STORY.format("@") + "\n" + STORY.format("next to @")),
+}
+
+
+def test_hosts_of_two_to_twelve_pages_are_read_alike():
+    for name, (body, want) in NEUTRAL.items():
+        for n in range(2, 13):
+            assert X.extract_group([labelled(i + 100, body) for i in range(n)]) == [want.replace("@", str(i + 100)) for i in range(n)], (name, n)
+
+
+def test_labelled_pages_with_neutral_names():
+    """Slogan, menu, teaser and reactions without telling names; alignment takes the slogan, the article the rest."""
+    draw, pages, want = random.Random(12), [], []
+    for i in range(30):
+        paragraphs = [f"Paragraph {k} of {i} tells of things that no other page tells {draw.random()}." for k in range(draw.randint(2, 6))]
+        text = "".join(f"<p>{p}</p>" for p in paragraphs)
+        reactions = "".join(f"<div>Somebody {draw.random()} liked it</div>" for _ in range(draw.randint(0, 3)))
+        pages.append(labelled(i, f"<div class=b1>The slogan of this site</div><div class=b2>Read next: {draw.random()}</div><main><h1>Head {i}</h1>{text}<p>Share your view with the editors of this site.</p></main><div class=b3>{reactions}</div>"))
+        want.append("\n".join([f"Head {i}", *paragraphs]))
+    right = lambda texts: sum(a == b for a, b in zip(texts, want, strict=True))
+    assert right(X.extract_group(pages)) >= 27
+    assert right([X.extract_group([p])[0] for p in pages]) == 0  # each by itself: the last line of the main element stays
+
+
+def test_odds_ask_for_less_of_more_pages():
+    least = [next(k for k in range(2, n + 2) if k > n or X.odds(k, n, 0.1) >= 1) / n for n in range(2, 49)]
+    assert least[0] == 1 and least[-1] <= 0.3 and all(a - b >= -1 / n for n, (a, b) in enumerate(zip(least, least[1:], strict=False), 2))
