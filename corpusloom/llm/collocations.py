@@ -8,9 +8,10 @@ elementwise behind a shuffle. A merged stripe gives all that is asked: its entri
 extend a prefix, its total the count of the first word, and the largest entry below a prefix the most frequent longer
 phrase that begins with it. Each count is sent once, and a prefix is spelled once for all its extensions.
 
-A stripe is dealt into parts by a digest of the second word, more of them for a larger number of texts, so that the
-stripe of a very frequent word meets in no single task; merging streams over the rows of a part and holds one part's distinct
-phrases and a batch. Only phrases of `least` occurrences or more leave the merge. Parts of a phrase are at least as frequent
+The stripe of a frequent word is dealt into parts by a digest of the second word, more of them for a larger number of texts,
+so that it meets in no single task. Which words these are is told from a sample of texts, up to HOT of them: the layout
+depends on the sample, the result doesn't. Merging streams over the rows of a part and holds one part's distinct phrases and a
+batch. Only phrases of `least` occurrences or more leave the merge. Parts of a phrase are at least as frequent
 as the phrase, so what scores need is joined from these: single words, which are parts of very many phrases, by
 common.small_join(), longer parts by equi-joins.
 
@@ -26,6 +27,7 @@ ties count as they stand. Phrases are ordered by their UTF-8 bytes. A language w
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 #: Bytes of text that a task counts at once.
-PORTION = 12 << 20
+PORTION = 16 << 20
+#: Texts of the sample that tells frequent words, most words that are dealt into parts, and their least share of a sample's words.
+SAMPLE, HOT, HOT_SHARE = 4000, 4096, 1 / 4000
 #: A byte that UTF-8 doesn't use stands between pieces.
 BREAK = b"\xff"
 TO_BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0dABCDEFGHIJKLMNOPQRSTUVWXYZ", BREAK * 10 + b"abcdefghijklmnopqrstuvwxyz")
@@ -130,21 +134,43 @@ def decoded(rows: pa.RecordBatch, longest: int) -> Stripes:
     return Stripes(rows.column("lang"), rows.column("first"), rows.column("part").to_numpy(), rows.column("total").to_numpy(), levels)
 
 
-def stripes_of(lang: str, pieces: bytes, longest: int, parts: int) -> pa.Table:
-    """The stripes of a portion. The part that holds a first word's count is that of its own digest."""
+def joined(some: list[Stripes]) -> Stripes:
+    levels = [Level(np.concatenate([x.size for x in same]), [w for x in same for w in x.words], np.concatenate([x.n for x in same])) for same in zip(*(s.levels for s in some), strict=True)]
+    return Stripes(pa.concat_arrays([s.lang for s in some]), pa.concat_arrays([s.first for s in some]), np.concatenate([s.part for s in some]), np.concatenate([s.total for s in some]), levels)
+
+
+def last(stripes: Stripes) -> Stripes:
+    """The last row alone."""
+    levels, rows = [], 1
+    for level in stripes.levels:
+        size = level.size[len(level.size) - rows :]
+        rows = int(size.sum())
+        levels.append(Level(size, level.words[len(level.words) - rows :], level.n[len(level.n) - rows :]))
+    return Stripes(stripes.lang[-1:], stripes.first[-1:], stripes.part[-1:], stripes.total[-1:], levels)
+
+
+def split_words(pieces: bytes) -> list[bytes]:
+    return pieces.replace(BREAK, b" " + BREAK + b" ").split()
+
+
+def stripes_of(lang: str, pieces: bytes, longest: int, parts: int, hot: frozenset[bytes] = frozenset()) -> pa.Table:
+    """The stripes of a portion, those of hot words in parts. The part that holds a first word's count is that of its own digest."""
     numbers = Numbers({BREAK: 0})
-    words = pieces.replace(BREAK, b" " + BREAK + b" ").split()
+    words = split_words(pieces)
     at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     del words
     vocabulary, width = list(numbers), len(numbers)
-    part = np.fromiter(map(zlib.crc32, vocabulary), np.int64, width) % parts
+    many = np.ones(width, np.int64)
+    many[[numbers[w] for w in hot if w in numbers]] = parts
+    digest = np.fromiter(map(zlib.crc32, vocabulary), np.int64, width)
     total = np.bincount(at, minlength=width)
     total[0] = 0
     place = np.flatnonzero(at[:-1] * at[1:])
     # rows: first words and parts that have a follower, and those that hold a count
-    row_of = at[place] * parts + part[at[place + 1]]
+    row_of = at[place] * parts + digest[at[place + 1]] % many[at[place]]
     some = np.flatnonzero(total)
-    rows = np.unique(np.concatenate((row_of, some * parts + part[some])))
+    home = digest % many
+    rows = np.unique(np.concatenate((row_of, some * parts + home[some])))
     node, levels, parents = np.searchsorted(rows, row_of), [], len(rows)
     for k in range(1, longest):
         pairs, node, n = np.unique(node * width + at[place + k], return_inverse=True, return_counts=True)
@@ -155,7 +181,7 @@ def stripes_of(lang: str, pieces: bytes, longest: int, parts: int) -> pa.Table:
             inside[inside] = at[place[inside] + k + 1] > 0
             place, node = place[inside], node[inside]
     first, own = rows // parts, rows % parts
-    return encoded(Stripes(pa.array([lang] * len(rows), pa.string()), pa.array([vocabulary[i] for i in first.tolist()], pa.binary()), own, np.where(own == part[first], total[first], 0), levels))
+    return encoded(Stripes(pa.array([lang] * len(rows), pa.string()), pa.array([vocabulary[i] for i in first.tolist()], pa.binary()), own, np.where(own == home[first], total[first], 0), levels))
 
 
 def merged(stripes: Stripes) -> Stripes:
@@ -178,26 +204,32 @@ def merged(stripes: Stripes) -> Stripes:
     return Stripes(stripes.lang.take(where), stripes.first.take(where), stripes.part[starts], np.add.reduceat(stripes.total, starts), levels)
 
 
-def results(stripes: Stripes, least: int) -> pa.RecordBatch:
-    """What merged stripes say: counts of phrases, largest extensions, and words of each language."""
+def results(stripes: Stripes, least: int, rows: int) -> pa.RecordBatch:
+    """What the first so many rows of merged stripes say: counts of phrases, largest extensions, and words of each language."""
     out: list[tuple[np.ndarray, list[bytes], np.ndarray, int]] = []  # rows, phrases, numbers, kind
-    row, spelled = np.arange(len(stripes.part)), dict(enumerate(stripes.first.to_pylist()))
-    often = np.flatnonzero(stripes.total >= least)
-    out.append((often, [spelled[i] for i in often.tolist()], stripes.total[often], COUNT))
+    first = stripes.first
+    often = np.flatnonzero(stripes.total[:rows] >= least)
+    out.append((often, first.take(pa.array(often)).to_pylist(), stripes.total[often], COUNT))
+    row = np.arange(rows)
     for k, level in enumerate(stripes.levels):
-        parent = np.repeat(np.arange(len(level.size)), level.size)
+        size = level.size[: len(row)]
+        parent = np.repeat(np.arange(len(row)), size)
+        n = level.n[: len(parent)]
+        often = np.flatnonzero(n >= least)  # a phrase is no more frequent than its beginning, which is spelled
         if k:
-            largest = np.zeros(len(level.size), np.int64)
-            np.maximum.at(largest, parent, level.n)
-            grown = np.flatnonzero(largest >= least)
+            largest = np.zeros(len(row), np.int64)
+            np.maximum.at(largest, parent[often], n[often])
+            grown = np.flatnonzero(largest)
             out.append((row[grown], [spelled[i] for i in grown.tolist()], largest[grown], LARGEST))
-        often = np.flatnonzero(level.n >= least)  # a phrase is no more frequent than its beginning, which is spelled
-        spelled = {i: b"%b %b" % (spelled[p], level.words[i]) for i, p in zip(often.tolist(), parent[often].tolist(), strict=True)}
+            begun = [spelled[i] for i in parent[often].tolist()]
+        else:
+            begun = first.take(pa.array(parent[often])).to_pylist()
+        spelled = {i: b"%b %b" % (p, level.words[i]) for i, p in zip(often.tolist(), begun, strict=True)}
         row = row[parent]
-        out.append((row[often], list(spelled.values()), level.n[often], COUNT))
-    langs = stripes.lang.dictionary_encode()
+        out.append((row[often], list(spelled.values()), n[often], COUNT))
+    langs = stripes.lang[:rows].dictionary_encode()
     of_lang = np.zeros(len(langs.dictionary), np.int64)
-    np.add.at(of_lang, langs.indices.to_numpy(), stripes.total)
+    np.add.at(of_lang, langs.indices.to_numpy(), stripes.total[:rows])
     lang = pa.concat_arrays([stripes.lang.take(pa.array(np.concatenate([r for r, *_ in out]))), langs.dictionary])
     phrase = pa.array([p for _, some, *_ in out for p in some] + [b""] * len(of_lang), pa.binary())
     kind = np.concatenate([*(np.full(len(r), k) for r, _, _, k in out), np.full(len(of_lang), WORDS)])
@@ -206,30 +238,47 @@ def results(stripes: Stripes, least: int) -> pa.RecordBatch:
 
 def merge(batches: Iterable[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
     """results() of rows sorted by lang, first and part; the last stripe of a batch goes on with the next batch."""
-    held: pa.RecordBatch | None = None
+    held: Stripes | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.Table.from_batches([held.cast(batch.schema), batch]).combine_chunks().to_batches()[0]
-        whole = encoded(merged(decoded(rows, longest))).combine_chunks().to_batches()[0]
-        held = whole.slice(whole.num_rows - 1)
-        if whole.num_rows > 1:
-            yield results(decoded(whole.slice(0, whole.num_rows - 1), longest), least)
+        if batch.num_rows:
+            own = decoded(batch, longest)
+            whole = merged(own if held is None else joined([held, own]))
+            held = last(whole)
+            yield results(whole, least, len(whole.part) - 1)
     if held is not None:
-        yield results(decoded(held, longest), least)
+        yield results(held, least, 1)
+
+
+def hot_words(texts: DataFrame, n_texts: int) -> dict[str, frozenset[bytes]]:
+    """Words of each language that are frequent in a sample of texts, HOT at most."""
+
+    def count(batches):
+        for lang, pieces in portions(batches, PORTION):
+            words = split_words(pieces)
+            found = [(w, n) for w, n in Counter(words).items() if w != BREAK and n >= len(words) * HOT_SHARE]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["lang", "word", "n"])
+
+    sample = texts.sample(min(1.0, SAMPLE / max(1, n_texts)), seed=1)
+    found = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(HOT)
+    out: dict[str, set[bytes]] = {}
+    for r in found.collect():
+        out.setdefault(r["lang"], set()).add(bytes(r["word"]))
+    return {lang: frozenset(words) for lang, words in out.items()}
 
 
 def counts(docs: DataFrame, longest: int, least: int, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(kind, lang, phrase, f): MERGED rows of the whole corpus; those of LARGEST and WORDS have still to be taken together."""
     common.ship(docs.sparkSession)
-    parts = 8 << (docs.count() >> 20).bit_length()
+    n_texts = docs.count()
+    parts = 16 << (n_texts >> 20).bit_length()
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    hot = hot_words(texts, n_texts)
 
     def make(batches):
         for lang, pieces in portions(batches, PORTION):
-            yield from stripes_of(lang, pieces, longest, parts).to_batches(max_chunksize=20_000)
+            yield from stripes_of(lang, pieces, longest, parts, hot.get(lang, frozenset())).to_batches(max_chunksize=20_000)
 
     keys = ["lang", "first", "part"]
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
     stripes = texts.mapInArrow(make, schema(longest))
     return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: merge(batches, longest, least), MERGED)
 
