@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold_text, tokenize, trim_white
-from corpusloom.operators.dense import best_chunk, ranks_of, relative_cutoff, top_k
+from corpusloom.operators.dense import best_of, search_cells, top_k
 from corpusloom.operators.lexical import lexical_search, postings_of_chunks
 from corpusloom.operators.ranking import fuse_rankings, note_bonuses, rank_notes, recency_positions
 from corpusloom.sources.tables import stored
@@ -33,29 +33,29 @@ def hybrid_search(
 ) -> DataFrame:
     """(qid, note_id, rank, score, match_kind, best_idx, is_lexical) for queries (qid, q, vector); blank queries have no rows.
 
-    store writes a table and reads it again: each query's best chunks are used four times. Of the dense ranking only the
-    firsts and the lexical hits can be among the first `top_k_notes`, so only their ranks are found.
+    Of the dense ranking only the firsts and the lexical hits can be among the first `top_k_notes`. The lexical hits are
+    scored first, by their ids; they go along with the queries, and the one pass over the index sends the firsts of each
+    cell and, for each hit, how many notes of the cell rank before it. No pair of a query and a note is stored else.
     """
     asked = queries.filter(trim_white(F.col("q")) != "")
     postings = postings_of_chunks(index) if postings is None else postings
     n_docs = index.agg(F.count_distinct("note_id").alias("n")) if n_docs is None else n_docs
     lexical = store(lexical_search(postings, asked, n_docs, LEXICAL_CANDIDATES, vocab=vocab).select("qid", "note_id", "rank"))
-    best = store(best_chunk(index, asked.select("qid", "vector"), min_score))
-    tops = best.groupBy("qid").agg(F.max("score").alias("top"))
-    firsts = top_k(best, top_k_notes + LEXICAL_CANDIDATES)
-    other = best.join(lexical.select("qid", "note_id"), ["qid", "note_id"]).join(firsts.select("qid", "note_id"), ["qid", "note_id"], "left_anti")
-    other = other.join(ranks_of(best, other), ["qid", "note_id"])
-    dense = store(firsts.select("qid", "note_id", "idx", "score", "rank").unionByName(other))
+    own = store(best_of(lexical, index, asked))  # LEXICAL_CANDIDATES rows a query at most
+    probes = own.filter(F.col("score") >= min_score).groupBy("qid").agg(F.collect_list(F.struct("note_id", "score")).alias("probes"))
+    found = store(search_cells(index, asked.select("qid", "vector").join(probes, "qid", "left"), min_score, top_k_notes + LEXICAL_CANDIDATES))
+    firsts = top_k(found.filter("n_before is null").drop("n_before"), top_k_notes + LEXICAL_CANDIDATES)
+    ranks = found.filter("n_before is not null").groupBy("qid", "note_id").agg((F.sum("n_before") + 1).cast("int").alias("rank"))
+    other = own.join(ranks, ["qid", "note_id"]).join(firsts.select("qid", "note_id"), ["qid", "note_id"], "left_anti")
+    dense = store(firsts.unionByName(other.select(*firsts.columns)))
+    tops = dense.filter("rank = 1").select("qid", F.col("score").alias("top"))
     fused = fuse_rankings([lexical, dense.select("qid", "note_id", "rank")])
     met = fused.withColumnRenamed("score", "fused").withColumnRenamed("rank", "place").join(dense.select("qid", "note_id", "idx", F.col("score").alias("dense")), ["qid", "note_id"], "left").join(tops, "qid", "left")
     near = F.lit(True) if cutoff <= 0 else (F.col("top") <= min_score) | (F.col("dense") >= min_score + cutoff * (F.col("top") - min_score))
     shown = met.filter(F.col("r0").isNotNull() | F.coalesce(near, F.lit(False)))
     ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).filter(F.col("rank") <= top_k_notes)
     is_lexical = F.col("r0").isNotNull()
-    # a lexical hit below the floor has no dense row: its best chunk is found among its own chunks
-    lost = store(ranked.filter("idx is null").select("qid", "note_id"))
-    wide = index.join(lost.select("note_id").distinct(), "note_id", "left_semi")
-    own = store(best_chunk(wide, asked.select("qid", "vector").join(lost.select("qid").distinct(), "qid", "left_semi"))).join(lost, ["qid", "note_id"])
+    # a lexical hit below the floor has no dense row, but a best chunk all the same
     out = ranked.join(own.select("qid", "note_id", F.col("idx").alias("own")), ["qid", "note_id"], "left")
     return out.select("qid", "note_id", "rank", F.round("fused", 9).alias("score"), F.when(is_lexical, "text").otherwise("semantic").alias("match_kind"), F.coalesce("idx", "own").alias("best_idx"), is_lexical.alias("is_lexical"))
 

@@ -216,6 +216,12 @@ def dense_best_chunk(spark, sf_dir):
     return vec_best(spark, sf_dir, 0.1).withColumn("score", F.round("score", 6))
 
 
+@query(S.with_(S.VEC, S.VEC_BEST, body="SELECT qid, note_id, idx, round(score, 6) AS score FROM vec_best"))
+def dense_all_notes(spark, sf_dir):
+    """The best chunk of every note for every query, without a floor."""
+    return vec_best(spark, sf_dir, None).withColumn("score", F.round("score", 6))
+
+
 @query(S.with_(S.VEC, S.VEC_BEST, "r AS (SELECT qid, note_id, idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM vec_best WHERE score >= 0.1)", body="SELECT qid, note_id, idx, round(score, 6) AS score, rank FROM r WHERE rank <= 20"))
 def dense_search(spark, sf_dir):
     found = dense.dense_search(vec_best(spark, sf_dir, 0.1, 20), 0.1, 20)
@@ -229,24 +235,35 @@ def relative_cutoff(spark, sf_dir):
     return dense.relative_cutoff(others, 0.6, 0.1).select("qid", "note_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    S.with_(
+def _fused_sql(floor: str = "", depth: str = "") -> str:
+    return S.with_(
         S.VEC,
         S.VEC_BEST,
-        "a AS (SELECT * FROM (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM vec_best WHERE score >= 0.1) WHERE rank <= 100)",
-        "b AS (SELECT * FROM (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY note_id * 7919 % 1009, note_id) AS rank FROM vec_best WHERE note_id % 2 = 0 AND score >= 0.1) WHERE rank <= 100)",
+        f"a AS (SELECT * FROM (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM vec_best WHERE true{floor}){depth})",
+        f"b AS (SELECT * FROM (SELECT qid, note_id, row_number() OVER (PARTITION BY qid ORDER BY note_id * 7919 % 1009, note_id) AS rank FROM vec_best WHERE note_id % 2 = 0{floor}){depth})",
         "f AS (SELECT qid, note_id, a.rank AS r0, b.rank AS r1, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 12) AS s FROM a FULL OUTER JOIN b USING (qid, note_id))",
         "g AS (SELECT *, s / max(s) OVER (PARTITION BY qid) AS score FROM f)",
         body="SELECT qid, note_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, note_id) AS rank FROM g",
     )
-)
+
+
+def _fused(spark, sf_dir, floor: float | None, depth: int):
+    best = V.stored(vec_best(spark, sf_dir, floor))
+    other = best.filter("note_id % 2 = 0").select("qid", "note_id", (-(F.col("note_id") * 7919 % 1009)).alias("score"))
+    lists = [dense.top_k(b, depth).select("qid", "note_id", "rank") for b in (best, other)]
+    return ranking.fuse_rankings(lists).select("qid", "note_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_fused_sql(" AND score >= 0.1", " WHERE rank <= 100"))
 def rrf_fuse(spark, sf_dir):
     """The first hundred of two rankings of each query, fused."""
-    best = V.stored(vec_best(spark, sf_dir, 0.1))
-    first = dense.top_k(best, 100).select("qid", "note_id", "rank")
-    other = best.filter("note_id % 2 = 0").select("qid", "note_id", (-(F.col("note_id") * 7919 % 1009)).alias("score"))
-    second = dense.top_k(other, 100).select("qid", "note_id", "rank")
-    return ranking.fuse_rankings([first, second]).select("qid", "note_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _fused(spark, sf_dir, 0.1, 100)
+
+
+@query(_fused_sql())
+def rrf_fuse_whole(spark, sf_dir):
+    """Two whole rankings of each query, fused."""
+    return _fused(spark, sf_dir, None, (1 << 31) - 1)
 
 
 _HYBRID = (S.NOTES, S.QUERIES, S.CHUNKS, S.CHUNK_VECTORS, S.QUERY_VECTORS, S.CHUNK_POSTINGS, S.VOCAB, S.EXPANDED, S.LEXICAL, S.DENSE, S.HYBRID)

@@ -115,21 +115,39 @@ def test_best_chunks_and_ranks_equal_loops(spark):
     vectors = [(q, [draw.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for q in range(7)]
     queries = spark.createDataFrame(vectors, "qid long, vector array<double>")
     want = plain_best(rows, vectors)
-    for block in (2, 4096):  # the number of queries in a block changes nothing
-        got = {(r["qid"], r["note_id"]): (r["idx"], r["score"]) for r in dense.best_chunk(index, queries, block=block).collect()}
-        assert got == want
-        got = {(r["qid"], r["note_id"]): (r["idx"], r["score"]) for r in dense.best_chunk(index, queries, 0.5, block=block).collect()}
-        assert got == {k: v for k, v in want.items() if v[1] >= 0.5}
-        firsts = dense.top_k(dense.best_chunk(index, queries, None, 4, block=block), 4).collect()
-        for q, _ in vectors:
-            order = sorted((-s, n) for (k, n), (_, s) in want.items() if k == q)
-            assert [(-r["score"], r["note_id"]) for r in sorted(firsts, key=lambda r: r["rank"]) if r["qid"] == q] == order[:4]
-    best = dense.best_chunk(index, queries)
-    ranks = {(r["qid"], r["note_id"]): r["rank"] for r in dense.ranks_of(best, best.filter("note_id % 7 = 1")).collect()}
-    for q, _ in vectors:
-        order = [n for _, n in sorted((-s, n) for (k, n), (_, s) in want.items() if k == q)]
-        assert all(ranks[q, n] == order.index(n) + 1 for n in range(1, 60, 7))
-    assert dense.best_chunk(index, queries.limit(0)).count() == 0
+    def rows_of(df):
+        return {(r["qid"], r["note_id"]): (r["idx"], r["score"]) for r in df.collect()}
+
+    for sizes in ({"cell_chunks": 30, "group_queries": 2}, {}):  # the numbers of cells and groups change nothing
+        assert rows_of(dense.best_chunk(index, queries, **sizes)) == want
+        assert rows_of(dense.best_chunk(index, queries, 0.5, **sizes)) == {k: v for k, v in want.items() if v[1] >= 0.5}
+        firsts = dense.top_k(dense.best_chunk(index, queries, None, 4, **sizes), 4).collect()
+        pairs = spark.createDataFrame([(q, n) for q, _ in vectors for n in range(1, 60, 7)], "qid long, note_id long")
+        own = dense.best_of(pairs, index, queries)
+        assert rows_of(own) == {(q, n): v for (q, n), v in want.items() if n % 7 == 1}
+        probes = own.groupBy("qid").agg(F.collect_list(F.struct("note_id", "score")).alias("probes"))
+        for floor in (None, 0.5):
+            counted = dense.search_cells(index, queries.join(probes, "qid", "left"), floor, 4, **sizes).filter("n_before is not null").groupBy("qid", "note_id").agg(F.sum("n_before").alias("n"))
+            before = {(r["qid"], r["note_id"]): r["n"] for r in counted.collect()}
+            for q, _ in vectors:
+                order = sorted((-s, n) for (k, n), (_, s) in want.items() if k == q)
+                assert [(-r["score"], r["note_id"]) for r in sorted(firsts, key=lambda r: r["rank"]) if r["qid"] == q] == order[:4]
+                shown = [x for x in order if floor is None or -x[0] >= floor]
+                assert all(before[q, n] == sum(x < (-want[q, n][1], n) for x in shown) for n in range(1, 60, 7))
+    assert dense.best_chunk(index, queries.limit(0)).count() == 0 and dense.best_chunk(index.limit(0), queries).count() == 0
+
+
+def test_vectors_that_are_null_or_of_unlike_length(spark):
+    rows = [("a", -1, [1.0, 0.0, 2.0]), ("a", 0, None), ("b", 0, [1.0]), ("c", 0, []), ("d", 0, [None, 3.0, 0.0, 9.0]), ("e", 0, None), ("f", 0, [float("nan"), 1.0])]
+    index = spark.createDataFrame(rows, "note_id string, idx int, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, [2.0]), (3, None)], "qid long, vector array<double>")
+    want = {(1, "a"): 3.0, (1, "b"): 1.0, (1, "c"): 0.0, (1, "d"): 3.0, (1, "f"): 1.0, (2, "a"): 2.0, (2, "b"): 2.0, (2, "c"): 0.0, (2, "d"): 0.0, (2, "f"): 0.0}
+    for k in (None, 9):
+        for cell_chunks in (1, 100):
+            got = dense.best_chunk(index, queries, k=k, cell_chunks=cell_chunks, group_queries=1).collect()
+            assert {(r["qid"], r["note_id"]): r["score"] for r in got} == want
+    firsts = dense.top_k(dense.best_chunk(index, queries, None, 2), 2).collect()
+    assert sorted((r["qid"], r["rank"], r["note_id"]) for r in firsts) == [(1, 1, "a"), (1, 2, "d"), (2, 1, "a"), (2, 2, "b")]
 
 
 def test_title_matches_by_parts(spark):
