@@ -143,13 +143,17 @@ def block_scores(at: np.ndarray, doc: np.ndarray, c: np.ndarray, spelling: np.nd
     word, spell = c[at] / max(n_train, 1), spelling[at]
     rest = np.maximum(n_train - size[doc], 1)
     left = np.where(held[doc], c[at] / max(n_train, 1), (c[at] - whole) / rest)
+    tiny = np.flatnonzero(spell < -600)  # spellings too unlikely for a sum outside log space
+    linear = np.exp(spell)
     out = [], []
     for share, strength in GRID:
-        below, subwords = np.log(strength + place), np.log(strength * share) + spell
+        below = np.add.reduceat(np.log(strength + place), starts)
         for found, known in zip(out, (word, left), strict=True):
+            whole_word = strength * (1 - share) * known + before
             with np.errstate(divide="ignore"):
-                whole_word = np.log(strength * (1 - share) * known + before)
-            found.append(np.add.reduceat(np.logaddexp(whole_word, subwords) - below, starts))
+                value = np.log(whole_word + strength * share * linear)
+                value[tiny] = np.logaddexp(np.log(whole_word[tiny]), np.log(strength * share) + spell[tiny])
+            found.append(np.add.reduceat(value, starts) - below)
     return tuple(np.stack(x, 1) / np.log(10) for x in out)
 
 
