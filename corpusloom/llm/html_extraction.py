@@ -412,9 +412,10 @@ def content(root: Node, template: set[int], pages: int) -> list[str]:
 
 
 def odds(k: int, n: int, chance: float, prior: float = 0.2) -> float:
-    """Posterior odds of a template, of which any number of n pages shows a text alike, against content, of which each page repeats
-    a text by chance, when k do."""
-    return prior / ((n + 1) * math.comb(n, k) * chance**k * (1 - chance) ** (n - k))
+    """Log of the posterior odds of a template, of which any number of n pages shows a text alike, against content, of which each
+    page repeats a text by chance, when k do."""
+    ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    return math.log(prior) - math.log(n + 1) - ways - k * math.log(chance) - (n - k) * math.log1p(-chance)
 
 
 def families(texts: list[dict[str, int]], share: float = 0.8, least: int = 300) -> list[int]:
@@ -464,10 +465,10 @@ def template_texts(frame: Slot, aligned: list[dict[int, Slot]], family: list[int
                         seen.setdefault(text, set()).add(f)
         in_article, n = id(s) in kept, len(pages)
         shared = {t: len(own) for t, own in seen.items() if len(own) > 1}
-        found = {t: in_article for t, k in shared.items() if odds(k, n, 0.3 if in_article else 0.1) >= 1}
+        found = {t: in_article for t, k in shared.items() if odds(k, n, 0.3 if in_article else 0.1) >= 0}
         if shared and not in_article:
             shown = sum(map(len, seen.values()))
-            if odds(shown - len(seen), shown, 0.1) >= 1:  # a few texts in turn
+            if odds(shown - len(seen), shown, 0.1) >= 0:  # a few texts in turn
                 found |= {t: False for t in shared if t.count(" ") >= 4}
         if found:
             out[id(s)] = found

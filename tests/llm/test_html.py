@@ -253,5 +253,11 @@ def test_labelled_pages_with_neutral_names():
 
 
 def test_odds_ask_for_less_of_more_pages():
-    least = [next(k for k in range(2, n + 2) if k > n or X.odds(k, n, 0.1) >= 1) / n for n in range(2, 49)]
+    least = [next(k for k in range(2, n + 2) if k > n or X.odds(k, n, 0.1) >= 0) / n for n in range(2, 49)]
     assert least[0] == 1 and least[-1] <= 0.3 and all(a - b >= -1 / n for n, (a, b) in enumerate(zip(least, least[1:], strict=False), 2))
+    assert X.odds(90_000, 100_000, 0.1) > 0 > X.odds(9_000, 100_000, 0.1)
+
+
+def test_a_slot_of_very_many_texts():
+    pages = [labelled(i, "<div>" + "".join(f"<p>Line {k} of the page with number {i}.</p><p>yes</p>" for k in range(400)) + "</div><section>Imprint of the site</section>") for i in range(4)]
+    assert [t.count("\n") for t in X.extract_group(pages)] == [399] * 4
