@@ -413,7 +413,10 @@ def content(root: Node, template: set[int], pages: int) -> list[str]:
 
 def odds(k: int, n: int, chance: float, prior: float = 0.2) -> float:
     """Log of the posterior odds of a template, of which any number of n pages shows a text alike, against content, of which each
-    page repeats a text by chance, when k do."""
+    page repeats a text by `chance` at most, when k do."""
+    chance = min(chance, k / n)
+    if not 0 < chance < 1:
+        return -math.inf
     ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
     return math.log(prior) - math.log(n + 1) - ways - k * math.log(chance) - (n - k) * math.log1p(-chance)
 
