@@ -41,6 +41,23 @@ def headers(planned: DataFrame, profile: Profile) -> DataFrame:
     return planned.select(F.col("id").alias("note_id"), "content_hash", F.lit(profile.model_id).alias("model_id"), F.lit(profile.dimensions).alias("dimensions"), F.lit(profile.schema_version).alias("schema_version"))
 
 
+def reindex_stored(notes: DataFrame, path: str, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, list[int]]:
+    """(plan, buckets written): bring the index stored at path up to date with notes (id, title, body).
+
+    Stale notes are cut and embedded anew, notes that are gone leave the index, and a note without text keeps a header. Only
+    the buckets of such notes are read for their chunks and written.
+    """
+    from corpusloom.sources.index_store import read_stored, update_index
+
+    profile = Profile(embedder.id, embedder.dimensions)
+    held = read_stored(notes.sparkSession, path)[0]
+    plan = store(plan_reindex(notes, held, profile))
+    stale = plan.filter("stale").select("id", "content_hash")
+    fresh = embed_chunks(plan_chunks(notes.join(stale.select("id"), "id", "left_semi"), embedder.passage_prefix), embedder).withColumn("model_id", F.lit(embedder.id))
+    removed = prune_orphans(held, notes)[1].select("note_id").distinct()
+    return plan, update_index(headers(stale, profile), fresh, removed, path)
+
+
 def reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(headers, chunks, plan): only stale notes are cut and embedded anew; a note without text keeps a header alone."""
     profile = Profile(embedder.id, embedder.dimensions)

@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import attachments, catalog, chunking, embedding, evaluate, generate, index, lexical, spaces
 from corpusloom.plans import sqltext as S
 from corpusloom.plans import views as V
-from corpusloom.sources import ingest
+from corpusloom.sources import index_store, ingest
 from corpusloom.streaming import streams
 
 QUERIES: dict = {}
@@ -153,17 +153,48 @@ def reindex_plan(spark, sf_dir):
     return index.plan_reindex(V.notes(spark, sf_dir), old_headers(spark, sf_dir), PROFILE)
 
 
-@query(S.with_(S.NOTES, S.CHUNKS, _OLD, "per AS (SELECT note_id, count(*) AS n_chunks FROM chunks GROUP BY note_id)", body="SELECT id AS note_id, content_hash, 'hash-32' AS model_id, stale AS embedded, coalesce(n_chunks, 0) AS n_chunks FROM plan LEFT JOIN per ON note_id = id"))
+def _old_index(spark, sf_dir) -> str:
+    """The folder of an index as old_headers() describes it."""
+    n, model, folder = V.spread(V.notes(spark, sf_dir)).filter("doc_id % 5 <> 0"), embedding.HashingEmbedder(32), V.scratch(spark)
+    chunks = embedding.embed_chunks(chunking.plan_chunks(n), model)
+    chunks = chunks.withColumn("model_id", F.when(F.col("note_id").cast("long") % 7 == 0, "old-model").otherwise(model.id))
+    index_store.write_index(old_headers(spark, sf_dir), chunks, folder, 500)
+    return folder
+
+
+old_index = V.once("old_index", _old_index)
+
+#: The notes after some were removed and some emptied.
+_LATER = S.NOTES.replace("FROM documents)", "FROM documents WHERE doc_id % 9 <> 4)").replace("text AS body", "CASE WHEN doc_id % 11 = 3 THEN '' ELSE text END AS body")
+
+
+def later_notes(spark, sf_dir) -> DataFrame:
+    empty = F.col("doc_id") % 11 == 3
+    return V.notes(spark, sf_dir).filter("doc_id % 9 <> 4").withColumns({c: F.when(empty, "").otherwise(F.col(c)) for c in ("title", "body")})
+
+
+@query(
+    S.with_(
+        S.NOTES.replace("notes AS", "known AS"),
+        _LATER.replace("notes AS", "later AS"),
+        "notes AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 3 THEN '' ELSE title END AS title) FROM later)",
+        S.CHUNKS,
+        f"indexed AS (SELECT id, CASE WHEN doc_id % 6 = 0 THEN 'stale' ELSE {S.fingerprint('title', 'body')} END AS content_hash, doc_id % 7 = 0 AS old FROM known WHERE doc_id % 5 <> 0)",
+        f"plan AS (SELECT n.id, {S.fingerprint('n.title', 'n.body')} AS content_hash, i.id IS NULL OR i.content_hash <> {S.fingerprint('n.title', 'n.body')} OR old AS stale FROM notes n LEFT JOIN indexed i USING (id))",
+        "per AS (SELECT note_id, count(*) AS n_chunks FROM chunks GROUP BY note_id)",
+        body="SELECT id AS note_id, content_hash, 'hash-32' AS model_id, stale AS embedded, coalesce(n_chunks, 0) AS n_chunks FROM plan LEFT JOIN per ON note_id = id",
+    )
+)
 def reindex_incremental(spark, sf_dir):
-    """Only stale notes are embedded; the index is written and read again, one row a note comes back."""
-    n, old, model = V.spread(V.notes(spark, sf_dir)), old_headers(spark, sf_dir), embedding.HashingEmbedder(32)
-    stored = embedding.embed_chunks(chunking.plan_chunks(n.filter("doc_id % 5 <> 0")), model).withColumn("model_id", F.lit(model.id))
-    headers, chunks, plan = index.reindex(n, old, stored, model)
-    folder = V.scratch(spark)
-    ingest.write_index(chunks, folder)
-    per = ingest.read_index(spark, folder)[0].groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    """An index that is written over: notes were removed, emptied, added and changed, and only their buckets are written; it is
+    read again, one row a note."""
+    folder, model = V.scratch(spark), embedding.HashingEmbedder(32)
+    index_store.branch(spark, old_index(spark, sf_dir), folder)
+    plan = index.reindex_stored(V.spread(later_notes(spark, sf_dir)), folder, model, V.stored)[0]
+    headers, chunks = index_store.read_stored(spark, folder)
+    per = chunks.filter(F.col("model_id") == model.id).groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     flags = plan.select(F.col("id").alias("note_id"), F.col("stale").alias("embedded"))
-    return headers.join(flags, "note_id").join(per, "note_id", "left").select("note_id", "content_hash", "model_id", "embedded", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    return headers.join(flags, "note_id", "left").join(per, "note_id", "left").select("note_id", "content_hash", "model_id", "embedded", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 @query(S.with_(S.NOTES, body="SELECT id AS note_id, doc_id % 9 = 4 AS dropped FROM notes WHERE doc_id % 5 <> 0"))

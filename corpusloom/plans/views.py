@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +25,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], Any] = {}
 
 
-def kept(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A view that is stored once for each application and folder: indexes and inputs that many queries read."""
+def once(name: str, make: Callable[[SparkSession, str], Any]) -> Callable[[SparkSession, str], Any]:
+    """What make gives, made once for each application and folder; files of that folder that change later aren't seen."""
 
-    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def get(spark: SparkSession, sf_dir: str) -> Any:
         key = spark.sparkContext.applicationId, sf_dir, name
         if key not in _kept:
-            _kept[key] = stored(make(spark, sf_dir))
+            _kept[key] = make(spark, sf_dir)
         return _kept[key]
 
     return get
 
 
+def kept(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A view that is stored once: indexes and inputs that many queries read."""
+    return once(name, lambda spark, sf_dir: stored(make(spark, sf_dir)))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     words = F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 8)

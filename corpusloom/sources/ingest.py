@@ -142,12 +142,6 @@ def write_catalog(catalog: DataFrame, path: str, changed: bool) -> bool:
     return changed
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 16) -> None:
-    """Chunk index partitioned by model and a hash bucket of the note; a rerun replaces the buckets it holds."""
-    keyed = chunks.withColumn("bucket", F.pmod(F.xxhash64("note_id"), F.lit(buckets)))
-    keyed.repartition("model_id", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id", "bucket").parquet(path)
-
-
 INDEX = "note_id string, idx int, kind string, text string, offset int, length int, dimensions int, embedding array<double>, model_id string, inline_embedding array<double>"
 
 
@@ -163,3 +157,11 @@ def read_index(spark: SparkSession, path: str, legacy: str | None = None) -> tup
     records = records.withColumn("dimensions", F.coalesce("dimensions", F.size(F.coalesce("embedding", "inline_embedding"))))
     checked = validate_index(records, ["text", "model_id"])
     return checked.filter("reason is null").drop("reason", "upgraded"), checked.filter("reason is not null").select("note_id", "idx", "reason")
+
+
+def passed_over(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of the files below path of which read_index() reads no record: those that are no Parquet, and empty ones."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"), "length")
+    read = spark.read.schema(INDEX).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return listed.join(read.select(plain("file").alias("_read")), plain("file") == F.col("_read"), "left_anti")
