@@ -548,17 +548,65 @@ def first_occurrence(spark, sf_dir):
     return streams.first_occurrence(edits(spark, sf_dir), ["key", "event_type"]).select("key", "event_type")
 
 
-@query(S.with_(S.NOTES, S.NOTE_POSTINGS, body="SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY term"))
+_STREAMED = S.NOTES.replace("FROM documents)", "FROM documents WHERE doc_id % 13 <> 5)").replace("text AS body", "CASE WHEN doc_id % 11 = 3 THEN '' ELSE text END AS body")
+
+
+@query(
+    S.with_(
+        _STREAMED.replace("notes AS", "saved AS"),
+        "notes AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 3 THEN '' ELSE title END AS title) FROM saved)",
+        S.NOTE_POSTINGS,
+        "t AS (SELECT count(*) AS n FROM notes WHERE trim(title) <> '' OR trim(body) <> '')",
+        body="SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, any_value(t.n) AS n_docs FROM postings, t GROUP BY term",
+    )
+)
 def stream_reindex(spark, sf_dir):
-    """Edits streamed from files in several micro-batches, every third note saved twice; the last save of a note is what stays."""
+    """Saves streamed from files in several micro-batches: every third note is saved twice, some are emptied and some deleted
+    later. The numbers of notes are those kept up by the stream, the occurrences those of its postings."""
     folder, where, state = V.scratch(spark), V.scratch(spark), V.scratch(spark)
-    saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at", "doc_id")
-    earlier = saved.filter("doc_id % 3 = 0").withColumns({"title": F.lit("draft"), "body": F.concat(F.lit("old words of "), "id"), "updated_at": F.col("updated_at") - F.expr("interval 1 hour")})
-    edits = saved.union(earlier).drop("doc_id")
-    edits.repartition(4, "id", "title").write.parquet(folder)
-    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at", "doc_id").withColumn("deleted", F.lit(False))
+    hour = F.expr("interval 1 hour")
+    earlier = saved.filter("doc_id % 3 = 0").withColumns({"title": F.lit("draft"), "body": F.concat(F.lit("old words of "), "id"), "updated_at": F.col("updated_at") - hour})
+    emptied = saved.filter("doc_id % 11 = 3").withColumns({"title": F.lit(" "), "body": F.lit(""), "updated_at": F.col("updated_at") + hour})
+    deleted = saved.filter("doc_id % 13 = 5").withColumns({"updated_at": F.col("updated_at") + hour * 2, "deleted": F.lit(True)})
+    edits = saved.union(earlier).union(emptied).union(deleted).drop("doc_id")
+    edits.repartition(5, "id", "title", "deleted").write.parquet(folder)
+    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     streams.stream_reindex(stream, streams.index_batch(where, embedding.HashingEmbedder(32)), state).awaitTermination()
-    return streams.current(spark.read.parquet(f"{where}/postings")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    live = streams.live_index(spark, where)
+    tf = live["postings"].groupBy("term").agg(F.sum("tf").alias("tf"))
+    return live["df"].join(tf, "term", "full_outer").join(F.broadcast(live["n_docs"])).select("term", "df", "tf", F.col("n").alias("n_docs"))  # one row
+
+
+@query(
+    """WITH q AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number, ts + to_seconds((event_id * 7919 % 20000)::INT) AS due, event_id FROM events),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY number) AS next FROM q)
+SELECT user_id AS session, number, strftime(due, '%Y-%m-%d %H:%M:%S') AS "at", event_id::VARCHAR AS payload FROM n WHERE next IS NULL OR next > due"""
+)
+def fresh_answers(spark, sf_dir):
+    """Events as queries, each answered after a while, streamed in the order of arrival: an answer to a query that was
+    replaced before it came is dropped."""
+    from pyspark.sql import Window
+
+    e = V.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    q = e.withColumn("number", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    asked = q.select(F.col("user_id").alias("session"), F.lit("query").alias("kind"), "number", F.col("ts").alias("at"), F.lit("").alias("payload"))
+    wait = F.make_dt_interval(secs=F.col("event_id") * 7919 % 20000)
+    answered = q.select(F.col("user_id").alias("session"), F.lit("answer").alias("kind"), "number", (F.col("ts") + wait).alias("at"), F.col("event_id").cast("string").alias("payload"))
+    folder, out, state = V.scratch(spark), V.scratch(spark), V.scratch(spark)
+    rows = asked.union(answered)
+    # files in the order of arrival, one a micro-batch
+    bounds = rows.select(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    steps = 3
+    width = (bounds["b"] - bounds["a"]) / steps
+    for k in range(steps):
+        low, high = bounds["a"] + width * k, bounds["a"] + width * (k + 1)
+        some = rows.filter((F.col("at") >= low) & ((F.col("at") < high) if k + 1 < steps else F.lit(True)))
+        some.repartition(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    shown = streams.fresh_answers(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    shown.awaitTermination()
+    return spark.read.parquet(out).select("session", "number", stamp("at").alias("at"), "payload")
 
 
 _CASES = """

@@ -1,16 +1,18 @@
-"""Streams of edits: debouncing, incremental reindexing and first occurrences."""
+"""Streams of edits: debouncing, incremental reindexing, first occurrences and answers in time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusloom.functions.text import content_fingerprint, trim_white
 from corpusloom.operators.chunking import plan_chunks
 from corpusloom.operators.embedding import Embedder, embed_chunks
 from corpusloom.operators.lexical import build_postings
+from corpusloom.sources import versions
 from corpusloom.sources.tables import stored
 
 
@@ -39,26 +41,127 @@ def stream_reindex(stream: DataFrame, apply_batch: Callable[[DataFrame, int], No
     return stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+HEADERS = "note_id string, updated_at {time}, batch long, version long, content_hash string, model_id string, deleted boolean, has_text boolean"
+POSTINGS = "term string, note_id string, tf long, in_title boolean, version long"
+CHUNKS = "note_id string, idx int, kind string, text string, offset int, length int, embedding array<double>, version long"
+TERMS = "term string, n long"
+#: So many folders of one level become one of the next.
+FAN = 4
+
+
 def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], None]:
-    """A function that writes a micro-batch of saved notes (id, title, body, updated_at) as postings and embedded chunks.
+    """A function that applies a micro-batch of saves (id, title, body, updated_at and, if there, deleted) to the index below `where`.
 
-    Of several saves of a note in a batch the last one is taken. A batch has its own folder, which a repeated batch
-    overwrites; what a later save replaces is left out by current() when the tables are read.
+    Of several saves of a note the last counts, within a batch and between batches; a save that is older than the one held is passed over.
+    Only notes whose text, model or deletion differs from what is held are cut, embedded and counted; a save that changes
+    nothing writes a header. A deleted note leaves a header that says so, an emptied one a header without rows. How many notes have
+    a term, and how many have text, is kept up by differences.
+
+    A batch is a folder; FAN folders of one level are merged into one, so that there are at most FAN - 1 for each level and log(batches)
+    levels. The list of folders is renamed into place last (versions.py): a batch that is repeated after a failure, or after its end, changes nothing.
     """
 
     def apply_batch(batch: DataFrame, number: int) -> None:
-        columns = [c for c in batch.columns if c != "id"]
-        last = batch.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("updated_at", F.xxhash64("title", "body"))).alias("n")).select("id", "n.*")
-        last = stored(last)
-        times = last.select(F.col("id").alias("note_id"), "updated_at")
-        build_postings(last).join(times, "note_id").write.mode("overwrite").parquet(f"{where}/postings/batch={number}")
-        embed_chunks(plan_chunks(last), embedder).select("note_id", "idx", "kind", "text", "offset", "length", "embedding").join(times, "note_id").write.mode("overwrite").parquet(f"{where}/chunks/batch={number}")
+        spark = batch.sparkSession
+        state = versions.current(spark, where) or {"last": -1, "time": batch.schema["updated_at"].dataType.simpleString(), "folders": [], "retired": []}
+        if number <= state["last"]:
+            return
+        gone = F.coalesce("deleted", F.lit(False)) if "deleted" in batch.columns else F.lit(False)
+        saves = batch.select("id", F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"), gone.alias("deleted"), "updated_at").alias("n"))
+        last = saves.groupBy("id").agg(F.max_by("n", F.struct("n.updated_at", "n.deleted", F.xxhash64("n.title", "n.body"))).alias("n")).select("id", "n.*")
+        last = stored(last.withColumn("content_hash", content_fingerprint(F.col("title"), F.col("body"))))
+        headers = _table(spark, state, "headers").join(last.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+        held = _latest(headers).select(F.col("note_id").alias("id"), *(F.col(c).alias(f"_{c}") for c in ("updated_at", "version", "content_hash", "model_id", "deleted", "has_text")))
+        met = last.join(held, "id", "left").filter("_updated_at is null or updated_at >= _updated_at")
+        same = (F.col("content_hash") == F.col("_content_hash")) & (F.col("_model_id") == embedder.id) & (F.col("deleted") == F.col("_deleted"))
+        has_text = ~F.col("deleted") & ((trim_white(F.col("title")) != "") | (trim_white(F.col("body")) != ""))
+        met = stored(met.withColumns({"changed": ~F.coalesce(same, F.lit(False)), "has_text": has_text}))
+        fresh = stored(met.filter("changed and not deleted").select("id", "title", "body"))
+
+        folder = versions.new_folder(where, "batch")
+        version = F.lit(number).cast("long").alias("version")
+        new_headers = met.select(F.col("id").alias("note_id"), "updated_at", F.lit(number).cast("long").alias("batch"), F.when(F.col("changed"), F.lit(number)).otherwise(F.col("_version")).cast("long").alias("version"), "content_hash", F.lit(embedder.id).alias("model_id"), "deleted", "has_text")
+        new_headers.write.parquet(f"{folder}/headers")
+        build_postings(fresh).select("term", "note_id", "tf", "in_title", version).write.parquet(f"{folder}/postings")
+        chunks = embed_chunks(plan_chunks(fresh, embedder.passage_prefix), embedder).select("note_id", "idx", "kind", "text", "offset", "length", "embedding", version)
+        chunks.write.parquet(f"{folder}/chunks")
+        old = met.filter("changed and _version is not null").select(F.col("id").alias("note_id"), F.col("_version").alias("version"))
+        lost = _table(spark, state, "postings").join(old, ["note_id", "version"], "left_semi")
+        won = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+        terms = won.select("term", F.lit(1).alias("n")).union(lost.select("term", F.lit(-1)))
+        terms.groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").select("term", "n").write.parquet(f"{folder}/terms")
+        count = met.agg(F.coalesce(F.sum(F.col("has_text").cast("long") - F.coalesce(F.col("_has_text").cast("long"), F.lit(0))), F.lit(0))).first()[0]
+
+        for folder_ in state["retired"]:
+            versions.delete(spark, folder_)
+        state |= {"last": number, "folders": [*state["folders"], {"path": folder, "level": 0, "notes": count}], "retired": []}
+        while len(level := [f for f in state["folders"] if f["level"] == state["folders"][-1]["level"]]) == FAN:
+            state |= {"folders": [*state["folders"][:-FAN], _merged(spark, state, where, level)], "retired": [*state["retired"], *(f["path"] for f in level)]}
+        versions.publish(spark, where, state)
 
     return apply_batch
 
 
-def current(rows: DataFrame) -> DataFrame:
-    """The rows (note_id, updated_at, batch, ...) of each note's last save; of equal times the later batch."""
-    last = rows.groupBy(F.col("note_id").alias("_id")).agg(F.max(F.struct("updated_at", "batch")).alias("_last"))
-    kept = rows.join(last, (F.col("note_id") == F.col("_id")) & (F.col("updated_at") == F.col("_last.updated_at")) & (F.col("batch") == F.col("_last.batch")))
-    return kept.drop("_id", "_last")
+def _table(spark: SparkSession, state: dict, name: str, folders: list[dict] | None = None) -> DataFrame:
+    schema = {"headers": HEADERS.format(time=state["time"]), "postings": POSTINGS, "chunks": CHUNKS, "terms": TERMS}[name]
+    paths = [f"{f['path']}/{name}" for f in (state["folders"] if folders is None else folders)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _latest(headers: DataFrame) -> DataFrame:
+    """The last header of each note; later batches hold later saves."""
+    others = [c for c in headers.columns if c != "note_id"]
+    return headers.groupBy("note_id").agg(F.max_by(F.struct(*others), "batch").alias("h")).select("note_id", "h.*")
+
+
+def _merged(spark: SparkSession, state: dict, where: str, folders: list[dict]) -> dict:
+    """One folder with what the given ones, the last of the list, hold of each note; what a later one replaces is left out."""
+    folder = versions.new_folder(where, "merged")
+    _latest(_table(spark, state, "headers", folders)).write.parquet(f"{folder}/headers")  # deletions too: an older save may still come
+    headers = spark.read.schema(HEADERS.format(time=state["time"])).parquet(f"{folder}/headers")
+    for name in ("postings", "chunks"):
+        _table(spark, state, name, folders).join(headers.filter("not deleted").select("note_id", "version"), ["note_id", "version"], "left_semi").write.parquet(f"{folder}/{name}")
+    _table(spark, state, "terms", folders).groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").write.parquet(f"{folder}/terms")
+    return {"path": folder, "level": folders[0]["level"] + 1, "notes": sum(f["notes"] for f in folders)}
+
+
+def live_index(spark: SparkSession, where: str) -> dict[str, DataFrame]:
+    """The index as it stands: headers of notes that aren't deleted, their postings and chunks, df (term, df) and n_docs, one row n."""
+    state = versions.current(spark, where)
+    if state is None:
+        raise FileNotFoundError(f"no index below {where}")
+    headers = _latest(_table(spark, state, "headers")).filter("not deleted")
+    own = headers.select("note_id", "version")
+    tables = {name: _table(spark, state, name).join(own, ["note_id", "version"], "left_semi").drop("version") for name in ("postings", "chunks")}
+    df = _table(spark, state, "terms").groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
+    n = spark.range(1).select(F.lit(sum(f["notes"] for f in state["folders"])).cast("long").alias("n"))
+    return {"headers": headers.drop("batch", "version", "deleted"), **tables, "df": df, "n_docs": n}
+
+
+def fresh_answers(events: DataFrame, session: str = "session", kind: str = "kind", number: str = "number") -> DataFrame:
+    """The answers of a stream of queries and answers that are to be shown: those to the session's latest query.
+
+    events has, in the order of arrival `at`, rows of kind `query` or `answer` with the number of a query, which grows in a session, and a
+    payload. An answer to an older query than the last that came before it is dropped, and so is a second answer. The state of a
+    session is two numbers. Within a micro-batch rows are taken in the order of `at`, a query before an answer of the same time.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def show(key, batches, state: GroupState):
+        asked, shown = state.get if state.exists else (-1, -1)
+        rows = pd.concat(list(batches))
+        rows = rows.assign(later=(rows["kind"] == "answer").astype(int)).sort_values(["at", "later", "number"])
+        kept = []
+        for row in rows.itertuples(index=False):
+            if row.kind == "query":
+                asked = max(asked, int(row.number))
+            elif row.number == asked > shown:
+                shown = asked
+                kept.append((key[0], int(row.number), row.at, row.payload))
+        state.update((asked, shown))
+        yield pd.DataFrame(kept, columns=["session", "number", "at", "payload"])
+
+    rows = events.select(F.col(session).alias("session"), F.col(kind).alias("kind"), F.col(number).cast("long").alias("number"), "at", "payload")
+    out = f"session {rows.schema['session'].dataType.simpleString()}, number long, at timestamp, payload string"
+    return rows.groupBy("session").applyInPandasWithState(show, out, "asked long, shown long", "append", GroupStateTimeout.NoTimeout)

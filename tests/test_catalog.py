@@ -191,21 +191,6 @@ def test_index_reading_passes_over_broken_files(spark, tmp_path):
     assert [(r["note_id"], r["reason"]) for r in bad.collect()] == [("n3", "unknown kind")]
 
 
-def test_last_save_of_a_note_stays(spark, tmp_path):
-    from corpusloom.operators.embedding import HashingEmbedder
-    from corpusloom.streaming import streams
-
-    save = streams.index_batch(f"file://{tmp_path}/ix", HashingEmbedder(8))
-    rows = [("a", "One", "first words", 1), ("b", "Two", "other words", 1), ("a", "One", "second words", 2)]
-    make = lambda rs: spark.createDataFrame(rs, "id string, title string, body string, updated_at long")
-    save(make(rows), 0)
-    save(make([("b", "Two", "newer text", 3), ("a", "One", "stale words", 0)]), 1)
-    save(make([("b", "Two", "newer text", 3), ("a", "One", "stale words", 0)]), 1)  # a batch that is repeated
-    terms = {(r["note_id"], r["term"]) for r in streams.current(spark.read.parquet(f"file://{tmp_path}/ix/postings")).collect()}
-    assert ("a", "second") in terms and ("b", "newer") in terms and not terms & {("a", "first"), ("a", "stal"), ("b", "other")}
-    assert streams.current(spark.read.parquet(f"file://{tmp_path}/ix/chunks")).filter("kind = 'body'").count() == 2
-
-
 def test_attachment_paths_with_white_space_are_found(spark):
     df = spark.createDataFrame([("n", "![x](attachments/my file.png) and ![y](attachments/b.png)")], "id string, body string")
     assert sorted(r["path"] for r in attachments.build_refs(df).collect()) == ["attachments/b.png", "attachments/my file.png"]
