@@ -42,6 +42,8 @@ from corpusloom.llm.lattice import SPACE, Lattice, Pieces, pieces, portions
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCORED = RESULT.removesuffix("score double") + "scores array<double>, others array<double>"
+#: Tokens of the documents that are scored at once.
+SCORED_TOKENS = 250_000
 #: The grid of (share, strength).
 GRID = [(share, strength) for share in (0.005, 0.02, 0.06, 0.15) for strength in (100.0, 300.0, 1000.0, 3000.0, 10000.0)]
 
@@ -183,14 +185,20 @@ def lm_scores(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_
             tokens.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
             tokens.append(np.array([len(number)]))
             sizes.append(len(own) + 1)
-        at, doc = np.concatenate(tokens or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(ids)), sizes)
+        at = np.concatenate(tokens or [np.zeros(0, np.int64)])
         held = np.array([is_held_out(i) for i in ids], bool)
-        scores, others = block_scores(at, doc, c, spelling, n_train, held)
+        ends_at, parts, low = np.cumsum(sizes), [], 0
+        while low < len(ids):  # some documents at a time: the arrays of a grid are many
+            start = ends_at[low] - sizes[low]
+            high = max(low + 1, int(np.searchsorted(ends_at, start + SCORED_TOKENS, "right")))
+            some, doc = at[start : ends_at[high - 1]], np.repeat(np.arange(high - low), sizes[low:high])
+            base = np.bincount(doc, np.log10((c[some] + 1) / (n_train + n_types + 1)), high - low)
+            parts.append((*block_scores(some, doc, c, spelling, n_train, held[low:high]), base, np.bincount(doc, c[some] > 0, high - low)))
+            low = high
+        scores, others, base, known = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(GRID))), np.zeros((0, len(GRID))), np.zeros(0), np.zeros(0))
         others[held] = 0
-        base = np.bincount(doc, np.log10((c[at] + 1) / (n_train + n_types + 1)), len(ids))
-        known = np.bincount(doc, c[at] > 0, len(ids)).astype(np.int64)
         listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(GRID), dtype=np.int32)), pa.array(x.ravel()))
-        columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known), pa.array([n_train] * len(ids), pa.int64()), pa.array(base), listed(scores), listed(others)]
+        columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array([n_train] * len(ids), pa.int64()), pa.array(base), listed(scores), listed(others)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "scores", "others"])
 
     scored = common.stored(rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, SCORED))
