@@ -52,6 +52,12 @@ def orphan_attachments(stored: DataFrame, notes: DataFrame) -> DataFrame:
     return stored.join(extract_refs(notes).select("path"), "path", "left_anti")
 
 
+def sweep(stored: DataFrame, refs: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(orphans, refs): stored paths that no live body refers to, and the reference rows without those of the orphans."""
+    orphans = orphan_attachments(stored, notes)
+    return orphans, refs.join(orphans.select("path"), "path", "left_anti").select("path", "note_id")
+
+
 def with_policy(blobs: DataFrame) -> DataFrame:
     """blobs (mime, content) with ext, size and the reason for a rejection."""
     kinds = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,40 @@ class Embedder(Protocol):
     query_prefix: str
     passage_prefix: str
     min_score: float
+    #: Most texts of a call of the model.
+    batch: int
+    #: Whether equal texts of the whole table are worth a shuffle, so that each is embedded once.
+    costly: bool
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class LoadedEmbedder:
+    """An embedder whose model is loaded where it is used: once a worker, by a factory that gives texts to vectors.
+
+    Only the factory and the profile are sent to the executors. Handles stay in the worker's process by id, for all tasks that it runs.
+    """
+
+    costly = True
+
+    def __init__(self, id: str, dimensions: int, load: Callable[[], Callable[[list[str]], list[list[float]]]], *, batch: int = 16, min_score: float = 0.0, query_prefix: str = "", passage_prefix: str = ""):
+        self.id, self.dimensions, self.load, self.batch, self.min_score = id, dimensions, load, batch, min_score
+        self.query_prefix, self.passage_prefix = query_prefix, passage_prefix
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if self.id not in _handles:
+            _handles[self.id] = self.load()
+        return _handles[self.id](texts)
+
+
+_handles: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
 class HashingEmbedder:
     """Bag of words hashed to signed buckets; deterministic, no model file."""
 
+    batch, costly = 4096, False
+
     def __init__(self, dimensions: int = 32, min_score: float = 0.0):
         self.id, self.dimensions, self.min_score = f"hash-{dimensions}", dimensions, min_score
         self.query_prefix = self.passage_prefix = ""
@@ -48,19 +76,36 @@ class HashingEmbedder:
 
 
 def embed_chunks(planned: DataFrame, embedder: Embedder, text_column: str = "input") -> DataFrame:
-    """planned with an embedding column: an Arrow batch of texts is one call of the model in its executor."""
+    """planned with an embedding column.
+
+    For a costly model each different text of the table is embedded once and its vector joined to all rows that have it, by a digest.
+    In a task equal texts of an Arrow batch are embedded once, and texts go to the model in the order of their length, at most
+    `batch` at a time, so that little is padded. A null text is embedded as an empty one.
+    """
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    schema = StructType([*planned.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+    if embedder.costly:
+        key = F.sha2(F.coalesce(text_column, F.lit("")).cast("binary"), 256)
+        texts = planned.groupBy(key.alias("_text")).agg(F.first(F.coalesce(text_column, F.lit(""))).alias("_input"))
+        vectors = _embedded(texts, embedder, "_input", StructType([*texts.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+        return planned.withColumn("_text", key).join(vectors.select("_text", "embedding"), "_text", "left").drop("_text")
+    return _embedded(planned, embedder, text_column, StructType([*planned.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+
 
+def _embedded(df: DataFrame, embedder: Embedder, text_column: str, schema) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = [t or "" for t in batch.column(text_column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(embedder.embed(texts) if texts else [], pa.list_(pa.float64()))], [*batch.schema.names, "embedding"])
-
-    return planned.mapInArrow(run, schema)
+            order = sorted(dict.fromkeys(texts), key=len)
+            vectors: dict[str, list[float]] = {}
+            for at in range(0, len(order), embedder.batch):
+                some = order[at : at + embedder.batch]
+                vectors.update(zip(some, embedder.embed(some), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([vectors[t] for t in texts], pa.list_(pa.float64()))], [*batch.schema.names, "embedding"])
+
+    return df.mapInArrow(run, schema)
 
 
 def hash_embedded(planned: DataFrame, dims: int, keep: list[str]) -> DataFrame:

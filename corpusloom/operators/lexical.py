@@ -73,3 +73,20 @@ def apply_postings_delta(postings: DataFrame, changed: DataFrame, deleted: DataF
 def rebuild_pays(n_changed: int, n_docs: int) -> bool:
     """Beyond a quarter of the documents a new index is cheaper than a delta."""
     return n_changed > n_docs / 4
+
+
+def maintain(postings: DataFrame, df: DataFrame, n_docs: int, docs: DataFrame, changed: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(postings, df, n_docs) after documents (id, title, body) changed and ids were deleted; df is (term, df).
+
+    Up to a quarter of the documents the change is applied: their postings are replaced, df and the number of documents follow by what went
+    and what came. Beyond it everything is built again from docs, all documents as they now are.
+    """
+    ids = changed.select(F.col("id").alias("note_id")).union(deleted.select(F.col("id").alias("note_id"))).distinct()
+    if rebuild_pays(ids.count(), n_docs):
+        postings = build_postings(docs)
+        return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs.count()
+    after = apply_postings_delta(postings, changed, deleted)
+    lost = postings.join(ids, "note_id", "left_semi").select("term", F.lit(-1).alias("d"))
+    won = build_postings(changed).select("term", F.lit(1).alias("d"))
+    counts = df.select("term", F.col("df").alias("d")).union(lost).union(won).groupBy("term").agg(F.sum("d").alias("df")).filter("df > 0")
+    return after, counts, docs.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.numbering import numbered
 from corpusloom.functions.text import WHITE, trim_white
 from corpusloom.operators.ranking import title_matches
 
@@ -76,9 +77,8 @@ def recover_spaces(notes: DataFrame) -> DataFrame:
     """(id, name, color_id, updated_at) of the spaces that notes name, for a lost space list."""
     seen = notes.select("path", "updated_at", F.explode("space_ids").alias("id"))
     first = seen.groupBy("id").agg(F.min_by("updated_at", "path").alias("updated_at"))
-    n = F.row_number().over(Window.orderBy("id"))  # one row a space: a small table
     palette = F.array(*(F.lit(c) for c in COLORS))
-    return first.withColumn("n", n).select("id", F.concat(F.lit("Recovered space "), F.col("n").cast("string")).alias("name"), palette[((F.col("n") - 1) % len(COLORS)).cast("int")].alias("color_id"), "updated_at")
+    return numbered(first, "id").select("id", F.concat(F.lit("Recovered space "), F.col("n").cast("string")).alias("name"), palette[((F.col("n") - 1) % len(COLORS)).cast("int")].alias("color_id"), "updated_at")
 
 
 def space_suggestions(queries: DataFrame, spaces: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -153,6 +153,28 @@ def reindex_plan(spark, sf_dir):
     return index.plan_reindex(V.notes(spark, sf_dir), old_headers(spark, sf_dir), PROFILE)
 
 
+def _note_folder(spark, sf_dir) -> tuple[str, DataFrame]:
+    """A folder of the notes as files, and the hints of a first scan of it."""
+    folder = V.scratch(spark)
+    ingest.write_markdown(ingest.render_notes(V.notes(spark, sf_dir)), folder)
+    return folder, V.stored(ingest.scan_markdown(spark, folder, spark.createDataFrame([], ingest.HINTS), V.stored)[0].drop("was_read"))
+
+
+note_folder = V.once("note_folder", _note_folder)
+
+
+@query(S.with_(S.NOTES, body=f"SELECT id, CASE WHEN doc_id % 10 = 5 THEN 'as hinted' ELSE {S.fingerprint('title', S.canonical('body'))} END AS content_hash, doc_id % 10 IN (3, 7) AS was_read FROM notes"))
+def scan_warm(spark, sf_dir):
+    """A scan with hints of which every tenth is missing and every tenth is of an older file: only those files are read, all
+    other hashes are as hinted."""
+    folder, hints = note_folder(spark, sf_dir)
+    last = F.col("id").substr(-1, 1)
+    older = F.when(last == "7", F.col("modified") - F.expr("interval 1 minute")).otherwise(F.col("modified"))
+    hints = hints.filter(last != "3").withColumns({"modified": older, "content_hash": F.when(last == "5", "as hinted").otherwise(F.col("content_hash"))})
+    scanned = ingest.scan_markdown(spark, folder, hints, V.stored)[0]
+    return scanned.select("id", "content_hash", "was_read")
+
+
 def _old_index(spark, sf_dir) -> str:
     """The folder of an index as old_headers() describes it."""
     n, model, folder = V.spread(V.notes(spark, sf_dir)).filter("doc_id % 5 <> 0"), embedding.HashingEmbedder(32), V.scratch(spark)
@@ -501,6 +523,14 @@ def attachment_orphans(spark, sf_dir):
     return attachments.orphan_attachments(stored, n.filter("doc_id % 3 <> 0"))
 
 
+@query(S.with_(_REFS, "orphan AS (SELECT DISTINCT path FROM refs WHERE path NOT IN (SELECT path FROM refs WHERE doc_id % 3 <> 0))", body="SELECT path, note_id FROM refs WHERE path NOT IN (SELECT path FROM orphan)"))
+def attachment_sweep(spark, sf_dir):
+    """The reference rows that are left when every third note is gone and what only these referred to is swept."""
+    n = V.with_refs(spark, sf_dir)
+    refs = attachments.build_refs(n)
+    return attachments.sweep(refs.select("path").distinct(), refs, n.filter("doc_id % 3 <> 0"))[1]
+
+
 _BLOB = "blob AS (SELECT doc_id, list_extract(['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/bmp'], (doc_id % 5 + 1)::INT) AS mime, list_extract(['png', 'jpg', 'gif', 'webp', NULL], (doc_id % 5 + 1)::INT) AS ext, text FROM documents)"
 
 

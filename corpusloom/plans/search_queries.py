@@ -201,6 +201,19 @@ def lexical_delta(spark, sf_dir):
     return after.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+@query(S.with_(_DELTA, S.NOTE_POSTINGS, S.VOCAB, body="SELECT term, df, round(idf, 6) AS idf FROM vocab"))
+def lexical_upkeep(spark, sf_dir):
+    """The vocabulary after the same changes, from the numbers that were kept up."""
+    n = V.spread(V.notes(spark, sf_dir))
+    lang = V.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    changed = n.filter("doc_id % 10 = 0").join(lang, "doc_id").withColumn("body", F.concat(F.lit("changed "), "lang")).select("id", "title", "body")
+    deleted = n.filter("doc_id % 10 = 1").select("id")
+    docs = n.filter("doc_id % 10 > 1").select("id", "title", "body").union(changed)
+    held = note_vocab(spark, sf_dir).select("term", "df")
+    _, df, n_docs = lexical.maintain(note_postings(spark, sf_dir), held, n.count(), docs, changed, deleted)
+    return df.select("term", "df", F.round(lexical.idf(F.lit(n_docs), F.col("df")), 6).alias("idf"))
+
+
 @query(S.with_(S.VEC, body="SELECT note_id, count(*) AS n_chunks FROM vec_chunks WHERE vec_id % 7 <> 0 AND len(embedding) = 64 GROUP BY note_id"))
 def dense_same_model(spark, sf_dir):
     index = V.vec_chunks(spark, sf_dir).withColumns({"model_id": F.when(F.col("vec_id") % 7 == 0, "old").otherwise("new"), "dimensions": F.size("embedding")})

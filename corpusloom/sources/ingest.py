@@ -25,6 +25,41 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"(notes/.*)$", 1).alias("path"), F.col("value").alias("raw"))
 
 
+HINTS = "path string, size long, modified timestamp, id string, content_hash string, reason string"
+
+
+def list_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file, size, modified) of every Markdown file below folder, from its directory entry alone: no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    return listed.select(F.regexp_extract("path", r"(notes/.*)$", 1).alias("path"), F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def scan_markdown(spark: SparkSession, folder: str, hints: DataFrame, store: Callable[[DataFrame], DataFrame], most_files: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(scanned, notes): hints of all files as they now are, with whether each was read, and the notes of those that were.
+
+    hints (HINTS) are the scanned of the last pass. A file of the same path, size and modification time is not opened: its id and
+    content hash, or why it was rejected, come from its hint. A file that changed without any of these is not noticed. Of up to `most_files` changed files only
+    these are opened; of more, all are read in one scan and the others left out, with the same result.
+    """
+    from corpusloom.operators.index import fingerprints
+
+    held = hints.select("path", "size", "modified", "id", "content_hash", "reason", F.lit(True).alias("hinted"))
+    met = store(list_markdown(spark, folder).join(held, ["path", "size", "modified"], "left"))
+    changed = met.filter("hinted is null")
+    if (n := changed.count()) == 0:
+        raw = spark.createDataFrame([], "path string, raw string")
+    elif n <= most_files:
+        files = spark.read.text([r["file"] for r in changed.select("file").collect()], wholetext=True)
+        raw = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"(notes/.*)$", 1).alias("path"), F.col("value").alias("raw"))
+    else:
+        raw = read_markdown(spark, folder).join(changed.select("path"), "path", "left_semi")
+    notes, rejected = parse_notes(raw, store)
+    own = fingerprints(notes).select("path", "id", "content_hash", F.lit(None).cast("string").alias("reason")).unionByName(rejected, allowMissingColumns=True)
+    read = changed.select("path", "size", "modified").join(own, "path").select("path", "size", "modified", "id", "content_hash", "reason", F.lit(True).alias("was_read"))
+    known = met.filter("hinted").select("path", "size", "modified", "id", "content_hash", "reason", F.lit(False).alias("was_read"))
+    return known.unionByName(read), notes
+
+
 def write_markdown(rendered: DataFrame, folder: str) -> int:
     """Write (path, text) as files below folder, from the tasks that hold them; the number written."""
 
