@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.vectors import dot, l2_normalize
-from corpusloom.operators import chunking, dense, embedding, lexical, ranking, search, spaces
+from corpusloom.operators import bounded, chunking, dense, embedding, lexical, ranking, search, spaces
 from corpusloom.plans import sqltext as S
 from corpusloom.plans import views as V
 
@@ -189,6 +189,26 @@ def lexical_search(spark, sf_dir):
     return found.select("qid", "note_id", F.round("score", 6).alias("score"), "in_title", F.col("rank").cast("long").alias("rank"))
 
 
+def _blocks(spark, sf_dir):
+    return tuple(V.stored(df) for df in bounded.posting_blocks(note_postings(spark, sf_dir)))
+
+
+note_blocks = V.once("note_blocks", _blocks)
+
+
+@query(SQL["lexical_search"])
+def lexical_bounded(spark, sf_dir):
+    """The same rows from the blocks of postings that can matter."""
+    found = bounded.bounded_search(*note_blocks(spark, sf_dir), V.note_queries(spark, sf_dir), n_notes(spark, sf_dir), 32, note_vocab(spark, sf_dir), V.stored)[0]
+    return found.select("qid", "note_id", F.round("score", 6).alias("score"), "in_title", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def lexical_read_share(spark, sf_dir):
+    """How many of the postings of a query's terms are read for its first ten notes."""
+    return bounded.bounded_search(*note_blocks(spark, sf_dir), V.note_queries(spark, sf_dir), n_notes(spark, sf_dir), 10, note_vocab(spark, sf_dir), V.stored)[1]
+
+
 _DELTA = S.NOTES.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 1)").replace("text AS body", "CASE WHEN doc_id % 10 = 0 THEN 'changed ' || lang ELSE text END AS body")
 
 
