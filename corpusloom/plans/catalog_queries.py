@@ -54,7 +54,7 @@ def _raw_files(n: DataFrame) -> DataFrame:
 #: The files that the queries below parse, written once: making them is no part of any operator.
 raw_files = V.kept("raw_files", lambda spark, sf_dir: _raw_files(V.notes(spark, sf_dir)))
 raw_files_with_refs = V.kept("raw_files_with_refs", lambda spark, sf_dir: _raw_files(V.with_refs(spark, sf_dir)))
-catalog_notes = V.kept("catalog_notes", lambda spark, sf_dir: with_path(V.notes(spark, sf_dir)).drop("body"))
+catalog_notes = V.once("catalog_notes", lambda spark, sf_dir: V.bucketed(with_path(V.notes(spark, sf_dir)).drop("body"), "path", 2 * spark.sparkContext.defaultParallelism))
 
 
 PATH = S.path("title", "id", "created_at")

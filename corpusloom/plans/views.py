@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.tables import scratch, stored  # noqa: F401
+from corpusloom.sources.tables import bucketed, scratch, stored  # noqa: F401
 
 #: Display names of the spaces that stand for languages.
 LANGUAGES = {"es": "Español", "fr": "Français", "de": "Deutsch", "en": "English"}

@@ -24,3 +24,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """df as a table of Spark's own buckets by a column, sorted in them: joins and groupings by that column need no exchange of it."""
+    name = f"corpusloom_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", scratch(df.sparkSession)).saveAsTable(name)
+    return df.sparkSession.table(name)

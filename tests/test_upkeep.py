@@ -92,3 +92,34 @@ def test_references_of_swept_blobs_go(spark):
     notes = spark.createDataFrame([("n", "![x](attachments/b.png)")], "id string, body string")
     orphans, left = attachments.sweep(refs.select("path"), refs, notes)
     assert [r["path"] for r in orphans.collect()] == ["attachments/a.png"] and [tuple(r) for r in left.collect()] == [("attachments/b.png", "n")]
+
+
+def test_a_bucketed_catalogue_is_not_shuffled(spark):
+    from corpusloom.operators import catalog
+    from corpusloom.sources.tables import bucketed
+
+    columns = "id string, title string, path string, created_at string, updated_at string, space_ids array<string>"
+    rows = [(f"n{i}", "t", f"p{i}", "1", "2", []) for i in range(50)]
+    prior = bucketed(spark.createDataFrame(rows, columns), "path", 6)
+    parsed = stored(spark.createDataFrame([("n1", "new", "p1", "1", "3", [])], columns))
+    rejected = stored(spark.createDataFrame([("p2", "no header"), ("q", "no header")], "path string, reason string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept, skipped = catalog.reconcile(parsed, rejected, prior)
+        assert sorted(r["id"] for r in kept.collect()) == ["n1", "n2"] and [r["path"] for r in skipped.collect()] == ["q"]
+        for df in (prior.join(rejected.select("path"), "path", "left_semi"), skipped):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(path") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_changed_snapshots_are_told(spark):
+    from corpusloom.operators.catalog import snapshot_changed
+
+    make = lambda *rows: spark.createDataFrame(rows, "id string, tags array<string>")
+    a = make(("1", ["x"]), ("2", None))
+    assert snapshot_changed(None, a) and not snapshot_changed(a, make(("2", None), ("1", ["x"])))
+    for other in (make(("1", ["x"])), make(("1", ["x"]), ("2", [])), make(("1", ["x"]), ("2", None), ("2", None)), make(("1", ["y"]), ("2", None))):
+        assert snapshot_changed(a, other)
