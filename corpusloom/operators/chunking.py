@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import WHITE, trim_white
 
@@ -39,8 +41,50 @@ def chunks(c: Column, size: int = 120, overlap: int = 24) -> Column:
     return F.transform(F.array(pieces), windows)[0]
 
 
+def windows(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the windows of a text."""
+    spans = [m.span() for m in _word.finditer(text)]
+    step = size - overlap
+    last = max(0, -(-(len(spans) - size) // step))
+    return [(spans[k * step][0], spans[min(k * step + size, len(spans)) - 1][1]) for k in range(last + 1)] if spans else []
+
+
+_word = re.compile(f"[^{WHITE}]+")
+
+
 def chunk_text(df: DataFrame, column: str, keep: list[str], size: int = 120, overlap: int = 24) -> DataFrame:
-    return df.select(*keep, F.inline(chunks(F.coalesce(F.col(column), F.lit("")), size, overlap)))
+    """keep and (idx, text, offset, length) of the windows of a text, with the same rows as inline(chunks()).
+
+    Windows are cut by the places of words over Arrow batches: the arrays of words that column functions build for it cost several times the
+    cutting itself.
+    """
+    if size <= overlap:
+        raise ValueError("a window must be longer than its overlap")
+    rows = df.select(*keep, F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "_text"), *T._parse_datatype_string("idx int, text string, offset int, length int").fields])
+
+    def run(batches):
+        for batch in batches:
+            row, idx, texts, offset = [], [], [], []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                for k, (start, end) in enumerate(windows(text, size, overlap)):
+                    row.append(i)
+                    idx.append(k)
+                    texts.append(text[start:end])
+                    offset.append(start)
+                if len(row) > 4000:
+                    yield made(batch, row, idx, texts, offset)
+                    row, idx, texts, offset = [], [], [], []
+            yield made(batch, row, idx, texts, offset)
+
+    def made(batch, row, idx, texts, offset):
+        import pyarrow as pa
+
+        kept = [batch.column(c).take(pa.array(row, pa.int64())) for c in keep]
+        columns = [pa.array(idx, pa.int32()), pa.array(texts, pa.string()), pa.array(offset, pa.int32()), pa.array(list(map(len, texts)), pa.int32())]
+        return pa.RecordBatch.from_arrays([*kept, *columns], [*keep, "idx", "text", "offset", "length"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def plan_chunks(notes: DataFrame, passage_prefix: str = "") -> DataFrame:
