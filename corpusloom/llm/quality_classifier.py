@@ -6,7 +6,7 @@ cut it: P(grade > k) = logistic(s - threshold k). The expected grade and the tai
 follow; a text is kept if that probability is `least_probability` or more.
 
 Fitting: of the rated documents, those with crc32(id) % 5 = 0 are left out for measuring; of the others at most
-`sample_rows`, in the order of a hash of the id, are taken. That bound is the documented limit of what comes to the
+`sample_rows`, in the order of a hash of the id, are taken. That bound is the documented limit of what meets in one task for the fit (texts aren't cut, so that long ones weigh more in it); only the model comes to the
 driver. Features in fewer than `least_documents` of them are dropped; weights have an L2 penalty and are found by
 gradient steps over the whole sample (Adam). Scoring covers every row in its own task and shuffles nothing.
 
@@ -134,11 +134,16 @@ def train(docs: DataFrame, ratings: DataFrame, *, sample_rows: int = 8000, id_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(digests), found], ["doc_id", "grade", "digest", "features"])
 
     read = texts.mapInArrow(run, "doc_id long, grade int, digest binary, features array<int>")
-    got = read.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("features", "digest").alias("features")).toArrow().sort_by("doc_id")
-    grades, found = got.column("grade").to_numpy().astype(int), got.column("features").combine_chunks()
-    if not len(grades):
-        return None
-    return fit_ordinal(found.flatten().to_numpy(), np.repeat(np.arange(len(grades), dtype=np.int32), found.value_lengths().to_numpy()), grades)
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        found = rows.column("features").combine_chunks()
+        model = fit_ordinal(found.flatten().to_numpy(), np.repeat(np.arange(len(found), dtype=np.int32), found.value_lengths().to_numpy()), rows.column("grade").to_numpy().astype(int))
+        return pa.table([pa.array([x], pa.list_(t)) for x, t in ((model.buckets, pa.int64()), (model.weights, pa.float64()), (model.thresholds, pa.float64()))], ["buckets", "weights", "thresholds"])
+
+    # the bounded sample meets in one task, and only the model comes to the driver
+    one = read.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("features", "digest").alias("features")).withColumn("one", F.lit(0))
+    got = one.groupBy("one").applyInArrow(fit, "buckets array<long>, weights array<double>, thresholds array<double>").first()
+    return got and OrdinalModel(*(np.array(x, t) for x, t in zip(got, (np.int64, float, float), strict=True)))
 
 
 def judge_texts(texts: list[str | None], model: OrdinalModel | None, select: int, least: float):
