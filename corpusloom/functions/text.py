@@ -52,16 +52,29 @@ def _slug_table() -> tuple[str, str, str, str]:
 
 @lru_cache(maxsize=1)
 def _diacritics() -> str:
-    """A class of all characters with the Diacritic property, from the Unicode data in Spark's own jars."""
+    """All characters with the Diacritic property, from the Unicode data in Spark's own jars."""
     marks = SparkSession.getActiveSession()._jvm.com.ibm.icu.text.UnicodeSet("[:Diacritic:]")
     ranges = [(marks.getRangeStart(i), marks.getRangeEnd(i)) for i in range(marks.getRangeCount())]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return "".join(chr(cp) for a, b in ranges for cp in range(a, b + 1))
+
+
+@lru_cache(maxsize=1)
+def _unmarked_table() -> tuple[str, str]:
+    """_fold_table(), and after it the characters that go: diacritics, and letters of which nothing but one is left.
+
+    One look-up a character: a class of the regular expressions is asked range by range, some hundred a character.
+    """
+    marks = _diacritics()
+    kept = [(c, base) for c, base in zip(*_fold_table(), strict=True) if base not in marks]
+    source = "".join(c for c, _ in kept)
+    gone = dict.fromkeys([*(c for c, base in zip(*_fold_table(), strict=True) if base in marks), *(c for c in marks if c not in source)])
+    return source + "".join(gone), "".join(base for _, base in kept)
 
 
 def fold_text(c: Column) -> Column:
     """Lower case without accents; standing diacritics go too, so that the words around them join."""
-    source, target = _fold_table()
-    marked = F.lower(F.regexp_replace(F.translate(c, source, target), _diacritics(), ""))
+    source, target = _unmarked_table()
+    marked = F.lower(F.translate(c, source, target))
     ascii_only = ~c.rlike(r"[^\x00-\x7f]")  # most texts: spares them the look-up of every character
     return F.when(ascii_only, F.lower(F.translate(c, "^`", ""))).otherwise(marked)
 

@@ -155,3 +155,17 @@ def test_title_matches_by_parts(spark):
     t = spark.createDataFrame([("n1", "station derby"), ("n2", "ab"), ("n3", "")], "note_id string, tc string")
     assert sorted(map(tuple, ranking.title_matches(q, t).collect())) == [(1, "n1"), (2, "n1"), (2, "n2"), (3, "n2"), (6, "n1")]
     assert ranking.title_matches(q.limit(0), t).count() == 0
+
+
+def test_spread_deals_a_table_of_several_splits_to_parts(spark, tmp_path):
+    """A table that has as many splits as there are cores is dealt to smaller parts all the same, so that tasks don't grow with it."""
+    from corpusloom.plans import views
+
+    spark.range(4000).repartition(4).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    splits = table.rdd.getNumPartitions()
+    dealt = views.spread(table)
+    assert dealt.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, views.PARTS * splits if splits > 1 else 1)
+    assert sorted(r[0] for r in dealt.collect()) == list(range(4000))
+    most = max(len(p) for p in dealt.rdd.glom().collect())
+    assert most <= 4000 // splits // 2

@@ -117,3 +117,15 @@ def test_composed_letters_of_all_planes(spark):
     assert folded[0].startswith("かき") and folded[2] == "creme brulee"
     plain = lambda t: "-".join("".join(c if c.isascii() and c.isalnum() else " " for c in "".join(x for x in unicodedata.normalize("NFKD", t) if not "̀" <= x <= "ͯ").lower()).split())
     assert list(slugs) == [plain(r["t"]) for r in rows.collect()]
+
+
+def test_fold_looks_characters_up_once_each(spark):
+    """All characters fold as by a class of diacritics after the table, without that class: it is asked range by range."""
+    c = F.col("c")
+    points = [cp for cp in range(1, 0x30000) if not 0xD800 <= cp < 0xE000]
+    texts = spark.createDataFrame([("".join(map(chr, points[at : at + 64])),) for at in range(0, len(points), 64)], "c string")
+    marks = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in T._diacritics()) + "]"
+    plain = F.when(~c.rlike(r"[^\x00-\x7f]"), F.lower(F.translate(c, "^`", ""))).otherwise(F.lower(F.regexp_replace(F.translate(c, *T._fold_table()), marks, "")))
+    folded = texts.select(T.fold_text(c).alias("new"), plain.alias("old"))
+    assert folded.filter("new <> old").count() == 0
+    assert "regexp_replace" not in texts.select(T.fold_text(c))._jdf.queryExecution().optimizedPlan().toString()
