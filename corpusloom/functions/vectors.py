@@ -16,8 +16,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
+    """v by its length; a vector of zeros stays as it is."""
+
+    def scaled(x: Column) -> Column:
+        # vector and length are bound once: inside a lambda a named expression is computed for each component
+        return F.transform(F.array(F.sqrt(dot(x, x))), lambda norm: F.transform(x, lambda c: F.when(norm == 0, c.cast("double")).otherwise(c.cast("double") / norm)))[0]
+
+    return F.transform(F.array(v), scaled)[0]
 
 
 def djb2(word: Column) -> Column:

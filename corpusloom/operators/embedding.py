@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from corpusloom.functions.text import WORD
 
@@ -57,24 +58,42 @@ class HashingEmbedder:
         self.id, self.dimensions, self.min_score = f"hash-{dimensions}", dimensions, min_score
         self.query_prefix = self.passage_prefix = ""
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def counts(self, texts: list[str]):
+        """A row of signed word counts by bucket for each text."""
         import numpy as np
         import regex
 
-        words, known, out = regex.compile(WORD), {}, np.zeros((len(texts), self.dimensions))
-        for row, text in enumerate(texts):
-            for w in words.findall(text.lower()):
-                if w not in known:
-                    h = 5381
-                    for c in w:
-                        h = (h * 33 + ord(c)) & 0xFFFFFFFF
-                    known[w] = (h % self.dimensions, 1.0 if h % 2 == 0 else -1.0)
-                bucket, sign = known[w]
-                out[row, bucket] += sign
+        words, known, codes, many = regex.compile(WORD), _Codes(self.dimensions), [], []
+        for text in texts:
+            found = words.findall(text.lower())
+            many.append(len(found))
+            codes.extend(map(known.__getitem__, found))
+        row = np.repeat(np.arange(len(texts)), many)
+        n = np.bincount(row * 2 * self.dimensions + np.array(codes, int), minlength=len(texts) * 2 * self.dimensions).reshape(len(texts), self.dimensions, 2)
+        return (n[:, :, 0] - n[:, :, 1]).astype(float)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import numpy as np
+
+        out = self.counts(texts)
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
+class _Codes(dict):
+    """Twice a word's bucket, and one more where its sign is minus; each word is hashed once."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        h = 5381
+        for c in word:
+            h = (h * 33 + ord(c)) & 0xFFFFFFFF
+        self[word] = code = h % self.dimensions * 2 + h % 2
+        return code
+
+
 def embed_chunks(planned: DataFrame, embedder: Embedder, text_column: str = "input") -> DataFrame:
     """planned with an embedding column.
 
@@ -82,8 +101,6 @@ def embed_chunks(planned: DataFrame, embedder: Embedder, text_column: str = "inp
     In a task equal texts of an Arrow batch are embedded once, and texts go to the model in the order of their length, at most
     `batch` at a time, so that little is padded. A null text is embedded as an empty one.
     """
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
     if embedder.costly:
         key = F.sha2(F.coalesce(text_column, F.lit("")).cast("binary"), 256)
         texts = planned.groupBy(key.alias("_text")).agg(F.first(F.coalesce(text_column, F.lit(""))).alias("_input"))
@@ -109,14 +126,23 @@ def _embedded(df: DataFrame, embedder: Embedder, text_column: str, schema) -> Da
 
 
 def hash_embedded(planned: DataFrame, dims: int, keep: list[str]) -> DataFrame:
-    """The hashing embedder with joins and sums alone: words are hashed once each, counts are summed by chunk and bucket."""
-    from corpusloom.functions.vectors import djb2, l2_normalize
-
-    words = planned.select(*keep, F.explode_outer(F.regexp_extract_all(F.lower("input"), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("h", djb2(F.col("word")))
-    signed = F.sum(F.col("n") * F.when(F.col("h") % 2 == 0, 1).otherwise(-1))
-    buckets = counted.groupBy(*keep, F.pmod("h", F.lit(dims)).alias("bucket")).agg(signed.cast("double").alias("v"))
-    pairs = F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "v")), lambda x: x["bucket"].isNotNull()))
-    mapped = buckets.groupBy(*keep).agg(pairs.alias("m"))
-    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return mapped.select(*keep, l2_normalize(vector).alias("embedding"))
+    """keep and the hashing embedder's vector of the words of all rows with the same keep.
+
+    A task counts its own rows' words; what is sent is a row of `dims` numbers a row of planned, never a word.
+    """
+    from corpusloom.functions.vectors import l2_normalize
+
+    model = HashingEmbedder(dims)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = model.counts([t or "" for t in batch.column("_text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(n[:, i]) for i in range(dims))], [*keep, *buckets])
+
+    buckets = [f"_b{i}" for i in range(dims)]
+    rows = planned.select(*keep, F.col("input").alias("_text"))
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "_text"), *(StructField(b, DoubleType()) for b in buckets)])
+    summed = rows.mapInArrow(run, schema).groupBy(*keep).agg(*(F.sum(b).alias(b) for b in buckets))
+    return summed.select(*keep, l2_normalize(F.array(*buckets)).alias("embedding"))

@@ -129,3 +129,14 @@ def test_fold_looks_characters_up_once_each(spark):
     folded = texts.select(T.fold_text(c).alias("new"), plain.alias("old"))
     assert folded.filter("new <> old").count() == 0
     assert "regexp_replace" not in texts.select(T.fold_text(c))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_words_stay_in_their_task(spark):
+    """Rows of one key are one vector, as the words of both; no row is made for a word, and a vector's length is computed once."""
+    df = spark.createDataFrame([(1, "the cat"), (1, "sat the"), (2, None)], "note_id int, input string").repartition(2)
+    out = embedding.hash_embedded(df, 16, ["note_id"])
+    got = {r["note_id"]: r["embedding"] for r in out.collect()}
+    whole = embedding.HashingEmbedder(16).embed(["the cat sat the", ""])
+    assert got[1] == pytest.approx(whole[0]) and got[2] == whole[1] == [0.0] * 16
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("SQRT") == 1
