@@ -67,7 +67,7 @@ files AS (SELECT *, {PATH} AS path, regexp_replace({S.canonical('body')}, '\\n+$
 @query()
 def src_markdown(spark, sf_dir):
     folder = V.scratch(spark)
-    ingest.write_markdown(ingest.render_notes(V.notes(spark, sf_dir)), folder)
+    ingest.write_markdown(ingest.render_notes(V.spread(V.notes(spark, sf_dir))), folder)
     return ingest.read_markdown(spark, folder).select("path", F.length("raw").alias("n_chars"), F.sha2(F.col("raw").cast("binary"), 256).alias("sha256"))
 
 
@@ -156,7 +156,7 @@ def reindex_plan(spark, sf_dir):
 def _note_folder(spark, sf_dir) -> tuple[str, DataFrame]:
     """A folder of the notes as files, and the hints of a first scan of it."""
     folder = V.scratch(spark)
-    ingest.write_markdown(ingest.render_notes(V.notes(spark, sf_dir)), folder)
+    ingest.write_markdown(ingest.render_notes(V.spread(V.notes(spark, sf_dir))), folder)
     return folder, V.stored(ingest.scan_markdown(spark, folder, spark.createDataFrame([], ingest.HINTS), V.stored)[0].drop("was_read"))
 
 

@@ -18,11 +18,77 @@ NOTE_RECORD = "id string, title string, path string, createdAt string, updatedAt
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(path, raw) of every Markdown file below folder; a missing folder gives no rows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "path string, raw string")
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"(notes/.*)$", 1).alias("path"), F.col("value").alias("raw"))
+    files = _listed(spark, folder, missing_ok=True)
+    return _contents(spark, folder, files, files.count())
+
+
+#: Files that a task opens, and bytes of them that are sent on at once.
+TASK_FILES, BATCH_BYTES = 4000, 8 << 20
+
+
+def _shown(name: str) -> bool:
+    """Whether Spark's own readers see a file or folder of this name."""
+    return not (name.startswith((".", "_")) or name.endswith("._COPYING_"))
+
+
+def _listed(spark: SparkSession, folder: str, missing_ok: bool = False) -> DataFrame:
+    """(path, file, size, modified) of the Markdown files below folder. Only names of folders come to the driver: a folder's files are
+    listed in a task."""
+    from pyarrow import fs
+
+    def folders(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [x.path for top in batch.column("dir").to_pylist() for x in entries(top) if x.type == fs.FileType.Directory and _shown(x.base_name)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["dir"])
+
+    def files(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for top in batch.column("dir").to_pylist():
+                found = [x for x in entries(top) if x.type == fs.FileType.File and x.base_name.endswith(".md") and _shown(x.base_name)]
+                # times are told to the millisecond, as by Spark's readers
+                columns = [pa.array([x.path for x in found], pa.string()), pa.array([x.size for x in found], pa.int64()), pa.array([x.mtime_ns // 1_000_000 for x in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "size", "ms"])
+
+    def entries(top):
+        return fs.FileSystem.from_uri(folder)[0].get_file_info(fs.FileSelector(top, allow_not_found=missing_ok))
+
+    dealt = lambda names: spark.createDataFrame([(d,) for d in names], "dir string").repartition(max(1, min(len(names), 4096)))
+    level = every = [fs.FileSystem.from_uri(folder)[1]]
+    while level:
+        level = [r["dir"] for r in dealt(level).mapInArrow(folders, "dir string").collect()]
+        every = every + level
+    listed = dealt(every).mapInArrow(files, "file string, size long, ms long")
+    return listed.select(F.regexp_extract("file", r"(notes/.*)$", 1).alias("path"), "file", "size", F.timestamp_millis("ms").alias("modified"))
+
+
+def _contents(spark: SparkSession, folder: str, files: DataFrame, n: int, task_files: int = TASK_FILES) -> DataFrame:
+    """(path, raw) of n listed files, each opened in the task that holds its name."""
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store = fs.FileSystem.from_uri(folder)[0]
+        made = lambda paths, held: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], ["path", "raw"])
+        for batch in batches:
+            paths, held, size = [], [], 0
+            for path, file in zip(batch.column("path").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                with store.open_input_stream(file) as stream:
+                    held.append(stream.read())
+                paths.append(path)
+                size += len(held[-1])
+                if size > BATCH_BYTES:
+                    yield made(paths, held)
+                    paths, held, size = [], [], 0
+            yield made(paths, held)
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // task_files))
+    contents = files.select("path", "file").repartition(parts).mapInArrow(read, "path string, raw binary")
+    return contents.select("path", F.col("raw").cast("string").alias("raw"))
 
 
 HINTS = "path string, size long, modified timestamp, id string, content_hash string, reason string"
@@ -30,29 +96,22 @@ HINTS = "path string, size long, modified timestamp, id string, content_hash str
 
 def list_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(path, file, size, modified) of every Markdown file below folder, from its directory entry alone: no file is opened."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
-    return listed.select(F.regexp_extract("path", r"(notes/.*)$", 1).alias("path"), F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return _listed(spark, folder)
 
 
-def scan_markdown(spark: SparkSession, folder: str, hints: DataFrame, store: Callable[[DataFrame], DataFrame], most_files: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def scan_markdown(spark: SparkSession, folder: str, hints: DataFrame, store: Callable[[DataFrame], DataFrame], task_files: int = TASK_FILES) -> tuple[DataFrame, DataFrame]:
     """(scanned, notes): hints of all files as they now are, with whether each was read, and the notes of those that were.
 
     hints (HINTS) are the scanned of the last pass. A file of the same path, size and modification time is not opened: its id and
-    content hash, or why it was rejected, come from its hint. A file that changed without any of these is not noticed. Of up to `most_files` changed files only
-    these are opened; of more, all are read in one scan and the others left out, with the same result.
+    content hash, or why it was rejected, come from its hint. A file that changed without any of these is not noticed. Files are listed and
+    opened in tasks, `task_files` in each where there are many: the driver sees names of folders only.
     """
     from corpusloom.operators.index import fingerprints
 
     held = hints.select("path", "size", "modified", "id", "content_hash", "reason", F.lit(True).alias("hinted"))
     met = store(list_markdown(spark, folder).join(held, ["path", "size", "modified"], "left"))
     changed = met.filter("hinted is null")
-    if (n := changed.count()) == 0:
-        raw = spark.createDataFrame([], "path string, raw string")
-    elif n <= most_files:
-        files = spark.read.text([r["file"] for r in changed.select("file").collect()], wholetext=True)
-        raw = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"(notes/.*)$", 1).alias("path"), F.col("value").alias("raw"))
-    else:
-        raw = read_markdown(spark, folder).join(changed.select("path"), "path", "left_semi")
+    raw = _contents(spark, folder, changed, changed.count(), task_files)
     notes, rejected = parse_notes(raw, store)
     own = fingerprints(notes).select("path", "id", "content_hash", F.lit(None).cast("string").alias("reason")).unionByName(rejected, allowMissingColumns=True)
     read = changed.select("path", "size", "modified").join(own, "path").select("path", "size", "modified", "id", "content_hash", "reason", F.lit(True).alias("was_read"))
@@ -68,9 +127,12 @@ def write_markdown(rendered: DataFrame, folder: str) -> int:
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder)
+        there = set()
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                store.create_dir(f"{top}/{path}".rsplit("/", 1)[0])
+                if (own := f"{top}/{path}".rsplit("/", 1)[0]) not in there:
+                    store.create_dir(own)
+                    there.add(own)
                 with store.open_output_stream(f"{top}/{path}") as out:
                     out.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])

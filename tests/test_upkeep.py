@@ -123,3 +123,21 @@ def test_changed_snapshots_are_told(spark):
     assert snapshot_changed(None, a) and not snapshot_changed(a, make(("2", None), ("1", ["x"])))
     for other in (make(("1", ["x"])), make(("1", ["x"]), ("2", [])), make(("1", ["x"]), ("2", None), ("2", None)), make(("1", ["y"]), ("2", None))):
         assert snapshot_changed(a, other)
+
+
+def test_markdown_is_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver keeps no entry a file: Spark's readers, which do, aren't asked. Hidden files and others are passed over, bytes stay."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    top = tmp_path / "notes" / "2024"
+    for month in ("01", "02", "_old"):
+        (top / month).mkdir(parents=True)
+        for name in ("a b.md", ".c.md", "d.txt"):
+            (top / month / name).write_bytes(b"x\xff\r\n")
+    (top / "02" / "e.md").write_bytes(b"")
+    for name in ("text", "format", "load"):
+        monkeypatch.setattr(DataFrameReader, name, lambda *a, **k: pytest.fail("asked a reader"))
+    files = {r["path"]: (r["size"], r["modified"]) for r in ingest.list_markdown(spark, f"file://{tmp_path}").collect()}
+    assert sorted(files) == ["notes/2024/01/a b.md", "notes/2024/02/a b.md", "notes/2024/02/e.md"] and files["notes/2024/02/e.md"][0] == 0
+    raw = ingest.read_markdown(spark, f"file://{tmp_path}").selectExpr("path", "cast(raw AS binary) AS raw").collect()
+    assert {r["path"]: bytes(r["raw"]) for r in raw} == {"notes/2024/01/a b.md": b"x\xff\r\n", "notes/2024/02/a b.md": b"x\xff\r\n", "notes/2024/02/e.md": b""}
