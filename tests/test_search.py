@@ -169,3 +169,9 @@ def test_spread_deals_a_table_of_several_splits_to_parts(spark, tmp_path):
     assert sorted(r[0] for r in dealt.collect()) == list(range(4000))
     most = max(len(p) for p in dealt.rdd.glom().collect())
     assert most <= 4000 // splits // 2
+
+
+def test_a_cell_of_all_pairs_leaves_a_million_rows_at_most():
+    from corpusloom.operators import dense
+
+    assert dense.CELL_CHUNKS[False] * dense.GROUP_QUERIES[False] <= 1 << 20
