@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold_inflection, tokenize, words
+from corpusloom.sources.tables import stored
 
 TITLE_WEIGHT, SATURATION, PREFIX_WEIGHT, PREFIX_LENGTH = 3, 1.2, 0.5, 3
 
@@ -50,9 +51,12 @@ def expand_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def lexical_search(postings: DataFrame, queries: DataFrame, n_docs: DataFrame, limit: int | None = None, vocab: DataFrame | None = None) -> DataFrame:
-    """(qid, note_id, score, in_title, rank), best first; equal scores by note id. vocab is vocabulary(postings, n_docs), kept with them."""
+    """(qid, note_id, score, in_title, rank), best first; equal scores by note id. vocab is vocabulary(postings, n_docs), kept with them.
+
+    The queries' terms are stored: they are read three times, and as their size is known postings of other terms aren't sent to meet them.
+    """
     terms = query_terms(queries)
-    expanded = expand_terms(terms, vocabulary(postings, n_docs) if vocab is None else vocab)
+    expanded = stored(expand_terms(terms, vocabulary(postings, n_docs) if vocab is None else vocab))
     tf = F.col("tf")
     hits = expanded.join(postings, "term").groupBy("qid", "qterm", "note_id").agg(F.sum(F.col("idf") * F.col("weight") * tf / (tf + SATURATION)).alias("part"), F.max("in_title").alias("in_title"))
     mass = expanded.groupBy("qid", "qterm").agg(F.max("idf").alias("mass"))

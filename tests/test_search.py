@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, dense, embedding, evaluate, lexical, ranking, search
+from corpusloom.sources.tables import stored
 
 NOTES = [
     ("n1", "Tiradito de pescado", "Corta el pescado en láminas y añade limón.", ["Recetas"]),
@@ -175,3 +176,16 @@ def test_a_cell_of_all_pairs_leaves_a_million_rows_at_most():
     from corpusloom.operators import dense
 
     assert dense.CELL_CHUNKS[False] * dense.GROUP_QUERIES[False] <= 1 << 20
+
+
+def test_postings_are_not_sent_to_the_terms_of_few_queries(spark):
+    """The terms of the queries are a stored table of known size, so that the join with all postings needs no exchange of them."""
+    docs = spark.createDataFrame([(f"n{i}", "alpha beta", f"gamma word{i}") for i in range(20)], "id string, title string, body string")
+    postings = stored(lexical.build_postings(docs))
+    n = spark.createDataFrame([(20,)], "n long")
+    found = lexical.lexical_search(postings, spark.createDataFrame([(1, "word1 gamma")], "qid long, q string"), n)
+    assert found.filter("rank = 1").first()["note_id"] == "n1"
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    at = plan.index("note_id")
+    joins = [line for line in plan[: plan.rindex("note_id")].splitlines() if "Join" in line and "[term#" in line]
+    assert at and joins and all("BroadcastHashJoin" in line for line in joins)
