@@ -42,27 +42,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def expand_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(qid, qterm, term, idf, weight): a term itself, and the longer terms it begins where it has three characters."""
-    exact = terms.join(vocab, F.col("qterm") == F.col("term")).select("qid", "qterm", "term", "idf", F.lit(1.0).alias("weight"))
-    head = lambda c: F.left(F.col(c), F.lit(PREFIX_LENGTH))
-    begun = (head("qterm") == head("term")) & F.startswith(F.col("term"), F.col("qterm")) & (F.col("term") != F.col("qterm"))
-    longer = terms.filter(F.length("qterm") >= PREFIX_LENGTH).join(vocab, begun).select("qid", "qterm", "term", "idf", F.lit(PREFIX_WEIGHT).alias("weight"))
+    """terms (qterm and any other columns) with (term, idf, weight): a term itself, and the longer terms it begins where it has three characters."""
+    exact = terms.join(vocab, F.col("qterm") == F.col("term")).select(*terms.columns, "term", "idf", F.lit(1.0).alias("weight"))
+    longer = terms.filter(F.length("qterm") >= PREFIX_LENGTH).join(vocab, _begun() & (F.col("term") != F.col("qterm"))).select(*terms.columns, "term", "idf", F.lit(PREFIX_WEIGHT).alias("weight"))
     return exact.union(longer)
 
 
+def _begun() -> Column:
+    """Whether qterm begins term; of less than three characters it must be all of it."""
+    head = lambda c: F.left(F.col(c), F.lit(PREFIX_LENGTH))
+    return (head("qterm") == head("term")) & F.startswith(F.col("term"), F.col("qterm"))
+
+
 def lexical_search(postings: DataFrame, queries: DataFrame, n_docs: DataFrame, limit: int | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """(qid, note_id, score, in_title, rank), best first; equal scores by note id. vocab is vocabulary(postings, n_docs), kept with them.
 
-    The queries' terms are stored: they are read three times, and as their size is known postings of other terms aren't sent to meet them.
+    A term that many queries have is expanded and met with its postings once; its parts of scores then go to all of these queries. The
+    terms that begin with one of the queries' grow with the vocabulary, so postings are first cut to those that any query's term begins
+    by the queries' terms alone. What is left is sent once, by note: parts and sums of a note are made in one task.
     """
-    terms = query_terms(queries)
-    expanded = stored(expand_terms(terms, vocabulary(postings, n_docs) if vocab is None else vocab))
+    terms = stored(query_terms(queries))
+    asked = terms.select("qterm").distinct()
+    expanded = stored(expand_terms(asked, vocabulary(postings, n_docs) if vocab is None else vocab))
+    mass = expanded.groupBy("qterm").agg(F.max("idf").alias("mass"))
+    due = stored(terms.join(mass, "qterm", "left").join(F.broadcast(n_docs)).select("qid", "qterm", "mass", F.coalesce("mass", idf(F.col("n"), F.lit(1))).alias("due")))
+    whole = due.groupBy("qid").agg(F.sum("due").alias("whole"))
     tf = F.col("tf")
-    hits = expanded.join(postings, "term").groupBy("qid", "qterm", "note_id").agg(F.sum(F.col("idf") * F.col("weight") * tf / (tf + SATURATION)).alias("part"), F.max("in_title").alias("in_title"))
-    mass = expanded.groupBy("qid", "qterm").agg(F.max("idf").alias("mass"))
-    weighed = terms.join(mass, ["qid", "qterm"], "left").join(F.broadcast(n_docs)).select("qid", "qterm", "mass", F.coalesce("mass", idf(F.col("n"), F.lit(1))).alias("due"))
-    whole = weighed.groupBy("qid").agg(F.sum("due").alias("whole"))
-    found = hits.join(mass, ["qid", "qterm"]).groupBy("qid", "note_id").agg(F.sum("part").alias("sum"), F.sum("mass").alias("got"), F.max("in_title").alias("in_title"))
+    met = postings.join(asked, _begun(), "left_semi").join(expanded, "term")
+    hits = met.select("qterm", "note_id", (F.col("idf") * F.col("weight") * tf / (tf + SATURATION)).alias("part"), "in_title").repartition("note_id")
+    parts = hits.groupBy("qterm", "note_id").agg(F.sum("part").alias("part"), F.max("in_title").alias("in_title"))
+    found = parts.join(due.select("qid", "qterm", "mass"), "qterm").groupBy("qid", "note_id").agg(F.sum("part").alias("sum"), F.sum("mass").alias("got"), F.max("in_title").alias("in_title"))
     scored = found.join(whole, "qid").select("qid", "note_id", F.round(F.col("sum") * F.col("got") / F.col("whole"), 9).alias("score"), "in_title")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "note_id")))
     return ranked.filter(F.col("rank") <= limit) if limit else ranked

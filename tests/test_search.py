@@ -189,3 +189,20 @@ def test_postings_are_not_sent_to_the_terms_of_few_queries(spark):
     at = plan.index("note_id")
     joins = [line for line in plan[: plan.rindex("note_id")].splitlines() if "Join" in line and "[term#" in line]
     assert at and joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_a_term_of_many_queries_is_expanded_once(spark, monkeypatch):
+    """Queries that share a term share its expansion and the parts of scores that it gives, and each gets its own rows."""
+    docs = spark.createDataFrame([(f"n{i:02d}", "alpha beta", f"gamma word{i}") for i in range(20)], "id string, title string, body string")
+    n = spark.createDataFrame([(20,)], "n long")
+    kept = []
+    monkeypatch.setattr(lexical, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    found = lexical.lexical_search(lexical.build_postings(docs), spark.createDataFrame([(i, "word") for i in range(30)], "qid long, q string"), n, 5)
+    assert [r["count"] for r in found.groupBy("qid").count().collect()] == [5] * 30
+    assert [t.count() for t in kept if "term" in t.columns] == [20]
+
+
+def test_the_stored_index_holds_each_text_once(spark):
+    from corpusloom.plans import search_queries
+
+    assert "input" not in search_queries.chunk_index(spark, "/root/testdata/sf0.001").columns
