@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ WORDS_PER_CHUNK = 96
 MASK = 0xFFFFFFFF
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often use names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def multiply32(a: Column, b: Column) -> Column:
     """Product modulo 2**32 of unsigned 32-bit values, in 16-bit halves so that no product overflows a bigint."""
     low = a.bitwiseAND(F.lit(0xFFFF)) * b
@@ -24,12 +31,16 @@ def multiply32(a: Column, b: Column) -> Column:
 
 
 def draw(number: Column, seed: int) -> Column:
-    """The `number`-th output (from 1) of the seeded generator as an unsigned 32-bit value: its state is a counter."""
-    a = F.pmod(F.lit(seed & MASK) + number * F.lit(0x6D2B79F5), F.lit(1 << 32))
+    """The `number`-th output (from 1) of the seeded generator as an unsigned 32-bit value: its state is a counter.
+
+    Each step is bound: it is named several times by the next, and the steps before it would be computed so many times over.
+    """
     shifted = lambda x, n: x.bitwiseXOR(F.shiftrightunsigned(x, n))
-    t = multiply32(shifted(a, 15), a.bitwiseOR(F.lit(1)))
-    t = (t + multiply32(shifted(t, 7), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(t)
-    return shifted(t, 14)
+    product = lambda x, y: bound(x, lambda a: bound(y, lambda b: multiply32(a, b)))
+    start = F.pmod(F.lit(seed & MASK) + number * F.lit(0x6D2B79F5), F.lit(1 << 32))
+    first = bound(start, lambda a: product(shifted(a, 15), a.bitwiseOR(F.lit(1))))
+    second = bound(first, lambda t: (t + product(shifted(t, 7), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(t))
+    return bound(second, lambda t: shifted(t, 14))
 
 
 def generate_corpus(spark: SparkSession, n: int | DataFrame, chunks: int = 4, seed: int = 1) -> DataFrame:

@@ -140,3 +140,11 @@ def test_hashed_words_stay_in_their_task(spark):
     assert got[1] == pytest.approx(whole[0]) and got[2] == whole[1] == [0.0] * 16
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("SQRT") == 1
+
+
+def test_a_draw_names_its_steps_once(spark):
+    """Steps of the generator are bound, so that no number is computed many times over: the expression stays small."""
+    from corpusloom.operators import generate
+
+    plan = spark.range(1).select(generate.draw(F.col("id"), 1))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("id#") < 10
