@@ -93,13 +93,15 @@ def maintain(postings: DataFrame, df: DataFrame, n_docs: int, docs: DataFrame, c
 
     Up to a quarter of the documents the change is applied: their postings are replaced, df and the number of documents follow by what went
     and what came. Beyond it everything is built again from docs, all documents as they now are.
+    The ids are stored: as their size is known, the postings held aren't sent to meet a few of them.
     """
-    ids = changed.select(F.col("id").alias("note_id")).union(deleted.select(F.col("id").alias("note_id"))).distinct()
+    ids = stored(changed.select(F.col("id").alias("note_id")).union(deleted.select(F.col("id").alias("note_id"))).distinct())
     if rebuild_pays(ids.count(), n_docs):
         postings = build_postings(docs)
         return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs.count()
-    after = apply_postings_delta(postings, changed, deleted)
+    made = stored(build_postings(changed))
+    after = postings.join(ids, "note_id", "left_anti").unionByName(made)
     lost = postings.join(ids, "note_id", "left_semi").select("term", F.lit(-1).alias("d"))
-    won = build_postings(changed).select("term", F.lit(1).alias("d"))
+    won = made.select("term", F.lit(1).alias("d"))
     counts = df.select("term", F.col("df").alias("d")).union(lost).union(won).groupBy("term").agg(F.sum("d").alias("df")).filter("df > 0")
     return after, counts, docs.count()

@@ -206,3 +206,15 @@ def test_the_stored_index_holds_each_text_once(spark):
     from corpusloom.plans import search_queries
 
     assert "input" not in search_queries.chunk_index(spark, "/root/testdata/sf0.001").columns
+
+
+def test_upkeep_does_not_send_the_postings_held(spark):
+    docs = spark.createDataFrame([(f"n{i:02d}", "alpha", f"beta word{i}") for i in range(20)], "id string, title string, body string")
+    held = stored(lexical.build_postings(docs))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    changed = docs.filter("id = 'n03'").withColumn("body", F.lit("gamma"))
+    now = docs.filter("id <> 'n03'").union(changed)
+    after, counts, n = lexical.maintain(held, df, 20, now, changed, docs.filter("id = 'zz'").select("id"))
+    assert n == 20 and after.filter("note_id = 'n03'").count() == 2 and {r["term"]: r["d"] for r in counts.withColumnRenamed("df", "d").collect()}["beta"] == 19
+    plan = after._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
