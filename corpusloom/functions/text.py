@@ -37,7 +37,7 @@ def _fold_table() -> tuple[str, str]:
 @lru_cache(maxsize=1)
 def _slug_table() -> tuple[str, str, str, str]:
     """Characters whose compatibility decomposition holds a plain letter or digit: those that become one character, with it,
-    and a class and a JSON map of those that become several. All others are no part of a slug."""
+    and those that become several and a JSON map of them. All others are no part of a slug."""
     source, target, longer = [], [], {}
     for c in _code_points():
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
@@ -47,7 +47,7 @@ def _slug_table() -> tuple[str, str, str, str]:
                 target.append(base)
             else:
                 longer[c] = base
-    return "".join(source), "".join(target), "[" + "".join(longer) + "]", json.dumps(longer)
+    return "".join(source), "".join(target), "".join(longer), json.dumps(longer)
 
 
 @lru_cache(maxsize=1)
@@ -107,7 +107,8 @@ def slugify(c: Column) -> Column:
     source, target, several, table = _slug_table()
     spelled = F.from_json(F.lit(table), "map<string,string>")
     wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(spelled[x], x)), "")
-    whole = F.when(c.rlike(several), wide).otherwise(c)
+    # one look-up a character: a class of the regular expressions would be asked character by character, thousands a letter
+    whole = F.when(F.translate(c, several, "") != c, wide).otherwise(c)
     plain = F.lower(F.regexp_replace(F.translate(whole, source, target), r"[\u0300-\u036F]", ""))
     slug = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(F.left(slug, F.lit(80)) == "", "untitled").otherwise(F.left(slug, F.lit(80)))

@@ -148,3 +148,10 @@ def test_a_draw_names_its_steps_once(spark):
 
     plan = spark.range(1).select(generate.draw(F.col("id"), 1))._jdf.queryExecution().analyzed().toString()
     assert plan.count("id#") < 10
+
+
+def test_slugs_ask_no_class_of_thousands(spark):
+    df = spark.createDataFrame([("\u00bd Fjord \u2460\u249c x\ufb01n \u01c4",), ("plain",), ("Ünï",), (None,)], "t string").select(T.slugify(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.collect()] == ["1-2-fjord-1-a-xfin-dz", "plain", "uni", None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(len(part) > 200 for part in plan.split("RLIKE")[1:]) and "RLIKE(t" not in plan
