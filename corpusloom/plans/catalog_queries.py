@@ -600,8 +600,9 @@ def stream_reindex(spark, sf_dir):
     emptied = saved.filter("doc_id % 11 = 3").withColumns({"title": F.lit(" "), "body": F.lit(""), "updated_at": F.col("updated_at") + hour})
     deleted = saved.filter("doc_id % 13 = 5").withColumns({"updated_at": F.col("updated_at") + hour * 2, "deleted": F.lit(True)})
     edits = saved.union(earlier).union(emptied).union(deleted).drop("doc_id")
-    edits.repartition(5, "id", "title", "deleted").write.parquet(folder)
-    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = V.read(spark, sf_dir, "documents").rdd.getNumPartitions()  # of a micro-batch: a file's size doesn't grow with the table
+    edits.repartition(5 * files, "id", "title", "deleted").write.parquet(folder)
+    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", files).parquet(folder)
     streams.stream_reindex(stream, streams.index_batch(where, embedding.HashingEmbedder(32)), state).awaitTermination()
     live = streams.live_index(spark, where)
     tf = live["postings"].groupBy("term").agg(F.sum("tf").alias("tf"))
@@ -624,18 +625,18 @@ def fresh_answers(spark, sf_dir):
     wait = F.make_dt_interval(secs=F.col("event_id") * 7919 % 20000)
     answered = q.select(F.col("user_id").alias("session"), F.lit("answer").alias("kind"), "number", (F.col("ts") + wait).alias("at"), F.col("event_id").cast("string").alias("payload"))
     folder, out, state = V.scratch(spark), V.scratch(spark), V.scratch(spark)
-    rows = asked.union(answered)
-    # files in the order of arrival, one a micro-batch
+    rows = V.stored(asked.union(answered))
     bounds = rows.select(F.min("at").alias("a"), F.max("at").alias("b")).first()
     steps = 3
     width = (bounds["b"] - bounds["a"]) / steps
+    # in the order of arrival: the files of a step are written by many tasks and read as one micro-batch
     for k in range(steps):
         low, high = bounds["a"] + width * k, bounds["a"] + width * (k + 1)
         some = rows.filter((F.col("at") >= low) & ((F.col("at") < high) if k + 1 < steps else F.lit(True)))
-        some.repartition(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    shown = streams.fresh_answers(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    shown.awaitTermination()
+        some.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        shown = streams.fresh_answers(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        shown.awaitTermination()
     return spark.read.parquet(out).select("session", "number", stamp("at").alias("at"), "payload")
 
 

@@ -150,17 +150,18 @@ def fresh_answers(events: DataFrame, session: str = "session", kind: str = "kind
 
     def show(key, batches, state: GroupState):
         asked, shown = state.get if state.exists else (-1, -1)
-        rows = pd.concat(list(batches))
-        rows = rows.assign(later=(rows["kind"] == "answer").astype(int)).sort_values(["at", "later", "number"])
+        # plain tuples: a session has a few rows, and a data frame's own sorting costs more than they do
+        rows = [row for b in batches for row in zip(b["at"], b["kind"] == "answer", b["number"].tolist(), b["payload"], strict=True)]
         kept = []
-        for row in rows.itertuples(index=False):
-            if row.kind == "query":
-                asked = max(asked, int(row.number))
-            elif row.number == asked > shown:
+        for at, answer, number, payload in sorted(rows, key=lambda row: row[:3]):
+            if not answer:
+                asked = max(asked, number)
+            elif number == asked > shown:
                 shown = asked
-                kept.append((key[0], int(row.number), row.at, row.payload))
+                kept.append((key[0], number, at, payload))
         state.update((asked, shown))
-        yield pd.DataFrame(kept, columns=["session", "number", "at", "payload"])
+        if kept:
+            yield pd.DataFrame(kept, columns=["session", "number", "at", "payload"])
 
     rows = events.select(F.col(session).alias("session"), F.col(kind).alias("kind"), F.col(number).cast("long").alias("number"), "at", "payload")
     out = f"session {rows.schema['session'].dataType.simpleString()}, number long, at timestamp, payload string"

@@ -115,3 +115,25 @@ def test_answers_to_replaced_queries_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streams.fresh_answers(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["session"], r["number"], r["payload"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("s", 2, "two"), ("t", 2, "tie")]
+
+
+@pytest.mark.parametrize(("name", "files"), [("stream_reindex", 5), ("fresh_answers", 3)])
+def test_the_files_of_a_stream_grow_in_number(spark, monkeypatch, name, files):
+    """A micro-batch is written and read by more tasks where a table has more parts."""
+    from pathlib import Path
+
+    from corpusloom.plans import catalog_queries
+    from corpusloom.plans import views as V
+
+    made, scratch = [], V.scratch
+    monkeypatch.setattr(V, "scratch", lambda s: made.append(scratch(s)) or made[-1])
+    small = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list(Path(made[0].removeprefix("file://")).glob("*.parquet"))) > files
