@@ -44,11 +44,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def expand_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """terms (qterm and any other columns) with (term, idf, weight): a term itself, and the longer terms it begins where it has three characters."""
     exact = terms.join(vocab, F.col("qterm") == F.col("term")).select(*terms.columns, "term", "idf", F.lit(1.0).alias("weight"))
-    longer = terms.filter(F.length("qterm") >= PREFIX_LENGTH).join(vocab, _begun() & (F.col("term") != F.col("qterm"))).select(*terms.columns, "term", "idf", F.lit(PREFIX_WEIGHT).alias("weight"))
+    longer = terms.filter(F.length("qterm") >= PREFIX_LENGTH).join(vocab, begun() & (F.col("term") != F.col("qterm"))).select(*terms.columns, "term", "idf", F.lit(PREFIX_WEIGHT).alias("weight"))
     return exact.union(longer)
 
 
-def _begun() -> Column:
+def begun() -> Column:
     """Whether qterm begins term; of less than three characters it must be all of it."""
     head = lambda c: F.left(F.col(c), F.lit(PREFIX_LENGTH))
     return (head("qterm") == head("term")) & F.startswith(F.col("term"), F.col("qterm"))
@@ -68,7 +68,7 @@ def lexical_search(postings: DataFrame, queries: DataFrame, n_docs: DataFrame, l
     due = stored(terms.join(mass, "qterm", "left").join(F.broadcast(n_docs)).select("qid", "qterm", "mass", F.coalesce("mass", idf(F.col("n"), F.lit(1))).alias("due")))
     whole = due.groupBy("qid").agg(F.sum("due").alias("whole"))
     tf = F.col("tf")
-    met = postings.join(asked, _begun(), "left_semi").join(expanded, "term")
+    met = postings.join(asked, begun(), "left_semi").join(expanded, "term")
     hits = met.select("qterm", "note_id", (F.col("idf") * F.col("weight") * tf / (tf + SATURATION)).alias("part"), "in_title").repartition("note_id")
     parts = hits.groupBy("qterm", "note_id").agg(F.sum("part").alias("part"), F.max("in_title").alias("in_title"))
     found = parts.join(due.select("qid", "qterm", "mass"), "qterm").groupBy("qid", "note_id").agg(F.sum("part").alias("sum"), F.sum("mass").alias("got"), F.max("in_title").alias("in_title"))

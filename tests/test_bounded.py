@@ -38,3 +38,21 @@ def test_less_is_read_of_frequent_terms(spark):
     assert got == want
     share = {q: r / n for q, (n, r) in read.items()}
     assert share[0] < 0.1 and share[1] < 0.5 and share[2] == 1
+
+
+def test_no_row_is_made_for_each_note_and_class(spark):
+    """Notes to look up in a weak term of many classes: what is stored stays below the postings there are."""
+    docs = [(f"n{i:03d}", "", "the " * (1 + i % 40) + ("zinc " if i % 2 else "") + f"w{i}") for i in range(400)]
+    df = spark.createDataFrame(docs, "id string, title string, body string")
+    postings, n, sizes = stored(lexical.build_postings(df)), df.agg(F.count(F.lit(1)).alias("n")), []
+
+    def counted(d):
+        sizes.append((d := stored(d)).count())
+        return d
+
+    vocab = stored(lexical.vocabulary(postings, n))
+    q = spark.createDataFrame([(1, "the zinc")], "qid long, q string")
+    found, read = bounded.bounded_search(*bounded.posting_blocks(postings), q, n, 5, vocab, counted)
+    rows = lambda d: sorted((r["rank"], r["note_id"], r["score"]) for r in d.collect())
+    assert rows(found) == rows(lexical.lexical_search(postings, q, n, 5, vocab=vocab)) and read.first()["postings"] == 600
+    assert max(sizes) <= 600
