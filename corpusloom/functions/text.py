@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: The white space of the reading semantics, as a regular-expression class body.
 WHITE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+WHITES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD = r"[\p{L}\p{N}]+"
 #: Fixed value: Crockford's base-32 alphabet.
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -115,8 +116,8 @@ def slugify(c: Column) -> Column:
 
 
 def canonical_body(c: Column) -> Column:
-    text = F.regexp_replace(c, "\r\n", "\n")
-    return F.regexp_replace(F.regexp_replace(text, f"[{WHITE}]+$(?![\\s\\S])", ""), "^\n+", "")
+    # cut from the ends: a pattern would be tried at every white space of the text
+    return F.ltrim(F.rtrim(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit(WHITES)), F.lit("\n"))
 
 
 def content_fingerprint(title: Column, body: Column) -> Column:

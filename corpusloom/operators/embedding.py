@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -63,9 +64,13 @@ class HashingEmbedder:
         import numpy as np
         import regex
 
-        words, known, codes, many = regex.compile(WORD), _Codes(self.dimensions), [], []
+        words, plain, codes, many = regex.compile(WORD), re.compile("[a-z0-9]+"), [], []
+        known = _codes.setdefault(self.dimensions, _Codes(self.dimensions))
+        if len(known) > MOST_CODES:
+            known.clear()
         for text in texts:
-            found = words.findall(text.lower())
+            lower = text.lower()
+            found = (plain if lower.isascii() else words).findall(lower)
             many.append(len(found))
             codes.extend(map(known.__getitem__, found))
         row = np.repeat(np.arange(len(texts)), many)
@@ -80,6 +85,10 @@ class HashingEmbedder:
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
+#: Words whose codes a worker keeps from batch to batch.
+MOST_CODES = 200_000
+
+
 class _Codes(dict):
     """Twice a word's bucket, and one more where its sign is minus; each word is hashed once."""
 
@@ -94,6 +103,9 @@ class _Codes(dict):
         return code
 
 
+_codes: dict[int, _Codes] = {}
+
+
 def embed_chunks(planned: DataFrame, embedder: Embedder, text_column: str = "input") -> DataFrame:
     """planned with an embedding column.
 

@@ -41,29 +41,35 @@ def headers(planned: DataFrame, profile: Profile) -> DataFrame:
     return planned.select(F.col("id").alias("note_id"), "content_hash", F.lit(profile.model_id).alias("model_id"), F.lit(profile.dimensions).alias("dimensions"), F.lit(profile.schema_version).alias("schema_version"))
 
 
-def reindex_stored(notes: DataFrame, path: str, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, list[int]]:
+def reindex_stored(notes: DataFrame, path: str, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored, texts: DataFrame | None = None) -> tuple[DataFrame, list[int]]:
     """(plan, buckets written): bring the index stored at path up to date with notes (id, title, body).
 
     Stale notes are cut and embedded anew, notes that are gone leave the index, and a note without text keeps a header. Only
-    the buckets of such notes are read for their chunks and written.
+    the buckets of such notes are read for their chunks and written. texts are the same notes dealt to the tasks that cut and embed;
+    hashes and ids are taken from notes, where they lie.
     """
     from corpusloom.sources.index_store import read_stored, update_index
 
     profile = Profile(embedder.id, embedder.dimensions)
-    held = read_stored(notes.sparkSession, path)[0]
+    (held,) = read_stored(notes.sparkSession, path, tables=("headers",))
     plan = store(plan_reindex(notes, held, profile))
     stale = plan.filter("stale").select("id", "content_hash")
-    fresh = embed_chunks(plan_chunks(notes.join(stale.select("id"), "id", "left_semi"), embedder.passage_prefix), embedder).withColumn("model_id", F.lit(embedder.id))
-    removed = prune_orphans(held, notes)[1].select("note_id").distinct()
+    fresh = embed_chunks(plan_chunks(_only(texts or notes, stale), embedder.passage_prefix), embedder).withColumn("model_id", F.lit(embedder.id))
+    removed = store(prune_orphans(held, notes)[1].select("note_id").distinct())
     return plan, update_index(headers(stale, profile), fresh, removed, path)
 
 
-def reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(headers, chunks, plan): only stale notes are cut and embedded anew; a note without text keeps a header alone."""
+def _only(notes: DataFrame, stale: DataFrame) -> DataFrame:
+    return notes.join(stale.select("id"), "id", "left_semi")
+
+
+def reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, chunks, plan): only stale notes are cut and embedded anew; a note without text keeps a header alone. The plan is
+    stored, as all three need it: notes are hashed once. texts as in reindex_stored()."""
     profile = Profile(embedder.id, embedder.dimensions)
-    plan = plan_reindex(notes, indexed, profile)
+    plan = store(plan_reindex(notes, indexed, profile))
     stale = plan.filter("stale").select("id", "content_hash")
-    fresh = embed_chunks(plan_chunks(notes.join(stale.select("id"), "id", "left_semi"), embedder.passage_prefix), embedder)
+    fresh = embed_chunks(plan_chunks(_only(texts or notes, stale), embedder.passage_prefix), embedder)
     fresh = fresh.select("note_id", "idx", "kind", "text", "offset", "length", "embedding").withColumn("model_id", F.lit(embedder.id))
     gone = stale.select(F.col("id").alias("note_id"))
     kept = chunks.join(gone, "note_id", "left_anti").select(*fresh.columns)
@@ -101,14 +107,14 @@ def progress_percent(done: int, total: int) -> int:
     return 100 if total <= 0 else min(100, max(0, round(100 * done / total)))
 
 
-def full_reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, attachments: DataFrame, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def full_reindex(notes: DataFrame, indexed: DataFrame, chunks: DataFrame, attachments: DataFrame, embedder: Embedder, store: Callable[[DataFrame], DataFrame] = stored, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(headers, chunks, orphans, report) of a full pass: records of notes that are gone are pruned, stale notes embedded
-    anew, attachments without a reference swept. The report is one row of counts of what was done."""
+    anew, attachments without a reference swept. The report is one row of counts of what was done. texts as in reindex_stored()."""
     from corpusloom.operators.attachments import orphan_attachments
 
     kept, dropped = prune_orphans(indexed, notes)
-    new_headers, new_chunks, plan = reindex(notes, kept, prune_orphans(chunks, notes)[0], embedder)
-    new_headers, new_chunks, plan, orphans = store(new_headers), store(new_chunks), store(plan), store(orphan_attachments(attachments, notes))
+    new_headers, new_chunks, plan = reindex(notes, kept, prune_orphans(chunks, notes)[0], embedder, store, texts)
+    new_headers, new_chunks, orphans = store(new_headers), store(new_chunks), store(orphan_attachments(attachments, notes))
     n = lambda df, name, kind=None: df.agg((F.count(F.lit(1)) if kind is None else F.count_if(kind)).alias(name))
     counts = [n(dropped, "n_pruned"), n(plan, "n_embedded", F.col("stale")), n(plan, "n_skipped", ~F.col("stale")), n(orphans, "n_orphans"), n(new_headers, "n_headers"), n(new_chunks, "n_chunks")]
     report = counts[0]

@@ -244,10 +244,11 @@ def index_model_change(spark, sf_dir):
 )
 def full_reindex_report(spark, sf_dir):
     """A whole pass over an index of four fifths of the notes: pruned, embedded, swept and counted."""
-    n, model = V.spread(V.with_refs(spark, sf_dir)), embedding.HashingEmbedder(32)
+    n, model = V.with_refs(spark, sf_dir), embedding.HashingEmbedder(32)
+    dealt, live = V.spread(n), "doc_id % 9 <> 4"
     attached = attachments.extract_refs(n).select("path").distinct()
-    old = embedding.embed_chunks(chunking.plan_chunks(n.filter("doc_id % 5 <> 0")), model).withColumn("model_id", F.lit(model.id))
-    return index.full_reindex(n.filter("doc_id % 9 <> 4"), old_headers(spark, sf_dir, V.with_refs), old, attached, model, V.stored)[3]
+    old = embedding.embed_chunks(chunking.plan_chunks(dealt.filter("doc_id % 5 <> 0")), model).withColumn("model_id", F.lit(model.id))
+    return index.full_reindex(n.filter(live), V.stored(old_headers(spark, sf_dir, V.with_refs)), old, attached, model, V.stored, dealt.filter(live))[3]
 
 
 # catalogue

@@ -7,6 +7,8 @@ old state or the new one (versions.py).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,11 +82,12 @@ def update_index(headers: DataFrame, chunks: DataFrame, removed: DataFrame, path
     return sorted(touched)
 
 
-def read_stored(spark: SparkSession, path: str, model_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(headers, chunks) of the index, of one model alone where it is named: folders of other models aren't opened."""
+def read_stored(spark: SparkSession, path: str, model_id: str | None = None, tables: Sequence[str] = tuple(TABLES)) -> tuple[DataFrame, ...]:
+    """(headers, chunks) of the index, of one model alone where it is named: folders of other models, and of tables that aren't asked for,
+    aren't opened."""
     state = versions.current(spark, path) or {name: [] for name in TABLES}
     out = []
-    for name in TABLES:
+    for name in tables:
         df = _read(spark, name, [f for f in state[name] if model_id is None or f"/model={escaped(model_id)}/" in f])
         out.append(df if model_id is None else df.filter(F.col("model_id") == model_id))
     return tuple(out)

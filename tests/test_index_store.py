@@ -100,3 +100,33 @@ def test_files_that_are_passed_over_are_told(spark, tmp_path):
     (tmp_path / "index/broken.parquet").write_bytes(b"no parquet at all")
     told = ingest.passed_over(spark, f"file://{tmp_path}/index").collect()
     assert [(r["file"].rsplit("/", 1)[1], r["length"]) for r in told] == [("broken.parquet", 17)]
+
+
+def counting(spark, rows):
+    """(notes, seen): notes whose bodies are counted by seen when they are read."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(body):
+        seen.add(1)
+        return body
+
+    return make(spark, rows).repartition(2).withColumn("body", F.udf(read, "string")("body")), seen
+
+
+def test_a_full_pass_hashes_notes_once(spark):
+    from pyspark.sql import functions as F
+
+    notes, seen = counting(spark, [(f"n{i}", f"t{i}", f"body {i}") for i in range(40)])
+    none, paths = (spark.createDataFrame([], X.HEADERS), spark.createDataFrame([], X.CHUNKS)), spark.createDataFrame([("attachments/a.png",)], "path string")
+    headers, chunks, orphans, report = index.full_reindex(notes, *none, paths, HashingEmbedder(8))
+    assert report.select("n_embedded", "n_headers", "n_chunks", "n_orphans").first() == (40, 40, 80, 1)
+    assert seen.value <= 3 * 40  # hashed, cut, asked for references
+
+
+def test_an_incremental_pass_reads_texts_for_cutting_alone(spark, written):
+    plain, seen = make(spark, NOTES[:2] + [("e", "New", "words")]), counting(spark, NOTES[:2] + [("e", "New", "words")])
+    plan, _ = index.reindex_stored(plain, written, HashingEmbedder(8), texts=seen[0])
+    assert [r["id"] for r in plan.filter("stale").collect()] == ["e"] and held(spark, written) == (["a", "b", "e"], ["a", "b", "e"])
+    assert 1 <= seen[1].value <= 3

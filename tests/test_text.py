@@ -155,3 +155,36 @@ def test_slugs_ask_no_class_of_thousands(spark):
     assert [r["s"] for r in df.collect()] == ["1-2-fjord-1-a-xfin-dz", "plain", "uni", None]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not any(len(part) > 200 for part in plan.split("RLIKE")[1:]) and "RLIKE(t" not in plan
+
+
+def test_canonical_bodies_take_time_by_their_length(spark):
+    """Ends are cut, white space inside stays; a long run of it isn't tried from each of its places."""
+    import hashlib
+    import time
+
+    inner = "a" + " " * 400_000 + "b\r\n\n c"
+    rows = [(inner + "　\r\n ﻿",), ("\r\n\n \n x\u0085 ",), ("\r\n\t\r\n",), ("",), (None,)]
+    began = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame(rows, "body string").coalesce(1).select(T.content_fingerprint(F.lit("t"), F.col("body"))).collect()]
+    assert time.monotonic() - began < 30
+    want = [inner.replace("\r\n", "\n"), " \n x\u0085", "", ""]
+    assert got == [*(hashlib.sha256(f"t\n\n{w}".encode()).hexdigest() for w in want), None]
+
+
+def test_words_of_plain_and_other_texts_are_embedded_alike():
+    import regex
+
+    from corpusloom.functions.text import WORD
+    from corpusloom.operators import embedding
+
+    model, texts = embedding.HashingEmbedder(8), ["Plain text_of 12 a-b", "Straße ΑΒΓ naïve ４２", "", "plain ÎLE", "KK"]
+    for kept in (embedding.MOST_CODES, -1):  # codes kept from batch to batch, and dropped
+        embedding.MOST_CODES, most = kept, embedding.MOST_CODES
+        got = [model.counts([t]).tolist()[0] for t in texts]
+        embedding.MOST_CODES = most
+        for text, row in zip(texts, got, strict=True):
+            want = [0.0] * 8
+            for word in regex.findall(WORD, text.lower()):
+                code = embedding._Codes(8)[word]
+                want[code // 2] += -1 if code % 2 else 1
+            assert row == want
