@@ -212,7 +212,8 @@ def reindex_incremental(spark, sf_dir):
     read again, one row a note."""
     folder, model = V.scratch(spark), embedding.HashingEmbedder(32)
     index_store.branch(spark, old_index(spark, sf_dir), folder)
-    plan = index.reindex_stored(V.spread(later_notes(spark, sf_dir)), folder, model, V.stored)[0]
+    later = later_notes(spark, sf_dir)
+    plan = index.reindex_stored(later, folder, model, V.stored, V.spread(later))[0]
     headers, chunks = index_store.read_stored(spark, folder)
     per = chunks.filter(F.col("model_id") == model.id).groupBy("note_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     flags = plan.select(F.col("id").alias("note_id"), F.col("stale").alias("embedded"))
