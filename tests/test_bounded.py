@@ -56,3 +56,8 @@ def test_no_row_is_made_for_each_note_and_class(spark):
     rows = lambda d: sorted((r["rank"], r["note_id"], r["score"]) for r in d.collect())
     assert rows(found) == rows(lexical.lexical_search(postings, q, n, 5, vocab=vocab)) and read.first()["postings"] == 600
     assert max(sizes) <= 600
+
+
+def test_stored_tables_are_written_small(spark):
+    df = stored(spark.range(3))
+    assert all(f.endswith(".zstd.parquet") for f in df.inputFiles()) and df.count() == 3
