@@ -13,7 +13,8 @@ so that it meets in no single task. Which words these are is told from a sample
 depends on the sample, the result doesn't. Merging streams over the rows of a part and holds one part's distinct phrases and a
 batch. Only phrases of `least` occurrences or more leave the merge. Parts of a phrase are at least as frequent
 as the phrase, so what scores need is joined from these: single words, which are parts of very many phrases, by
-common.small_join(), longer parts by equi-joins.
+common.small_join(), longer parts by equi-joins. These grow with the corpus and are merge joins always: Spark sizes a table by its
+compressed files, and would broadcast one whose rows don't fit the driver.
 
 A candidate is a phrase of 2 to `longest` words with a = f(phrase) >= least. Of its cuts the one of lowest score
 floor(10^6 a^2 / (l r)) counts, of equal ones the first; a candidate goes if a longer one that contains its words has
@@ -288,7 +289,7 @@ def with_counts(rows: DataFrame, part: str, words: DataFrame, n_words: int, long
     single = F.instr(part, " ") == 0
     one = rows.filter(single).withColumn("_key", F.struct(F.col("lang").alias("lang"), F.col(part).alias("phrase")))
     one = common.small_join(one, words.select(F.struct("lang", "phrase").alias("_key"), F.col("f").alias(name)), "_key", 16, F.xxhash64("phrase"), size=n_words)
-    more = rows.filter(~single).join(longer.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)), ["lang", part])
+    more = rows.filter(~single).join(longer.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)).hint("merge"), ["lang", part])
     columns = [*rows.columns, name]
     return one.select(*columns).union(more.select(*columns))
 
@@ -312,7 +313,7 @@ def collocations(docs: DataFrame, *, longest: int = 3, least: int = 10, share: i
     ended = longer.filter("size(split(phrase, ' ')) > 2").select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "f")
     begun = found.filter(f"kind = {LARGEST}").select("lang", "phrase", "f")
     grown = ended.union(begun).groupBy("lang", "phrase").agg(F.max("f").alias("most"))
-    kept = lowest.join(grown, ["lang", "phrase"], "left").filter(f"most is null or 100 * most < {share} * a")
+    kept = lowest.join(grown.hint("merge"), ["lang", "phrase"], "left").filter(f"most is null or 100 * most < {share} * a")
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     kept = kept.withColumn("rank", rank.cast("long")) if top is None else kept.withColumn("_rank", rank).filter(f"_rank <= {top}").withColumn("rank", F.col("_rank").cast("long"))

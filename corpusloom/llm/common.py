@@ -137,11 +137,14 @@ def members_join(rows: DataFrame, nodes: DataFrame, key: str, copies: str, salts
 
 
 def salted_join(rows: DataFrame, small: DataFrame, on: Column, salts: int, key: str | Column, how: str = "left") -> DataFrame:
-    """Join a table of one row a group to rows: rows are dealt by group and salt, and the small side is repeated for each salt."""
+    """Join a table of one row a group to rows: rows are dealt by group and salt, and the small side is repeated for each salt.
+
+    It is a merge join always: Spark would size the small side by its compressed files, without all of the copies, and broadcast it.
+    """
     salt, salt2 = f"_salt_{uuid.uuid4().hex}", f"_salt_{uuid.uuid4().hex}"
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(key) if isinstance(key, str) else key, F.lit(salts)).cast("int"))
     small = small.withColumn(salt2, F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return rows.join(small, on & (F.col(salt) == F.col(salt2)), how).drop(salt, salt2)
+    return rows.join(small.hint("merge"), on & (F.col(salt) == F.col(salt2)), how).drop(salt, salt2)
 
 
 def small_join(rows: DataFrame, small: DataFrame, group: str, salts: int, key: str | Column, how: str = "inner", size: int | None = None) -> DataFrame:

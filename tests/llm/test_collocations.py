@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from corpusloom.llm import collocations as C
+from corpusloom.llm import common
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, n int"
 
@@ -96,3 +97,13 @@ def test_a_word_with_a_third_of_all_rows(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "concat('the w', id, ' the pair') as text", "'en' as lang")
     got = {r["phrase"]: r["a"] for r in C.collocations(df).collect()}
     assert got == {"the pair": 2000}
+
+
+def test_tables_that_grow_with_the_corpus_are_not_broadcast(spark, monkeypatch):
+    """Their files are small here, as those of a compressed table of many rows are for their rows."""
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    rows = corpus(random.Random(5), 150)
+    found = C.collocations(spark.createDataFrame([(i, *r, "p", 1) for i, r in enumerate(rows)], SCHEMA), top=40)
+    got = collected(found)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert got == plain(rows, 3, 10, top=40) and "SortMergeJoin" in plan and "Broadcast" not in plan
