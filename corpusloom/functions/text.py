@@ -1,4 +1,4 @@
-"""Column functions on text, hashes, paths, ids and dates. All stay in the JVM."""
+"""Column functions on text, hashes, paths, ids and dates. All but stem() and folded_words() stay in the JVM."""
 
 from __future__ import annotations
 
@@ -88,10 +88,34 @@ def fold_inflection(t: Column) -> Column:
     return F.when(F.right(singular, F.lit(1)).isin("a", "o", "e") & (m >= 5), F.left(singular, m - 1)).otherwise(singular)
 
 
+def stem(word: str) -> str:
+    """fold_inflection() of a folded word."""
+    if word.endswith("es") and len(word) >= 6:
+        word = word[:-2]
+    elif word.endswith("s") and len(word) >= 5:
+        word = word[:-1]
+    return word[:-1] if len(word) >= 5 and word[-1] in "aoe" else word
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(fold_text(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def spaced(c: Column) -> Column:
+    """Folded text whose characters beyond ASCII are letters and numbers alone, for folded_words(); a text of ASCII alone stays as it is."""
+    c = F.coalesce(c, F.lit(""))
+    folded = F.regexp_replace(F.lower(F.translate(c, *_unmarked_table())), r"[^\x00-\x7f\p{L}\p{N}]+", " ")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
+
+
+def folded_words(text: str) -> list[str]:
+    """words() of a text that spaced() gives: all its bytes beyond ASCII are parts of words."""
+    return text.encode().translate(_WORD_BYTES, b"^`").decode().split()
+
+
+_WORD_BYTES = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(256))
+
+
 def tokenize(c: Column) -> Column:
     return F.transform(words(c), fold_inflection)
 

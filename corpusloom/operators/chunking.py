@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from math import gcd
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import WHITE, trim_white
+from corpusloom.functions.text import WHITE, WHITES, trim_white
 
 
 def chunks(c: Column, size: int = 120, overlap: int = 24) -> Column:
@@ -43,13 +43,20 @@ def chunks(c: Column, size: int = 120, overlap: int = 24) -> Column:
 
 def windows(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the windows of a text."""
-    spans = [m.span() for m in _word.finditer(text)]
-    step = size - overlap
-    last = max(0, -(-(len(spans) - size) // step))
-    return [(spans[k * step][0], spans[min(k * step + size, len(spans)) - 1][1]) for k in range(last + 1)] if spans else []
-
-
-_word = re.compile(f"[^{WHITE}]+")
+    points = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _in_word[points if points.itemsize == 1 else np.minimum(points, len(_in_word) - 1)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends, step = edges[::2], edges[1::2], size - overlap
+    if not len(starts):
+        return []
+    first = np.arange(max(0, -(-(len(starts) - size) // step)) + 1) * step
+    return list(zip(starts[first].tolist(), ends[np.minimum(first + size, len(starts)) - 1].tolist(), strict=True))
+
+
+#: Whether a character is part of a word, by its code; the last one stands for all that follow. White space lies before it.
+_in_word = np.ones(1 << 16, bool)
+_in_word[[ord(c) for c in WHITES]] = False
 
 
 def chunk_text(df: DataFrame, column: str, keep: list[str], size: int = 120, overlap: int = 24) -> DataFrame:

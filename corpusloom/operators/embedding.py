@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -62,20 +63,34 @@ class HashingEmbedder:
     def counts(self, texts: list[str]):
         """A row of signed word counts by bucket for each text."""
         import numpy as np
+
+        out, start = np.zeros((len(texts), self.dimensions, 2), np.int64), 0
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        while start < len(texts):
+            before = ends[start] - len(texts[start])
+            stop = max(start + 1, int(np.searchsorted(ends, before + GROUP, "right")))
+            row, codes = self.coded(texts[start:stop])
+            out[start:stop] = np.bincount(row * 2 * self.dimensions + codes, minlength=(stop - start) * 2 * self.dimensions).reshape(stop - start, self.dimensions, 2)
+            start = stop
+        return (out[:, :, 0] - out[:, :, 1]).astype(float)
+
+    def coded(self, texts: list[str]):
+        """The text's number and the code of each word: texts with characters from NEAR on are cut by WORD, and their words' codes are kept."""
+        import numpy as np
         import regex
 
-        words, plain, codes, many = regex.compile(WORD), re.compile("[a-z0-9]+"), [], []
+        words, far, rows, codes = regex.compile(WORD), re.compile(f"[{chr(NEAR)}-\U0010ffff]"), [], []
         known = _codes.setdefault(self.dimensions, _Codes(self.dimensions))
         if len(known) > MOST_CODES:
             known.clear()
-        for text in texts:
-            lower = text.lower()
-            found = (plain if lower.isascii() else words).findall(lower)
-            many.append(len(found))
-            codes.extend(map(known.__getitem__, found))
-        row = np.repeat(np.arange(len(texts)), many)
-        n = np.bincount(row * 2 * self.dimensions + np.array(codes, int), minlength=len(texts) * 2 * self.dimensions).reshape(len(texts), self.dimensions, 2)
-        return (n[:, :, 0] - n[:, :, 1]).astype(float)
+        near = [t.lower() for t in texts]
+        for i, text in enumerate(near):
+            if not text.isascii() and far.search(text):
+                found, near[i] = words.findall(text), ""
+                rows.extend([i] * len(found))
+                codes.extend(map(known.__getitem__, found))
+        row, hashes = hashed_words(near)
+        return np.append(row, np.array(rows, int)), np.append((hashes % self.dimensions * 2 + hashes % 2).astype(int), np.array(codes, int))
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         import numpy as np
@@ -104,6 +119,38 @@ class _Codes(dict):
 
 
 _codes: dict[int, _Codes] = {}
+#: Characters of texts that are hashed at once, but for single longer texts. Characters before NEAR are looked up in a table of those that WORD has.
+GROUP, NEAR = 1 << 20, 0x2100
+
+
+def hashed_words(texts: list[str]):
+    """The text's number and the hash of _Codes of each word of lower-case texts without characters from NEAR on.
+
+    All words are hashed at once. 33 is odd and so has an inverse in 32 bits: by running sums of each character times the inverse's power at
+    its place, a word's hash is a difference of two sums times a power of 33.
+    """
+    import numpy as np
+
+    # each text is followed by a line end, so that words end with it
+    points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 1, bool)
+    inside[1:] = _letters()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    row = np.searchsorted(np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), starts, "right")
+    powers = lambda x: np.cumprod(np.append(1, np.full(len(points), x)).astype(np.uint32), dtype=np.uint32)
+    of_33, sums = powers(33), np.zeros(len(points) + 1, np.uint32)
+    np.cumsum(points * powers(pow(33, -1, 1 << 32))[:-1], dtype=np.uint32, out=sums[1:])
+    return row, np.uint32(5381) * of_33[ends - starts] + of_33[ends - 1] * (sums[ends] - sums[starts])
+
+
+@cache
+def _letters():
+    """Whether WORD has a character, for those before NEAR."""
+    import numpy as np
+    import regex
+
+    return np.array([bool(regex.fullmatch(WORD, chr(c))) for c in range(NEAR)])
 
 
 def embed_chunks(planned: DataFrame, embedder: Embedder, text_column: str = "input") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold_inflection, tokenize, words
+from corpusloom.functions.text import fold_inflection, folded_words, spaced, stem, tokenize, words
 from corpusloom.sources.tables import stored
 
 TITLE_WEIGHT, SATURATION, PREFIX_WEIGHT, PREFIX_LENGTH = 3, 1.2, 0.5, 3
@@ -18,6 +20,60 @@ def build_postings(docs: DataFrame) -> DataFrame:
     return tokens.groupBy(fold_inflection(F.col("word")).alias("term"), "note_id").agg(F.sum("w").alias("tf"), F.max("t").alias("in_title"))
 
 
+class Stems(dict):
+    """Words and their terms; each word is stemmed once."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = term = stem(word)
+        return term
+
+
+#: Words whose terms a worker keeps from batch to batch.
+MOST_STEMS = 200_000
+NOTE_POSTINGS = "terms string, tf string, titled int"
+_stems = Stems()
+
+
+def note_postings(docs: DataFrame) -> DataFrame:
+    """(note_id, terms, tf, titled): the postings of build_postings() as a row a note, for docs (id, title, body) of a row a note.
+
+    Terms and their tf are joined by blanks; the first `titled` of them are the title's. A note's words are counted where its text lies: no row
+    a posting is made and nothing is sent. Folding stays with the column functions, which also settle what is a letter or a number
+    beyond ASCII. A note without words has no row.
+    """
+    rows = docs.select(F.col("id").alias("note_id"), spaced(F.col("title")).alias("title"), spaced(F.col("body")).alias("body"))
+
+    def run(batches):
+        for batch in batches:
+            yield counted(batch)
+
+    return rows.mapInArrow(run, f"note_id {rows.schema['note_id'].dataType.simpleString()}, {NOTE_POSTINGS}").filter("terms <> ''")
+
+
+def counted(batch):
+    """note_postings() of a record batch of (note_id, title, body), texts as spaced() gives them."""
+    import pyarrow as pa
+
+    terms, tf, titled = [], [], []
+    for title, body in zip(batch.column("title").to_pylist(), batch.column("body").to_pylist(), strict=True):
+        if len(_stems) > MOST_STEMS:
+            _stems.clear()
+        n = Counter(map(_stems.__getitem__, folded_words(title)))
+        for term in n:
+            n[term] *= TITLE_WEIGHT
+        titled.append(len(n))
+        n.update(map(_stems.__getitem__, folded_words(body)))
+        terms.append(" ".join(n))
+        tf.append(" ".join(map(str, n.values())))
+    return pa.RecordBatch.from_arrays([batch.column("note_id"), pa.array(terms, pa.string()), pa.array(tf, pa.string()), pa.array(titled, pa.int32())], ["note_id", "terms", "tf", "titled"])
+
+
+def posting_rows(notes: DataFrame) -> DataFrame:
+    """note_postings() as rows (note_id, term, tf, in_title)."""
+    pairs = F.arrays_zip(F.split("terms", " ").alias("term"), F.split("tf", " ").cast("array<bigint>").alias("tf"))
+    return notes.select("note_id", "titled", F.posexplode(pairs).alias("at", "x")).select("note_id", "x.term", "x.tf", (F.col("at") < F.col("titled")).alias("in_title"))
+
+
 def postings_of_chunks(chunk_index: DataFrame) -> DataFrame:
     """The same from stored chunks (note_id, kind, text); words in the overlap of two windows count twice."""
     title = F.col("kind") == "title"

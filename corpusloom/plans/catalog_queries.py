@@ -596,12 +596,15 @@ def stream_reindex(spark, sf_dir):
     """Saves streamed from files in several micro-batches: every third note is saved twice, some are emptied and some deleted
     later. The numbers of notes are those kept up by the stream, the occurrences those of its postings."""
     folder, where, state = V.scratch(spark), V.scratch(spark), V.scratch(spark)
-    saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at", "doc_id").withColumn("deleted", F.lit(False))
-    hour = F.expr("interval 1 hour")
-    earlier = saved.filter("doc_id % 3 = 0").withColumns({"title": F.lit("draft"), "body": F.concat(F.lit("old words of "), "id"), "updated_at": F.col("updated_at") - hour})
-    emptied = saved.filter("doc_id % 11 = 3").withColumns({"title": F.lit(" "), "body": F.lit(""), "updated_at": F.col("updated_at") + hour})
-    deleted = saved.filter("doc_id % 13 = 5").withColumns({"updated_at": F.col("updated_at") + hour * 2, "deleted": F.lit(True)})
-    edits = saved.union(earlier).union(emptied).union(deleted).drop("doc_id")
+    saved = V.notes(spark, sf_dir).select("id", "title", "body", "updated_at", "doc_id")
+    # a note's saves are made from one row, so that documents are read and titles cut once
+    kinds = F.array(F.lit("saved"), F.when(F.expr("doc_id % 3 = 0"), "earlier"), F.when(F.expr("doc_id % 11 = 3"), "emptied"), F.when(F.expr("doc_id % 13 = 5"), "deleted"))
+    edits = saved.withColumn("kind", F.explode(F.array_compact(kinds)))
+    is_ = lambda kind: F.col("kind") == kind
+    title = F.when(is_("earlier"), "draft").when(is_("emptied"), " ").otherwise(F.col("title"))
+    body = F.when(is_("earlier"), F.concat(F.lit("old words of "), "id")).when(is_("emptied"), "").otherwise(F.col("body"))
+    hours = F.when(is_("earlier"), -1).when(is_("emptied"), 1).when(is_("deleted"), 2).otherwise(0)
+    edits = edits.select("id", title.alias("title"), body.alias("body"), (F.col("updated_at") + F.make_dt_interval(hours=hours)).alias("updated_at"), is_("deleted").alias("deleted"))
     files = V.read(spark, sf_dir, "documents").rdd.getNumPartitions()  # of a micro-batch: a file's size doesn't grow with the table
     edits.repartition(5 * files, "id", "title", "deleted").write.parquet(folder)
     stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", files).parquet(folder)

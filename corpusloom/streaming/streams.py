@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.functions.text import content_fingerprint, trim_white
 from corpusloom.operators.chunking import plan_chunks
 from corpusloom.operators.embedding import Embedder, embed_chunks
-from corpusloom.operators.lexical import build_postings
+from corpusloom.operators.lexical import NOTE_POSTINGS, note_postings, posting_rows
 from corpusloom.sources import versions
 from corpusloom.sources.tables import stored
 
@@ -42,11 +42,13 @@ def stream_reindex(stream: DataFrame, apply_batch: Callable[[DataFrame, int], No
 
 
 HEADERS = "note_id string, updated_at {time}, batch long, version long, content_hash string, model_id string, deleted boolean, has_text boolean"
-POSTINGS = "term string, note_id string, tf long, in_title boolean, version long"
+POSTINGS = f"note_id string, version long, {NOTE_POSTINGS}"
 CHUNKS = "note_id string, idx int, kind string, text string, offset int, length int, embedding array<double>, version long"
 TERMS = "term string, n long"
 #: So many folders of one level become one of the next.
 FAN = 4
+#: Notes of a batch whose rows are replaced are sent to the postings held, counted first, up to so many; beyond it the join is Spark's choice.
+FEW = 100_000
 
 
 def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], None]:
@@ -57,6 +59,8 @@ def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], No
     nothing writes a header. A deleted note leaves a header that says so, an emptied one a header without rows. How many notes have
     a term, and how many have text, is kept up by differences.
 
+    Postings are held as a row a note, so that what is met with headers, and merged, is as many rows as there are notes.
+
     A batch is a folder; FAN folders of one level are merged into one, so that there are at most FAN - 1 for each level and log(batches)
     levels. The list of folders is renamed into place last (versions.py): a batch that is repeated after a failure, or after its end, changes nothing.
     """
@@ -76,21 +80,24 @@ def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], No
         same = (F.col("content_hash") == F.col("_content_hash")) & (F.col("_model_id") == embedder.id) & (F.col("deleted") == F.col("_deleted"))
         has_text = ~F.col("deleted") & ((trim_white(F.col("title")) != "") | (trim_white(F.col("body")) != ""))
         met = stored(met.withColumns({"changed": ~F.coalesce(same, F.lit(False)), "has_text": has_text}))
-        fresh = stored(met.filter("changed and not deleted").select("id", "title", "body"))
+        fresh = met.filter("changed and not deleted").select("id", "title", "body")
 
         folder = versions.new_folder(where, "batch")
         version = F.lit(number).cast("long").alias("version")
         new_headers = met.select(F.col("id").alias("note_id"), "updated_at", F.lit(number).cast("long").alias("batch"), F.when(F.col("changed"), F.lit(number)).otherwise(F.col("_version")).cast("long").alias("version"), "content_hash", F.lit(embedder.id).alias("model_id"), "deleted", "has_text")
         new_headers.write.parquet(f"{folder}/headers")
-        build_postings(fresh).select("term", "note_id", "tf", "in_title", version).write.parquet(f"{folder}/postings")
+        _write(note_postings(fresh).select("note_id", version, "terms", "tf", "titled"), f"{folder}/postings")
         chunks = embed_chunks(plan_chunks(fresh, embedder.passage_prefix), embedder).select("note_id", "idx", "kind", "text", "offset", "length", "embedding", version)
-        chunks.write.parquet(f"{folder}/chunks")
-        old = met.filter("changed and _version is not null").select(F.col("id").alias("note_id"), F.col("_version").alias("version"))
-        lost = _table(spark, state, "postings").join(old, ["note_id", "version"], "left_semi")
-        won = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
-        terms = won.select("term", F.lit(1).alias("n")).union(lost.select("term", F.lit(-1)))
-        terms.groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").select("term", "n").write.parquet(f"{folder}/terms")
-        count = met.agg(F.coalesce(F.sum(F.col("has_text").cast("long") - F.coalesce(F.col("_has_text").cast("long"), F.lit(0))), F.lit(0))).first()[0]
+        _write(chunks, f"{folder}/chunks")
+        replaced = "changed and _version is not null"
+        more = F.coalesce(F.sum(F.col("has_text").cast("long") - F.coalesce(F.col("_has_text").cast("long"), F.lit(0))), F.lit(0))
+        count, n_old = met.agg(more, F.count(F.when(F.expr(replaced), 1))).first()
+        terms = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").select(F.explode(F.split("terms", " ")).alias("term"), F.lit(1).alias("n"))
+        if n_old:
+            old = met.filter(replaced).select(F.col("id").alias("note_id"), F.col("_version").alias("version"))
+            lost = _table(spark, state, "postings").select("note_id", "version", "terms").join(F.broadcast(old) if n_old <= FEW else old, ["note_id", "version"], "left_semi")
+            terms = terms.union(lost.select(F.explode(F.split("terms", " ")), F.lit(-1)))
+        _write(terms.groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").select("term", "n"), f"{folder}/terms")
 
         for folder_ in state["retired"]:
             versions.delete(spark, folder_)
@@ -105,7 +112,11 @@ def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], No
 def _table(spark: SparkSession, state: dict, name: str, folders: list[dict] | None = None) -> DataFrame:
     schema = {"headers": HEADERS.format(time=state["time"]), "postings": POSTINGS, "chunks": CHUNKS, "terms": TERMS}[name]
     paths = [f"{f['path']}/{name}" for f in (state["folders"] if folders is None else folders)]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("r")).select("r.*")
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.option("compression", "zstd").parquet(path)
 
 
 def _latest(headers: DataFrame) -> DataFrame:
@@ -120,8 +131,8 @@ def _merged(spark: SparkSession, state: dict, where: str, folders: list[dict]) -
     _latest(_table(spark, state, "headers", folders)).write.parquet(f"{folder}/headers")  # deletions too: an older save may still come
     headers = spark.read.schema(HEADERS.format(time=state["time"])).parquet(f"{folder}/headers")
     for name in ("postings", "chunks"):
-        _table(spark, state, name, folders).join(headers.filter("not deleted").select("note_id", "version"), ["note_id", "version"], "left_semi").write.parquet(f"{folder}/{name}")
-    _table(spark, state, "terms", folders).groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0").write.parquet(f"{folder}/terms")
+        _write(_table(spark, state, name, folders).join(headers.filter("not deleted").select("note_id", "version"), ["note_id", "version"], "left_semi"), f"{folder}/{name}")
+    _write(_table(spark, state, "terms", folders).groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0"), f"{folder}/terms")
     return {"path": folder, "level": folders[0]["level"] + 1, "notes": sum(f["notes"] for f in folders)}
 
 
@@ -133,6 +144,7 @@ def live_index(spark: SparkSession, where: str) -> dict[str, DataFrame]:
     headers = _latest(_table(spark, state, "headers")).filter("not deleted")
     own = headers.select("note_id", "version")
     tables = {name: _table(spark, state, name).join(own, ["note_id", "version"], "left_semi").drop("version") for name in ("postings", "chunks")}
+    tables["postings"] = posting_rows(tables["postings"])
     df = _table(spark, state, "terms").groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
     n = spark.range(1).select(F.lit(sum(f["notes"] for f in state["folders"])).cast("long").alias("n"))
     return {"headers": headers.drop("batch", "version", "deleted"), **tables, "df": df, "n_docs": n}

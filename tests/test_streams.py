@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators.embedding import HashingEmbedder
-from corpusloom.operators.lexical import build_postings
+from corpusloom.operators.lexical import build_postings, note_postings, posting_rows
 from corpusloom.sources import versions
 from corpusloom.streaming import streams
 
@@ -137,3 +138,20 @@ def test_the_files_of_a_stream_grow_in_number(spark, monkeypatch, name, files):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(list(Path(made[0].removeprefix("file://")).glob("*.parquet"))) > files
+
+
+def test_postings_of_a_note_are_one_row_and_nothing_is_sent(spark, where):
+    words = ["Red", "reds", "ÎLES", "Straße", "ΣΑΣ", "a^b", "x`y", "naïve", "４２", "漢字", "“quoted”", "été", "İx", "pass​word", "½", "🙂", "boxes", "oes"]
+    draw = random.Random(8)
+    rows = [(f"n{i}", " ".join(draw.choices(words, k=draw.randint(0, 4))), draw.choice([" ", "-", "\n", "\x00"]).join(draw.choices(words[: draw.choice([2, 18])], k=draw.randint(0, 40)))) for i in range(80)]
+    rows += [("none", None, None), ("signs", "—", "... ¿?"), ("blank", "", "  ")]
+    docs = spark.createDataFrame(rows, "id string, title string, body string")
+    found = note_postings(docs)
+    assert found.filter("note_id in ('none', 'signs', 'blank')").count() == 0 and found.count() == found.select("note_id").distinct().count()
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    columns = ["note_id", "term", "tf", "in_title"]
+    assert sorted(posting_rows(found).select(columns).collect()) == sorted(build_postings(docs).select(columns).collect())
+    streams.index_batch(where, HashingEmbedder(4))(docs.withColumns({"updated_at": F.lit(1).cast("long")}), 0)
+    (folder,) = versions.current(spark, where)["folders"]
+    held = spark.read.parquet(f"{folder['path']}/postings")
+    assert held.count() == found.count()
