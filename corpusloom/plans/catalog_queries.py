@@ -606,7 +606,7 @@ def stream_reindex(spark, sf_dir):
     hours = F.when(is_("earlier"), -1).when(is_("emptied"), 1).when(is_("deleted"), 2).otherwise(0)
     edits = edits.select("id", title.alias("title"), body.alias("body"), (F.col("updated_at") + F.make_dt_interval(hours=hours)).alias("updated_at"), is_("deleted").alias("deleted"))
     files = V.read(spark, sf_dir, "documents").rdd.getNumPartitions()  # of a micro-batch: a file's size doesn't grow with the table
-    edits.repartition(5 * files, "id", "title", "deleted").write.parquet(folder)
+    edits.repartition(5 * files, "id", "title", "deleted").write.option("compression", "zstd").parquet(folder)
     stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", files).parquet(folder)
     streams.stream_reindex(stream, streams.index_batch(where, embedding.HashingEmbedder(32)), state).awaitTermination()
     live = streams.live_index(spark, where)

@@ -73,8 +73,9 @@ def index_batch(where: str, embedder: Embedder) -> Callable[[DataFrame, int], No
         gone = F.coalesce("deleted", F.lit(False)) if "deleted" in batch.columns else F.lit(False)
         saves = batch.select("id", F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"), gone.alias("deleted"), "updated_at").alias("n"))
         last = saves.groupBy("id").agg(F.max_by("n", F.struct("n.updated_at", "n.deleted", F.xxhash64("n.title", "n.body"))).alias("n")).select("id", "n.*")
-        last = stored(last.withColumn("content_hash", content_fingerprint(F.col("title"), F.col("body"))))
-        headers = _table(spark, state, "headers").join(last.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+        # grouped and met with headers by the same exchange: texts are sent once and stored once; the batch's ids are read by themselves
+        last = last.withColumn("content_hash", content_fingerprint(F.col("title"), F.col("body")))
+        headers = _table(spark, state, "headers").join(batch.select(F.col("id").alias("note_id")), "note_id", "left_semi")
         held = _latest(headers).select(F.col("note_id").alias("id"), *(F.col(c).alias(f"_{c}") for c in ("updated_at", "version", "content_hash", "model_id", "deleted", "has_text")))
         met = last.join(held, "id", "left").filter("_updated_at is null or updated_at >= _updated_at")
         same = (F.col("content_hash") == F.col("_content_hash")) & (F.col("_model_id") == embedder.id) & (F.col("deleted") == F.col("_deleted"))
